@@ -5,6 +5,7 @@ import importlib
 MODULES = (
     "q_hierarchy",
     "q_vocab",
+    "q_combine",
 )
 
 

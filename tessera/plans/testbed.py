@@ -62,3 +62,25 @@ def v1x(spark: SparkSession, d: str) -> DataFrame:
         [(i, p, lv, lab, i, i, pos) for i, p, lv, lab, pos in _FAULTS],
         "id string, parent_id string, level int, label string, path string, notation string, pos long")
     return v1(spark, d).unionByName(faults)
+
+
+def v7(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """V7: three overlapping sources a (id, name), b (id, nation; repeated ids), c (id, name, balance).
+
+    a has null keys for strongly negative balances; b repeats the rows of one
+    market segment; c comes from supplier with the same key space prefix.
+    """
+    c = table(spark, d, "customer")
+    s = table(spark, d, "supplier")
+    kid = F.concat(F.lit("k"), F.col("c_custkey").cast("string"))
+    a = c.select(F.when(F.col("c_acctbal") < -900, F.lit(None)).otherwise(kid).alias("id"),
+                 F.col("c_name").alias("name"), F.col("c_custkey").cast("long").alias("pos"))
+    b1 = c.where(F.col("c_acctbal") >= 0).select(kid.alias("id"), F.col("c_nationkey").cast("string").alias("nation"),
+                                                F.col("c_custkey").cast("long").alias("pos"))
+    b2 = (c.where((F.col("c_acctbal") >= 0) & (F.col("c_mktsegment") == "BUILDING"))
+           .select(kid.alias("id"), F.col("c_nationkey").cast("string").alias("nation"),
+                   (F.col("c_custkey") + F.lit(1000000000000)).cast("long").alias("pos")))
+    cc = s.select(F.concat(F.lit("k"), F.col("s_suppkey").cast("string")).alias("id"),
+                  F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"),
+                  F.col("s_suppkey").cast("long").alias("pos"))
+    return {"a": a, "b": b1.unionByName(b2), "c": cc}

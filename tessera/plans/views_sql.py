@@ -77,3 +77,17 @@ SELECT * FROM (VALUES
   ('zz07', '  ', 1, 'Space parent', 'zz07', 'zz07', CAST(9000000000007 AS BIGINT))
 ) AS t(id, parent_id, level, label, path, notation, pos)
 """, ("v1",))
+
+# V7: overlapping sources with null keys and repeated ids
+_v("v7a", """
+SELECT CASE WHEN c_acctbal < -900 THEN NULL ELSE 'k' || CAST(c_custkey AS VARCHAR) END AS id,
+       c_name AS name, CAST(c_custkey AS BIGINT) AS pos FROM customer""")
+_v("v7b", """
+SELECT 'k' || CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_custkey AS BIGINT) AS pos
+FROM customer WHERE c_acctbal >= 0
+UNION ALL
+SELECT 'k' || CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR), CAST(c_custkey + 1000000000000 AS BIGINT)
+FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING'""")
+_v("v7c", """
+SELECT 'k' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_acctbal AS balance, CAST(s_suppkey AS BIGINT) AS pos
+FROM supplier""")
