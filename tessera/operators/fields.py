@@ -45,7 +45,7 @@ def melt_fields(df: DataFrame, mapping: dict[str, str], uri_col: str = "uri",
 def property_rank(prop: str | Column) -> Column:
     """Position of a property in the SKOS dictionary (write order)."""
     m = F.create_map(*[x for p, i in PROPERTY_RANK.items() for x in (F.lit(p), F.lit(i))])
-    return F.coalesce(F.element_at(m, prop if isinstance(prop, Column) else F.col(prop)), F.lit(99))
+    return F.coalesce(F.try_element_at(m, prop if isinstance(prop, Column) else F.col(prop)), F.lit(99))
 
 
 def typed_terms(long: DataFrame, lang: str = "en") -> DataFrame:

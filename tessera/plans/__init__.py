@@ -6,6 +6,7 @@ MODULES = (
     "q_hierarchy",
     "q_vocab",
     "q_combine",
+    "q_clean",
 )
 
 

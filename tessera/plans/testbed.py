@@ -84,3 +84,21 @@ def v7(spark: SparkSession, d: str) -> dict[str, DataFrame]:
                   F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"),
                   F.col("s_suppkey").cast("long").alias("pos"))
     return {"a": a, "b": b1.unionByName(b2), "c": cc}
+
+
+def v2(spark: SparkSession, d: str) -> DataFrame:
+    """V2 literals (uri, prop, text, lang, pos) from documents.
+
+    prefLabel = first 60 characters, altLabel = last 40, definition = the
+    whole text; two documents share each URI so that URIs repeat.
+    """
+    doc = table(spark, d, "documents")
+    uri = F.concat(F.lit("http://ex.org/doc/"), F.floor(F.col("doc_id") / 2).cast("long").cast("string"))
+    rows = [("prefLabel", F.substring("text", 1, 60), 0), ("altLabel", F.right("text", F.lit(40)), 1),
+            ("definition", F.col("text"), 2)]
+    out = None
+    for prop, txt, k in rows:
+        part = doc.select(uri.alias("uri"), F.lit(prop).alias("prop"), txt.alias("text"), F.col("lang"),
+                          (F.col("doc_id") * 10 + k).cast("long").alias("pos"))
+        out = part if out is None else out.unionByName(part)
+    return out

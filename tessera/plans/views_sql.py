@@ -91,3 +91,12 @@ FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING'""")
 _v("v7c", """
 SELECT 'k' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_acctbal AS balance, CAST(s_suppkey AS BIGINT) AS pos
 FROM supplier""")
+
+# V2: literals from documents; two documents per URI
+_v("v2", """
+SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR) AS uri, 'prefLabel' AS prop, substring(text, 1, 60) AS text,
+       lang, CAST(doc_id * 10 AS BIGINT) AS pos FROM documents
+UNION ALL SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR), 'altLabel', right(text, 40), lang,
+       CAST(doc_id * 10 + 1 AS BIGINT) FROM documents
+UNION ALL SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR), 'definition', text, lang,
+       CAST(doc_id * 10 + 2 AS BIGINT) FROM documents""")
