@@ -7,6 +7,7 @@ MODULES = (
     "q_vocab",
     "q_combine",
     "q_clean",
+    "q_rules",
 )
 
 

@@ -102,3 +102,50 @@ def v2(spark: SparkSession, d: str) -> DataFrame:
                           (F.col("doc_id") * 10 + k).cast("long").alias("pos"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def cleaner_input(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Flow-B input from documents: one concept block per document.
+
+    concepts(raw_uri, pos): V2's URI, written relative ('doc/<n>') for source
+    src3.  literals(pos, prop, vpos, text, lang): V2's three literals; labels
+    of German documents carry mis-decoded characters, source src7 has a
+    blank prefLabel, and source src5 an upper-case language tag.
+    """
+    from tessera.functions.text import inject_mojibake
+    doc = table(spark, d, "documents")
+    n = F.floor(F.col("doc_id") / 2).cast("long").cast("string")
+    raw = F.when(F.col("source") == "src3", F.concat(F.lit("doc/"), n)).otherwise(
+        F.concat(F.lit("http://ex.org/doc/"), n))
+    concepts = doc.select(raw.alias("raw_uri"), F.col("doc_id").alias("pos"))
+    lang = F.when(F.col("source") == "src5", F.upper("lang")).otherwise(F.col("lang"))
+    pref = F.when(F.col("source") == "src7", F.lit("   ")).otherwise(F.substring("text", 1, 60))
+    rows = [("prefLabel", pref, True), ("altLabel", F.right("text", F.lit(40)), True),
+            ("definition", F.col("text"), False)]
+    lits = None
+    for k, (prop, txt, is_label) in enumerate(rows):
+        t = F.when(F.col("lang") == "de", inject_mojibake(txt)).otherwise(txt) if is_label else txt
+        part = doc.select(F.col("doc_id").alias("pos"), F.lit(prop).alias("prop"), F.lit(k).alias("vpos"),
+                          t.alias("text"), lang.alias("lang"))
+        lits = part if lits is None else lits.unionByName(part)
+    return {"concepts": concepts, "literals": lits}
+
+
+def v1_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations (uri, prop, target) over V1x: broader = parent; every customer is related
+    to its region and those with a label ending in 7 also to their parent; xl labels for
+    nations and customers, literal forms for nations and (unreferenced) regions."""
+    v = v1x(spark, d)
+    lvl = F.col("level")
+    broader = v.where(F.col("parent_id").isNotNull() & (F.trim("parent_id") != "")).select(
+        F.col("id").alias("uri"), F.lit("broader").alias("prop"), F.col("parent_id").alias("target"))
+    rel_region = v.where(lvl == 3).select("id", F.lit("related"), F.substring("parent_id", 1, 2))
+    rel_parent = v.where((lvl == 3) & F.col("label").like("%7")).select("id", F.lit("related"), "parent_id")
+    xl_n = v.where(lvl == 2).select("id", F.lit("xlPrefLabel"), F.concat("id", F.lit("#l")))
+    xl_c = v.where(lvl == 3).select("id", F.lit("xlAltLabel"), "parent_id")
+    form_n = v.where(lvl == 2).select(F.concat("id", F.lit("#l")), F.lit("literalForm"), "label")
+    form_r = v.where(lvl == 1).select(F.concat("id", F.lit("#x")), F.lit("literalForm"), "label")
+    out = broader
+    for p in (rel_region, rel_parent, xl_n, xl_c, form_n, form_r):
+        out = out.union(p)
+    return out

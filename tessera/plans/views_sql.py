@@ -100,3 +100,13 @@ UNION ALL SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR), 'altLabel
        CAST(doc_id * 10 + 1 AS BIGINT) FROM documents
 UNION ALL SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR), 'definition', text, lang,
        CAST(doc_id * 10 + 2 AS BIGINT) FROM documents""")
+
+
+_v("v1r", """
+SELECT id AS uri, 'broader' AS prop, parent_id AS target FROM v1x WHERE parent_id IS NOT NULL AND trim(parent_id) <> ''
+UNION ALL SELECT id, 'related', substring(parent_id, 1, 2) FROM v1x WHERE level = 3
+UNION ALL SELECT id, 'related', parent_id FROM v1x WHERE level = 3 AND label LIKE '%7'
+UNION ALL SELECT id, 'xlPrefLabel', id || '#l' FROM v1x WHERE level = 2
+UNION ALL SELECT id, 'xlAltLabel', parent_id FROM v1x WHERE level = 3
+UNION ALL SELECT id || '#l', 'literalForm', label FROM v1x WHERE level = 2
+UNION ALL SELECT id || '#x', 'literalForm', label FROM v1x WHERE level = 1""", ("v1x",))
