@@ -8,6 +8,7 @@ MODULES = (
     "q_combine",
     "q_clean",
     "q_rules",
+    "q_sources",
 )
 
 

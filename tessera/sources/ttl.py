@@ -23,9 +23,10 @@ from tessera.session import checkpoint_dir
 # A concept block starts at "<uri> a skos:Concept" or "prefix:id a skos:Concept"
 # (a following letter, as in ConceptScheme, does not start a concept).
 CONCEPT_START = r"^(<[^>]+>|[a-zA-Z0-9_:/-]+)\s+a\s+skos:Concept(?![A-Za-z])"
-_LIT = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]{2,3}(?:-[A-Za-z0-9]{1,8})*))?'
-_LIT_NC = r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z]{2,3}(?:-[A-Za-z0-9]{1,8})*)?'
-_TERM = r'(?:<[^>]+>|[A-Za-z][A-Za-z0-9_.-]*:[A-Za-z0-9_./#-]*[A-Za-z0-9_/#-])'
+# Possessive runs keep Java's matcher from recursing once per character on long texts.
+_LIT = r'"((?:[^"\\]++|\\.)*+)"(?:@([A-Za-z]{2,3}(?:-[A-Za-z0-9]{1,8})*))?'
+_LIT_NC = r'"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z]{2,3}(?:-[A-Za-z0-9]{1,8})*)?'
+_TERM = r'(?:<[^>]*>|[A-Za-z][A-Za-z0-9_.-]*:[A-Za-z0-9_./#-]*[A-Za-z0-9_/#-])'
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
