@@ -9,6 +9,7 @@ MODULES = (
     "q_clean",
     "q_rules",
     "q_sources",
+    "q_mappings",
 )
 
 

@@ -149,3 +149,30 @@ def v1_relations(spark: SparkSession, d: str) -> DataFrame:
     for p in (rel_region, rel_parent, xl_n, xl_c, form_n, form_r):
         out = out.union(p)
     return out
+
+
+def v3(spark: SparkSession, d: str) -> DataFrame:
+    """V3 mappings (source_uri, target_uri, mapping_type, confidence, pos) from lineitem.
+
+    part -> supplier with a type chosen by (returnflag, linestatus) in assorted
+    spellings; first lines of orders add the reversed pair, seventh lines a
+    self pair, and quantities below 2 an absolute source without a target.
+    """
+    li = table(spark, d, "lineitem")
+    part = F.concat(F.lit("part/"), F.col("l_partkey").cast("string"))
+    supp = F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string"))
+    rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
+    typ = (F.when((rf == "R") & (ls == "F"), "exact").when((rf == "A") & (ls == "F"), "Broader")
+            .when((rf == "R") & (ls == "O"), "related").when((rf == "A") & (ls == "O"), "narrower")
+            .when((rf == "N") & (ls == "F"), "exactMatch"))
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    cols = ["source_uri", "target_uri", "mapping_type", "confidence", "pos"]
+    main = li.select(part, supp, typ, F.col("l_discount"), pos.cast("long")).toDF(*cols)
+    rev = li.where("l_linenumber = 1").select(supp, part, F.lit("exactMatch"), F.col("l_discount"),
+                                              (pos + F.lit(1000000000000)).cast("long")).toDF(*cols)
+    selfp = li.where("l_linenumber = 7").select(part, part, F.lit("related"), F.col("l_discount"),
+                                                (pos + F.lit(2000000000000)).cast("long")).toDF(*cols)
+    dang = li.where("l_quantity < 2").select(F.concat(F.lit("http://ex.org/part/"), F.col("l_partkey").cast("string")),
+                                             F.lit(None).cast("string"), F.lit("close"), F.col("l_discount"),
+                                             (pos + F.lit(3000000000000)).cast("long")).toDF(*cols)
+    return main.unionByName(rev).unionByName(selfp).unionByName(dang)

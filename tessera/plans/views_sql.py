@@ -110,3 +110,20 @@ UNION ALL SELECT id, 'xlPrefLabel', id || '#l' FROM v1x WHERE level = 2
 UNION ALL SELECT id, 'xlAltLabel', parent_id FROM v1x WHERE level = 3
 UNION ALL SELECT id || '#l', 'literalForm', label FROM v1x WHERE level = 2
 UNION ALL SELECT id || '#x', 'literalForm', label FROM v1x WHERE level = 1""", ("v1x",))
+
+# V3: mappings from lineitem
+_v("v3", """
+SELECT 'part/' || CAST(l_partkey AS VARCHAR) AS source_uri, 'supplier/' || CAST(l_suppkey AS VARCHAR) AS target_uri,
+       CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'exact'
+            WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Broader'
+            WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'related'
+            WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'narrower'
+            WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'exactMatch' END AS mapping_type,
+       l_discount AS confidence, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS pos
+FROM lineitem
+UNION ALL SELECT 'supplier/' || CAST(l_suppkey AS VARCHAR), 'part/' || CAST(l_partkey AS VARCHAR), 'exactMatch',
+       l_discount, CAST(l_orderkey * 10 + l_linenumber + 1000000000000 AS BIGINT) FROM lineitem WHERE l_linenumber = 1
+UNION ALL SELECT 'part/' || CAST(l_partkey AS VARCHAR), 'part/' || CAST(l_partkey AS VARCHAR), 'related',
+       l_discount, CAST(l_orderkey * 10 + l_linenumber + 2000000000000 AS BIGINT) FROM lineitem WHERE l_linenumber = 7
+UNION ALL SELECT 'http://ex.org/part/' || CAST(l_partkey AS VARCHAR), NULL, 'close',
+       l_discount, CAST(l_orderkey * 10 + l_linenumber + 3000000000000 AS BIGINT) FROM lineitem WHERE l_quantity < 2""")
