@@ -10,6 +10,7 @@ MODULES = (
     "q_rules",
     "q_sources",
     "q_mappings",
+    "q_collections",
 )
 
 

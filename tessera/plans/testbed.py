@@ -176,3 +176,23 @@ def v3(spark: SparkSession, d: str) -> DataFrame:
                                              F.lit(None).cast("string"), F.lit("close"), F.col("l_discount"),
                                              (pos + F.lit(3000000000000)).cast("long")).toDF(*cols)
     return main.unionByName(rev).unionByName(selfp).unionByName(dang)
+
+
+def v4(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """V4 collection rows (collection, member, ord, label, pos).
+
+    conv: one collection per conversation, members are hashed message texts
+    (repeated texts repeat members), order = turn, label = role.
+    part: one collection per brand, members are part URIs, order = size.
+    """
+    cv = table(spark, d, "conversations")
+    conv = cv.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("collection"),
+                     F.concat(F.lit("http://ex.org/text/"), F.substring(F.md5("text"), 1, 16)).alias("member"),
+                     F.col("turn").alias("ord"), F.col("role").alias("label"),
+                     (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("pos"))
+    p = table(spark, d, "part")
+    part = p.select(F.col("p_brand").alias("collection"),
+                    F.concat(F.lit("http://ex.org/part/"), F.col("p_partkey").cast("string")).alias("member"),
+                    F.col("p_size").cast("long").alias("ord"), F.lit(None).cast("string").alias("label"),
+                    F.col("p_partkey").cast("long").alias("pos"))
+    return {"conv": conv, "part": part}

@@ -127,3 +127,11 @@ UNION ALL SELECT 'part/' || CAST(l_partkey AS VARCHAR), 'part/' || CAST(l_partke
        l_discount, CAST(l_orderkey * 10 + l_linenumber + 2000000000000 AS BIGINT) FROM lineitem WHERE l_linenumber = 7
 UNION ALL SELECT 'http://ex.org/part/' || CAST(l_partkey AS VARCHAR), NULL, 'close',
        l_discount, CAST(l_orderkey * 10 + l_linenumber + 3000000000000 AS BIGINT) FROM lineitem WHERE l_quantity < 2""")
+
+# V4: collection rows
+_v("v4c", """
+SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS collection, 'http://ex.org/text/' || substring(md5(text), 1, 16) AS member,
+       turn AS ord, role AS label, CAST(conv_id * 1000 + turn AS BIGINT) AS pos FROM conversations""")
+_v("v4p", """
+SELECT p_brand AS collection, 'http://ex.org/part/' || CAST(p_partkey AS VARCHAR) AS member, CAST(p_size AS BIGINT) AS ord,
+       CAST(NULL AS VARCHAR) AS label, CAST(p_partkey AS BIGINT) AS pos FROM part""")
