@@ -11,6 +11,7 @@ MODULES = (
     "q_sources",
     "q_mappings",
     "q_collections",
+    "q_documentation",
 )
 
 

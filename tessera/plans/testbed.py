@@ -196,3 +196,23 @@ def v4(spark: SparkSession, d: str) -> dict[str, DataFrame]:
                     F.col("p_size").cast("long").alias("ord"), F.lit(None).cast("string").alias("label"),
                     F.col("p_partkey").cast("long").alias("pos"))
     return {"conv": conv, "part": part}
+
+
+def v5(spark: SparkSession, d: str) -> DataFrame:
+    """V5 documentation rows: documents left-joined with labels and pages.
+
+    def_<lang> = the text in the column of its language; example = first
+    sentence when quality = 1; changeNote when toxic = 1; note = the first
+    200 characters of the page with the same id (HTML markup).
+    """
+    doc = table(spark, d, "documents")
+    lab = table(spark, d, "labels")
+    pg = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    j = doc.join(lab, "doc_id", "left").join(pg, "doc_id", "left")
+    cols = [F.concat(F.lit("http://ex.org/doc/"), F.col("doc_id").cast("string")).alias("uri"),
+            F.col("doc_id").cast("long").alias("pos")]
+    cols += [F.when(F.col("lang") == lg, F.col("text")).alias(f"def_{lg}") for lg in ("en", "fr", "de", "es")]
+    cols += [F.when(F.col("quality") == 1, F.regexp_extract("text", r"^[^.!?]*[.!?]", 0)).alias("example"),
+             F.when(F.col("toxic") == 1, F.lit("Flagged in review")).alias("changeNote"),
+             F.substring("html", 1, 200).alias("note")]
+    return j.select(*cols)

@@ -135,3 +135,23 @@ SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS collection, 'http://ex.org/text/'
 _v("v4p", """
 SELECT p_brand AS collection, 'http://ex.org/part/' || CAST(p_partkey AS VARCHAR) AS member, CAST(p_size AS BIGINT) AS ord,
        CAST(NULL AS VARCHAR) AS label, CAST(p_partkey AS BIGINT) AS pos FROM part""")
+
+# V5: documentation rows
+_v("v5", """
+SELECT 'http://ex.org/doc/' || CAST(d.doc_id AS VARCHAR) AS uri, CAST(d.doc_id AS BIGINT) AS pos,
+       CASE WHEN lang = 'en' THEN text END AS def_en, CASE WHEN lang = 'fr' THEN text END AS def_fr,
+       CASE WHEN lang = 'de' THEN text END AS def_de, CASE WHEN lang = 'es' THEN text END AS def_es,
+       CASE WHEN l.quality = 1 THEN regexp_extract(text, '^[^.!?]*[.!?]', 0) END AS example,
+       CASE WHEN l.toxic = 1 THEN 'Flagged in review' END AS changeNote,
+       substring(p.html, 1, 200) AS note
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN pages p ON d.doc_id = p.page_id""")
+_v("v5d", """
+SELECT uri AS concept_uri, doc_type, lang, content, pos, k FROM (
+  SELECT uri, 'definition' AS doc_type, 'en' AS lang, regexp_replace(def_en, '^\\s+|\\s+$', '', 'g') AS content, pos, 0 AS k FROM v5
+  UNION ALL SELECT uri, 'definition', 'fr', regexp_replace(def_fr, '^\\s+|\\s+$', '', 'g'), pos, 1 FROM v5
+  UNION ALL SELECT uri, 'definition', 'de', regexp_replace(def_de, '^\\s+|\\s+$', '', 'g'), pos, 2 FROM v5
+  UNION ALL SELECT uri, 'definition', 'es', regexp_replace(def_es, '^\\s+|\\s+$', '', 'g'), pos, 3 FROM v5
+  UNION ALL SELECT uri, 'example', 'en', regexp_replace(example, '^\\s+|\\s+$', '', 'g'), pos, 4 FROM v5
+  UNION ALL SELECT uri, 'note', 'en', regexp_replace(note, '^\\s+|\\s+$', '', 'g'), pos, 5 FROM v5
+  UNION ALL SELECT uri, 'changeNote', 'en', regexp_replace(changeNote, '^\\s+|\\s+$', '', 'g'), pos, 6 FROM v5)
+WHERE uri IS NOT NULL AND content IS NOT NULL AND content <> ''""", ("v5",))
