@@ -12,6 +12,7 @@ MODULES = (
     "q_mappings",
     "q_collections",
     "q_documentation",
+    "q_enrich",
 )
 
 

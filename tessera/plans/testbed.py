@@ -216,3 +216,31 @@ def v5(spark: SparkSession, d: str) -> DataFrame:
              F.when(F.col("toxic") == 1, F.lit("Flagged in review")).alias("changeNote"),
              F.substring("html", 1, 200).alias("note")]
     return j.select(*cols)
+
+
+def v6(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """V6 enrichment input.
+
+    literals (uri, prop, value, lang, pos, vpos): customers as concepts, prefLabel =
+    name, altLabel = market segment (shared by many concepts).
+    rows (uri, label, segment, spend, pos): orders rolled up per (customer, priority);
+    even customer keys give absolute URIs, odd ones relative ids, priority 5-LOW
+    rows point at unknown concepts; labels are upper-case names, or the upper-case
+    segment for priority 4-NOT SPECIFIED.
+    """
+    c = table(spark, d, "customer")
+    o = table(spark, d, "orders")
+    uri = F.concat(F.lit("http://ex.org/c/"), F.col("c_custkey").cast("string"))
+    pref = c.select(uri.alias("uri"), F.lit("prefLabel").alias("prop"), F.col("c_name").alias("value"),
+                    F.lit("en").alias("lang"), F.col("c_custkey").cast("long").alias("pos"), F.lit(0).alias("vpos"))
+    alt = c.select(uri.alias("uri"), F.lit("altLabel").alias("prop"), F.col("c_mktsegment").alias("value"),
+                   F.lit("en").alias("lang"), F.col("c_custkey").cast("long").alias("pos"), F.lit(0).alias("vpos"))
+    g = (o.groupBy("o_custkey", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("spend"))
+          .join(c.select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left"))
+    key = F.col("o_custkey").cast("string")
+    ruri = (F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("http://ex.org/c/x"), key))
+             .when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("http://ex.org/c/"), key)).otherwise(key))
+    label = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.upper("c_mktsegment")).otherwise(F.upper("c_name"))
+    rows = g.select(ruri.alias("uri"), label.alias("label"), F.col("c_mktsegment").alias("segment"), "spend",
+                    (F.col("o_custkey") * 10 + F.substring("o_orderpriority", 1, 1).cast("int")).cast("long").alias("pos"))
+    return {"literals": pref.unionByName(alt), "rows": rows}

@@ -155,3 +155,19 @@ SELECT uri AS concept_uri, doc_type, lang, content, pos, k FROM (
   UNION ALL SELECT uri, 'note', 'en', regexp_replace(note, '^\\s+|\\s+$', '', 'g'), pos, 5 FROM v5
   UNION ALL SELECT uri, 'changeNote', 'en', regexp_replace(changeNote, '^\\s+|\\s+$', '', 'g'), pos, 6 FROM v5)
 WHERE uri IS NOT NULL AND content IS NOT NULL AND content <> ''""", ("v5",))
+
+# V6: enrichment concepts and rows
+_v("v6l", """
+SELECT 'http://ex.org/c/' || CAST(c_custkey AS VARCHAR) AS uri, 'prefLabel' AS prop, c_name AS value, 'en' AS lang,
+       CAST(c_custkey AS BIGINT) AS pos, 0 AS vpos FROM customer
+UNION ALL SELECT 'http://ex.org/c/' || CAST(c_custkey AS VARCHAR), 'altLabel', c_mktsegment, 'en',
+       CAST(c_custkey AS BIGINT), 0 FROM customer""")
+_v("v6r", """
+SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'http://ex.org/c/x' || CAST(o_custkey AS VARCHAR)
+            WHEN o_custkey % 2 = 0 THEN 'http://ex.org/c/' || CAST(o_custkey AS VARCHAR)
+            ELSE CAST(o_custkey AS VARCHAR) END AS uri,
+       CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN upper(c_mktsegment) ELSE upper(c_name) END AS label,
+       c_mktsegment AS segment, spend,
+       CAST(o_custkey * 10 + CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS BIGINT) AS pos
+FROM (SELECT o_custkey, o_orderpriority, round(sum(o_totalprice), 2) AS spend FROM orders GROUP BY ALL) g
+LEFT JOIN customer ON o_custkey = c_custkey""")
