@@ -13,6 +13,7 @@ MODULES = (
     "q_collections",
     "q_documentation",
     "q_enrich",
+    "q_catalog",
 )
 
 

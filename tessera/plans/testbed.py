@@ -244,3 +244,13 @@ def v6(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     rows = g.select(ruri.alias("uri"), label.alias("label"), F.col("c_mktsegment").alias("segment"), "spend",
                     (F.col("o_custkey") * 10 + F.substring("o_orderpriority", 1, 1).cast("int")).cast("long").alias("pos"))
     return {"literals": pref.unionByName(alt), "rows": rows}
+
+
+def v8(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """V8: embeddings with label < 3 are property vectors (grouped by label), the rest are
+    field vectors named 'f<vec_id>'."""
+    e = table(spark, d, "embeddings")
+    props = e.where("label < 3").select(F.col("label").cast("string").alias("label"), "embedding")
+    fields = e.where("label >= 3").select(F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("field"),
+                                          "vec_id", "embedding")
+    return {"props": props, "fields": fields}
