@@ -307,3 +307,43 @@ def transitive_closure(edges: DataFrame, max_rounds: int | None = None,
         closure = closure.unionByName(new).checkpoint()
         delta = new
     return closure
+
+
+# ---------------------------------------------------------------- H2b
+def edges_from_outline(df: DataFrame, id_col: str = "id", level_col: str = "level", order_col: str = "pos",
+                       group_col: str | None = None, block: int = 100000, max_depth: int = 64) -> DataFrame:
+    """Document-order stack: parent = nearest preceding row of level-1 with no shallower row
+    in between (per group, e.g. per file).
+
+    Equivalently the last preceding row with level <= L-1, kept when its level is exactly L-1.
+    Rows are numbered densely in (group, order); for every depth k the last earlier position
+    with level <= k is found inside blocks of ``block`` rows by bounded windows and carried
+    across blocks through a per-block summary, so no window spans a whole group.
+    """
+    from pyspark.sql import Window
+    from tessera.sources.ttl import number_rows
+
+    g = F.col(group_col) if group_col else F.lit("")
+    base = df.select(g.cast("string").alias("grp"), _s(id_col).alias("node"),
+                     _num(level_col).cast("int").alias("level"), F.col(order_col).alias("ord"))
+    depth = base.agg(F.max("level")).collect()[0][0] or 1
+    if depth > max_depth:
+        raise ValueError(f"depth {depth} exceeds max_depth {max_depth}")
+    ks = list(range(1, depth))
+    num = number_rows(base, ["grp", "ord", "node"], "i").withColumn("blk", F.floor(F.col("i") / block))
+    w_in = Window.partitionBy("grp", "blk").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    inner = num.select("grp", "node", "level", "i", "blk",
+                       *[F.last(F.when(F.col("level") <= k, F.col("i")), ignorenulls=True).over(w_in).alias(f"in{k}")
+                         for k in ks])
+    summ = num.groupBy("grp", "blk").agg(*[F.max(F.when(F.col("level") <= k, F.col("i"))).alias(f"b{k}") for k in ks])
+    w_blk = Window.partitionBy("grp").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select("grp", "blk", *[F.max(f"b{k}").over(w_blk).alias(f"c{k}") for k in ks])
+    prev = inner.join(carry, ["grp", "blk"], "left").select(
+        "grp", "node", "level",
+        F.array(*[F.coalesce(F.col(f"in{k}"), F.col(f"c{k}")) for k in ks] or [F.lit(None).cast("long")]).alias("prev"))
+    kids = prev.where(F.col("level") > 1).select("grp", "node", "level",
+                                                 F.try_element_at("prev", F.col("level") - 1).alias("pi"))
+    owners = num.select(F.col("grp").alias("og"), F.col("i").alias("oi"), F.col("node").alias("parent"),
+                        F.col("level").alias("plevel"))
+    hit = kids.join(owners, (kids.grp == owners.og) & (kids.pi == owners.oi))
+    return hit.where(F.col("plevel") == F.col("level") - 1).select(F.col("node").alias("child"), "parent")

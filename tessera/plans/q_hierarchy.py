@@ -199,3 +199,15 @@ SELECT child, parent, '<http://ex.org/v/' || child || '> skos:broader <http://ex
 FROM e""", ("v1",))
 def hier_triples(spark, d):
     return H.relations_to_triples(H.edges_from_prefix(T.v1(spark, d)), "http://ex.org/v/")
+
+
+@query("hier_outline", """
+WITH t AS (SELECT id, CAST(level AS INTEGER) AS level, path FROM v1),
+p AS (SELECT a.id, a.level,
+             (SELECT arg_max(b.id, b.path) FROM t b WHERE b.path < a.path AND b.level <= a.level - 1) AS pid,
+             (SELECT max(b.path) FROM t b WHERE b.path < a.path AND b.level <= a.level - 1) AS ppath
+      FROM t a WHERE a.level > 1)
+SELECT p.id AS child, p.pid AS parent FROM p JOIN t ON t.path = p.ppath AND t.id = p.pid
+WHERE t.level = p.level - 1""", ("v1",))
+def hier_outline(spark, d):
+    return H.edges_from_outline(T.v1(spark, d), order_col="path", block=64)

@@ -47,3 +47,52 @@ def melt_fields_q(spark, d):
 def typed_terms_q(spark, d):
     from tessera.operators.fields import melt_fields, typed_terms
     return typed_terms(melt_fields(flagship.flagship_wide(spark, d), flagship.MAPPING, "uri", "pos"), "en")
+
+
+# ---------------------------------------------------------------- P1, P4, P7 over V7 / V1
+@query("map_fields", """
+SELECT c_custkey AS uri, c_name AS prefLabel, c_mktsegment AS altLabel, CAST(c_nationkey AS VARCHAR) AS notation
+FROM (SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, c_nationkey FROM customer)""")
+def map_fields_q(spark, d):
+    from tessera.operators.fields import map_fields
+    from tessera.sources.tables import table
+    c = table(spark, d, "customer")
+    mapping = {"uri": "c_custkey", "prefLabel": "c_name", "altLabel": "c_mktsegment", "notation": "c_nationkey",
+               "definition": "c_comment", "unknownProp": "c_acctbal"}
+    return map_fields(c, mapping)
+
+
+@query("concept_uri", """
+SELECT id, CASE WHEN id IS NULL OR trim(id) = '' THEN 'http://ex.org/base/' || sha256(coalesce(name, ''))
+                WHEN starts_with(trim(id), 'http') THEN trim(id)
+                ELSE 'http://ex.org/base/' || trim(id) END AS uri
+FROM (SELECT CASE WHEN id LIKE 'k1%' THEN 'http://ex.org/abs/' || id ELSE id END AS id, name FROM v7a)""", ("v7a",))
+def concept_uri_q(spark, d):
+    from pyspark.sql import functions as F
+    from tessera.operators.fields import concept_uri
+    from tessera.plans import testbed as T
+    a = T.v7(spark, d)["a"]
+    a = a.withColumn("id", F.when(F.col("id").like("k1%"), F.concat(F.lit("http://ex.org/abs/"), "id"))
+                     .otherwise(F.col("id")))
+    return a.select("id", concept_uri("id", "http://ex.org/base", F.coalesce(F.col("name"), F.lit(""))).alias("uri"))
+
+
+@query("join_preview", """
+WITH ab AS (SELECT coalesce(a.id, b.id) AS id, a.name, b.nation FROM v7a a FULL JOIN v7b b ON a.id = b.id)
+SELECT * FROM ab ORDER BY id NULLS LAST, name NULLS LAST, nation NULLS LAST LIMIT 100""", ("v7a", "v7b"))
+def join_preview(spark, d):
+    from pyspark.sql import functions as F
+    from tessera.operators import combine as C
+    from tessera.operators.fields import preview
+    from tessera.plans import testbed as T
+    v = T.v7(spark, d)
+    j = C.distributed_join([("a.csv", v["a"].drop("pos")), ("b.csv", v["b"].drop("pos"))], "id", "outer")
+    return preview(j, 100, [F.col("id").asc_nulls_last(), F.col("name").asc_nulls_last(),
+                            F.col("nation").asc_nulls_last()])
+
+
+@query("sample_check")
+def sample_check_q(spark, d):
+    from tessera.operators.fields import sample_check
+    from tessera.plans import testbed as T
+    return sample_check(T.v3(spark, d), 1000, ["pos"])
