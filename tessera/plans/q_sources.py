@@ -221,3 +221,23 @@ UNION ALL SELECT 'scheme', '<> a skos:ConceptScheme ;' || chr(10) || '    dct:ti
 def ttl_header(spark, d):
     path = written_vocabulary(spark, d)
     return TT.read_header(spark, [f"{path}/header", f"{path}/concepts"]).select("kind", "text")
+
+
+# ---------------------------------------------------------------- streaming cleaner
+@query("stream_clean", """
+SELECT uri, text FROM (
+  SELECT uri, regexp_replace(regexp_replace(value, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text
+  FROM doc_terms WHERE prop = 'prefLabel') WHERE text <> ''""", ("doc_terms",))
+def stream_clean(spark, d):
+    """Two copies of the document vocabulary arrive as files; the stream keeps one block per
+    URI across batches and writes cleaned labels; the result is the prefLabels read back."""
+    from tessera.streaming.cleaner_stream import clean_stream
+    src = S.scratch_path(spark, "stream-src")
+    blocks = doc_blocks(spark, d).select(F.concat("block", F.lit("\n")).alias("value"))
+    blocks.write.text(f"{src}/copy1")
+    blocks.write.text(f"{src}/copy2")
+    sink = S.scratch_path(spark, "stream-sink")
+    q = clean_stream(spark, f"{src}/*", sink, S.scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    labels = spark.read.parquet(f"{sink}/labels")
+    return labels.where("prop = 'prefLabel'").select("uri", "text")
