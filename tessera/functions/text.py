@@ -43,6 +43,11 @@ MAPPING_SYNONYMS = [
 
 WS = r"(?U)\s"
 
+# The six spacing rules (a space after , and ; unless whitespace follows; after . unless
+# whitespace, the end or a digit follows; after : ! ? unless whitespace or the end follows)
+# only look at what follows a mark, so applying them one after another equals one pass.
+PUNCT_GAP = r"(?U)(?:[,;](?!\s)|\.(?!\s|$|\d)|[:!?](?!\s|$))"
+
 
 def _c(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -80,14 +85,9 @@ def space_after_punctuation(c: str | Column, protect_urls: bool = False) -> Colu
 
     ``protect_urls`` leaves ``scheme://`` and times like 10:30 alone (D17).
     """
-    s = _c(c)
-    s = F.regexp_replace(s, r"(?U),(?!\s)", ", ")
-    s = F.regexp_replace(s, r"(?U)\.(?!\s|$|\d)", ". ")
-    s = F.regexp_replace(s, r"(?U);(?!\s)", "; ")
-    colon = r"(?U):(?!\s|$|//|\d)" if protect_urls else r"(?U):(?!\s|$)"
-    s = F.regexp_replace(s, colon, ": ")
-    s = F.regexp_replace(s, r"(?U)!(?!\s|$)", "! ")
-    s = F.regexp_replace(s, r"(?U)\?(?!\s|$)", "? ")
+    colon = r":(?!\s|$|//|\d)" if protect_urls else r":(?!\s|$)"
+    s = F.regexp_replace(_c(c), PUNCT_GAP if not protect_urls else
+                         rf"(?U)(?:[,;](?!\s)|\.(?!\s|$|\d)|{colon}|[!?](?!\s|$))", "$0 ")
     s = F.regexp_replace(s, r"(?U)\s{2,}", " ")
     return strip_ws(s)
 
@@ -99,21 +99,16 @@ def collapse_ws(c: str | Column) -> Column:
 
 def clean_label(c: str | Column) -> Column:
     """X1, whitespace collapsed, empty -> null."""
-    s = collapse_ws(fix_mojibake(c))
-    return F.when(s != "", s)
+    # nullif evaluates the chain once; when(s != "", s) would run it twice
+    return F.nullif(collapse_ws(fix_mojibake(c)), F.lit(""))
 
 
 def clean_text(c: str | Column) -> Column:
     """X1 + X2, punctuation spacing, whitespace runs to one space, stripped, empty -> null."""
     s = unescape_entities(fix_mojibake(c))
-    s = F.regexp_replace(s, r"(?U),(?!\s)", ", ")
-    s = F.regexp_replace(s, r"(?U)\.(?!\s|$|\d)", ". ")
-    s = F.regexp_replace(s, r"(?U);(?!\s)", "; ")
-    s = F.regexp_replace(s, r"(?U):(?!\s|$)", ": ")
-    s = F.regexp_replace(s, r"(?U)!(?!\s|$)", "! ")
-    s = F.regexp_replace(s, r"(?U)\?(?!\s|$)", "? ")
+    s = F.regexp_replace(s, PUNCT_GAP, "$0 ")
     s = strip_ws(F.regexp_replace(s, r"(?U)\s+", " "))
-    return F.when(s != "", s)
+    return F.nullif(s, F.lit(""))
 
 
 def clean_uri(c: str | Column, base: str | None = None) -> Column:

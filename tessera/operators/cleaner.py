@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_label, clean_text, clean_uri, fix_mojibake
+from tessera.functions.text import PUNCT_GAP, clean_label, clean_text, clean_uri, fix_mojibake
 from tessera.operators.rules import all_issues
 from tessera.session import checkpoint_dir
 
@@ -23,8 +23,6 @@ LABEL_PROPS = ["prefLabel", "altLabel", "hiddenLabel"]
 NOTE_PROPS = ["note", "scopeNote", "editorialNote", "historyNote", "changeNote"]
 TEXT_PROPS = ["definition", "example"] + NOTE_PROPS
 
-# Punctuation not followed by the space the spacing rule adds (X3 would change the text).
-PUNCT_GAP = r"(?U),(?!\s)|;(?!\s)|\.(?!\s|$|\d)|:(?!\s|$)|!(?!\s|$)|\?(?!\s|$)"
 
 COUNTERS = ["total_concepts", "duplicates_removed", "malformed_uris_fixed", "concepts_without_preflabel",
             "encoding_issues_fixed", "empty_labels_removed", "text_fields_cleaned", "comma_fixes",
@@ -33,15 +31,23 @@ COUNTERS = ["total_concepts", "duplicates_removed", "malformed_uris_fixed", "con
 
 
 def clean_literals(literals: DataFrame) -> DataFrame:
-    """Add ``clean`` (X4 for labels, X5 for text fields) and change flags."""
+    """Add ``clean`` (X4 for labels, X5 for text fields) and change flags.
+
+    The cleaned value is bound once inside a lambda and every flag is derived
+    from that binding, so the regular-expression chain runs once per literal
+    however the optimizer merges the projections.
+    """
     is_label = F.col("prop").isin(*LABEL_PROPS)
     clean = F.when(is_label, clean_label("text")).otherwise(clean_text("text"))
-    enc = F.when(is_label, fix_mojibake("text") != F.col("text")).otherwise(
-        F.coalesce(clean, F.lit("")) != F.col("text"))
-    return (literals.withColumn("clean", clean)
-                    .withColumn("encoding_fixed", enc & (F.col("text") != ""))
-                    .withColumn("emptied", F.col("clean").isNull() & (F.col("text") != ""))
-                    .withColumn("comma_fix", ~is_label & F.col("text").rlike(PUNCT_GAP)))
+    text = F.col("text")
+    bound = F.transform(F.array(clean), lambda x: F.struct(
+        x.alias("clean"),
+        (F.when(is_label, fix_mojibake(text) != text).otherwise(~x.eqNullSafe(text)) & (text != ""))
+        .alias("encoding_fixed"),
+        (x.isNull() & (text != "")).alias("emptied")))
+    return (literals.withColumn("_b", F.element_at(bound, 1))
+                    .select(*literals.columns, "_b.clean", "_b.encoding_fixed", "_b.emptied",
+                            (~is_label & text.rlike(PUNCT_GAP)).alias("comma_fix")))
 
 
 def dedupe_concepts(concepts: DataFrame, uri_col: str = "uri") -> tuple[DataFrame, DataFrame]:
