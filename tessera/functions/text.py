@@ -1,8 +1,7 @@
 """Text, URI and tag cleaning as native Column expressions.
 
-Java regular expressions differ from Python's in one way that matters here:
-``\\s`` is ASCII-only unless the pattern carries ``(?U)``, so every whitespace
-class below is compiled with it.
+Java regular expressions differ from Python's in what ``\\s`` and ``\\d`` match, so the
+patterns below spell out Python's whitespace set and use ``\\p{Nd}`` for digits.
 """
 
 from __future__ import annotations
@@ -41,12 +40,15 @@ MAPPING_SYNONYMS = [
     ("narrower", "narrowMatch"), ("parent", "broadMatch"), ("child", "narrowMatch"),
 ]
 
-WS = r"(?U)\s"
+# Whitespace as Python's str.isspace() sees it (Java's \s, even with (?U), leaves out
+# U+001C..U+001F); generated by rule.  All such characters lie below U+3001.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+WS = "[" + "".join(f"\\u{ord(ch):04x}" for ch in PY_WHITESPACE) + "]"
 
 # The six spacing rules (a space after , and ; unless whitespace follows; after . unless
 # whitespace, the end or a digit follows; after : ! ? unless whitespace or the end follows)
 # only look at what follows a mark, so applying them one after another equals one pass.
-PUNCT_GAP = r"(?U)(?:[,;](?!\s)|\.(?!\s|$|\d)|[:!?](?!\s|$))"
+PUNCT_GAP = rf"(?:[,;](?!{WS})|\.(?!{WS}|$|\p{{Nd}})|[:!?](?!{WS}|$))"
 
 
 def _c(c: str | Column) -> Column:
@@ -60,8 +62,8 @@ def _replace_all(s: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Python ``str.strip()``: Unicode whitespace off both ends."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: whitespace off both ends (a character-set trim, no regex)."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def fix_mojibake(c: str | Column) -> Column:
@@ -85,16 +87,17 @@ def space_after_punctuation(c: str | Column, protect_urls: bool = False) -> Colu
 
     ``protect_urls`` leaves ``scheme://`` and times like 10:30 alone (D17).
     """
-    colon = r":(?!\s|$|//|\d)" if protect_urls else r":(?!\s|$)"
-    s = F.regexp_replace(_c(c), PUNCT_GAP if not protect_urls else
-                         rf"(?U)(?:[,;](?!\s)|\.(?!\s|$|\d)|{colon}|[!?](?!\s|$))", "$0 ")
-    s = F.regexp_replace(s, r"(?U)\s{2,}", " ")
+    colon = rf":(?!{WS}|$|//|\p{{Nd}})"
+    pattern = PUNCT_GAP if not protect_urls else \
+        rf"(?:[,;](?!{WS})|\.(?!{WS}|$|\p{{Nd}})|{colon}|[!?](?!{WS}|$))"
+    s = F.regexp_replace(_c(c), pattern, "$0 ")
+    s = F.regexp_replace(s, WS + "{2,}", " ")
     return strip_ws(s)
 
 
 def collapse_ws(c: str | Column) -> Column:
     """Python ``' '.join(s.split())``."""
-    return strip_ws(F.regexp_replace(_c(c), r"(?U)\s+", " "))
+    return strip_ws(F.regexp_replace(_c(c), WS + "+", " "))
 
 
 def clean_label(c: str | Column) -> Column:
@@ -107,7 +110,7 @@ def clean_text(c: str | Column) -> Column:
     """X1 + X2, punctuation spacing, whitespace runs to one space, stripped, empty -> null."""
     s = unescape_entities(fix_mojibake(c))
     s = F.regexp_replace(s, PUNCT_GAP, "$0 ")
-    s = strip_ws(F.regexp_replace(s, r"(?U)\s+", " "))
+    s = strip_ws(F.regexp_replace(s, WS + "+", " "))
     return F.nullif(s, F.lit(""))
 
 
@@ -156,10 +159,14 @@ def absolute_uri(c: str | Column, base: str | None = None) -> Column:
 
 
 def mapping_type(c: str | Column) -> Column:
-    """null/blank -> closeMatch; canonical names in any case; synonyms; unknown lower-cased."""
+    """null/empty -> closeMatch; canonical names in any case; synonyms; unknown lower-cased.
+
+    Canonical names and synonyms share one literal map (their keys do not
+    overlap), so the input is referenced few times in the generated code.
+    """
     raw = _c(c)
     low = F.lower(strip_ws(raw))
-    canon = F.create_map(*[x for t in MAPPING_TYPES for x in (F.lit(t.lower()), F.lit(t))])
-    syn = F.create_map(*[x for k, v in MAPPING_SYNONYMS for x in (F.lit(k), F.lit(v))])
-    return (F.when(raw.isNull() | (raw == ""), F.lit("closeMatch"))
-             .otherwise(F.coalesce(F.try_element_at(canon, low), F.try_element_at(syn, low), low)))
+    names = F.create_map(*[x for k, v in [(t.lower(), t) for t in MAPPING_TYPES] + MAPPING_SYNONYMS
+                           for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.when(F.coalesce(raw, F.lit("")) == "", F.lit("closeMatch")),
+                      F.try_element_at(names, low), low)

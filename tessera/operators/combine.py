@@ -244,11 +244,19 @@ def concat_dedupe(sources: list[tuple[str, DataFrame]], remove_duplicates: bool
     return dedupe_rows(u, exclude=["_source_file", pos_col], pos_col=pos_col)
 
 
-def dedupe_merge_properties(df: DataFrame, key: str, sep: str = "; ", exclude: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """C5 merge_properties: per key, the sorted distinct values of every column joined with ``sep``."""
+def dedupe_merge_properties(df: DataFrame, key: str, exclude: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """C5 merge_properties: per key the distinct non-null values of every other column, as
+    long rows (key, property, value).
+
+    The merged record of a key is the set of its rows here; a key shared by a
+    third of the table is reduced by a distinct aggregate in every task and is
+    never packed into one cell.
+    """
     cols = [c for c in df.columns if c != key and c not in exclude]
-    return df.groupBy(key).agg(*[
-        F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), sep).alias(c) for c in cols])
+    long = df.select(F.col(key), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("property"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
+        .alias("x")).select(key, "x.property", "x.value")
+    return long.where(F.col("value").isNotNull()).distinct()
 
 
 # ---------------------------------------------------------------- C8, C9

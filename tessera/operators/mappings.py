@@ -142,9 +142,12 @@ def exact_match_clusters(df: DataFrame, max_rounds: int = 64, spark: SparkSessio
     """
     spark = spark or df.sparkSession
     checkpoint_dir(spark)
-    e = df.where(F.col("mapping_type") == "exactMatch").select(F.col("source_uri").alias("a"),
-                                                              F.col("target_uri").alias("b"))
-    und = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
+    # one pass over the mappings: directed exactMatch pairs, materialised; nodes and the
+    # undirected edge set both come from it
+    e = (df.where(F.col("mapping_type") == "exactMatch")
+           .select(F.col("source_uri").alias("a"), F.col("target_uri").alias("b")).distinct().checkpoint())
+    und = (e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+             .distinct().checkpoint())
     nodes = e.select(F.col("a").alias("n")).unionByName(e.select(F.col("b").alias("n"))).distinct()
     lab = nodes.select("n", F.col("n").alias("l")).checkpoint()
     for _ in range(max_rounds):

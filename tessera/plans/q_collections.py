@@ -83,7 +83,7 @@ def coll_validation(spark, d):
 
 @query("coll_stats", f"""
 WITH c AS ({_colls_sql("v4c", "OrderedCollection", True)} UNION ALL {_colls_sql("v4p", "Collection", False)})
-SELECT count(*) AS total_collections, sum(member_count) AS total_members,
+SELECT count(*) AS total_collections, CAST(sum(member_count) AS BIGINT) AS total_members,
        round(avg(member_count), 6) AS average_members_per_collection,
        max(member_count) AS largest_collection_size, min(member_count) AS smallest_collection_size,
        count(*) FILTER (WHERE type = 'OrderedCollection') AS ordered_collections,

@@ -129,7 +129,7 @@ def join_key_overlap(spark, d):
 WITH j AS ({_join_sql("FULL")}),
 per AS (SELECT 'a.csv' AS file, count(*) AS rows, 2 AS columns FROM v7a
         UNION ALL SELECT 'b.csv', count(*), 2 FROM v7b UNION ALL SELECT 'c.csv', count(*), 3 FROM v7c)
-SELECT file, rows, columns, CAST(3 AS BIGINT) AS input_files, (SELECT sum(rows) FROM per) AS input_total_rows,
+SELECT file, rows, columns, CAST(3 AS BIGINT) AS input_files, CAST((SELECT sum(rows) FROM per) AS BIGINT) AS input_total_rows,
        (SELECT count(*) FROM j) AS output_rows,
        round(((SELECT sum(rows) FROM per) - (SELECT count(*) FROM j)) * 100.0 / (SELECT sum(rows) FROM per), 6)
          AS data_loss_percentage,
@@ -196,10 +196,9 @@ def dedupe_rows(spark, d):
 
 
 @query("dedupe_merge_properties", """
-SELECT id, array_to_string(list_sort(list_distinct(list(name))), '; ') AS name,
-       array_to_string(list_sort(list_distinct(list(nation))), '; ') AS nation
-FROM (SELECT id, name, NULL::VARCHAR AS nation FROM v7a UNION ALL SELECT id, NULL, nation FROM v7b)
-GROUP BY id""", V7)
+SELECT DISTINCT id, property, value FROM (
+  SELECT id, 'name' AS property, name AS value FROM v7a UNION ALL SELECT id, 'nation', nation FROM v7b)
+WHERE value IS NOT NULL""", V7)
 def dedupe_merge_properties(spark, d):
     s = dict(_src(spark, d))
     u = C.concat_aligned([s["a.csv"], s["b.csv"]])

@@ -43,7 +43,7 @@ def doc_quality(spark, d):
 WITH c AS ({CONCEPTS_SQL}), per AS (SELECT concept_uri, count(*) AS n FROM v5d GROUP BY 1),
 j AS (SELECT c.concept_uri, per.n FROM c LEFT JOIN per ON c.concept_uri = per.concept_uri)
 SELECT (SELECT count(*) FROM j) AS total_concepts, (SELECT count(n) FROM j) AS concepts_with_documentation,
-       (SELECT coalesce(sum(n), 0) FROM j) AS total_documentation_entries,
+       CAST((SELECT coalesce(sum(n), 0) FROM j) AS BIGINT) AS total_documentation_entries,
        (SELECT count(DISTINCT lang) FROM v5d) AS multilingual_coverage,
        (SELECT count(*) FROM v5d WHERE doc_type = 'definition') AS concepts_with_definitions,
        (SELECT count(*) FROM v5d WHERE doc_type = 'example') AS concepts_with_examples,

@@ -76,7 +76,7 @@ UNION ALL SELECT 'customer_mixed.csv', c_custkey + 1,
 
 @query("csv_dialect_scores", """
 WITH seps AS (SELECT * FROM (VALUES (0, ';'), (1, ','), (2, chr(9)), (3, '|')) t(k, sep)),
-h AS (SELECT l.file, s.k, s.sep, len(string_split(l.line, s.sep)) AS columns
+h AS (SELECT l.file, s.k, s.sep, CAST(len(string_split(l.line, s.sep)) AS INTEGER) AS columns
       FROM v9_lines l, seps s WHERE l.line_no = (SELECT min(line_no) FROM v9_lines x WHERE x.file = l.file)),
 b AS (SELECT l.file, s.k, len(string_split(l.line, s.sep)) AS nf
       FROM v9_lines l, seps s WHERE l.line_no > (SELECT min(line_no) FROM v9_lines x WHERE x.file = l.file)

@@ -11,7 +11,7 @@ def esc(x: str) -> str:
 
 def melt(src: str, key_cols: str, prop: str, col: str) -> str:
     """Rows (keys, prop, vpos, value) of one column split on '|', trimmed, empties removed."""
-    return (f"SELECT {key_cols}, '{prop}' AS prop, vpos - 1 AS vpos, trim(parts[vpos]) AS value FROM "
+    return (f"SELECT {key_cols}, '{prop}' AS prop, CAST(vpos - 1 AS INTEGER) AS vpos, trim(parts[vpos]) AS value FROM "
             f"(SELECT {key_cols}, parts, unnest(generate_series(1, len(parts))) AS vpos FROM "
             f"(SELECT {key_cols}, string_split({col}, '|') AS parts FROM {src} WHERE {col} IS NOT NULL)) "
             f"WHERE trim(parts[vpos]) <> ''")

@@ -118,20 +118,21 @@ def parse_relations(blocks: DataFrame, uri_col: str = "uri", props: list[str] |
 
 
 def concept_table(literals: DataFrame, relations: DataFrame, uri_col: str = "uri") -> DataFrame:
-    """One flat row per concept: uri, prefLabel, language, altLabel, definition, broader.
+    """One flat row per concept block: uri, prefLabel, language, altLabel, definition, broader.
 
-    altLabel and broader join a concept's values with ' | ' in statement order.
-    The per-concept lists are bounded by the block, not by the table.
+    altLabel and broader join a block's values with ' | ' in statement order.
+    Grouping is per block (uri, pos), so the lists are bounded by one block even
+    when a URI is copied many times.
     """
-    lit = literals.groupBy(uri_col).agg(
+    lit = literals.groupBy(uri_col, "pos").agg(
         F.min_by(F.struct("text", "lang"), F.when(F.col("prop") == "prefLabel", F.col("vpos"))).alias("pl"),
         F.array_join(F.transform(F.array_sort(F.collect_list(
             F.when(F.col("prop") == "altLabel", F.struct("vpos", "text")))), lambda x: x["text"]), " | ").alias("altLabel"),
         F.min_by("text", F.when(F.col("prop") == "definition", F.col("vpos"))).alias("definition"))
-    rel = relations.where(F.col("prop") == "broader").groupBy(uri_col).agg(
+    rel = relations.where(F.col("prop") == "broader").groupBy(uri_col, "pos").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vpos", "target"))),
                                  lambda x: x["target"]), " | ").alias("broader"))
-    return (lit.join(rel, uri_col, "full")
+    return (lit.join(rel, [uri_col, "pos"], "full")
                .select(uri_col, F.col("pl.text").alias("prefLabel"), F.col("pl.lang").alias("language"),
                        F.when(F.col("altLabel") != "", F.col("altLabel")).alias("altLabel"),
                        "definition", "broader"))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tessera.functions import terms as TM
 from tessera.functions import text as X
 
-ALPHABET = st.sampled_from(list("ab1 ,.;:!?\n\t") + ["Ã¤", "ä", "&amp;", "&lt;", "é", "Ã "])
+ALPHABET = st.sampled_from(list("ab1 ,.;:!?\n\t\x1c\xa0\u2003\u0663\u0085") + ["Ã¤", "ä", "&amp;", "&lt;", "é", "Ã "])
 TEXTS = st.lists(st.lists(ALPHABET, max_size=25).map("".join), min_size=30, max_size=60)
 
 
