@@ -215,3 +215,20 @@ def report_lines(issues: DataFrame, order_cols: list[str], text_col: str = "deta
     """Numbered report lines ``{n:3d}. text`` in a stable order."""
     numbered = number_rows(issues, order_cols)
     return numbered.select("line_no", F.format_string("%3d. %s", "line_no", text_col).alias("line"))
+
+
+def write_change_log(changes: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S10 sink: numbered change-log lines ``{n:4d}. detail`` in (uri, pos) order, as text part
+    files in line order (range-sorted, so every file holds a consecutive run of lines)."""
+    lines = number_rows(changes, ["uri", "pos"]).select(
+        "line_no", F.format_string("%4d. %s", "line_no", "detail").alias("value"))
+    lines.orderBy("line_no").select("value").write.mode(mode).text(path)
+
+
+def write_validation_report(issues: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S10 sink: violations then warnings, each numbered ``{n:3d}. detail``, as text."""
+    sev = F.when(F.col("severity") == "violation", 0).otherwise(1)
+    ordered = issues.withColumn("_sev", sev)
+    lines = number_rows(ordered, ["_sev", "rule", "uri", "detail"]).select(
+        "_sev", "line_no", F.format_string("%3d. %s", "line_no", "detail").alias("value"))
+    lines.orderBy("_sev", "line_no").select("value").write.mode(mode).text(path)

@@ -56,3 +56,16 @@ def test_numbering_is_global_and_dense(spark):
     out = TT.number_rows(df, ["k"], "n").select("k", "n").collect()
     assert sorted(r.n for r in out) == list(range(1, 5001))
     assert all(r.n == r.k + 1 for r in out)
+
+
+def test_report_sinks_write_numbered_lines(spark):
+    d = tempfile.mkdtemp(prefix="tessera-rep-", dir="/tmp")
+    ch = spark.createDataFrame([(f"u{i % 7}", i, f"Duplicate removed: u{i % 7}") for i in range(50)],
+                               "uri string, pos long, detail string")
+    TT.write_change_log(ch, f"{d}/changes")
+    lines = [r.value for r in spark.read.text(f"{d}/changes").collect()]
+    assert sorted(int(x.split(".")[0]) for x in lines) == list(range(1, 51))
+    iss = spark.createDataFrame([("a", "S14", "violation", "v1"), ("b", "encoding", "warning", "w1")],
+                                "uri string, rule string, severity string, detail string")
+    TT.write_validation_report(iss, f"{d}/report")
+    assert sorted(r.value for r in spark.read.text(f"{d}/report").collect()) == ["  1. v1", "  2. w1"]
