@@ -82,32 +82,40 @@ def _flat(patterns):
     return out
 
 
+def _patterns(patterns, key: str = "prop") -> F.Column:
+    """The fixed pattern list as one constant array of (key, kw, rank) structs."""
+    return F.array(*[F.struct(F.lit(p).alias(key), F.lit(kw).alias("kw"), F.lit(i).alias("rank"))
+                     for p, kw, i in _flat(patterns)])
+
+
 def keyword_field_match(catalog: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """K1: per colname the property of the best keyword contained in the lower-cased name:
+    """K1: per column the property of the best keyword contained in the lower-cased name:
     score = len(keyword) / len(name), + 0.5 for equality; first best in pattern order; kept
-    above ``threshold``."""
+    above ``threshold``.
+
+    Each catalogue row is paired with the constant pattern array (a generator,
+    not a join) and the best candidate is a grouped ``max_by``.
+    """
     low = F.lower("colname")
-    n = F.length(low)
-    cands = F.array(*[F.when(F.locate(kw, low) > 0,
-                             F.struct((F.lit(len(kw)) / n + F.when(low == kw, 0.5).otherwise(0.0)).alias("score"),
-                                      F.lit(-i).alias("neg_order"), F.lit(prop).alias("prop")))
-                      for prop, kw, i in _flat(KEYWORD_PATTERNS)])
-    best = F.array_max(F.filter(cands, lambda x: x.isNotNull()))
-    out = catalog.select("dataset", "colname", best.alias("b"))
-    return out.where(F.col("b.score") > threshold).select(
-        "dataset", "colname", F.col("b.prop").alias("prop"), F.round("b.score", 6).alias("score"))
+    x = (catalog.select("dataset", "colname", low.alias("low"), F.explode(_patterns(KEYWORD_PATTERNS)).alias("p"))
+                .where(F.col("low").contains(F.col("p.kw")))
+                .select("dataset", "colname", F.col("p.prop").alias("prop"), F.col("p.rank").alias("rank"),
+                        (F.length("p.kw") / F.length("low")
+                         + F.when(F.col("low") == F.col("p.kw"), 0.5).otherwise(0.0)).alias("score")))
+    best = x.groupBy("dataset", "colname").agg(
+        F.max_by("prop", F.struct(F.col("score"), -F.col("rank"))).alias("prop"), F.max("score").alias("score"))
+    return best.where(F.col("score") > threshold).select("dataset", "colname", "prop",
+                                                         F.round("score", 6).alias("score"))
 
 
 def field_role_match(catalog: DataFrame, with_id_fallback: bool = True) -> DataFrame:
-    """K2: per dataset and role the colname whose lower-case name equals the earliest pattern
-    (the first such colname); a dataset without an id pattern falls back to its first colname."""
-    low = F.lower("colname")
-    flat = _flat(ROLE_PATTERNS)
-    hits = F.filter(F.array(*[F.when(low == kw, F.struct(F.lit(role).alias("role"), F.lit(i).alias("rank")))
-                              for role, kw, i in flat]), lambda x: x.isNotNull())
-    h = catalog.select("dataset", "ordinal", "colname", F.explode(hits).alias("h"))
-    best = (h.groupBy("dataset", F.col("h.role").alias("role"))
-             .agg(F.min_by("colname", F.struct(F.col("h.rank"), F.col("ordinal"))).alias("colname")))
+    """K2: per dataset and role the column whose lower-case name equals the earliest pattern
+    (the first such column); a dataset without an id pattern falls back to its first column."""
+    h = (catalog.select("dataset", "ordinal", "colname", F.lower("colname").alias("low"),
+                        F.explode(_patterns(ROLE_PATTERNS, "role")).alias("p"))
+                .where(F.col("low") == F.col("p.kw")))
+    best = (h.groupBy("dataset", F.col("p.role").alias("role"))
+             .agg(F.min_by("colname", F.struct(F.col("p.rank"), F.col("ordinal"))).alias("colname")))
     if not with_id_fallback:
         return best
     first = catalog.groupBy("dataset").agg(F.min_by("colname", "ordinal").alias("colname"))
@@ -119,15 +127,11 @@ def field_role_match(catalog: DataFrame, with_id_fallback: bool = True) -> DataF
 def doc_field_match(catalog: DataFrame) -> DataFrame:
     """K3: columns whose lower-case name contains a documentation pattern, with the first
     language whose indicator occurs in the rest of the name (after the pattern)."""
-    low = F.lower("colname")
-    flat = _flat(DOC_PATTERNS)
-    hits = F.filter(F.array(*[F.when(F.locate(kw, low) > 0,
-                                     F.struct(F.lit(t).alias("doc_type"), F.lit(kw).alias("pattern"),
-                                              F.lit(i).alias("rank")))
-                              for t, kw, i in flat]), lambda x: x.isNotNull())
-    h = catalog.select("dataset", "ordinal", "colname", low.alias("low"), F.explode(hits).alias("h"))
-    first = h.groupBy("dataset", "ordinal", "colname", "low", F.col("h.doc_type").alias("doc_type")).agg(
-        F.min_by("h.pattern", "h.rank").alias("pattern"), F.min("h.rank").alias("rank"))
+    h = (catalog.select("dataset", "ordinal", "colname", F.lower("colname").alias("low"),
+                        F.explode(_patterns(DOC_PATTERNS, "doc_type")).alias("p"))
+                .where(F.col("low").contains(F.col("p.kw"))))
+    first = h.groupBy("dataset", "ordinal", "colname", "low", F.col("p.doc_type").alias("doc_type")).agg(
+        F.min_by("p.kw", "p.rank").alias("pattern"), F.min("p.rank").alias("rank"))
     rest = F.replace(F.col("low"), F.col("pattern"), F.lit(""))
     langs = F.filter(F.array(*[F.when(F.locate(ind, rest) > 0, F.lit(lang)) for lang, ind, _ in
                                _flat(LANGUAGE_PATTERNS)]), lambda x: x.isNotNull())

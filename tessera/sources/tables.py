@@ -7,7 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# Lazy DataFrames per (session, path).  A DataFrame is an immutable plan, so
+# reusing it costs nothing and saves the driver-side listing and footer read
+# that every spark.read.parquet call repeats.
+_READS: dict[tuple[int, str], DataFrame] = {}
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one parquet table; column pruning and filters reach the scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, fresh: bool = False) -> DataFrame:
+    """Read one parquet table; column pruning and filters reach the scan.
+
+    ``fresh`` re-lists the files (for folders that change during a session).
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    if fresh or key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
