@@ -95,14 +95,9 @@ def doc_type_counts(docs: DataFrame) -> DataFrame:
 def doc_field_coverage(concepts: DataFrame, docs: DataFrame) -> DataFrame:
     """Per type, concepts with at least one entry and their share of all concepts."""
     per = docs.groupBy("doc_type").agg(F.count_distinct("concept_uri").alias("concepts"))
-    total = concepts.agg(F.count("*").alias("total"))
-    j = _with_one_row(per, total)
-    return j.select("doc_type", "concepts", F.round(F.col("concepts") / F.col("total"), 6).alias("coverage"))
-
-
-def _with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a global aggregate (always exactly one row, so broadcast is safe)."""
-    return df.withColumn("_one", F.lit(0)).join(F.broadcast(one_row.withColumn("_one", F.lit(0))), "_one").drop("_one")
+    total = concepts.count()  # one number
+    return per.select("doc_type", "concepts",
+                      F.round(F.col("concepts") / F.lit(max(total, 1)), 6).alias("coverage"))
 
 
 def doc_languages(docs: DataFrame) -> DataFrame:
@@ -114,17 +109,17 @@ def doc_gaps(concepts: DataFrame, docs: DataFrame, doc_type: str, k: int = 10) -
     """The first k concepts (input order) without an entry of ``doc_type``, with the total."""
     have = docs.where(F.col("doc_type") == doc_type).select("concept_uri").distinct()
     missing = concepts.join(have, "concept_uri", "left_anti")
-    total = missing.agg(F.count("*").alias("n_missing"))
+    total = missing.count()  # one number, attached as a literal
     first = missing.orderBy("pos", "concept_uri").limit(k)
-    return _with_one_row(first, total).select("concept_uri", "n_missing")
+    return first.select("concept_uri", F.lit(total).cast("long").alias("n_missing"))
 
 
 def doc_short(docs: DataFrame, min_len: int = 20, k: int = 5) -> DataFrame:
     """The first k entries shorter than ``min_len`` characters, with their total."""
     short = docs.where(F.length("content") < min_len)
-    total = short.agg(F.count("*").alias("n_short"))
+    total = short.count()  # one number, attached as a literal
     first = short.orderBy("pos", "k").limit(k)
-    return _with_one_row(first, total).select("concept_uri", "doc_type", "content", "n_short")
+    return first.select("concept_uri", "doc_type", "content", F.lit(total).cast("long").alias("n_short"))
 
 
 def merge_documentation(parts: list[DataFrame]) -> DataFrame:

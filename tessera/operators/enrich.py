@@ -72,9 +72,9 @@ def enrich_by_mapping(literals: DataFrame, rows: DataFrame, field_mapping: dict[
     pairs = [(cf, df_) for cf, df_ in field_mapping.items() if df_ in rows.columns]
     concepts = literals.select("uri").distinct()
     if not pairs:
-        # every concept matches the first row; the global aggregate is exactly one row
-        first = rows.agg(F.min(pos_col).alias("row_pos")).withColumn("_j", F.lit(0))
-        return concepts.withColumn("_j", F.lit(0)).join(F.broadcast(first), "_j").drop("_j")
+        # every concept matches the first row: one number, attached as a literal
+        first = rows.agg(F.min(pos_col)).first()[0]
+        return concepts.select("uri", F.lit(first).alias("row_pos"))
     keys = [f"v{i}" for i in range(len(pairs))]
     r = (rows.select(F.col(pos_col).alias("row_pos"),
                      *[F.lower(F.col(f"`{df_}`").cast("string")).alias(k) for k, (_, df_) in zip(keys, pairs)])
