@@ -151,16 +151,18 @@ def exact_match_clusters(df: DataFrame, max_rounds: int = 64, spark: SparkSessio
     nodes = e.select(F.col("a").alias("n")).unionByName(e.select(F.col("b").alias("n"))).distinct()
     lab = nodes.select("n", F.col("n").alias("l")).checkpoint()
     for _ in range(max_rounds):
-        nb = und.join(lab.withColumnRenamed("n", "b").withColumnRenamed("l", "lb"), "b") \
+        nb = und.join(lab.select(F.col("n").alias("b"), F.col("l").alias("lb")), "b") \
                 .groupBy("a").agg(F.min("lb").alias("m"))
         step = lab.join(nb.withColumnRenamed("a", "n"), "n", "left") \
-                  .select("n", F.least("l", F.coalesce("m", "l")).alias("l"))
-        jump = step.alias("s").join(step.alias("t"), F.col("s.l") == F.col("t.n"), "left") \
-                   .select(F.col("s.n").alias("n"), F.least(F.col("s.l"), F.coalesce(F.col("t.l"), F.col("s.l"))).alias("l"))
-        new = jump.checkpoint()
-        changed = new.join(lab.withColumnRenamed("l", "old"), "n").where(F.col("l") != F.col("old")).limit(1).count()
-        lab = new
-        if changed == 0:
+                  .select("n", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l"))
+        t = step.select(F.col("n").alias("tn"), F.col("l").alias("tl"))
+        # the old label travels with the row, so "did anything change" is a scan, not a join
+        new = (step.join(t, step.l == t.tn, "left")
+                   .select("n", F.least(F.col("l"), F.coalesce(F.col("tl"), F.col("l"))).alias("l"), "old")
+                   .withColumn("changed", F.col("l") != F.col("old")).drop("old")
+                   .checkpoint())
+        lab = new.drop("changed")
+        if new.where("changed").limit(1).count() == 0:
             break
     return lab.select(F.col("n").alias("uri"), F.col("l").alias("cluster"))
 

@@ -29,9 +29,15 @@ _LIT_NC = r'"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z]{2,3}(?:-[A-Za-z0-9]{1,8})*)?'
 _TERM = r'(?:<[^>]*>|[A-Za-z][A-Za-z0-9_.-]*:[A-Za-z0-9_./#-]*[A-Za-z0-9_/#-])'
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Blank-line separated records with their file and a per-file order key."""
-    return (spark.read.option("lineSep", "\n\n").text(path)
+def read_records(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Blank-line separated records with their file and a per-file order key.
+
+    ``whole_files`` reads each file as one record instead: right for foreign
+    files that put blank lines inside a concept block, at the price of one
+    task per file.
+    """
+    r = spark.read.text(path, wholetext=True) if whole_files else spark.read.option("lineSep", "\n\n").text(path)
+    return (r
                  .select(F.col("value").alias("record"),
                          F.col("_metadata.file_path").alias("file"),
                          F.monotonically_increasing_id().alias("rec")))
@@ -66,9 +72,9 @@ def blocks_from_records(records: DataFrame) -> DataFrame:
     return out.withColumn("raw_uri", F.regexp_extract("block", CONCEPT_START[1:], 1))
 
 
-def read_ttl(spark: SparkSession, path: str) -> DataFrame:
+def read_ttl(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Concept blocks of TTL files, with a stable order key ``pos``."""
-    b = blocks_from_records(read_records(spark, path))
+    b = blocks_from_records(read_records(spark, path, whole_files))
     return b.withColumn("pos", F.col("rec") * 100000 + F.col("k"))
 
 

@@ -69,3 +69,14 @@ def test_report_sinks_write_numbered_lines(spark):
                                 "uri string, rule string, severity string, detail string")
     TT.write_validation_report(iss, f"{d}/report")
     assert sorted(r.value for r in spark.read.text(f"{d}/report").collect()) == ["  1. v1", "  2. w1"]
+
+
+def test_whole_file_mode_keeps_blocks_with_blank_lines(spark):
+    text = FOREIGN.replace('    skos:altLabel "A"@en-GB ;\n', '\n    skos:altLabel "A"@en-GB ;\n')
+    d = _write(text)
+    whole = TT.read_ttl(spark, d, whole_files=True)
+    lit = {(r.prop, r.text) for r in TT.parse_literals(whole, uri_col="raw_uri").collect()}
+    assert ("altLabel", "A") in lit and ("definition", "Line one\nline two") in lit
+    split = TT.read_ttl(spark, d)
+    lit2 = {(r.prop, r.text) for r in TT.parse_literals(split, uri_col="raw_uri").collect()}
+    assert ("altLabel", "A") not in lit2  # documented limit of the splittable mode
