@@ -161,10 +161,10 @@ def v3(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     part = F.concat(F.lit("part/"), F.col("l_partkey").cast("string"))
     supp = F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string"))
-    rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
-    typ = (F.when((rf == "R") & (ls == "F"), "exact").when((rf == "A") & (ls == "F"), "Broader")
-            .when((rf == "R") & (ls == "O"), "related").when((rf == "A") & (ls == "O"), "narrower")
-            .when((rf == "N") & (ls == "F"), "exactMatch"))
+    # type by (returnflag, linestatus) as one literal-map lookup; (N, O) has none
+    spellings = {"RF": "exact", "AF": "Broader", "RO": "related", "AO": "narrower", "NF": "exactMatch"}
+    typ = F.try_element_at(F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv]),
+                           F.concat("l_returnflag", "l_linestatus"))
     pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     cols = ["source_uri", "target_uri", "mapping_type", "confidence", "pos"]
     main = li.select(part, supp, typ, F.col("l_discount"), pos.cast("long")).toDF(*cols)
