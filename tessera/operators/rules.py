@@ -22,10 +22,6 @@ def _issue(df: DataFrame, uri: Column, rule: str, severity: str, detail: Column)
                      detail.alias("detail"))
 
 
-def _br(c: Column) -> Column:
-    return F.concat(F.lit("<"), c, F.lit(">"))
-
-
 def rule_s14(literals: DataFrame) -> DataFrame:
     """More than one prefLabel for one language tag of a concept."""
     g = (literals.where(F.col("prop") == "prefLabel").groupBy("uri", "lang")

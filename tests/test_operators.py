@@ -128,3 +128,14 @@ def test_skewed_key_still_correct(spark):
     cl = H.transitive_closure(edges)
     assert cl.count() == 2 * n + 1
     assert F is not None
+
+
+def test_hot_parent_prefix_and_narrower(spark):
+    """One parent code owns a third of all children: prefix parents and counts stay exact."""
+    rows = [("1", 1), ("2", 1)] + [(f"1{i:05d}", 2) for i in range(3000)] + [(f"2{i:05d}", 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id string, level int")
+    edges = H.edges_from_prefix(df)
+    counts = {r.parent: r.n for r in edges.groupBy("parent").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"1": 3000, "2": 6000}
+    nl = H.narrower_lists(edges).where("parent = '1'").select("n_children").distinct().collect()
+    assert [r.n_children for r in nl] == [3000]
