@@ -215,3 +215,13 @@ def key_intersect(spark, d):
 def key_except(spark, d):
     s = dict(_src(spark, d))
     return C.key_except(s["a.csv"], s["b.csv"], ["id"])
+
+
+@query("merge_or_concat_key", """
+SELECT 'merge' AS strategy, coalesce(a.id, c.id) AS id, a.name, c.name AS name_right, c.balance
+FROM v7a a FULL JOIN v7c c ON a.id = c.id""", V7)
+def merge_or_concat_key(spark, d):
+    """J4 when both sides carry the key: an outer merge, clashing columns suffixed."""
+    s = dict(_src(spark, d))
+    how, df = C.merge_or_concat(s["a.csv"], s["c.csv"], "id")
+    return df.select(F.lit(how).alias("strategy"), "*")

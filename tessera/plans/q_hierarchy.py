@@ -211,3 +211,27 @@ SELECT p.id AS child, p.pid AS parent FROM p JOIN t ON t.path = p.ppath AND t.id
 WHERE t.level = p.level - 1""", ("v1",))
 def hier_outline(spark, d):
     return H.edges_from_outline(T.v1(spark, d), order_col="path", block=64)
+
+
+@query("hier_auto_parent", f"""
+SELECT 'parent' AS source, id AS child, parent_id AS parent FROM v1 WHERE NOT {BLANK}""", ("v1",))
+def hier_auto_parent(spark, d):
+    """H9 when the table has no level column: the parent column is used."""
+    source, edges = H.extract_hierarchy(T.v1(spark, d).drop("level"))
+    return edges.select(F.lit(source).alias("source"), "child", "parent")
+
+
+@query("hier_auto_path", """
+WITH b AS (
+  SELECT id AS child, pos,
+         list_filter(list_transform(string_split(path, '/'), lambda x: trim(x)), lambda x: x <> '') AS parts
+  FROM v1),
+o AS (SELECT array_to_string(parts, '/') AS path, arg_max(id_, pos) AS parent
+      FROM (SELECT child AS id_, pos, parts FROM b) GROUP BY 1)
+SELECT 'path' AS source, b.child, o.parent FROM b
+JOIN o ON array_to_string(b.parts[1:len(b.parts) - 1], '/') = o.path
+WHERE len(b.parts) > 1 AND o.parent <> b.child""", ("v1",))
+def hier_auto_path(spark, d):
+    """H9 when only a path column is present."""
+    source, edges = H.extract_hierarchy(T.v1(spark, d).drop("level", "parent_id"))
+    return edges.select(F.lit(source).alias("source"), "child", "parent")
