@@ -21,22 +21,49 @@ ADAPTIVE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+               broadcast_limit_bytes: int = 64 << 20) -> dict[str, str]:
+    """Settings for a job reading about ``input_bytes`` (e.g. 100 TB on a large cluster).
+
+    - input splits of ``target_partition_bytes`` (a task reads 256 MB, not a whole file);
+    - initial shuffle partitions so that a shuffle of the whole input lands near the
+      same size per partition; AQE then coalesces small ones and splits skewed ones
+      (a key holding a third of the rows is split into advisory-sized pieces);
+    - broadcasts only under ``broadcast_limit_bytes`` as measured at runtime by AQE.
+    """
+    parts = max(200, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(16 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_limit_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_limit_bytes),
+    }
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "tessera") -> SparkSession:
+                app_name: str = "tessera", input_bytes: int | None = None) -> SparkSession:
     """Build (or reuse) a session with adaptive execution switched on.
 
     ``master`` and ``shuffle_partitions`` are only applied when given; on a
-    cluster both come from the submit configuration.
+    cluster both come from the submit configuration.  ``input_bytes`` applies
+    ``scale_conf`` for the expected input size.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
         b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         b = b.config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "16g"))
-    if shuffle_partitions:
-        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in ADAPTIVE_CONF.items():
         b = b.config(k, v)
+    if input_bytes:
+        for k, v in scale_conf(input_bytes).items():
+            b = b.config(k, v)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

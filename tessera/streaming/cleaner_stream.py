@@ -41,10 +41,25 @@ def _write_batch(sink_dir: str):
     return run
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def clean_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_location: str,
                  base: str | None = None, available_now: bool = True,
                  processing_time: str | None = None) -> StreamingQuery:
-    """Start the streaming cleaner; ``available_now`` processes what is there and stops."""
+    """Start the streaming cleaner; ``available_now`` processes what is there and stops.
+
+    The seen-URI state grows with the vocabulary, so the default heap-backed
+    state store is replaced by the RocksDB provider (state on each executor's
+    local disk, snapshotted to the checkpoint location); another configured
+    provider is left alone.
+    """
+    try:
+        configured = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    except Exception:  # noqa: BLE001 - unset key
+        configured = None
+    if not configured or "HDFSBackedStateStoreProvider" in configured:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     w = (concept_stream(spark, source_dir, base).writeStream
          .option("checkpointLocation", checkpoint_location)
          .foreachBatch(_write_batch(sink_dir)))
