@@ -139,3 +139,11 @@ def test_hot_parent_prefix_and_narrower(spark):
     assert counts == {"1": 3000, "2": 6000}
     nl = H.narrower_lists(edges).where("parent = '1'").select("n_children").distinct().collect()
     assert [r.n_children for r in nl] == [3000]
+
+
+def test_scale_conf_sizes_partitions_for_large_inputs():
+    from tessera.session import scale_conf
+    c = scale_conf(100 * 10 ** 12)
+    assert int(c["spark.sql.shuffle.partitions"]) > 300000
+    assert int(c["spark.sql.files.maxPartitionBytes"]) == 256 << 20
+    assert int(scale_conf(10 ** 6)["spark.sql.shuffle.partitions"]) == 200
