@@ -74,26 +74,35 @@ def merge_duplicate_concepts(literals: DataFrame) -> DataFrame:
 
 def clean_vocabulary(concepts: DataFrame, literals: DataFrame, relations: DataFrame | None = None,
                      base: str | None = None, skos_xl: bool = False) -> dict[str, DataFrame]:
-    """Flow B end to end; returns kept concepts, final literals, changes, issues and counters."""
+    """Flow B end to end; returns kept concepts, final literals, changes, issues and counters.
+
+    Labels are cleaned once and checkpointed (they feed the labelled test, every
+    rule and the counters); text fields are cleaned once, for the final
+    literals and the counters.
+    """
+    checkpoint_dir(concepts.sparkSession)
     c = concepts.withColumn("uri", clean_uri("raw_uri", base))
-    lit = clean_literals(literals)
-    labelled = lit.where((F.col("prop") == "prefLabel") & F.col("clean").isNotNull()).select("pos").distinct()
+    is_label = F.coalesce(F.col("prop").isin(*LABEL_PROPS), F.lit(False))
+    lab = clean_literals(literals.where(is_label)).checkpoint()
+    txt = clean_literals(literals.where(~is_label))
+    labelled = lab.where((F.col("prop") == "prefLabel") & F.col("clean").isNotNull()).select("pos").distinct()
     c_lab = c.join(labelled, "pos", "left_semi")
     kept, changes = dedupe_concepts(c_lab.select("uri", "raw_uri", "pos"))
-    # the kept concepts and their labels feed every rule: materialise them once
-    checkpoint_dir(concepts.sparkSession)
     kept = kept.checkpoint()
-    final_lit = (lit.where(F.col("clean").isNotNull()).join(kept.select("pos", "uri"), "pos")
-                    .select("uri", "pos", "prop", "vpos", F.col("clean").alias("text"), "lang"))
-    labels = (lit.where(F.col("prop").isin(*LABEL_PROPS)).where(F.col("clean").isNotNull())
-                 .join(kept.select("pos", "uri"), "pos")
-                 .select("uri", "pos", "prop", "vpos", F.col("clean").alias("text"), "lang").checkpoint())
+    keys = kept.select("pos", "uri")
+
+    def final(df: DataFrame) -> DataFrame:
+        return (df.where(F.col("clean").isNotNull()).join(keys, "pos")
+                  .select("uri", "pos", "prop", "vpos", F.col("clean").alias("text"), "lang"))
+
+    labels = final(lab)
+    final_lit = labels.unionByName(final(txt))
     rel = None
     if relations is not None:
-        rel = relations.join(kept.select("pos", "uri"), "pos").select("uri", "pos", "prop", "vpos", "target")
+        rel = relations.join(keys, "pos").select("uri", "pos", "prop", "vpos", "target")
     issues = all_issues(kept, labels, rel, skos_xl)
     return {"concepts": kept, "literals": final_lit, "changes": changes, "issues": issues,
-            "report": clean_report(c, lit, c_lab, kept, issues)}
+            "report": clean_report(c, lab.unionByName(txt), c_lab, kept, issues)}
 
 
 def clean_report(concepts: DataFrame, cleaned_literals: DataFrame, labelled: DataFrame,
