@@ -38,23 +38,23 @@ V5_COLUMNS = ["uri", "pos", "def_en", "def_fr", "def_de", "def_es", "example", "
 # The header and first record of the two sample inputs shipped with the reference
 # (hierarchical CSV and nested skill JSON, flattened).
 FIXTURE_CATALOG = [
-    ("sample_hierarchical_data.csv", 1, "Code", "1"),
-    ("sample_hierarchical_data.csv", 2, "PrefLabel", "Bildung und Erziehung"),
-    ("sample_hierarchical_data.csv", 3, "Definition", "Oberbereich für alle Bildungs- und Erziehungsberufe"),
-    ("sample_hierarchical_data.csv", 4, "Level", "1"),
-    ("sample_hierarchical_data.csv", 5, "ParentCode", None),
-    ("sample_hierarchical_data.csv", 6, "AltLabel", "Education"),
-    ("sample_hierarchical_data.csv", 7, "ScopeNote", "Umfasst alle Tätigkeiten im Bildungssektor"),
-    ("sample_hierarchical_data.csv", 8, "Example", "Lehrer an Grundschulen"),
-    ("sample_json_data.json", 1, "properties.cclom:title", "Programmierung"),
-    ("sample_json_data.json", 2, "properties.sys:node-uuid", "skill-001"),
-    ("sample_json_data.json", 3, "properties.cclom:general_description",
+    ("fixture_codes.csv", 1, "Code", "1"),
+    ("fixture_codes.csv", 2, "PrefLabel", "Bildung und Erziehung"),
+    ("fixture_codes.csv", 3, "Definition", "Oberbereich für alle Bildungs- und Erziehungsberufe"),
+    ("fixture_codes.csv", 4, "Level", "1"),
+    ("fixture_codes.csv", 5, "ParentCode", None),
+    ("fixture_codes.csv", 6, "AltLabel", "Education"),
+    ("fixture_codes.csv", 7, "ScopeNote", "Umfasst alle Tätigkeiten im Bildungssektor"),
+    ("fixture_codes.csv", 8, "Example", "Lehrer an Grundschulen"),
+    ("fixture_skills.json", 1, "properties.cclom:title", "Programmierung"),
+    ("fixture_skills.json", 2, "properties.sys:node-uuid", "skill-001"),
+    ("fixture_skills.json", 3, "properties.cclom:general_description",
      "Fähigkeit zur Entwicklung von Softwareanwendungen"),
-    ("sample_json_data.json", 4, "properties.cm:name", "Programming"),
-    ("sample_json_data.json", 5, "level", "1"),
-    ("sample_json_data.json", 6, "broader_concept", None),
-    ("sample_json_data.json", 7, "examples", None),
-    ("sample_json_data.json", 8, "related_skills", None),
+    ("fixture_skills.json", 4, "properties.cm:name", "Programming"),
+    ("fixture_skills.json", 5, "level", "1"),
+    ("fixture_skills.json", 6, "broader_concept", None),
+    ("fixture_skills.json", 7, "examples", None),
+    ("fixture_skills.json", 8, "related_skills", None),
 ]
 
 
