@@ -10,7 +10,8 @@ from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources
-from tessera.llm.sql import EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MIX_SQL
+from tessera.llm.sql import EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MIX_SQL, SUBSTRING_SQL
+from tessera.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "copy", "mix_key", "text")
 
 
+@_query("op4_substring_dedup", SUBSTRING_SQL)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without the 13-word windows that start in a smaller id too."""
+    return substring_dedup(documents(spark, sf_dir), with_text=False)
+
+
 @_query("op5_exact_dedup", EXACT_DEDUP_SQL)
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts and the row that stays, one row per document."""

@@ -57,3 +57,24 @@ WITH per AS (
 SELECT d.doc_id, d.source, p.copy, md5('17#' || d.doc_id || '#' || p.copy) AS mix_key, d.text
 FROM draws d JOIN copies p ON p.doc_id = d.doc_id
 """
+
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), win AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13
+), keyed AS (
+  SELECT doc_id, k, min(doc_id) OVER (PARTITION BY array_to_string(w[k:k + 12], ' ')) AS first_doc FROM win
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS i FROM keyed WHERE first_doc < doc_id
+), gone_list AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(g), 0) AS n_removed,
+         CASE WHEN g IS NULL THEN d.w
+              ELSE list_transform(list_filter(list_zip(d.w, range(1, len(d.w) + 1)), lambda p: NOT list_contains(g, p[2])),
+                                  lambda p: p[1]) END AS k
+  FROM d LEFT JOIN gone_list USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
