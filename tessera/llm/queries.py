@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources
+from tessera.llm.packing import pack
 from tessera.llm.sql import EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MIX_SQL, SUBSTRING_SQL
 from tessera.llm.substring_dedup import substring_dedup
 
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -48,3 +51,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts and the row that stays, one row per document."""
     return exact_groups(documents(spark, sf_dir))
+
+
+@_query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 1024 tokens."""
+    return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
