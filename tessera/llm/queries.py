@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.langid import held_out, predict_language, train
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack
@@ -57,3 +58,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence of at most 1024 tokens."""
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
+@_query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = train(docs.where(~held_out()))
+    return predict_language(docs, model, ["doc_id", held_out().alias("held_out")])
