@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import pii
 from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.langid import held_out, predict_language, train
@@ -66,3 +67,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.where(~held_out()))
     return predict_language(docs, model, ["doc_id", held_out().alias("held_out")])
+
+
+@_query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: pattern spans and those the trained segment model adds."""
+    docs = documents(spark, sf_dir)
+    return pii.detect(docs, pii.train(docs))
