@@ -11,10 +11,11 @@ from tessera.llm import pii
 from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.langid import held_out, predict_language, train
+from tessera.llm.licenses import scan_licenses
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack
-from tessera.llm.sql import EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MIX_SQL, SUBSTRING_SQL
+from tessera.llm.sql import EXACT_DEDUP_SQL, LICENSE_SQL, LINE_DEDUP_SQL, MIX_SQL, SUBSTRING_SQL
 from tessera.llm.substring_dedup import substring_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -74,3 +75,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: pattern spans and those the trained segment model adds."""
     docs = documents(spark, sf_dir)
     return pii.detect(docs, pii.train(docs))
+
+
+@_query("op8_license_scan", LICENSE_SQL)
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences and licences of every document."""
+    return scan_licenses(documents(spark, sf_dir))

@@ -1,5 +1,14 @@
 """DuckDB statements for the results of the operators that SQL can express."""
 
+from tessera.llm.licenses import known_sentences, rules
+
+
+def _values(pairs) -> str:
+    def quote(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quote(a)}, {quote(b)})" for a, b in pairs)
+
+
 EXACT_DEDUP_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -78,3 +87,27 @@ WITH d AS (
 )
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
 """
+
+LICENSE_SQL = r"""
+WITH known(s, id) AS (VALUES {known}), rule(licence, p) AS (VALUES {rules}),
+cut AS (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')),
+           '[.!?;:]+([ \t\n\x0b\f\r]|\z)|\r?\n[ \t\r]*\n', chr(1), 'g'), '[^\p{L}\p{N}\x01]+', ' ', 'g'), chr(1)) AS l
+  FROM documents
+), sent AS (
+  SELECT doc_id, unnest(list_transform(l, lambda x: trim(x))) AS s, unnest(range(len(l))) AS i FROM cut
+), full_sent AS (SELECT * FROM sent WHERE s <> ''
+), seqs AS (
+  SELECT f.doc_id, count(*) AS n_sentences, count(k.id) AS n_known,
+         coalesce(string_agg(k.id, '|' ORDER BY f.i) FILTER (k.id IS NOT NULL), '') AS sentence_ids
+  FROM full_sent f LEFT JOIN known k ON k.s = f.s GROUP BY f.doc_id
+), found AS (
+  SELECT q.doc_id, r.licence, r.p FROM seqs q JOIN rule r ON contains('|' || q.sentence_ids || '|', r.p)
+), whole AS (
+  SELECT DISTINCT doc_id, licence FROM found f
+  WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.doc_id = f.doc_id AND g.p <> f.p AND contains(g.p, f.p))
+), names AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licenses FROM whole GROUP BY doc_id)
+SELECT d.doc_id, coalesce(q.n_sentences, 0) AS n_sentences, coalesce(q.n_known, 0) AS n_known,
+       coalesce(q.sentence_ids, '') AS sentence_ids, coalesce(n.licenses, '') AS licenses
+FROM documents d LEFT JOIN seqs q USING (doc_id) LEFT JOIN names n USING (doc_id)
+""".replace("{known}", _values(sorted(known_sentences().items()))).replace("{rules}", _values(rules()))
