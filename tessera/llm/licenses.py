@@ -1,9 +1,10 @@
 """Licence scan by sentence rules, with built-in functions only.
 
 1. *Sentences.*  A text is lower-cased and cut at sentence ends (``. ! ? ; :``
-   before white space or the end) and at blank lines; everything that is not a
-   letter or a digit becomes one blank.  A single line end counts as a blank,
-   so wrapped licence texts keep their sentences.
+   before white space or the end), at blank lines and before a line that starts
+   with a capitalised word; everything that is not a letter or a digit becomes
+   one blank.  Other line ends count as blanks, so wrapped licence texts keep
+   their sentences.
 2. *Identifiers.*  Every sentence that equals a known licence sentence maps to
    its identifier (a constant of fixed size; a hash set finds the candidates).
 3. *Rules.*  A licence rule is an ordered list of identifiers.  It matches where
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_as_long, text_or_empty
 
+LINE = r"\n[ \t]*(\p{Lu}\p{Ll})"
 END = r"[.!?;:]+([ \t\n\x0b\f\r]|\z)|\r?\n[ \t\r]*\n"
 OTHER = r"[^\p{L}\p{N}\x01]+"
 
@@ -120,7 +122,7 @@ def rules() -> list[tuple[str, str]]:
 
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text, in order; empty ones left out."""
-    marked = F.regexp_replace(F.lower(text), END, "\x01")
+    marked = F.regexp_replace(F.lower(F.regexp_replace(text, LINE, "\x01$1")), END, "\x01")
     flat = F.regexp_replace(marked, OTHER, " ")
     return F.filter(F.split(flat, " ?\x01 ?"), lambda s: s != "")
 
