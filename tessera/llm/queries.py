@@ -15,6 +15,7 @@ from tessera.llm.licenses import scan_licenses
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack
+from tessera.llm.quality import judge
 from tessera.llm.sql import EXACT_DEDUP_SQL, LICENSE_SQL, LINE_DEDUP_SQL, MIX_SQL, SUBSTRING_SQL
 from tessera.llm.substring_dedup import substring_dedup
 
@@ -81,3 +82,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licence sentences and licences of every document."""
     return scan_licenses(documents(spark, sf_dir))
+
+
+@_query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, by thresholds learned per language and source."""
+    return judge(documents(spark, sf_dir))
