@@ -92,7 +92,7 @@ LICENSE_SQL = r"""
 WITH known(s, id) AS (VALUES {known}), rule(licence, p) AS (VALUES {rules}),
 cut AS (
   SELECT doc_id, string_split(regexp_replace(regexp_replace(
-           lower(regexp_replace(coalesce(text, ''), '\\n[ \\t]*(\\p{Lu}\\p{Ll})', chr(1) || '\\1', 'g')),
+           lower(regexp_replace(coalesce(text, ''), '\n[ \t]*(\p{Lu}\p{Ll})', chr(1) || '\1', 'g')),
            '[.!?;:]+([ \t\n\x0b\f\r]|\z)|\r?\n[ \t\r]*\n', chr(1), 'g'), '[^\p{L}\p{N}\x01]+', ' ', 'g'), chr(1)) AS l
   FROM documents
 ), sent AS (
