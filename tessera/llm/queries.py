@@ -14,6 +14,7 @@ from tessera.llm.langid import held_out, predict_language, train
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources
+from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
 from tessera.llm.quality import judge
 from tessera.llm.sql import EXACT_DEDUP_SQL, LICENSE_SQL, LINE_DEDUP_SQL, MIX_SQL, SUBSTRING_SQL
@@ -33,6 +34,12 @@ def _query(name: str, sql: str | None = None):
     return deco
 
 
+@_query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, copies and number of links of every document: word five-grams, similarity 0.8 or more."""
+    return ngram_join(documents(spark, sf_dir))
+
+
 @_query("op2_line_dedup", LINE_DEDUP_SQL)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text left of every document after removing later occurrences of three-line windows."""
