@@ -11,8 +11,8 @@ Defined cases: a null source is a source of its own; a null or empty text has
 no characters, and a source without characters keeps rate 1; a null id draws
 as the empty id; rows that repeat an id draw the same count; ties of the sort
 key only occur between rows that repeat an id; an empty table gives an empty
-result; other columns pass through whatever their names (the two added columns
-are named by parameters, which must be free).
+result; other columns pass through whatever their names, except that the two
+added columns take the place of input columns of the same name.
 """
 
 from __future__ import annotations
@@ -69,18 +69,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
                 weights: dict | None = None, exponent: float = 0.5, seed: int = 17,
                 copy_col: str = "copy", key_col: str = "mix_key") -> DataFrame:
     """The input's columns plus copy number (from 0) and sort key, in global order of the key."""
-    if len({*docs.columns, copy_col, key_col}) != len(docs.columns) + 2:
-        raise ValueError(f"the input already has a column {copy_col} or {key_col}")
     rates, n = source_rates(docs, source_col, text_col, weights, exponent)
     rates = rates.select("_source", poisson_cdf(F.col("_rate")).alias("_cdf"))
     if n <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    names = [c for c in docs.columns if c not in (copy_col, key_col)]
     src, ident = F.col("_row").getField(source_col), F.col("_row").getField(id_col)
     joined = rows.join(rates, src.eqNullSafe(F.col("_source")))
     count = F.size(F.filter("_cdf", lambda c: c < F.col("_u")))
     drawn = (joined.withColumn("_u", uniform(seed, ident)).withColumn("_n", count).where("_n > 0")
-             .select("_row", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(copy_col)))
+             .select("_row", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy")))
     key = F.md5(F.concat(F.lit(f"{seed}#"), F.coalesce(ident.cast("string"), F.lit("")), F.lit("#"),
-                         F.col(copy_col).cast("string")).cast("binary"))
-    return drawn.withColumn(key_col, key).orderBy(key_col).select("_row.*", copy_col, key_col)
+                         F.col("_copy").cast("string")).cast("binary"))
+    ordered = drawn.withColumn("_key", key).orderBy("_key")
+    return ordered.select(*[F.col("_row").getField(c).alias(c) for c in names],
+                          F.col("_copy").alias(copy_col), F.col("_key").alias(key_col))

@@ -26,7 +26,8 @@ is spread over tasks.  Tasks return counts and a spanning forest, never pairs.
 
 Defined cases: a null text, or one without a word, has no set: its class is its
 own and it has no links; copies share class and links; rows that repeat an id
-with its text give one row; a row without an id is left out; very long texts
+with its text give one row, an id with different texts one for each; a row
+without an id is left out; very long texts
 take part whole; ties are broken by the smallest id; an empty table gives an
 empty result; other columns are ignored, whatever their names.
 """
@@ -397,3 +398,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select(F.col("_id").alias(id_col), F.coalesce("class_id", "_id").alias("class_id"),
                     F.coalesce("rep_id", "_id").alias("rep_id"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"),
                     F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+                      similarity: float = SIMILARITY, recall: float = 0.99) -> DataFrame:
+    """The rows, with all columns, whose id is the smallest of its class; rows without an id stay.
+
+    An id that has several texts goes if one of them belongs to a smaller id's class.
+
+    Only the ids that go (copies and linked texts) are joined back; up to ``BROADCAST_IDS`` of them are broadcast.
+    """
+    found = ngram_join(docs, id_col, text_col, width, similarity, recall)
+    gone = found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).checkpoint()
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("bigint") == gone["_gone"], "left_anti")
