@@ -89,7 +89,8 @@ def build_model(langs: np.ndarray, grams: np.ndarray, n: np.ndarray, max_symbols
         return None
     chars = np.stack([(grams >> s) & 255 for s in (24, 16, 8, 0)])
     seen = np.bincount(chars[3], weights=n, minlength=256)
-    top = sorted(np.argsort(-seen, kind="stable")[:max_symbols - 1][seen[np.argsort(-seen, kind="stable")[:max_symbols - 1]] > 0])
+    frequent = np.argsort(-seen, kind="stable")[:max_symbols - 2]
+    top = sorted({ord(PAD[0]), *frequent[seen[frequent] > 0].tolist()})  # the padding is a context even where no text has it
     a = len(top) + 1
     symbol = np.full(256, a - 1, dtype=np.int32)
     symbol[top] = np.arange(a - 1)

@@ -11,10 +11,11 @@ together.  Entities that overlap no base span are added; base spans stay.
 The model is trained here, by conditional likelihood with the semi-Markov
 forward-backward recursion, on at most ``sample`` stretches of the corpus (the
 bound of the training set, drawn by a hash).  Labels are the base spans.  From
-every labelled stretch two more are derived: one in a spelling the patterns do
-not know (bracketed "at" and "dot", phone numbers without the plus sign, cards
-with dots), labelled as before, and one that is broken (a wrong check digit, an
-octet above 255, no domain), labelled as nothing.
+every labelled stretch more are derived: one in a spelling the patterns do not
+know (bracketed "at" and "dot", phone numbers without the plus sign, cards with
+dots), labelled as before; one that is broken (a wrong check digit, an octet
+above 255, no domain), labelled as nothing; and one with a second entity right
+behind the first, both labelled.
 
 Defined cases: a null text is empty and has no spans; whole texts of any length
 are read; overlapping kinds are each reported; with no training stretch only
@@ -47,6 +48,8 @@ _DIGIT = re.compile(r"[0-9]")
 
 #: Longest entity in tokens; characters of context on either side of an anchor.
 MAX_TOKENS, CONTEXT = 24, 48
+#: Weight of a feature that training never met: it counts against an entity.
+UNSEEN = -1.0
 _ANCHOR = re.compile(r"[0-9]{3}|@|[(\[{]at[)\]}]", re.I)
 _AT = re.compile(r"@|\s?[(\[{]at[)\]}]\s?", re.I)
 _BRACKETED = re.compile(r"[(\[{]at[)\]}]", re.I)
@@ -175,8 +178,8 @@ def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, list[str]]]
 
 # ---------------------------------------------------------------- the model
 
-def _score(weights: dict, kind: str, feats: list[str]) -> float:
-    return sum(weights.get((kind, f), 0.0) for f in feats) + weights.get((kind, "bias"), -4.0)
+def _score(weights: dict, kind: str, feats: list[str], unseen: float = 0.0) -> float:
+    return sum(weights.get((kind, f), unseen) for f in feats) + weights.get((kind, "bias"), -4.0)
 
 
 def decode(weights: dict, text: str) -> list[tuple[str, int, int]]:
@@ -184,7 +187,7 @@ def decode(weights: dict, text: str) -> list[tuple[str, int, int]]:
     n, cand = segments(text)
     by_end = defaultdict(list)
     for i, j, a, b, f in cand:
-        s, kind = max((_score(weights, k, f), k) for k in KINDS)
+        s, kind = max((_score(weights, k, f, UNSEEN), k) for k in KINDS)
         if s > 0:
             by_end[j].append((i, s, kind, a, b))
     best, back = [0.0] * (n + 1), [None] * (n + 1)
@@ -235,9 +238,12 @@ def _gradient(weights: dict, n: int, cand: list, gold: set) -> tuple[float, dict
     return like, grad
 
 
-def _variants(text: str, gold: list, rng: random.Random) -> list[tuple[str, list]]:
-    """The stretch as labelled, in other spellings, and broken."""
+def _variants(text: str, gold: list, rng: random.Random, others: list) -> list[tuple[str, list]]:
+    """The stretch as labelled, in other spellings, broken, and with another entity right behind the first."""
     out = [(text, gold)]
+    if len(gold) == 1:
+        (kind, a, b), (kind2, s2) = gold[0], rng.choice(others)
+        out.append((f"{text[:b]} {s2}{text[b:]}", [(kind, a, b), (kind2, b + 1, b + 1 + len(s2))]))
     for kind, a, b in gold:
         if any(x != (kind, a, b) and x[1] < b and a < x[2] for x in gold):
             continue
@@ -267,12 +273,15 @@ def _variants(text: str, gold: list, rng: random.Random) -> list[tuple[str, list
 def fit(samples: list[str], epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 5) -> dict:
     """Weights (kind, feature) -> number from stretches of text; the base spans inside them are the labels."""
     rng = random.Random(seed)
-    data = []
+    data, labelled = [], []
     for text in samples:
         gold = [s for s in base_spans(text)]
         # a number can be two kinds at once for the patterns; a segmentation has one label per place
-        gold = [g for g in gold if not any(h != g and h[1] <= g[1] and g[2] <= h[2] and h[2] - h[1] > g[2] - g[1] for h in gold)]
-        for t, g in _variants(text, gold, rng):
+        labelled.append((text, [g for g in gold if not any(
+            h != g and h[1] <= g[1] and g[2] <= h[2] and h[2] - h[1] > g[2] - g[1] for h in gold)]))
+    others = [(k, text[a:b]) for text, gold in labelled for k, a, b in gold]
+    for text, gold in labelled:
+        for t, g in _variants(text, gold, rng, others):
             n, cand = segments(t)
             if cand:
                 data.append((n, cand, set(g) & {(k, a, b) for _, _, a, b, _ in cand for k in KINDS}))
