@@ -5,9 +5,11 @@
    so a cell is two bits.  Tasks send only the parts they touched, compressed,
    block by block; merging adds saturating counters.  The width follows the
    input's size up to ``max_cells`` bits (the broadcast bound, 128 MB).
+   A document whose whole text stands in a smaller id (by SHA-256) is all
+   repetition and needs no windows; it takes no part in either pass.
 2. *Exact grouping.*  A second pass keeps the windows whose counters all reach
    two - counters overestimate, so no repeated window is lost - and groups them
-   by a 128-bit hash of their words with the smallest document id.  Beyond the
+   by a 96-bit hash of their words with the smallest document id.  Beyond the
    bound the filter lets more windows through, up to all; results stay exact.
 3. *Removal.*  The words covered by windows found in a smaller id go.
 
@@ -15,8 +17,8 @@ Windows are judged on the input, never on what is left.
 
 Defined cases: a null or empty text has no words; texts under ``width`` words
 stay whole; a row without an id stays whole and does not count for others;
-rows that repeat an id are one document, whose windows do not remove each
-other; a window that repeats only inside one document stays; an empty table
+rows that repeat an id with its text are one document, whose windows do not
+remove each other; a window that repeats only inside one document stays; an empty table
 gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -43,22 +45,30 @@ BLOCK_BITS = 20
 #: Most cells of a whole sketch; at one bit a cell this bounds the broadcast to 128 MB.
 MAX_CELLS = 1 << 30
 #: Windows a task gathers before it sends their cells on.
-FLUSH = 1 << 22
-_loaded: dict = {}
+FLUSH = 1 << 21
+#: Up to so many ids of whole copies, they are broadcast (8 bytes each); above, they are joined by a shuffle.
+BROADCAST_COPIES = 2_000_000
+#: In place of positions: every window of the document.
+EVERY = -1
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return mix(h + U64(0x9E3779B97F4A7C15 * row % (1 << 64))) >> U64(64 - bits)
+    return (mix(h + U64(0x9E3779B97F4A7C15 * row % (1 << 64))) >> U64(64 - bits)).astype(np.uint32)  # MAX_CELLS < 2^32
 
 
 def _pack(cells: np.ndarray) -> bytes:
-    flags = np.zeros(1 << BLOCK_BITS, dtype=bool)
-    flags[cells] = True
-    return zstandard.compress(np.packbits(flags).tobytes(), 1)
+    """Ascending cell numbers as gaps, a byte each (255: carry on), about one byte a cell."""
+    gaps = np.diff(cells.astype(np.int64), prepend=-1) - 1
+    more = gaps // 255
+    out = np.full(len(gaps) + int(more.sum()), 255, dtype=np.uint8)
+    out[np.cumsum(more + 1) - 1] = gaps % 255
+    return zstandard.compress(out.tobytes(), 1)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+    gaps = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+    last = gaps != 255
+    return np.cumsum(gaps, dtype=np.int64)[last] + np.arange(last.sum())
 
 
 _PART = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -71,12 +81,13 @@ def _flush(hashes: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     for row in range(DEPTH):
         cells = np.sort(_cells(h, row, bits))
         again = np.unique(cells[1:][cells[1:] == cells[:-1]])
-        edges = np.arange((1 << (bits - block_bits)) + 1, dtype=U64) << U64(block_bits)
-        a, b = np.searchsorted(cells, edges), np.searchsorted(again, edges)
-        low = U64((1 << block_bits) - 1)
+        edges = np.arange(1 << (bits - block_bits), dtype=np.uint32) << np.uint32(block_bits)
+        a = np.append(np.searchsorted(cells, edges), len(cells))
+        b = np.append(np.searchsorted(again, edges), len(again))
+        low = np.uint32((1 << block_bits) - 1)
         out: list[tuple] = []
         for k in np.flatnonzero(np.diff(a)):
-            out.append((row, int(k), _pack(cells[a[k]:a[k + 1]] & low),
+            out.append((row, int(k), _pack(np.unique(cells[a[k]:a[k + 1]] & low)),
                         _pack(again[b[k]:b[k + 1]] & low) if b[k + 1] > b[k] else None))
             if len(out) == 64:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _PART)], schema=_PART)
@@ -100,50 +111,50 @@ def _sketch_task(bits: int, width: int):
                     have, n = [], 0
         if n:
             yield from _flush(have, bits)
+        have.clear()
+        pa.default_memory_pool().release_unused()
     return run
 
 
 def _merge_task(batches):
     """Adds the parts of each (row, block), which arrive sorted; keeps the cells counted twice or more."""
     key, once, twice = None, None, None
+    schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("twice", pa.binary())])
 
     def result():
-        return pa.RecordBatch.from_pydict({"row": [key[0]], "block": [key[1]],
-                                           "twice": [zstandard.compress(twice.tobytes(), 3)]},
-                                          schema=pa.schema([("row", pa.int32()), ("block", pa.int32()), ("twice", pa.binary())]))
+        packed = zstandard.compress(np.packbits(twice).tobytes(), 3)
+        return pa.RecordBatch.from_pydict({"row": [key[0]], "block": [key[1]], "twice": [packed]}, schema=schema)
 
     for batch in batches:
         for row, block, one, two in zip(*(batch.column(c).to_pylist() for c in ("row", "block", "once", "twice"))):
             if (row, block) != key:
                 if key is not None and twice.any():
                     yield result()
-                key, once, twice = (row, block), np.zeros((1 << BLOCK_BITS) // 8, np.uint8), np.zeros((1 << BLOCK_BITS) // 8, np.uint8)
-            bits = _unpack(one)
-            twice |= once & bits
-            once |= bits
+                key, once, twice = (row, block), np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
+            cells = _unpack(one)
+            twice[cells] |= once[cells]
+            once[cells] = True
             if two is not None:
-                twice |= _unpack(two)
+                twice[_unpack(two)] = True
     if key is not None and twice.any():
         yield result()
 
 
-def _bitmap(shared, bits: int) -> list[np.ndarray]:
-    """The merged sketch in a worker: one bitmap per row; unpacked once per process."""
-    if _loaded.get("id") != shared.value[0]:
-        rows = [np.zeros(max(1 << bits, 1 << BLOCK_BITS) // 8, np.uint8) for _ in range(DEPTH)]
-        size = (1 << BLOCK_BITS) // 8
-        for row, block, blob in shared.value[1]:
-            rows[row][block * size:(block + 1) * size] = _unpack(blob)
-        _loaded.update(id=shared.value[0], rows=rows)
-    return _loaded["rows"]
+def _bitmap(blocks: list, bits: int) -> list[np.ndarray]:
+    """The merged sketch: one bitmap per row."""
+    rows = [np.zeros(max(1 << bits, 1 << BLOCK_BITS) // 8, np.uint8) for _ in range(DEPTH)]
+    size = (1 << BLOCK_BITS) // 8
+    for row, block, blob in blocks:
+        rows[row][block * size:(block + 1) * size] = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return rows
 
 
-_HIT = pa.schema([("_id", pa.int64()), ("_k", pa.int32()), ("_h1", pa.int64()), ("_h2", pa.int64())])
+_HIT = pa.schema([("_id", pa.int64()), ("_k", pa.int32()), ("_h1", pa.int64()), ("_h2", pa.int32())])
 
 
 def _hit_task(shared, bits: int, width: int):
     def run(batches):
-        rows = _bitmap(shared, bits)
+        rows = _bitmap(shared.value, bits)  # per task: nothing stays in an idle worker
         for batch in batches:
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
             for a, b, buf, bounds in texts(batch, "_t"):
@@ -159,7 +170,7 @@ def _hit_task(shared, bits: int, width: int):
                     first = np.concatenate([[0], np.cumsum(counts)])[doc - a]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[doc], pa.int64()), pa.array((at[keep] - first).astype(np.int32)),
-                         pa.array(h[keep].view(np.int64)), pa.array(g[keep].view(np.int64))], schema=_HIT)
+                         pa.array(h[keep].view(np.int64)), pa.array((g[keep] >> U64(32)).astype(np.uint32).view(np.int32))], schema=_HIT)
     return run
 
 
@@ -168,20 +179,29 @@ def sketch_bits(n_bytes: int, max_cells: int = MAX_CELLS) -> int:
     return max(10, min(int(math.log2(max_cells // DEPTH)), math.ceil(math.log2(max(n_bytes, 2) / DEPTH))))
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                     max_cells: int = MAX_CELLS) -> DataFrame:
-    """(_id, _k, _h1, _h2): windows whose sketched count is two or more, by document and first word."""
+def whole_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id): documents whose whole text also stands in a smaller id."""
+    slim = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
+        id_as_long(id_col).alias("_id"), F.unhex(F.sha2(raw(text_or_empty(text_col)), 256)).alias("_sha"))
+    first = slim.groupBy("_sha").agg(F.min("_id").alias("_f"), F.max("_id").alias("_l")).where("_f < _l").drop("_l")
+    return slim.join(first, "_sha").where("_id > _f").select("_id").distinct()
+
+
+def repeated_windows(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     width: int = WIDTH, max_cells: int = MAX_CELLS) -> DataFrame:
+    """(_id, _k, _h1, _h2): windows whose sketched count is two or more, by document and first word, without ``copies``."""
     spark = docs.sparkSession
     base = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
         id_as_long(id_col).alias("_id"), raw(text_or_empty(text_col)).alias("_t"))
     n_bytes = base.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    base = base.join(copies, "_id", "left_anti")
     bits = sketch_bits(n_bytes, max_cells)
     parts = base.select("_t").mapInArrow(_sketch_task(bits, width), "row int, block int, once binary, twice binary")
     merged = (parts.repartition("row", "block").sortWithinPartitions("row", "block")
               .mapInArrow(_merge_task, "row int, block int, twice binary"))
     blocks = [(r["row"], r["block"], bytes(r["twice"])) for r in merged.toLocalIterator()]  # at most max_cells / 8 bytes
-    shared = spark.sparkContext.broadcast((id(blocks), blocks))
-    return base.mapInArrow(_hit_task(shared, bits, width), "_id long, _k int, _h1 long, _h2 long")
+    shared = spark.sparkContext.broadcast(blocks)
+    return base.mapInArrow(_hit_task(shared, bits, width), "_id long, _k int, _h1 long, _h2 int")
 
 
 def _digest_task(width: int, with_text: bool):
@@ -194,9 +214,11 @@ def _digest_task(width: int, with_text: bool):
             for ident, text, gone in zip(*(batch.column(c) for c in ("_id", "_t", "_gone"))):
                 w = text.as_py().split()
                 n = len(w)
-                if gone.is_valid and n:
+                if gone.is_valid and n >= width:
                     covered = np.zeros(n + 1, dtype=np.int32)
                     at = gone.values.to_numpy()
+                    if at[0] == EVERY:
+                        at = np.arange(n - width + 1)
                     np.add.at(covered, at, 1)
                     np.add.at(covered, np.minimum(at + width, n), -1)
                     w = list(itertools.compress(w, (np.cumsum(covered[:n]) == 0).tolist()))
@@ -211,11 +233,14 @@ def _digest_task(width: int, with_text: bool):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                     max_cells: int = MAX_CELLS, with_text: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, text]): what stays of each document, one row per input row."""
-    found = repeated_windows(docs, id_col, text_col, width, max_cells)
+    copies = whole_copies(docs, id_col, text_col)
+    few = copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    found = repeated_windows(docs, F.broadcast(copies) if few else copies, id_col, text_col, width, max_cells)
     first = (found.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
              .where("_first < _last").drop("_last"))
     gone = (found.join(first, ["_h1", "_h2"]).where("_id > _first")
-            .groupBy("_id").agg(F.collect_list("_k").alias("_gone")))
+            .groupBy("_id").agg(F.collect_list("_k").alias("_gone"))
+            .unionByName(copies.select("_id", F.array(F.lit(EVERY)).alias("_gone"))))
     base = docs.select(id_as_long(id_col).alias("_id"), raw(text_or_empty(text_col)).alias("_t")).join(gone, "_id", "left")
     schema = "_id long, n_words long, n_removed long, kept_sha256 string" + (", _kept string" if with_text else "")
     out = base.mapInArrow(_digest_task(width, with_text), schema).withColumnRenamed("_id", id_col)
