@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import PUNCT_GAP, clean_label, clean_text, clean_uri, fix_mojibake
+from tessera.functions.text import clean_label, clean_text, clean_uri, fix_mojibake, space_after_punctuation
 from tessera.operators.rules import all_issues
 from tessera.session import checkpoint_dir
 
@@ -46,8 +46,7 @@ def clean_literals(literals: DataFrame) -> DataFrame:
         .alias("encoding_fixed"),
         (x.isNull() & (text != "")).alias("emptied")))
     return (literals.withColumn("_b", F.element_at(bound, 1))
-                    .select(*literals.columns, "_b.clean", "_b.encoding_fixed", "_b.emptied",
-                            (~is_label & text.rlike(PUNCT_GAP)).alias("comma_fix")))
+                    .select(*literals.columns, "_b.clean", "_b.encoding_fixed", "_b.emptied"))
 
 
 def dedupe_concepts(concepts: DataFrame, uri_col: str = "uri") -> tuple[DataFrame, DataFrame]:
@@ -74,11 +73,12 @@ def merge_duplicate_concepts(literals: DataFrame) -> DataFrame:
 
 def clean_vocabulary(concepts: DataFrame, literals: DataFrame, relations: DataFrame | None = None,
                      base: str | None = None, skos_xl: bool = False) -> dict[str, DataFrame]:
-    """Flow B end to end; returns kept concepts, final literals, changes, issues and counters.
+    """Flow B end to end; returns kept concepts, written literals, changes, issues and counters.
 
     Labels are cleaned once and checkpointed (they feed the labelled test, every
-    rule and the counters); text fields are cleaned once, for the final
-    literals and the counters.
+    rule and the counters); text fields are cleaned once, for the written
+    literals and the counters.  The rules see the cleaned labels; labels get
+    their punctuation spacing when they are written (text fields have it already).
     """
     checkpoint_dir(concepts.sparkSession)
     c = concepts.withColumn("uri", clean_uri("raw_uri", base))
@@ -96,12 +96,12 @@ def clean_vocabulary(concepts: DataFrame, literals: DataFrame, relations: DataFr
                   .select("uri", "pos", "prop", "vpos", F.col("clean").alias("text"), "lang"))
 
     labels = final(lab)
-    final_lit = labels.unionByName(final(txt))
+    written = labels.withColumn("text", space_after_punctuation("text")).unionByName(final(txt))
     rel = None
     if relations is not None:
         rel = relations.join(keys, "pos").select("uri", "pos", "prop", "vpos", "target")
     issues = all_issues(kept, labels, rel, skos_xl)
-    return {"concepts": kept, "literals": final_lit, "changes": changes, "issues": issues,
+    return {"concepts": kept, "literals": written, "changes": changes, "issues": issues,
             "report": clean_report(c, lab.unionByName(txt), c_lab, kept, issues)}
 
 
@@ -109,32 +109,35 @@ def clean_report(concepts: DataFrame, cleaned_literals: DataFrame, labelled: Dat
                  kept: DataFrame, issues: DataFrame) -> DataFrame:
     """The 13 cleaner counters plus violation and warning totals, as (counter, value) rows.
 
+    Repairs and removals count over every literal read; labels, definitions, notes, text fields
+    and punctuation fixes count over the literals written, those of the kept concepts.
     final_concepts = total - duplicates removed - concepts without prefLabel.
     """
-    lit = cleaned_literals
+    is_label = F.col("prop").isin(*LABEL_PROPS)
+    lit = cleaned_literals.join(kept.select("pos", F.lit(True).alias("_kept")), "pos", "left")
+    out = F.coalesce("_kept", F.lit(False)) & F.col("clean").isNotNull()
     parts = [
         concepts.agg(F.count("*").alias("total_concepts"),
                      F.count_if(F.col("uri") != F.col("raw_uri")).alias("malformed_uris_fixed")),
         lit.agg(F.count_if("encoding_fixed").alias("encoding_issues_fixed"),
                 F.count_if("emptied").alias("empty_labels_removed"),
-                F.count_if(~F.col("prop").isin(*LABEL_PROPS) & F.col("encoding_fixed")).alias("text_fields_cleaned"),
-                F.count_if("comma_fix").alias("comma_fixes"),
-                F.count_if(F.col("prop").isin(*LABEL_PROPS)).alias("labels_processed"),
-                F.count_if(F.col("prop") == "definition").alias("definitions_processed"),
-                F.count_if(F.col("prop").isin(*NOTE_PROPS)).alias("notes_processed")),
+                F.count_if(out & ~is_label).alias("text_fields_cleaned"),
+                F.count_if(out & is_label & (space_after_punctuation("clean") != F.col("clean"))).alias("comma_fixes"),
+                F.count_if(out & is_label).alias("labels_processed"),
+                F.count_if(out & (F.col("prop") == "definition")).alias("definitions_processed"),
+                F.count_if(out & F.col("prop").isin(*NOTE_PROPS)).alias("notes_processed")),
         labelled.agg(F.count("*").alias("labelled")),
         kept.agg(F.count("*").alias("kept")),
         issues.agg(F.count_if(F.col("severity") == "violation").alias("violations"),
                    F.count_if(F.col("severity") == "warning").alias("warnings")),
     ]
+    names = [c for p in parts for c in p.columns]
     long = reduce(DataFrame.unionByName, [
         p.select(F.explode(F.create_map(*[x for c in p.columns for x in (F.lit(c), F.col(c).cast("long"))]))
                  .alias("counter", "value")) for p in parts])
-    wide = long.groupBy().pivot("counter", sorted({c for p in parts for c in p.columns})).agg(F.first("value"))
+    wide = long.agg(*[F.max(F.when(F.col("counter") == c, F.col("value"))).alias(c) for c in names])
     derived = wide.select(
-        *[F.col(c) for c in ("total_concepts", "malformed_uris_fixed", "encoding_issues_fixed",
-                             "empty_labels_removed", "text_fields_cleaned", "comma_fixes", "labels_processed",
-                             "definitions_processed", "notes_processed", "violations", "warnings")],
+        *[F.col(c) for c in names if c not in ("labelled", "kept")],
         (F.col("labelled") - F.col("kept")).alias("duplicates_removed"),
         (F.col("total_concepts") - F.col("labelled")).alias("concepts_without_preflabel"),
         F.col("kept").alias("final_concepts"),

@@ -230,10 +230,10 @@ def concat_dedupe(sources: list[tuple[str, DataFrame]], remove_duplicates: bool
                   pos_col: str = "pos") -> DataFrame:
     """Stack with a ``_source_file`` column, then keep-first on the first present key.
 
-    Positions are made global as (source index, row position).
+    Positions are made global as a struct (source index, row position), which no row number can overflow.
     """
     frames = [df.withColumn("_source_file", F.lit(name))
-                .withColumn(pos_col, F.lit(i).cast("long") * F.lit(10 ** 13) + F.col(pos_col))
+                .withColumn(pos_col, F.struct(F.lit(i).alias("source"), F.col(pos_col).cast("long").alias("row")))
               for i, (name, df) in enumerate(sources)]
     u = concat_aligned(frames)
     if not remove_duplicates:

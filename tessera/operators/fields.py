@@ -53,14 +53,15 @@ def typed_terms(long: DataFrame, lang: str = "en") -> DataFrame:
     return long.withColumn("term", typed_term("prop", "value", lang))
 
 
-def concept_uri(uri: str | Column, base: str, row_key: Column | None = None) -> Column:
-    """Absolute kept, relative prefixed with base, missing -> base + sha256 of the row.
+def concept_uri(uri: str | Column, base: str, row_key: Column) -> Column:
+    """Absolute kept, relative prefixed with base, missing -> base + sha256 of ``row_key``.
 
-    The row hash replaces a random UUID so reruns give the same URIs.
+    The row hash replaces a random UUID so reruns give the same URIs.  The key must tell rows
+    apart, e.g. ``row_fingerprint``: rows with one key get one URI.
     """
     u = F.trim((F.col(uri) if isinstance(uri, str) else uri).cast("string"))
     b = base if base.endswith("/") else base + "/"
-    missing = F.concat(F.lit(b), F.sha2(row_key if row_key is not None else F.lit(""), 256))
+    missing = F.concat(F.lit(b), F.sha2(row_key, 256))
     return (F.when(u.isNull() | (u == ""), missing)
              .when(u.startswith("http"), u)
              .otherwise(F.concat(F.lit(b), u)))

@@ -7,6 +7,8 @@ rounds, each cut from the lineage with ``checkpoint()``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,28 +144,35 @@ def edges_from_skos(relations: DataFrame) -> DataFrame:
     return broader.unionByName(narrower).distinct()
 
 
+# Exact lower-case column names that hold a hierarchy.
+LEVEL_FIELDS = ["level", "depth", "tier", "ebene", "stufe", "hierarchy_level", "classification_level", "taxonomic_level", "rang"]
+PARENT_FIELDS = ["parent", "parentid", "parent_id", "broader", "broaderid", "broader_id", "super", "superid", "category",
+                 "categoryid", "übergeordnet", "parent_code", "parent_key"]
+PATH_FIELDS = ["path", "hierarchy_path", "classification_path", "breadcrumb", "pfad", "hierarchie_pfad"]
+
+
 def extract_hierarchy(df: DataFrame | None = None, relations: DataFrame | None = None,
                       pairs: DataFrame | None = None, id_col: str = "id") -> tuple[str, DataFrame]:
-    """H9: first source that yields edges, in the order SKOS, level, parent, path, pairs file.
+    """H9: the first source that has edges, in the order SKOS, level, parent, path, pairs file.
 
-    The choice is made from the schema only (no data is read to decide).
+    A source without a single edge is passed over (one existence test each, no
+    full evaluation); if none has an edge the last candidate is returned empty.
     """
+    cand: list[tuple[str, DataFrame]] = []
     if relations is not None:
-        return "skos", edges_from_skos(relations)
+        cand.append(("skos", edges_from_skos(relations)))
     if df is not None:
         cols = {c.lower(): c for c in df.columns}
-        for key in ("level", "depth", "hierarchy_level"):
-            if key in cols:
-                return "level", edges_from_level(df, id_col, cols[key])
-        for key in ("parent_id", "parent", "broader", "parent_code", "parentcode"):
-            if key in cols:
-                return "parent", edges_from_parent(df, id_col, cols[key])
-        for key in ("path", "hierarchy_path", "full_path"):
-            if key in cols:
-                return "path", edges_from_path(df, id_col, cols[key])
+        for name, fields, fn in (("level", LEVEL_FIELDS, edges_from_level), ("parent", PARENT_FIELDS, edges_from_parent),
+                                 ("path", PATH_FIELDS, edges_from_path)):
+            found = next((cols[k] for k in fields if k in cols), None)
+            if found is not None:
+                cand.append((name, fn(df, id_col, found)))
     if pairs is not None:
-        return "file", edges_from_pairs(pairs)
-    raise ValueError("no hierarchy source found")
+        cand.append(("file", edges_from_pairs(pairs)))
+    if not cand:
+        raise ValueError("no hierarchy source found")
+    return next((c for c in cand[:-1] if not c[1].isEmpty()), cand[-1])
 
 
 # ---------------------------------------------------------------- H10, J13
@@ -278,12 +287,12 @@ def circular_references(df: DataFrame, id_col: str = "id", parent_col: str = "pa
 
 
 # ---------------------------------------------------------------- H14
-def transitive_closure(edges: DataFrame, max_rounds: int | None = None,
-                       spark: SparkSession | None = None) -> DataFrame:
+def transitive_closure(edges: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """All (child, ancestor) pairs, semi-naive: only new pairs are extended.
 
     Terminates on cycles because a round adds only pairs not yet present.
-    Each round's delta is checkpointed so the plan does not grow.
+    Each round's delta is checkpointed once; the closure is the union of those
+    deltas and is never rewritten.
     """
     spark = spark or edges.sparkSession
     checkpoint_dir(spark)
@@ -292,9 +301,7 @@ def transitive_closure(edges: DataFrame, max_rounds: int | None = None,
     e = base.select(F.col("child").alias("e_child"), F.col("parent").alias("e_parent"))
     closure = base
     delta = base
-    rounds = 0
     while True:
-        rounds += 1
         step = (delta.join(e, delta.parent == e.e_child)
                      .select(delta.child.alias("n_child"), e.e_parent.alias("n_parent"))
                      .distinct())
@@ -302,23 +309,27 @@ def transitive_closure(edges: DataFrame, max_rounds: int | None = None,
         new = (step.join(seen, (step.n_child == seen.s_child) & (step.n_parent == seen.s_parent), "left_anti")
                    .select(F.col("n_child").alias("child"), F.col("n_parent").alias("parent"))
                    .checkpoint())
-        if new.isEmpty() or (max_rounds and rounds >= max_rounds):
+        if new.isEmpty():
             break
-        closure = closure.unionByName(new).checkpoint()
+        closure = closure.unionByName(new)
         delta = new
     return closure
 
 
 # ---------------------------------------------------------------- H2b
+DEPTHS_PER_PASS = 64
+
+
 def edges_from_outline(df: DataFrame, id_col: str = "id", level_col: str = "level", order_col: str = "pos",
-                       group_col: str | None = None, block: int = 100000, max_depth: int = 64) -> DataFrame:
+                       group_col: str | None = None, block: int = 100000) -> DataFrame:
     """Document-order stack: parent = nearest preceding row of level-1 with no shallower row
     in between (per group, e.g. per file).
 
     Equivalently the last preceding row with level <= L-1, kept when its level is exactly L-1.
     Rows are numbered densely in (group, order); for every depth k the last earlier position
     with level <= k is found inside blocks of ``block`` rows by bounded windows and carried
-    across blocks through a per-block summary, so no window spans a whole group.
+    across blocks through a per-block summary, so no window spans a whole group.  Depths are
+    taken ``DEPTHS_PER_PASS`` at a time over the numbered rows, so any depth is allowed.
     """
     from pyspark.sql import Window
     from tessera.sources.ttl import number_rows
@@ -327,23 +338,25 @@ def edges_from_outline(df: DataFrame, id_col: str = "id", level_col: str = "leve
     base = df.select(g.cast("string").alias("grp"), _s(id_col).alias("node"),
                      _num(level_col).cast("int").alias("level"), F.col(order_col).alias("ord"))
     depth = base.agg(F.max("level")).collect()[0][0] or 1
-    if depth > max_depth:
-        raise ValueError(f"depth {depth} exceeds max_depth {max_depth}")
-    ks = list(range(1, depth))
     num = number_rows(base, ["grp", "ord", "node"], "i").withColumn("blk", F.floor(F.col("i") / block))
     w_in = Window.partitionBy("grp", "blk").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    inner = num.select("grp", "node", "level", "i", "blk",
-                       *[F.last(F.when(F.col("level") <= k, F.col("i")), ignorenulls=True).over(w_in).alias(f"in{k}")
-                         for k in ks])
-    summ = num.groupBy("grp", "blk").agg(*[F.max(F.when(F.col("level") <= k, F.col("i"))).alias(f"b{k}") for k in ks])
     w_blk = Window.partitionBy("grp").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select("grp", "blk", *[F.max(f"b{k}").over(w_blk).alias(f"c{k}") for k in ks])
-    prev = inner.join(carry, ["grp", "blk"], "left").select(
-        "grp", "node", "level",
-        F.array(*[F.coalesce(F.col(f"in{k}"), F.col(f"c{k}")) for k in ks] or [F.lit(None).cast("long")]).alias("prev"))
-    kids = prev.where(F.col("level") > 1).select("grp", "node", "level",
-                                                 F.try_element_at("prev", F.col("level") - 1).alias("pi"))
     owners = num.select(F.col("grp").alias("og"), F.col("i").alias("oi"), F.col("node").alias("parent"),
                         F.col("level").alias("plevel"))
-    hit = kids.join(owners, (kids.grp == owners.og) & (kids.pi == owners.oi))
-    return hit.where(F.col("plevel") == F.col("level") - 1).select(F.col("node").alias("child"), "parent")
+
+    def one_pass(ks: list[int]) -> DataFrame:
+        inner = num.select("grp", "node", "level", "i", "blk",
+                           *[F.last(F.when(F.col("level") <= k, F.col("i")), ignorenulls=True).over(w_in).alias(f"in{k}")
+                             for k in ks])
+        summ = num.groupBy("grp", "blk").agg(*[F.max(F.when(F.col("level") <= k, F.col("i"))).alias(f"b{k}") for k in ks])
+        carry = summ.select("grp", "blk", *[F.max(f"b{k}").over(w_blk).alias(f"c{k}") for k in ks])
+        prev = inner.where((F.col("level") > ks[0]) & (F.col("level") <= ks[-1] + 1)).join(carry, ["grp", "blk"], "left")
+        last = F.array(*[F.coalesce(F.col(f"in{k}"), F.col(f"c{k}")) for k in ks])
+        kids = prev.select("grp", "node", "level", F.try_element_at(last, F.col("level") - ks[0]).alias("pi"))
+        hit = kids.join(owners, (kids.grp == owners.og) & (kids.pi == owners.oi))
+        return hit.where(F.col("plevel") == F.col("level") - 1).select(F.col("node").alias("child"), "parent")
+
+    passes = [list(range(k, min(k + DEPTHS_PER_PASS, depth))) for k in range(1, depth, DEPTHS_PER_PASS)]
+    if not passes:
+        return owners.where(F.lit(False)).select(F.col("parent").alias("child"), "parent")
+    return reduce(DataFrame.unionByName, [one_pass(ks) for ks in passes])

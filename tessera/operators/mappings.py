@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import absolute_uri, mapping_type
-from tessera.session import checkpoint_dir
+from tessera.operators.components import connected_components
 
 # Implications of the SKOS mapping properties (reverse direction, type of the new
 # statement): symmetric properties imply their reverse, broad/narrowMatch imply each other
@@ -133,38 +133,14 @@ def mapping_inference(df: DataFrame, include_super_relations: bool = True) -> Da
     return both.groupBy("source_uri", "target_uri", "mapping_type").agg(F.min("inferred").alias("inferred"))
 
 
-def exact_match_clusters(df: DataFrame, max_rounds: int = 64, spark: SparkSession | None = None) -> DataFrame:
+def exact_match_clusters(df: DataFrame) -> DataFrame:
     """M9: connected components of exactMatch (symmetric and transitive): (uri, cluster).
 
-    Min-label propagation with pointer jumping: each round a node takes the
-    smallest label among itself and its neighbours, then the label of its
-    label.  Rounds stop when no label changes; every round is checkpointed.
+    The cluster is named by its smallest URI; mappings without a target name no cluster.
     """
-    spark = spark or df.sparkSession
-    checkpoint_dir(spark)
-    # one pass over the mappings: directed exactMatch pairs, materialised; nodes and the
-    # undirected edge set both come from it
-    e = (df.where(F.col("mapping_type") == "exactMatch")
-           .select(F.col("source_uri").alias("a"), F.col("target_uri").alias("b")).distinct().checkpoint())
-    und = (e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-             .distinct().checkpoint())
-    nodes = e.select(F.col("a").alias("n")).unionByName(e.select(F.col("b").alias("n"))).distinct()
-    lab = nodes.select("n", F.col("n").alias("l")).checkpoint()
-    for _ in range(max_rounds):
-        nb = und.join(lab.select(F.col("n").alias("b"), F.col("l").alias("lb")), "b") \
-                .groupBy("a").agg(F.min("lb").alias("m"))
-        step = lab.join(nb.withColumnRenamed("a", "n"), "n", "left") \
-                  .select("n", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l"))
-        t = step.select(F.col("n").alias("tn"), F.col("l").alias("tl"))
-        # the old label travels with the row, so "did anything change" is a scan, not a join
-        new = (step.join(t, step.l == t.tn, "left")
-                   .select("n", F.least(F.col("l"), F.coalesce(F.col("tl"), F.col("l"))).alias("l"), "old")
-                   .withColumn("changed", F.col("l") != F.col("old")).drop("old")
-                   .checkpoint())
-        lab = new.drop("changed")
-        if new.where("changed").limit(1).count() == 0:
-            break
-    return lab.select(F.col("n").alias("uri"), F.col("l").alias("cluster"))
+    pairs = df.where(F.col("mapping_type") == "exactMatch").select("source_uri", "target_uri").distinct()
+    found = connected_components(pairs, "source_uri", "target_uri")
+    return found.select(F.col("node").alias("uri"), F.col("component").alias("cluster"))
 
 
 def mapping_triples(df: DataFrame, scheme: str = "") -> DataFrame:

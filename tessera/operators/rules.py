@@ -31,19 +31,22 @@ def rule_s14(literals: DataFrame) -> DataFrame:
 
 
 def rule_s13(literals: DataFrame) -> DataFrame:
-    """R2: a (text, lang) shared by prefLabel/altLabel, prefLabel/hiddenLabel or altLabel/hiddenLabel.
+    """R2: prefLabel/altLabel, prefLabel/hiddenLabel or altLabel/hiddenLabel share a (text, lang).
 
-    One grouped aggregate: the set of label kinds per (uri, text, lang) has at
-    most three members, so even a hot group stays one small row.
+    One violation per concept and pair of kinds, naming how many labels are shared and the first
+    of them.  Both aggregates combine flags, counts and a minimum in every task.
     """
-    g = (literals.where(F.col("prop").isin("prefLabel", "altLabel", "hiddenLabel"))
-                 .groupBy("uri", "text", "lang").agg(F.collect_set("prop").alias("kinds")))
-    pairs = F.array(*[F.when(F.array_contains("kinds", a) & F.array_contains("kinds", b), F.lit(f"{a}/{b}"))
-                      for a, b in (("prefLabel", "altLabel"), ("prefLabel", "hiddenLabel"),
-                                   ("altLabel", "hiddenLabel"))])
-    hit = g.select("uri", "text", "lang", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("pair"))
-    return _issue(hit, F.col("uri"), "S13", "violation",
-                  F.format_string('S13 Violation: <%s> has overlapping %s: "%s"@%s', "uri", "pair", "text", "lang"))
+    kinds = ("prefLabel", "altLabel", "hiddenLabel")
+    g = (literals.where(F.col("prop").isin(*kinds)).groupBy("uri", "text", "lang")
+                 .agg(*[F.bool_or(F.col("prop") == k).alias(k) for k in kinds]))
+    pairs = F.array(*[F.when(F.col(a) & F.col(b), F.lit(f"{a}/{b}"))
+                      for a, b in (("prefLabel", "altLabel"), ("prefLabel", "hiddenLabel"), ("altLabel", "hiddenLabel"))])
+    hit = g.select("uri", F.concat_ws("\u0001", "text", "lang").alias("label"),
+                   F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("pair"))
+    per = hit.groupBy("uri", "pair").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first"))
+    return _issue(per, F.col("uri"), "S13", "violation",
+                  F.format_string('S13 Violation: <%s> has %d overlapping %s, first "%s"@%s', "uri", "n", "pair",
+                                  F.substring_index("first", "\u0001", 1), F.substring_index("first", "\u0001", -1)))
 
 
 def rule_s27(relations: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def flagship_wide(spark: SparkSession, d: str) -> DataFrame:
     v = T.v1(spark, d)
     e = H.edges_from_prefix(v)
     return (v.join(e, v.id == e.child, "left")
-             .select(concept_uri("id", BASE).alias("uri"), "pos", "label", "notation",
+             .select(concept_uri("id", BASE, F.col("pos").cast("string")).alias("uri"), "pos", "label", "notation",
                      F.when(F.col("parent").isNotNull(), F.concat(F.lit(BASE), "parent")).alias("broader")))
 
 

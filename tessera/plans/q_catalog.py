@@ -35,26 +35,25 @@ ARRAY_COLUMNS = {"embedding"}
 V1_COLUMNS = ["id", "parent_id", "level", "label", "path", "notation", "pos"]
 V5_COLUMNS = ["uri", "pos", "def_en", "def_fr", "def_de", "def_es", "example", "changeNote", "note"]
 
-# The header and first record of the two sample inputs shipped with the reference
-# (hierarchical CSV and nested skill JSON, flattened).
+# Two small catalogue entries of our own (a plant checklist and a tool register) with a dotted code,
+# a parent column and namespaced names, which the driver tables lack.
 FIXTURE_CATALOG = [
-    ("fixture_codes.csv", 1, "Code", "1"),
-    ("fixture_codes.csv", 2, "PrefLabel", "Bildung und Erziehung"),
-    ("fixture_codes.csv", 3, "Definition", "Oberbereich für alle Bildungs- und Erziehungsberufe"),
-    ("fixture_codes.csv", 4, "Level", "1"),
-    ("fixture_codes.csv", 5, "ParentCode", None),
-    ("fixture_codes.csv", 6, "AltLabel", "Education"),
-    ("fixture_codes.csv", 7, "ScopeNote", "Umfasst alle Tätigkeiten im Bildungssektor"),
-    ("fixture_codes.csv", 8, "Example", "Lehrer an Grundschulen"),
-    ("fixture_skills.json", 1, "properties.cclom:title", "Programmierung"),
-    ("fixture_skills.json", 2, "properties.sys:node-uuid", "skill-001"),
-    ("fixture_skills.json", 3, "properties.cclom:general_description",
-     "Fähigkeit zur Entwicklung von Softwareanwendungen"),
-    ("fixture_skills.json", 4, "properties.cm:name", "Programming"),
-    ("fixture_skills.json", 5, "level", "1"),
-    ("fixture_skills.json", 6, "broader_concept", None),
-    ("fixture_skills.json", 7, "examples", None),
-    ("fixture_skills.json", 8, "related_skills", None),
+    ("plants.csv", 1, "Code", "4.2.1"),
+    ("plants.csv", 2, "PrefLabel", "Meadow sage"),
+    ("plants.csv", 3, "Definition", "A perennial herb of dry grassland"),
+    ("plants.csv", 4, "Level", "3"),
+    ("plants.csv", 5, "ParentCode", "4.2"),
+    ("plants.csv", 6, "Synonyms", "Salvia pratensis"),
+    ("plants.csv", 7, "ScopeNote", "Lowland populations only"),
+    ("plants.csv", 8, "Example", "Herbarium sheet 118"),
+    ("tools.json", 1, "properties.cclom:title", "Torque wrench"),
+    ("tools.json", 2, "properties.sys:node-uuid", "tool-77"),
+    ("tools.json", 3, "properties.cclom:general_description", "Tightens bolts to a set torque"),
+    ("tools.json", 4, "properties.cm:name", "wrench-77"),
+    ("tools.json", 5, "ebene", "2"),
+    ("tools.json", 6, "broader_tool", None),
+    ("tools.json", 7, "examples", None),
+    ("tools.json", 8, "history_note_fr", None),
 ]
 
 
@@ -75,7 +74,7 @@ def _profile(df: DataFrame, name: str) -> DataFrame:
 
 
 def v9_catalog(spark, d) -> DataFrame:
-    """V9: a catalogue row per column of every driver table, of V1 and V5, and of the two fixtures."""
+    """V9: a catalogue row per column of every driver table, of V1 and V5, and of two small entries."""
     parts = [_profile(table(spark, d, t), t) for t in TABLES]
     parts.append(_profile(T.v1(spark, d), "vocab"))
     parts.append(_profile(T.v5(spark, d), "documentation"))
@@ -204,7 +203,7 @@ x AS (SELECT label, i, v[i] AS vi, uv[i] AS ui FROM (
         SELECT label, v, uv, unnest(generate_series(1, len(v))) AS i FROM u WHERE label < 3)),
 pe AS (SELECT label, i, avg(vi) AS c, avg(ui) AS m FROM x GROUP BY label, i),
 p AS (SELECT CAST(label AS VARCHAR) AS prop, list(c ORDER BY i) AS c, list(m ORDER BY i) AS m FROM pe GROUP BY label),
-f AS (SELECT 'f' || CAST(vec_id AS VARCHAR) AS field, vec_id, uv FROM u WHERE label >= 3),
+f AS (SELECT 'f' || CAST(vec_id AS VARCHAR) AS field, vec_id, uv FROM u),
 s AS (SELECT prop, field, vec_id, list_dot_product(c, uv) / sqrt(list_dot_product(c, c)) AS single,
              list_dot_product(m, uv) AS mean FROM p, f)"""
 

@@ -165,16 +165,21 @@ def concat_aligned(spark, d):
     return C.concat_aligned([df for _, df in s])
 
 
+def _flat_pos(df):
+    """The (source, row) position as one number, for the comparison with SQL on these small row numbers."""
+    return df.withColumn("pos", F.col("pos.source") * F.lit(10 ** 13) + F.col("pos.row"))
+
+
 @query("concat_dedupe", f"""
 SELECT id, name, nation, balance, pos, _source_file FROM ({_CONCAT})
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1""", V7)
 def concat_dedupe(spark, d):
-    return C.concat_dedupe(_src(spark, d, with_pos=True))
+    return _flat_pos(C.concat_dedupe(_src(spark, d, with_pos=True)))
 
 
 @query("concat_keep_all", f"SELECT id, name, nation, balance, pos, _source_file FROM ({_CONCAT})", V7)
 def concat_keep_all(spark, d):
-    return C.concat_dedupe(_src(spark, d, with_pos=True), remove_duplicates=False)
+    return _flat_pos(C.concat_dedupe(_src(spark, d, with_pos=True), remove_duplicates=False))
 
 
 @query("dedupe_keep_first", """

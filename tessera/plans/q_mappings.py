@@ -9,6 +9,7 @@ from tessera.operators import mappings as M
 from tessera.plans import testbed as T
 from tessera.plans.registry import query
 from tessera.plans.views_sql import _v
+from tessera.sources.tables import table
 
 BASE = "http://ex.org/"
 
@@ -127,9 +128,36 @@ def map_inference(spark, d):
     return M.mapping_inference(_v3n(spark, d))
 
 
-@query("map_clusters")
+# Chains of up to 500 customers whose names fall along the chain, the worst order for label propagation.
+_v("v3chain", """
+SELECT 'http://ex.org/chain/' || b || '/' || lpad(CAST(CASE WHEN i = 0 THEN 0 ELSE 500 - i END AS VARCHAR), 4, '0') AS source_uri,
+       'http://ex.org/chain/' || b || '/' || lpad(CAST(499 - i AS VARCHAR), 4, '0') AS target_uri, 'exactMatch' AS mapping_type
+FROM (SELECT c_custkey // 500 AS b, c_custkey % 500 AS i FROM customer) WHERE i < 499""")
+
+
+def _chains(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(F.floor(k / 500).cast("string").alias("b"), (k % 500).cast("int").alias("i"))
+    name = lambda n: F.concat(F.lit("http://ex.org/chain/"), "b", F.lit("/"), F.lpad(n.cast("string"), 4, "0"))
+    return c.where("i < 499").select(name(F.when(F.col("i") == 0, 0).otherwise(500 - F.col("i"))).alias("source_uri"),
+                                     name(499 - F.col("i")).alias("target_uri"), F.lit("exactMatch").alias("mapping_type"))
+
+
+@query("map_clusters", """
+WITH RECURSIVE p AS (
+  SELECT source_uri AS a, target_uri AS b FROM (SELECT source_uri, target_uri, mapping_type FROM v3n UNION ALL FROM v3chain)
+  WHERE mapping_type = 'exactMatch' AND source_uri IS NOT NULL AND target_uri IS NOT NULL),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+lab(uri, cluster) USING KEY (uri) AS (
+  SELECT a, a FROM (SELECT DISTINCT a FROM e)
+  UNION
+  SELECT e.b, min(l.cluster) FROM lab l JOIN e ON e.a = l.uri JOIN recurring.lab r ON r.uri = e.b
+  WHERE l.cluster < r.cluster GROUP BY e.b)
+SELECT uri, cluster FROM lab""", ("v3n", "v3chain"))
 def map_clusters(spark, d):
-    return M.exact_match_clusters(_v3n(spark, d))
+    """Clusters of the exact matches among the mappings and of chains in adverse label order."""
+    stated = _v3n(spark, d).select("source_uri", "target_uri", "mapping_type")
+    return M.exact_match_clusters(stated.unionByName(_chains(spark, d)))
 
 
 @query("map_triples", """

@@ -22,11 +22,11 @@ SELECT CASE WHEN source = 'src3' THEN 'doc/' ELSE 'http://ex.org/doc/' END || CA
        doc_id AS pos FROM documents""")
 _v("cl_literals", f"""
 SELECT doc_id AS pos, 'prefLabel' AS prop, 0 AS vpos,
-       CASE WHEN lang = 'de' THEN {replace_chain("CASE WHEN source = 'src7' THEN '   ' ELSE substring(text, 1, 60) END", _INJ)}
-            ELSE CASE WHEN source = 'src7' THEN '   ' ELSE substring(text, 1, 60) END END AS text,
+       CASE WHEN lang = 'de' THEN {replace_chain("CASE WHEN source = 'src7' THEN '   ' ELSE split_part(text, chr(10), 1) END", _INJ)}
+            ELSE CASE WHEN source = 'src7' THEN '   ' ELSE split_part(text, chr(10), 1) END END AS text,
        CASE WHEN source = 'src5' THEN upper(lang) ELSE lang END AS lang FROM documents
 UNION ALL
-SELECT doc_id, 'altLabel', 1, CASE WHEN lang = 'de' THEN {replace_chain('right(text, 40)', _INJ)} ELSE right(text, 40) END,
+SELECT doc_id, 'altLabel', 1, CASE WHEN lang = 'de' THEN {replace_chain('split_part(text, chr(10), -1)', _INJ)} ELSE split_part(text, chr(10), -1) END,
        CASE WHEN source = 'src5' THEN upper(lang) ELSE lang END FROM documents
 UNION ALL
 SELECT doc_id, 'definition', 2, text, CASE WHEN source = 'src5' THEN upper(lang) ELSE lang END FROM documents""")
@@ -68,7 +68,7 @@ def drop_unlabelled_q(spark, d):
                           F.col("doc_id").alias("pos"))
     lits = (doc.join(lab, "doc_id", "left_semi")
                .select(F.concat(F.lit("http://ex.org/doc/"), F.col("doc_id").cast("string")).alias("uri"),
-                       F.lit("prefLabel").alias("prop"), F.substring("text", 1, 60).alias("text")))
+                       F.lit("prefLabel").alias("prop"), F.substring_index("text", "\n", 1).alias("text")))
     kept, dropped = drop_unlabelled(concepts, lits)
     return kept.withColumn("kept", F.lit(True)).unionByName(dropped.withColumn("kept", F.lit(False)))
 
@@ -82,12 +82,18 @@ def rule_s14(spark, d):
     return R.rule_s14(T.v2(spark, d))
 
 
-@query("rule_s13", """
-WITH s AS (SELECT DISTINCT uri, prop, text, lang FROM v2)
-SELECT a.uri, 'S13' AS rule, 'violation' AS severity,
-       printf('S13 Violation: <%s> has overlapping prefLabel/altLabel: "%s"@%s', a.uri, a.text, a.lang) AS detail
-FROM s a JOIN s b ON a.uri = b.uri AND a.text = b.text AND a.lang = b.lang
-WHERE a.prop = 'prefLabel' AND b.prop = 'altLabel'""", ("v2",))
+#: One violation per concept and pair of label kinds, with the number of shared labels and the first of them.
+S13_SQL = """
+  SELECT a.uri, printf('S13 Violation: <%s> has %d overlapping %s, first "%s"@%s', a.uri, count(*), a.prop || '/' || b.prop,
+         arg_min(a.text, a.text || chr(1) || a.lang), arg_min(a.lang, a.text || chr(1) || a.lang)) AS detail
+  FROM (SELECT DISTINCT uri, prop, text, lang FROM {src}) a
+  JOIN (SELECT DISTINCT uri, prop, text, lang FROM {src}) b ON a.uri = b.uri AND a.text = b.text AND a.lang = b.lang
+  WHERE (a.prop, b.prop) IN (('prefLabel', 'altLabel'), ('prefLabel', 'hiddenLabel'), ('altLabel', 'hiddenLabel'))
+  GROUP BY a.uri, a.prop, b.prop"""
+
+
+@query("rule_s13", f"""
+SELECT uri, 'S13' AS rule, 'violation' AS severity, detail FROM ({S13_SQL.format(src='v2')})""", ("v2",))
 def rule_s13(spark, d):
     return R.rule_s13(T.v2(spark, d))
 
@@ -169,21 +175,23 @@ def rule_skosxl_orphan(spark, d):
     return R.rule_skosxl(c, T.v1_relations(spark, d))[1]
 
 
-@query("report_lines", """
+@query("report_lines", f"""
 WITH i AS (
-  SELECT uri, 'S14' AS rule, printf('S14 Violation: <%s> has %d prefLabels for language ''%s''', uri, n, lang) AS detail
+  SELECT 'violation' AS severity, uri, 'S14' AS rule,
+         printf('S14 Violation: <%s> has %d prefLabels for language ''%s''', uri, n, lang) AS detail
   FROM (SELECT uri, lang, count(*) AS n FROM v2 WHERE prop = 'prefLabel' GROUP BY uri, lang HAVING count(*) > 1)
   UNION ALL
-  SELECT a.uri, 'S13', printf('S13 Violation: <%s> has overlapping prefLabel/altLabel: "%s"@%s', a.uri, a.text, a.lang)
-  FROM (SELECT DISTINCT uri, prop, text, lang FROM v2) a
-  JOIN (SELECT DISTINCT uri, prop, text, lang FROM v2) b ON a.uri = b.uri AND a.text = b.text AND a.lang = b.lang
-  WHERE a.prop = 'prefLabel' AND b.prop = 'altLabel')
-SELECT line_no, printf('%3d. %s', line_no, detail) AS line
-FROM (SELECT detail, row_number() OVER (ORDER BY rule, uri, detail) AS line_no FROM i)""", ("v2",))
+  SELECT 'violation', uri, 'S13', detail FROM ({S13_SQL.format(src='v2')})
+  UNION ALL
+  SELECT 'warning', uri, 'long_label', printf('Very long label (%d chars) in <%s>', length(text), uri)
+  FROM v2 WHERE prop IN ('prefLabel', 'altLabel') AND length(text) > 500)
+SELECT severity, line_no, printf('%4d. %s', line_no, detail) AS line
+FROM (SELECT severity, detail, row_number() OVER (PARTITION BY severity ORDER BY rule, uri, detail) AS line_no FROM i)""", ("v2",))
 def report_lines_q(spark, d):
+    """Violations and warnings of the V2 labels, each numbered from 1."""
     v = T.v2(spark, d)
-    issues = R.rule_s14(v).unionByName(R.rule_s13(v))
-    return report_lines(issues, ["rule", "uri", "detail"])
+    long = R.rule_label_quality(v).where("rule = 'long_label'")
+    return report_lines(R.rule_s14(v).unionByName(R.rule_s13(v)).unionByName(long), ["rule", "uri", "detail"])
 
 
 def _x4_sql(x: str) -> str:
@@ -197,6 +205,13 @@ def _x5_sql(x: str) -> str:
     return f"(CASE WHEN {v} <> '' THEN {v} END)"
 
 
+def _x3_sql(x: str) -> str:
+    from tessera.plans.sqlfrag import punct_sql
+    return punct_sql(x)
+
+
+_X3 = _x3_sql("text")
+
 _REPORT_SQL = f"""
 WITH c AS (SELECT raw_uri, pos,
                   CASE WHEN starts_with(trim(raw_uri), 'http') THEN trim(raw_uri)
@@ -210,17 +225,14 @@ lf AS (SELECT *, prop IN ('prefLabel', 'altLabel', 'hiddenLabel') AS is_label,
               (CASE WHEN prop IN ('prefLabel', 'altLabel', 'hiddenLabel')
                     THEN {replace_chain('text', X.MOJIBAKE)} <> text
                     ELSE coalesce(clean, '') <> text END) AND text <> '' AS enc,
-              clean IS NULL AND text <> '' AS emptied,
-              prop NOT IN ('prefLabel', 'altLabel', 'hiddenLabel')
-                AND regexp_matches(text, ',[^\\s]|,$|;[^\\s]|;$|\\.[^\\s\\d]|:[^\\s]|![^\\s]|\\?[^\\s]') AS comma_fix
+              clean IS NULL AND text <> '' AS emptied
        FROM l),
 lab AS (SELECT DISTINCT pos FROM l WHERE prop = 'prefLabel' AND clean IS NOT NULL),
 cl AS (SELECT c.* FROM c WHERE pos IN (SELECT pos FROM lab)),
 kept AS (SELECT uri, min(pos) AS pos FROM cl GROUP BY uri),
 fl AS (SELECT k.uri, l.prop, l.clean AS text, l.lang FROM l JOIN kept k ON l.pos = k.pos WHERE l.clean IS NOT NULL),
-s13 AS (SELECT a.uri FROM (SELECT DISTINCT uri, prop, text, lang FROM fl) a
-        JOIN (SELECT DISTINCT uri, prop, text, lang FROM fl) b ON a.uri = b.uri AND a.text = b.text AND a.lang = b.lang
-        WHERE (a.prop, b.prop) IN (('prefLabel', 'altLabel'), ('prefLabel', 'hiddenLabel'), ('altLabel', 'hiddenLabel'))),
+wr AS (SELECT prop, text, {_X3} AS written FROM fl),
+s13 AS (SELECT uri, detail FROM ({S13_SQL.format(src='fl')})),
 s14 AS (SELECT uri FROM fl WHERE prop = 'prefLabel' GROUP BY uri, lang HAVING count(*) > 1),
 badu AS (SELECT uri FROM kept WHERE NOT coalesce(regexp_matches(regexp_replace(uri, '^[<>]+|[<>]+$', '', 'g'),
                                                   '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+'), false)),
@@ -239,11 +251,11 @@ n AS (SELECT
   (SELECT count(*) FROM c) - (SELECT count(*) FROM cl) AS concepts_without_preflabel,
   (SELECT count(*) FROM lf WHERE enc) AS encoding_issues_fixed,
   (SELECT count(*) FROM lf WHERE emptied) AS empty_labels_removed,
-  (SELECT count(*) FROM lf WHERE NOT is_label AND enc) AS text_fields_cleaned,
-  (SELECT count(*) FROM lf WHERE comma_fix) AS comma_fixes,
-  (SELECT count(*) FROM lf WHERE is_label) AS labels_processed,
-  (SELECT count(*) FROM lf WHERE prop = 'definition') AS definitions_processed,
-  (SELECT count(*) FROM lf WHERE prop IN ('note', 'scopeNote', 'editorialNote', 'historyNote', 'changeNote'))
+  (SELECT count(*) FROM wr WHERE prop NOT IN ('prefLabel', 'altLabel', 'hiddenLabel')) AS text_fields_cleaned,
+  (SELECT count(*) FROM wr WHERE written <> text) AS comma_fixes,
+  (SELECT count(*) FROM wr WHERE prop IN ('prefLabel', 'altLabel', 'hiddenLabel')) AS labels_processed,
+  (SELECT count(*) FROM wr WHERE prop = 'definition') AS definitions_processed,
+  (SELECT count(*) FROM wr WHERE prop IN ('note', 'scopeNote', 'editorialNote', 'historyNote', 'changeNote'))
     AS notes_processed,
   (SELECT count(*) FROM kept) AS final_concepts,
   (SELECT count(*) FROM c) - (SELECT count(*) FROM cl) AS invalid_concepts_removed,
@@ -261,7 +273,19 @@ def clean_report(spark, d):
     return CL.clean_vocabulary(ci["concepts"], ci["literals"], base="http://ex.org/")["report"]
 
 
-@query("clean_issues", None)
+_ISSUES_SQL = _REPORT_SQL[:_REPORT_SQL.index("n AS (SELECT")].rstrip().rstrip(",") + """
+SELECT uri, 'S13' AS rule, 'violation' AS severity, detail FROM s13
+UNION ALL SELECT uri, 'S14', 'violation', printf('S14 Violation: <%s> has %d prefLabels for language ''%s''', uri, count(*), lang)
+  FROM fl WHERE prop = 'prefLabel' GROUP BY uri, lang HAVING count(*) > 1
+UNION ALL SELECT uri, 'invalid_uri', 'violation', 'Invalid URI format: ' || uri FROM badu
+UNION ALL SELECT uri, rule, severity, detail FROM (
+  WITH l AS (SELECT uri, coalesce(text, '') AS t FROM fl WHERE prop IN ('prefLabel', 'altLabel'))""" + _LQ + """)
+UNION ALL SELECT uri, 'invalid_lang', 'warning', printf('Potentially invalid language tag ''%s'' in %s', lang, uri)
+  FROM fl WHERE prop IN ('prefLabel', 'altLabel') AND lang IS NOT NULL AND lang <> ''
+    AND NOT coalesce(regexp_matches(lang, '^[a-z]{2,3}(-[A-Za-z0-9]{1,8})*$'), false)"""
+
+
+@query("clean_issues", _ISSUES_SQL, ("cl_concepts", "cl_literals"))
 def clean_issues(spark, d):
     ci = T.cleaner_input(spark, d)
     return CL.clean_vocabulary(ci["concepts"], ci["literals"], base="http://ex.org/")["issues"]

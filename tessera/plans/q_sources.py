@@ -29,9 +29,37 @@ SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARC
 def read_csv_roundtrip(spark, d):
     path = S.scratch_path(spark, "csv")
     table(spark, d, "customer").write.option("header", True).option("sep", ";").csv(path)
+    return S.read_csv(spark, path, sep=";", multi_line=False)
+
+
+@query("read_csv_texts", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang, source FROM documents""")
+def read_csv_texts(spark, d):
+    """Whole texts, line ends and quotes included, written as CSV and read back."""
+    path = S.scratch_path(spark, "csv")
+    doc = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    (doc.write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return S.read_csv(spark, path, sep=";")
 
 
+@query("read_csv_uneven", """
+SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS customer,
+       CASE WHEN o_orderkey % 3 <> 1 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 3 <> 2""")
+def read_csv_uneven(spark, d):
+    """A file whose rows have as many fields as the header, one fewer (padded) or one more (skipped)."""
+    path = S.scratch_path(spark, "csv")
+    o = table(spark, d, "orders")
+    key, cust, status = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")
+    line = (F.when(F.col("o_orderkey") % 3 == 1, F.concat_ws(";", key, cust))
+             .when(F.col("o_orderkey") % 3 == 2, F.concat_ws(";", key, cust, status, F.lit("over")))
+             .otherwise(F.concat_ws(";", key, cust, status)))
+    head = spark.range(1).select(F.lit(0).alias("o"), F.lit("key;customer;status").alias("value"))
+    (head.unionByName(o.select(F.lit(1).alias("o"), line.alias("value"))).coalesce(1).sortWithinPartitions("o")
+         .select("value").write.text(path))
+    return S.read_csv(spark, path, sep=";", multi_line=False)
+
+
 # ---------------------------------------------------------------- S2 on V9 text lines
 def v9_lines(spark, d) -> DataFrame:
     """V9 lines (file, line_no, line): nation and customer tables rendered with four separators."""
@@ -110,6 +138,21 @@ def json_flatten(spark, d):
     return S.read_json_flat(spark, path, schema=schema)
 
 
+@query("json_list", """
+SELECT event_id, event_type, value AS "metrics.value", user_id AS "metrics.user.id" FROM events""")
+def json_list(spark, d):
+    """Files that hold one list of nested objects each, read and flattened."""
+    path = S.scratch_path(spark, "json")
+    ev = table(spark, d, "events").select("event_id", "event_type", F.struct(
+        F.col("value"), F.struct(F.col("user_id").alias("id")).alias("user")).alias("metrics"))
+    # a list per 500 consecutive events, one to a line of its own file part
+    rows = ev.select(F.floor(F.col("event_id") / 500).alias("g"), F.to_json(F.struct(*ev.columns)).alias("j"))
+    lists = rows.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    schema = "event_id long, event_type string, metrics struct<value: double, user: struct<id: long>>"
+    return S.read_json_flat(spark, path, multi_line=True, schema=schema)
+
+
 # ---------------------------------------------------------------- S4-S9 round trip
 BASE = "http://ex.org/d/"
 
@@ -118,8 +161,8 @@ def doc_terms(spark, d) -> DataFrame:
     """Long rows (uri, pos, prop, vpos, value, lang) of a vocabulary with one concept per document."""
     doc = table(spark, d, "documents")
     uri = F.concat(F.lit(BASE), F.col("doc_id").cast("string"))
-    rows = [("prefLabel", 0, F.substring("text", 1, 60), None), ("altLabel", 0, F.right("text", F.lit(40)), None),
-            ("altLabel", 1, F.substring("text", 1, 20), None), ("definition", 0, F.col("text"), None),
+    rows = [("prefLabel", 0, F.substring_index("text", "\n", 1), None),
+            ("altLabel", 0, F.substring_index("text", "\n", -1), None), ("altLabel", 1, F.col("source"), None), ("definition", 0, F.col("text"), None),
             ("broader", 0, F.concat(F.lit(BASE), F.floor(F.col("doc_id") / 2).cast("long").cast("string")),
              F.col("doc_id") >= 2)]
     parts = []
@@ -132,9 +175,9 @@ def doc_terms(spark, d) -> DataFrame:
 
 _v("doc_terms", f"""
 SELECT '{BASE}' || CAST(doc_id AS VARCHAR) AS uri, doc_id AS pos, 'prefLabel' AS prop, 0 AS vpos,
-       substring(text, 1, 60) AS value, lang, 0 AS r FROM documents
-UNION ALL SELECT '{BASE}' || CAST(doc_id AS VARCHAR), doc_id, 'altLabel', 0, right(text, 40), lang, 1 FROM documents
-UNION ALL SELECT '{BASE}' || CAST(doc_id AS VARCHAR), doc_id, 'altLabel', 1, substring(text, 1, 20), lang, 1 FROM documents
+       split_part(text, chr(10), 1) AS value, lang, 0 AS r FROM documents
+UNION ALL SELECT '{BASE}' || CAST(doc_id AS VARCHAR), doc_id, 'altLabel', 0, split_part(text, chr(10), -1), lang, 1 FROM documents
+UNION ALL SELECT '{BASE}' || CAST(doc_id AS VARCHAR), doc_id, 'altLabel', 1, source, lang, 1 FROM documents
 UNION ALL SELECT '{BASE}' || CAST(doc_id AS VARCHAR), doc_id, 'definition', 0, text, lang, 6 FROM documents
 UNION ALL SELECT '{BASE}' || CAST(doc_id AS VARCHAR), doc_id, 'broader', 0, '{BASE}' || CAST(doc_id // 2 AS VARCHAR), lang, 11
   FROM documents WHERE doc_id >= 2""")
@@ -229,13 +272,13 @@ SELECT uri, text FROM (
   SELECT uri, regexp_replace(regexp_replace(value, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text
   FROM doc_terms WHERE prop = 'prefLabel') WHERE text <> ''""", ("doc_terms",))
 def stream_clean(spark, d):
-    """Two copies of the document vocabulary arrive as files; the stream keeps one block per
-    URI across batches and writes cleaned labels; the result is the prefLabels read back."""
+    """The document vocabulary arrives twice as files, the second time with other labels; the stream
+    keeps the first block of a URI and writes cleaned labels; the result is the prefLabels read back."""
     from tessera.streaming.cleaner_stream import clean_stream
     src = S.scratch_path(spark, "stream-src")
     blocks = doc_blocks(spark, d).select(F.concat("block", F.lit("\n")).alias("value"))
     blocks.write.text(f"{src}/copy1")
-    blocks.write.text(f"{src}/copy2")
+    blocks.select(F.regexp_replace("value", 'skos:prefLabel "', 'skos:prefLabel "Later ').alias("value")).write.text(f"{src}/copy2")
     sink = S.scratch_path(spark, "stream-sink")
     q = clean_stream(spark, f"{src}/*", sink, S.scratch_path(spark, "stream-ckpt"))
     q.awaitTermination()

@@ -89,12 +89,11 @@ def v7(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def v2(spark: SparkSession, d: str) -> DataFrame:
     """V2 literals (uri, prop, text, lang, pos) from documents.
 
-    prefLabel = first 60 characters, altLabel = last 40, definition = the
-    whole text; two documents share each URI so that URIs repeat.
+    prefLabel = first line, altLabel = last line, definition = the whole text; two documents share each URI so that URIs repeat.
     """
     doc = table(spark, d, "documents")
     uri = F.concat(F.lit("http://ex.org/doc/"), F.floor(F.col("doc_id") / 2).cast("long").cast("string"))
-    rows = [("prefLabel", F.substring("text", 1, 60), 0), ("altLabel", F.right("text", F.lit(40)), 1),
+    rows = [("prefLabel", F.substring_index("text", "\n", 1), 0), ("altLabel", F.substring_index("text", "\n", -1), 1),
             ("definition", F.col("text"), 2)]
     out = None
     for prop, txt, k in rows:
@@ -119,8 +118,8 @@ def cleaner_input(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.concat(F.lit("http://ex.org/doc/"), n))
     concepts = doc.select(raw.alias("raw_uri"), F.col("doc_id").alias("pos"))
     lang = F.when(F.col("source") == "src5", F.upper("lang")).otherwise(F.col("lang"))
-    pref = F.when(F.col("source") == "src7", F.lit("   ")).otherwise(F.substring("text", 1, 60))
-    rows = [("prefLabel", pref, True), ("altLabel", F.right("text", F.lit(40)), True),
+    pref = F.when(F.col("source") == "src7", F.lit("   ")).otherwise(F.substring_index("text", "\n", 1))
+    rows = [("prefLabel", pref, True), ("altLabel", F.substring_index("text", "\n", -1), True),
             ("definition", F.col("text"), False)]
     lits = None
     for k, (prop, txt, is_label) in enumerate(rows):
@@ -202,8 +201,8 @@ def v5(spark: SparkSession, d: str) -> DataFrame:
     """V5 documentation rows: documents left-joined with labels and pages.
 
     def_<lang> = the text in the column of its language; example = first
-    sentence when quality = 1; changeNote when toxic = 1; note = the first
-    200 characters of the page with the same id (HTML markup).
+    sentence when quality = 1; changeNote when toxic = 1; note = the page
+    with the same id (HTML markup).
     """
     doc = table(spark, d, "documents")
     lab = table(spark, d, "labels")
@@ -211,10 +210,11 @@ def v5(spark: SparkSession, d: str) -> DataFrame:
     j = doc.join(lab, "doc_id", "left").join(pg, "doc_id", "left")
     cols = [F.concat(F.lit("http://ex.org/doc/"), F.col("doc_id").cast("string")).alias("uri"),
             F.col("doc_id").cast("long").alias("pos")]
-    cols += [F.when(F.col("lang") == lg, F.col("text")).alias(f"def_{lg}") for lg in ("en", "fr", "de", "es")]
+    shown = F.coalesce(F.col("toxic"), F.lit(0)) == 0  # flagged texts are withheld and leave a concept without definition
+    cols += [F.when(shown & (F.col("lang") == lg), F.col("text")).alias(f"def_{lg}") for lg in ("en", "fr", "de", "es")]
     cols += [F.when(F.col("quality") == 1, F.regexp_extract("text", r"^[^.!?]*[.!?]", 0)).alias("example"),
              F.when(F.col("toxic") == 1, F.lit("Flagged in review")).alias("changeNote"),
-             F.substring("html", 1, 200).alias("note")]
+             F.col("html").alias("note")]
     return j.select(*cols)
 
 
@@ -247,10 +247,10 @@ def v6(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def v8(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """V8: embeddings with label < 3 are property vectors (grouped by label), the rest are
-    field vectors named 'f<vec_id>'."""
+    """V8: embeddings with label < 3 are property vectors (grouped by label); every embedding is a
+    field vector named 'f<vec_id>'."""
     e = table(spark, d, "embeddings")
     props = e.where("label < 3").select(F.col("label").cast("string").alias("label"), "embedding")
-    fields = e.where("label >= 3").select(F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("field"),
+    fields = e.select(F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("field"),
                                           "vec_id", "embedding")
     return {"props": props, "fields": fields}

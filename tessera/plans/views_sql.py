@@ -94,9 +94,9 @@ FROM supplier""")
 
 # V2: literals from documents; two documents per URI
 _v("v2", """
-SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR) AS uri, 'prefLabel' AS prop, substring(text, 1, 60) AS text,
+SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR) AS uri, 'prefLabel' AS prop, split_part(text, chr(10), 1) AS text,
        lang, CAST(doc_id * 10 AS BIGINT) AS pos FROM documents
-UNION ALL SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR), 'altLabel', right(text, 40), lang,
+UNION ALL SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR), 'altLabel', split_part(text, chr(10), -1), lang,
        CAST(doc_id * 10 + 1 AS BIGINT) FROM documents
 UNION ALL SELECT 'http://ex.org/doc/' || CAST(doc_id // 2 AS VARCHAR), 'definition', text, lang,
        CAST(doc_id * 10 + 2 AS BIGINT) FROM documents""")
@@ -139,11 +139,11 @@ SELECT p_brand AS collection, 'http://ex.org/part/' || CAST(p_partkey AS VARCHAR
 # V5: documentation rows
 _v("v5", """
 SELECT 'http://ex.org/doc/' || CAST(d.doc_id AS VARCHAR) AS uri, CAST(d.doc_id AS BIGINT) AS pos,
-       CASE WHEN lang = 'en' THEN text END AS def_en, CASE WHEN lang = 'fr' THEN text END AS def_fr,
-       CASE WHEN lang = 'de' THEN text END AS def_de, CASE WHEN lang = 'es' THEN text END AS def_es,
+       CASE WHEN lang = 'en' AND coalesce(l.toxic, 0) = 0 THEN text END AS def_en, CASE WHEN lang = 'fr' AND coalesce(l.toxic, 0) = 0 THEN text END AS def_fr,
+       CASE WHEN lang = 'de' AND coalesce(l.toxic, 0) = 0 THEN text END AS def_de, CASE WHEN lang = 'es' AND coalesce(l.toxic, 0) = 0 THEN text END AS def_es,
        CASE WHEN l.quality = 1 THEN regexp_extract(text, '^[^.!?]*[.!?]', 0) END AS example,
        CASE WHEN l.toxic = 1 THEN 'Flagged in review' END AS changeNote,
-       substring(p.html, 1, 200) AS note
+       p.html AS note
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN pages p ON d.doc_id = p.page_id""")
 _v("v5d", """
 SELECT uri AS concept_uri, doc_type, lang, content, pos, k FROM (

@@ -64,9 +64,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
             b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return b.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -13,24 +13,36 @@ from tessera.session import checkpoint_dir
 # Separators tried for a CSV file, in order.
 CSV_SEPARATORS = [";", ",", "\t", "|"]
 
+# Encodings tried for a CSV file, in order.
+CSV_ENCODINGS = ["utf-8", "utf-8-sig", "cp1252", "latin1", "iso-8859-1"]
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never machine-local on a cluster)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
-             header: bool = True, all_strings: bool = True) -> DataFrame:
-    """CSV with every column a string, malformed lines dropped.
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """CSV with every column a string; names from the header, empty fields null.
 
-    With ``all_strings`` no schema inference runs (inference is a full extra
-    scan); the header gives the column names.
+    Rows with fewer fields than the header are padded with nulls, rows with more
+    are skipped (an empty field behind a last separator is not one more).  Fields may be quoted, hold doubled or backslash-escaped quotes
+    and, with ``multi_line`` (the default), line ends; such files are read one
+    task per file.  ``multi_line=False`` splits large files that have no line
+    ends inside quotes.
     """
-    r = (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-              .option("quote", '"').option("escape", "\\").option("mode", "DROPMALFORMED"))
-    if all_strings:
-        r = r.option("inferSchema", False)
-    return r.csv(path)
+    r = (spark.read.option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", "\\")
+              .option("charToEscapeQuoteEscaping", "\\").option("multiLine", multi_line).option("inferSchema", False)
+              .option("unescapedQuoteHandling", "STOP_AT_CLOSING_QUOTE"))
+    names = r.option("header", True).csv(path).columns
+    # one field more than the header tells an over-long row
+    spare = "_over"
+    while spare in names:
+        spare += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, spare]])
+    rows = (r.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").schema(schema).csv(path))
+    return rows.where(F.col(f"`{spare}`").isNull()).select(
+        *[F.nullif(F.regexp_replace(F.col(f"`{n}`"), '""', '"'), F.lit("")).alias(n) for n in names])
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -45,26 +57,34 @@ def csv_dialect_scores(lines: DataFrame, separators: list[str] | None = None) ->
 
     ``lines`` is (file, line_no, line).  For a separator: columns = fields of
     the header (first line), rows = non-blank data lines with no more fields
-    than the header (longer ones are skipped, shorter ones padded); score =
-    columns x rows, doubled above two columns.  Candidates are taken in
-    separator order: a candidate with more than one column is accepted when
-    its score beats every earlier accepted one; the first accepted one with
-    at least five columns wins at once, else the last accepted one.
+    than the header (longer ones are skipped, shorter ones padded); separators
+    inside double quotes do not count.  Score = columns x rows, doubled above two
+    columns.  Candidates are taken in separator order: a candidate with more than
+    one column is accepted when its score beats every earlier accepted one; the
+    first accepted one with at least five columns wins at once, else the last
+    accepted one.
+
+    Lines are reduced to counts per (file, separator, number of fields) in every
+    task before anything is joined, so a file with most of the lines is no hot key.
     """
     seps = separators or CSV_SEPARATORS
-    cand = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(s).alias("sep")) for i, s in enumerate(seps)])
-    first = lines.groupBy("file").agg(F.min("line_no").alias("first_no"))
-    l2 = lines.join(first, "file").select("file", (F.col("line_no") == F.col("first_no")).alias("is_header"),
-                                          "line")
-    x = l2.select("file", "is_header", "line", F.explode(cand).alias("c"))
-    nf = F.size(F.split("line", F.concat(F.lit("\\Q"), F.col("c.sep"), F.lit("\\E")), -1))
-    x = x.select("file", "is_header", F.col("c.k").alias("k"), F.col("c.sep").alias("sep"),
-                 nf.alias("nf"), (F.trim("line") == "").alias("blank"))
-    head = x.where("is_header").select("file", "k", "sep", F.col("nf").alias("columns"))
-    body = (x.where(~F.col("is_header") & ~F.col("blank")).select("file", "k", "nf"))
-    counted = (head.join(body, ["file", "k"], "left")
-                   .groupBy("file", "k", "sep", "columns")
-                   .agg(F.count_if(F.col("nf") <= F.col("columns")).alias("rows")))
+    # what is left of a line without its quoted parts (a doubled quote inside one is part of it)
+    plain = F.regexp_replace("line", r'"(?:[^"]++|"")*+"', "")
+    fields = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(s).alias("sep"),
+                                (F.length("plain") - F.length(F.replace(F.col("plain"), F.lit(s), F.lit(""))) + 1).alias("nf"))
+                       for i, s in enumerate(seps)])
+    x = lines.select("file", "line_no", (F.trim("line") == "").alias("blank"), plain.alias("plain"))
+    x = x.select("file", "line_no", "blank", F.explode(fields).alias("c"))
+    per = x.groupBy("file", F.col("c.k").alias("k"), F.col("c.sep").alias("sep"), F.col("c.nf").alias("nf")).agg(
+        F.min("line_no").alias("first_no"), F.count_if(~F.col("blank")).alias("n"),
+        F.min(F.when(~F.col("blank"), F.col("line_no"))).alias("first_full"))
+    # bounded windows: one row per number of fields of a (file, separator)
+    w_sep = Window.partitionBy("file", "k")
+    per = per.withColumn("head_no", F.min("first_no").over(w_sep))
+    per = per.withColumn("columns", F.max(F.when(F.col("first_no") == F.col("head_no"), F.col("nf"))).over(w_sep))
+    counted = per.groupBy("file", "k", "sep", "columns").agg(
+        F.sum(F.when(F.col("nf") <= F.col("columns"), F.col("n")
+                     - F.when(F.col("first_full").eqNullSafe(F.col("head_no")), 1).otherwise(0)).otherwise(0)).alias("rows"))
     score = F.col("columns") * F.col("rows") * F.when(F.col("columns") > 2, 2).otherwise(1)
     s = counted.withColumn("score", score.cast("long"))
     w = Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,6 +99,20 @@ def csv_dialect_scores(lines: DataFrame, separators: list[str] | None = None) ->
     return s.select("file", "sep", "columns", "rows", "score", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
+def choose_encoding(spark: SparkSession, path: str, encodings: list[str] | None = None) -> DataFrame:
+    """(file, encoding): the first candidate under which a file decodes.
+
+    Bytes that are no valid UTF-8 fall through to the single-byte encodings, the first of which
+    accepts everything; a byte order mark names UTF-8 with signature.  One task reads one file.
+    """
+    names = encodings or CSV_ENCODINGS
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    bom = F.substring("content", 1, 3) == F.lit(b"\xef\xbb\xbf")
+    single = next((n for n in names if n not in ("utf-8", "utf-8-sig")), names[-1])
+    return files.select("file", F.when(F.is_valid_utf8(F.col("content").cast("string")),
+                                       F.when(bom, "utf-8-sig").otherwise("utf-8")).otherwise(single).alias("encoding"))
+
+
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     """Struct columns to dotted names, recursively; arrays and maps are kept as they are."""
     cols = []
@@ -97,10 +131,10 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 
 def read_json_flat(spark: SparkSession, path: str, multi_line: bool = False,
                    schema: T.StructType | str | None = None) -> DataFrame:
-    """S3: JSON records (a list, one object, or JSON Lines) with nested objects flattened.
+    """S3: JSON records with nested objects flattened.
 
-    JSON Lines (the default) split across tasks; ``multi_line`` reads whole
-    documents (one task per file).
+    JSON Lines (the default) split across tasks; ``multi_line`` reads a list of
+    objects or one object per file (one task per file).
     """
     r = spark.read.option("multiLine", multi_line)
     if schema is not None:

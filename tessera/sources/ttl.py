@@ -1,10 +1,11 @@
 """Turtle (TTL) sources and sinks built from text columns.
 
-Reading: files are split into records at blank lines (``lineSep='\\n\\n'``),
-which keeps a large file splittable across tasks; each record is cut into
-concept blocks with array expressions.  A concept block never spans a blank
-line in files written by ``write_ttl``; foreign files that break a block with
-a blank line lose the part after it.
+Reading: files are read line by line (any line end), so a large file splits
+across tasks.  Lines are trimmed, blank and comment lines dropped, and every
+line is numbered with its concept block by a two-level count of start lines:
+a running count inside each file split plus the counts of the splits before
+it.  Blocks may hold blank lines, tabs and CRLF line ends, and a file may hold
+any number of them.  One task holds one block at a time.
 
 Writing: one text line-group per concept, built with ``concat``/``array_join``
 inside the executors; the header is a one-row file of its own.
@@ -12,10 +13,11 @@ inside the executors; the header is a one-row file of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.terms import statement
+from tessera.functions.text import strip_ws as strip
 from tessera.model import LITERAL_PROPERTIES, PREFIXES, RELATION_PROPERTIES
 from tessera.operators.fields import property_rank
 from tessera.session import checkpoint_dir
@@ -24,58 +26,77 @@ from tessera.session import checkpoint_dir
 # (a following letter, as in ConceptScheme, does not start a concept).
 CONCEPT_START = r"^(<[^>]+>|[a-zA-Z0-9_:/-]+)\s+a\s+skos:Concept(?![A-Za-z])"
 # Possessive runs keep Java's matcher from recursing once per character on long texts.
-_LIT = r'"((?:[^"\\]++|\\.)*+)"(?:@([A-Za-z]{2,3}(?:-[A-Za-z0-9]{1,8})*))?'
 _LIT_NC = r'"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z]{2,3}(?:-[A-Za-z0-9]{1,8})*)?'
 _TERM = r'(?:<[^>]*>|[A-Za-z][A-Za-z0-9_.-]*:[A-Za-z0-9_./#-]*[A-Za-z0-9_/#-])'
 
 
-def read_records(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """Blank-line separated records with their file and a per-file order key.
+def read_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, split, mid, line): trimmed lines without blank and comment lines, in file order of (split, mid)."""
+    return _content(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("mid"), strip("value").alias("line")))
 
-    ``whole_files`` reads each file as one record instead: right for foreign
-    files that put blank lines inside a concept block, at the price of one
-    task per file.
+
+def _content(lines: DataFrame) -> DataFrame:
+    return lines.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
+
+
+def number_groups(lines: DataFrame, is_start: Column) -> DataFrame:
+    """Add ``k``: how many start lines the file has up to and including the line.
+
+    The windows are bounded by a file split and by the splits of a file.
     """
-    r = spark.read.text(path, wholetext=True) if whole_files else spark.read.option("lineSep", "\n\n").text(path)
-    return (r
-                 .select(F.col("value").alias("record"),
-                         F.col("_metadata.file_path").alias("file"),
-                         F.monotonically_increasing_id().alias("rec")))
+    own = Window.partitionBy("file", "split")
+    marked = lines.withColumn("_s", is_start.cast("long"))
+    per = marked.groupBy("file", "split").agg(F.sum("_s").alias("_n"))
+    before = per.select("file", "split", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    run = F.sum("_s").over(own.orderBy("mid").rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_run", run).join(before, ["file", "split"]).select(
+        "file", "split", "mid", "line", (F.col("_run") + F.col("_off")).alias("k"))
+
+
+def _first_lines(lines: Column, is_end) -> Column:
+    """The array up to and including its first element that ``is_end`` accepts."""
+    ends = F.filter(F.transform(lines, lambda x, i: F.when(is_end(x), i + 1)), lambda i: i.isNotNull())
+    return F.slice(lines, 1, F.coalesce(F.try_element_at(ends, F.lit(1)), F.size(lines)))
+
+
+def _block(lines: Column) -> Column:
+    return F.array_join(_first_lines(lines, lambda x: x == "."), "\n")
 
 
-def _lines(record: Column) -> Column:
-    """Trimmed lines without blanks and comments (the cleaner's view of a file)."""
-    ls = F.transform(F.split(record, "\n"), lambda x: F.trim(x))
-    return F.filter(ls, lambda x: (x != "") & ~x.startswith("#"))
+def _gathered(numbered: DataFrame) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("split", "mid", "line")))
+    return numbered.where("k > 0").groupBy("file", "k").agg(F.transform(rows, lambda x: x["line"]).alias("lines"))
 
 
-def blocks_from_records(records: DataFrame) -> DataFrame:
-    """(file, rec, k, raw_uri, block) - one row per concept block.
+def _with_uri(blocks: DataFrame) -> DataFrame:
+    """Add the raw URI and ``pos``, the order key (file, number of the block), which cannot overflow."""
+    return (blocks.withColumn("raw_uri", F.regexp_extract("block", CONCEPT_START[1:], 1))
+            .withColumn("pos", F.struct("file", "k")))
+
+
+def read_ttl(spark: SparkSession, path) -> DataFrame:
+    """(file, k, block, raw_uri, pos), one row per concept block of the TTL files.
 
     A block runs from its start line to the next start line or to a line that
     is exactly '.', whichever comes first.
     """
-    r = records.withColumn("lines", _lines(F.col("record")))
-    n = F.size("lines")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                      lambda i: F.element_at("lines", i).rlike(CONCEPT_START))
-
-    def one(s, k):
-        nxt = F.when(k + 1 < F.size(starts), F.element_at(starts, k + 2) - 1).otherwise(n)
-        dot = F.array_min(F.filter(F.sequence(s, nxt), lambda i: F.element_at("lines", i) == "."))
-        end = F.coalesce(dot, nxt)
-        return F.struct(k.alias("k"), F.array_join(F.slice("lines", s, end - s + 1), "\n").alias("block"))
-
-    out = (r.where(n > 0)
-            .select("file", "rec", F.explode(F.transform(starts, one)).alias("b"))
-            .select("file", "rec", F.col("b.k").alias("k"), F.col("b.block").alias("block")))
-    return out.withColumn("raw_uri", F.regexp_extract("block", CONCEPT_START[1:], 1))
+    numbered = number_groups(read_lines(spark, path), F.col("line").rlike(CONCEPT_START))
+    return _with_uri(_gathered(numbered).select("file", "k", _block(F.col("lines")).alias("block")))
 
 
-def read_ttl(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """Concept blocks of TTL files, with a stable order key ``pos``."""
-    b = blocks_from_records(read_records(spark, path, whole_files))
-    return b.withColumn("pos", F.col("rec") * 100000 + F.col("k"))
+def blocks_from_files(files: DataFrame) -> DataFrame:
+    """S4 on whole small files (file, content), as a stream delivers them: the columns of ``read_ttl``."""
+    lines = F.filter(F.transform(F.split("content", "\r\n|\n|\r"), strip), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    f = files.select("file", lines.alias("lines"))
+    starts = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(CONCEPT_START), i + 1)), lambda i: i.isNotNull())
+    f = f.withColumn("starts", starts).withColumn("ends", F.concat(
+        F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("lines") + 1)))
+    f = f.where(F.size("starts") > 0).select("file", "lines", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "b"))
+    return _with_uri(f.select("file", (F.col("i") + 1).cast("long").alias("k"), _block(
+        F.slice("lines", F.col("b.starts"), F.col("b.ends") - F.col("b.starts"))).alias("block")))
 
 
 def _unescape(c: Column) -> Column:
@@ -93,33 +114,35 @@ def parse_literals(blocks: DataFrame, default_lang: str = "en", uri_col: str = "
     the text; missing language tags get ``default_lang``.
     """
     props = props or LITERAL_PROPERTIES
-    stmt = rf"skos:({'|'.join(props)})\s+({_LIT_NC}(?:\s*,\s*{_LIT_NC})*)"
-    s = blocks.select(uri_col, "pos", F.arrays_zip(
-        F.regexp_extract_all("block", F.lit(stmt), 1).alias("prop"),
-        F.regexp_extract_all("block", F.lit(stmt), 2).alias("objs")).alias("st"))
-    s = s.select(uri_col, "pos", F.posexplode("st").alias("spos", "st")).select(
-        uri_col, "pos", "spos", F.col("st.prop").alias("prop"), F.col("st.objs").alias("objs"))
-    lit = s.select(uri_col, "pos", "spos", "prop", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all("objs", F.lit(_LIT), 1).alias("t"),
-        F.regexp_extract_all("objs", F.lit(_LIT), 2).alias("l"))).alias("opos", "o"))
+    stmt = rf"skos:(?:{'|'.join(props)})\s+{_LIT_NC}(?:\s*,\s*{_LIT_NC})*+"
+    s = blocks.select(uri_col, "pos", F.posexplode(F.regexp_extract_all("block", F.lit(stmt), 0)).alias("spos", "st"))
+    lit = s.select(uri_col, "pos", "spos", F.regexp_extract("st", r"^skos:(\w+)", 1).alias("prop"),
+                   F.posexplode(F.regexp_extract_all("st", F.lit(_LIT_NC), 0)).alias("opos", "o"))
+    # a literal is quote, text, quote and then nothing or @tag: cut by position, no further pattern
+    tag = F.substring_index("o", '"', -1)
+    lit = lit.withColumn("tag", tag)
     return lit.select(
-        uri_col, "pos", "prop", (F.col("spos") * 1000 + F.col("opos")).alias("vpos"),
-        _unescape(F.col("o.t")).alias("text"),
-        F.when(F.col("o.l") == "", F.lit(default_lang)).otherwise(F.col("o.l")).alias("lang"))
+        uri_col, "pos", "prop", _value_pos("spos", "opos"),
+        _unescape(F.substring("o", 2, F.length("o") - 2 - F.length("tag"))).alias("text"),
+        F.when(F.col("tag") == "", F.lit(default_lang)).otherwise(F.substring("tag", 2, F.length("tag"))).alias("lang"))
+
+
+def _value_pos(statement_no: str, value_no: str) -> Column:
+    """``vpos``: statement number in the high and value number in the low 32 bits."""
+    return F.shiftleft(F.col(statement_no).cast("long"), 32).bitwiseOR(F.col(value_no).cast("long")).alias("vpos")
 
 
 def parse_relations(blocks: DataFrame, uri_col: str = "uri", props: list[str] | None = None) -> DataFrame:
     """Long URI statements (uri, pos, prop, vpos, target); comma lists and line breaks allowed."""
     props = props or RELATION_PROPERTIES
-    stmt = rf"skos:({'|'.join(props)})\s+({_TERM}(?:\s*,\s*{_TERM})*)"
+    stmt = rf"skos:(?:{'|'.join(props)})\s+{_TERM}(?:\s*,\s*{_TERM})*+"
     flat = F.regexp_replace("block", r"\s*\n\s*", " ")
-    s = blocks.select(uri_col, "pos", F.arrays_zip(
-        F.regexp_extract_all(flat, F.lit(stmt), 1).alias("prop"),
-        F.regexp_extract_all(flat, F.lit(stmt), 2).alias("objs")).alias("st"))
-    s = s.select(uri_col, "pos", F.posexplode("st").alias("spos", "st"))
-    t = s.select(uri_col, "pos", "spos", F.col("st.prop").alias("prop"),
-                 F.posexplode(F.regexp_extract_all(F.col("st.objs"), F.lit(f"({_TERM})"), 1)).alias("opos", "t"))
-    return t.select(uri_col, "pos", "prop", (F.col("spos") * 1000 + F.col("opos")).alias("vpos"),
+    s = blocks.select(uri_col, "pos", F.posexplode(F.regexp_extract_all(flat, F.lit(stmt), 0)).alias("spos", "st"))
+    s = s.select(uri_col, "pos", "spos", F.regexp_extract("st", r"^skos:(\w+)", 1).alias("prop"),
+                 F.regexp_replace("st", r"^skos:\w+\s+", "").alias("objs"))
+    t = s.select(uri_col, "pos", "spos", "prop",
+                 F.posexplode(F.regexp_extract_all("objs", F.lit(_TERM), 0)).alias("opos", "t"))
+    return t.select(uri_col, "pos", "prop", _value_pos("spos", "opos"),
                     F.regexp_replace("t", r"^<|>$", "").alias("target"))
 
 
@@ -144,21 +167,16 @@ def concept_table(literals: DataFrame, relations: DataFrame, uri_col: str = "uri
                        "definition", "broader"))
 
 
-def read_header(spark: SparkSession, path: str) -> DataFrame:
+def read_header(spark: SparkSession, path) -> DataFrame:
     """(file, kind, text) for @base, @prefix and the ConceptScheme statement."""
-    rec = read_records(spark, path).withColumn("lines", _lines(F.col("record")))
-    decl = rec.select("file", F.explode("lines").alias("line")).where(
-        F.col("line").rlike(r"^@(base|prefix)\s"))
-    decl = decl.select("file", F.regexp_extract("line", r"^@(\w+)", 1).alias("kind"), F.col("line").alias("text"))
-    n = F.size("lines")
-    first = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                 lambda i: F.element_at("lines", i).contains("a skos:ConceptScheme")))
-    last = F.array_min(F.filter(F.sequence(F.coalesce(first, F.lit(1)), F.greatest(n, F.lit(1))),
-                                lambda i: F.element_at("lines", i).endswith(" .")))
-    scheme = (rec.where(first.isNotNull())
-                 .select("file", F.lit("scheme").alias("kind"),
-                         F.array_join(F.slice("lines", first, F.coalesce(last, n) - first + 1), "\n    ")
-                          .alias("text")))
+    lines = read_lines(spark, path)
+    decl = lines.where(F.col("line").rlike(r"^@(base|prefix)\s")).select(
+        "file", F.regexp_extract("line", r"^@(\w+)", 1).alias("kind"), F.col("line").alias("text"))
+    is_scheme = F.contains("line", F.lit("a skos:ConceptScheme"))
+    groups = _gathered(number_groups(lines, is_scheme | F.col("line").rlike(CONCEPT_START)))
+    scheme = groups.where(F.contains(F.col("lines")[0], F.lit("a skos:ConceptScheme"))).select(
+        "file", F.lit("scheme").alias("kind"),
+        F.array_join(_first_lines(F.col("lines"), lambda x: F.endswith(x, F.lit(" ."))), "\n    ").alias("text"))
     return decl.unionByName(scheme)
 
 
@@ -208,7 +226,6 @@ def number_rows(df: DataFrame, order_cols: list[str], col: str = "line_no") -> D
     tagged = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_mid", 33)
     counts = tagged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
     offs = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
                          .alias("_off"))
     low = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
@@ -217,10 +234,17 @@ def number_rows(df: DataFrame, order_cols: list[str], col: str = "line_no") -> D
                   .drop("_mid", "_p", "_off"))
 
 
-def report_lines(issues: DataFrame, order_cols: list[str], text_col: str = "detail") -> DataFrame:
-    """Numbered report lines ``{n:3d}. text`` in a stable order."""
-    numbered = number_rows(issues, order_cols)
-    return numbered.select("line_no", F.format_string("%3d. %s", "line_no", text_col).alias("line"))
+def report_lines(issues: DataFrame, order_cols: list[str], text_col: str = "detail",
+                 section_col: str = "severity") -> DataFrame:
+    """(section, line_no, line): report lines ``{n:4d}. text``, numbered from 1 in every section.
+
+    One global numbering in (section, order); a section's first number (few rows) is taken off.
+    """
+    numbered = number_rows(issues, [section_col, *order_cols])
+    first = numbered.groupBy(section_col).agg(F.min("line_no").alias("_first"))
+    n = (F.col("line_no") - F.col("_first") + 1).alias("line_no")
+    return (numbered.join(first, section_col).select(section_col, n, text_col)
+            .select(section_col, "line_no", F.format_string("%4d. %s", "line_no", text_col).alias("line")))
 
 
 def write_change_log(changes: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -232,9 +256,6 @@ def write_change_log(changes: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def write_validation_report(issues: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S10 sink: violations then warnings, each numbered ``{n:3d}. detail``, as text."""
-    sev = F.when(F.col("severity") == "violation", 0).otherwise(1)
-    ordered = issues.withColumn("_sev", sev)
-    lines = number_rows(ordered, ["_sev", "rule", "uri", "detail"]).select(
-        "_sev", "line_no", F.format_string("%3d. %s", "line_no", "detail").alias("value"))
-    lines.orderBy("_sev", "line_no").select("value").write.mode(mode).text(path)
+    """S10 sink: violations, then warnings, each numbered from 1 as ``{n:4d}. detail``, as text."""
+    lines = report_lines(issues, ["rule", "uri", "detail"])
+    lines.orderBy("severity", "line_no").select(F.col("line").alias("value")).write.mode(mode).text(path)

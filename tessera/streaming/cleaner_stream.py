@@ -1,9 +1,11 @@
 """The TTL cleaning job as a Structured Streaming query.
 
-New TTL files landing in a folder are cut into concept blocks, URIs are
-cleaned, and the first block per URI is kept across all micro-batches (the
-seen URIs live in the state store, so the de-duplication is global, not per
-batch).  Each micro-batch writes its concepts, cleaned labels and label
+New TTL files landing in a folder are cut into concept blocks and URIs are
+cleaned.  The first block of a URI stays: a block of an earlier micro-batch
+before one of a later, inside a micro-batch the smallest (file, block number).
+URIs of earlier batches are read back from the concepts already written, so no
+setting of the session is touched and a restarted query knows them.  Each
+micro-batch is evaluated once and writes its concepts, cleaned labels and label
 issues with ``foreachBatch``; the batch id names the output folder, so a
 retried batch overwrites its own output instead of appending twice.
 """
@@ -15,22 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.text import clean_label, clean_uri
+from tessera.operators.cleaner import dedupe_concepts
 from tessera.operators.rules import rule_label_quality, rule_s13, rule_s14
-from tessera.sources.ttl import blocks_from_records, parse_literals
+from tessera.sources.ttl import blocks_from_files, parse_literals
 
 
 def concept_stream(spark: SparkSession, source_dir: str, base: str | None = None) -> DataFrame:
-    """Streaming concept blocks (file, k, raw_uri, uri, block), first block per URI only."""
-    records = (spark.readStream.format("text").option("lineSep", "\n\n").load(source_dir)
-                    .select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("file"),
-                            F.lit(0).cast("long").alias("rec")))
-    blocks = blocks_from_records(records).withColumn("uri", clean_uri("raw_uri", base))
-    return blocks.dropDuplicates(["uri"])
+    """Streaming concept blocks (file, k, block, raw_uri, pos, uri); every file is one record."""
+    files = (spark.readStream.format("text").option("wholetext", True).load(source_dir)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")))
+    return blocks_from_files(files).withColumn("uri", clean_uri("raw_uri", base))
+
+
+def first_blocks(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """One block per URI of a batch, without the URIs of ``earlier``."""
+    kept = dedupe_concepts(batch)[0]
+    return kept if earlier is None else kept.join(earlier.select("uri").distinct(), "uri", "left_anti")
 
 
 def _write_batch(sink_dir: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("pos", F.xxhash64("file", "k"))
+        earlier = None
+        if batch_id > 0:  # every batch before this one has written its folder, empty or not
+            earlier = batch.sparkSession.read.parquet(*[f"{sink_dir}/concepts/batch={i}" for i in range(batch_id)])
+        b = first_blocks(batch, earlier).persist()
         lit = parse_literals(b, uri_col="uri")
         labels = (lit.where(F.col("prop").isin("prefLabel", "altLabel", "hiddenLabel"))
                      .withColumn("text", clean_label("text")).where(F.col("text").isNotNull()))
@@ -38,28 +48,14 @@ def _write_batch(sink_dir: str):
         for name, df in (("concepts", b.select("uri", "raw_uri", "file", "block")), ("labels", labels),
                          ("issues", issues)):
             df.write.mode("overwrite").parquet(f"{sink_dir}/{name}/batch={batch_id}")
+        b.unpersist()
     return run
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def clean_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_location: str,
                  base: str | None = None, available_now: bool = True,
                  processing_time: str | None = None) -> StreamingQuery:
-    """Start the streaming cleaner; ``available_now`` processes what is there and stops.
-
-    The seen-URI state grows with the vocabulary, so the default heap-backed
-    state store is replaced by the RocksDB provider (state on each executor's
-    local disk, snapshotted to the checkpoint location); another configured
-    provider is left alone.
-    """
-    try:
-        configured = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    except Exception:  # noqa: BLE001 - unset key
-        configured = None
-    if not configured or "HDFSBackedStateStoreProvider" in configured:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Start the streaming cleaner; ``available_now`` processes what is there and stops."""
     w = (concept_stream(spark, source_dir, base).writeStream
          .option("checkpointLocation", checkpoint_location)
          .foreachBatch(_write_batch(sink_dir)))

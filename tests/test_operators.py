@@ -147,3 +147,62 @@ def test_scale_conf_sizes_partitions_for_large_inputs():
     assert int(c["spark.sql.shuffle.partitions"]) > 300000
     assert int(c["spark.sql.files.maxPartitionBytes"]) == 256 << 20
     assert int(scale_conf(10 ** 6)["spark.sql.shuffle.partitions"]) == 200
+
+
+def test_clusters_of_adverse_chains(spark):
+    names = ["n0000"] + [f"n{i:04d}" for i in range(70, 0, -1)]
+    rows = [(a, b, "exactMatch") for a, b in zip(names, names[1:])] + [("x", None, "exactMatch"), ("y", "n0003", "broadMatch")]
+    df = spark.createDataFrame(rows, "source_uri string, target_uri string, mapping_type string")
+    assert {tuple(r) for r in M.exact_match_clusters(df).collect()} == {(n, "n0000") for n in names}
+
+
+def test_outline_of_any_depth(spark):
+    import tessera.operators.hierarchy as HH
+    lv = [*range(1, 151), 70, 71, 2, 3, 150]
+    df = spark.createDataFrame([(f"n{i}", v, i) for i, v in enumerate(lv)], "id string, level int, pos long")
+    want, stack = set(), {}
+    for i, v in enumerate(lv):
+        stack = {k: x for k, x in stack.items() if k < v}
+        if v - 1 in stack:
+            want.add((f"n{i}", stack[v - 1]))
+        stack[v] = f"n{i}"
+    assert {tuple(r) for r in HH.edges_from_outline(df, block=40).collect()} == want
+
+
+def test_hierarchy_falls_through_sources_without_edges(spark):
+    rel = spark.createDataFrame([("a", "prefLabel", "x", 1)], "uri string, prop string, target string, pos long")
+    rows = spark.createDataFrame([("1", 1), ("2", 2)], "id string, Ebene int")
+    name, edges = H.extract_hierarchy(rows, rel)
+    assert name == "level" and [tuple(r) for r in edges.collect()] == [("2", "1")]
+    flat = spark.createDataFrame([("1", 1, None), ("2", 1, "1")], "id string, rang int, `übergeordnet` string")
+    assert H.extract_hierarchy(flat, rel)[0] == "parent"
+
+
+def test_stacked_positions_cannot_overflow(spark):
+    from tessera.operators import combine as C
+    big = 2 ** 62
+    a = spark.createDataFrame([("k", "first", big)], "id string, v string, pos long")
+    b = spark.createDataFrame([("k", "second", 0), ("j", "third", 1)], "id string, v string, pos long")
+    got = {(r.id, r.v) for r in C.concat_dedupe([("a", a), ("b", b)]).collect()}
+    assert got == {("k", "first"), ("j", "third")}
+
+
+def test_counters_follow_the_written_concepts(spark):
+    """Three blocks of one URI and one unlabelled block, counted by hand."""
+    from tessera.operators import cleaner as CL
+    concepts = spark.createDataFrame([("http://e/a", 1), ("http://e/a", 2), ("http://e/b", 3), ("c", 4)], "raw_uri string, pos long")
+    lits = [(1, "prefLabel", 0, "One,two", "en"), (1, "altLabel", 1, "One,two", "en"), (1, "altLabel", 2, "ok", "en"),
+            (1, "definition", 3, "A.B &amp; c", "en"), (1, "note", 4, "fine", "en"), (1, "altLabel", 5, "  ", "en"),
+            (2, "prefLabel", 0, "Dropped,twice", "en"), (2, "definition", 1, "gone", "en"),
+            (3, "definition", 0, "no label", "en"), (4, "prefLabel", 0, "Ã¤", "en")]
+    literals = spark.createDataFrame(lits, "pos long, prop string, vpos int, text string, lang string")
+    out = CL.clean_vocabulary(concepts, literals, base="http://e/")
+    got = {r.counter: r.value for r in out["report"].collect()}
+    assert got == {"total_concepts": 4, "duplicates_removed": 1, "malformed_uris_fixed": 1, "concepts_without_preflabel": 1,
+                   "encoding_issues_fixed": 2, "empty_labels_removed": 1, "text_fields_cleaned": 2, "comma_fixes": 2,
+                   "labels_processed": 4, "definitions_processed": 1, "notes_processed": 1, "final_concepts": 2,
+                   "invalid_concepts_removed": 1, "violations": 1, "warnings": 0}
+    assert {(r.prop, r.text) for r in out["literals"].where("uri = 'http://e/a'").collect()} == {
+        ("prefLabel", "One, two"), ("altLabel", "One, two"), ("altLabel", "ok"), ("definition", "A. B & c"), ("note", "fine")}
+    assert [r.detail for r in out["issues"].collect()] == [
+        'S13 Violation: <http://e/a> has 1 overlapping prefLabel/altLabel, first "One,two"@en']

@@ -22,8 +22,8 @@ def con():
 
 def test_every_query_has_a_name_and_most_have_an_oracle():
     assert len(QUERIES) >= 100
-    missing = sorted(set(QUERIES) - set(ORACLES))
-    assert missing == ["clean_issues", "map_clusters", "sample_check"]
+    missing = sorted(n for n in set(QUERIES) - set(ORACLES) if n != "pipeline" and not n.startswith("op"))
+    assert missing == ["sample_check"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

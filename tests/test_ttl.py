@@ -68,15 +68,64 @@ def test_report_sinks_write_numbered_lines(spark):
     iss = spark.createDataFrame([("a", "S14", "violation", "v1"), ("b", "encoding", "warning", "w1")],
                                 "uri string, rule string, severity string, detail string")
     TT.write_validation_report(iss, f"{d}/report")
-    assert sorted(r.value for r in spark.read.text(f"{d}/report").collect()) == ["  1. v1", "  2. w1"]
-
-
-def test_whole_file_mode_keeps_blocks_with_blank_lines(spark):
-    text = FOREIGN.replace('    skos:altLabel "A"@en-GB ;\n', '\n    skos:altLabel "A"@en-GB ;\n')
-    d = _write(text)
-    whole = TT.read_ttl(spark, d, whole_files=True)
-    lit = {(r.prop, r.text) for r in TT.parse_literals(whole, uri_col="raw_uri").collect()}
-    assert ("altLabel", "A") in lit and ("definition", "Line one\nline two") in lit
-    split = TT.read_ttl(spark, d)
-    lit2 = {(r.prop, r.text) for r in TT.parse_literals(split, uri_col="raw_uri").collect()}
-    assert ("altLabel", "A") not in lit2  # documented limit of the splittable mode
+    assert sorted(r.value for r in spark.read.text(f"{d}/report").collect()) == ["   1. v1", "   1. w1"]
+
+
+def test_blank_lines_tabs_and_crlf_inside_blocks(spark):
+    text = FOREIGN.replace('    skos:altLabel "A"@en-GB ;\n', '\n\t\n    skos:altLabel "A"@en-GB ;\n').replace("<http://ex.org/v/a> a", "\t<http://ex.org/v/a> a")
+    for content in (text, text.replace("\n", "\r\n")):
+        d = _write_bytes(content)
+        lit = {(r.prop, r.text) for r in TT.parse_literals(TT.read_ttl(spark, d), uri_col="raw_uri").collect()}
+        assert ("altLabel", "A") in lit and ("definition", "Line one\nline two") in lit
+        files = spark.createDataFrame([("f", content)], "file string, content string")
+        a = sorted((r.k, r.raw_uri, r.block) for r in TT.blocks_from_files(files).collect())
+        assert a == sorted((r.k, r.raw_uri, r.block) for r in TT.read_ttl(spark, d).collect())
+
+
+def _write_bytes(text):
+    d = tempfile.mkdtemp(prefix="tessera-ttl-", dir="/tmp")
+    with open(os.path.join(d, "v.ttl"), "wb") as f:
+        f.write(text.encode())
+    return d
+
+
+def test_many_blocks_in_one_file_over_many_splits(spark):
+    n = 120_000
+    body = "".join(f'<u{i}> a skos:Concept ;\n\n  skos:prefLabel "L{i}"@en .\n{".x"[i % 2 :] if i % 3 == 0 else ""}\n' for i in range(n))
+    d = _write_bytes(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        b = TT.read_ttl(spark, d)
+        rows = b.select("k", "raw_uri", F.size(F.split("block", "\n")).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == n
+    assert all(r.raw_uri == f"<u{r.k - 1}>" for r in rows)
+
+
+def test_long_value_lists_keep_their_order(spark):
+    values = [f"v{i:05d}" for i in range(1500)]
+    block = "<u> a skos:Concept ;\n" + "skos:altLabel " + ", ".join(f'"{v}"@en' for v in values) + ' ;\nskos:altLabel "last"@en .'
+    b = spark.createDataFrame([("u", 1, block)], "uri string, pos long, block string")
+    lit = TT.parse_literals(b)
+    assert [r.text for r in lit.orderBy("vpos").collect()] == [*values, "last"]
+    assert lit.select("vpos").distinct().count() == 1501
+
+
+def test_stream_keeps_the_first_block_over_batches(spark):
+    from tessera.streaming.cleaner_stream import clean_stream
+    root = tempfile.mkdtemp(prefix="tessera-str-", dir="/tmp")
+    os.makedirs(f"{root}/in")
+
+    def land(name, label):
+        with open(f"{root}/in/{name}", "w") as f:
+            f.write("".join(f'<http://ex.org/{i}> a skos:Concept ;\n\n skos:prefLabel "{label} {i}"@en .\n' for i in range(3 if name > "c" else 2)))
+
+    land("b.ttl", "second")
+    land("a.ttl", "first")
+    clean_stream(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt").awaitTermination()
+    land("c.ttl", "third")
+    clean_stream(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt").awaitTermination()
+    got = sorted((r.uri, r.text) for r in spark.read.parquet(f"{root}/out/labels").collect())
+    assert got == [("http://ex.org/0", "first 0"), ("http://ex.org/1", "first 1"), ("http://ex.org/2", "third 2")]
