@@ -116,6 +116,30 @@ def add_properties(literals: DataFrame, matched_rows: DataFrame, property_mappin
     return new.unionByName(other)
 
 
+def enrich_vocabulary(literals: DataFrame, rows: DataFrame, uri_field: str, base: str | None = None,
+                      property_mapping: dict[str, str] | None = None, lang: str = "de",
+                      pos_col: str = "pos") -> DataFrame:
+    """J9 + J12: the whole vocabulary after enrichment: (uri, prop, value, lang, kind, origin).
+
+    Statements of the input keep origin 'kept'.  Rows of known concepts add
+    theirs with origin 'enriched'.  A URI the vocabulary does not have becomes a
+    new concept (origin 'added') from its last row by position.  Rows with a
+    relative URI and no base are skipped.
+    """
+    fate = enrich_by_uri(literals, rows, uri_field, base, pos_col).where(F.col("status") != "skipped")
+    # one row per new URI: the last one; known concepts take all their rows
+    new = fate.where(F.col("status") == "added").groupBy("row_uri").agg(F.max("row_pos").alias("row_pos"))
+    known = fate.where(F.col("status") == "enriched").select("row_uri", "row_pos")
+    used = known.withColumn("origin", F.lit("enriched")).unionByName(new.withColumn("origin", F.lit("added")))
+    matched = rows.join(used.select(F.col("row_pos").alias(pos_col), F.col("row_uri").alias("concept_uri")), pos_col)
+    added = add_properties(literals, matched, property_mapping or {}, lang, pos_col)
+    origin = used.select(F.col("row_uri").alias("uri"), "origin").distinct()
+    is_rel = F.col("prop").isin(*RELATION_PROPS)
+    kept = literals.select("uri", "prop", "value", F.when(~is_rel, F.col("lang")).alias("lang"),
+                           F.when(is_rel, "relation").otherwise("literal").alias("kind"), F.lit("kept").alias("origin"))
+    return kept.unionByName(added.join(origin, "uri").select("uri", "prop", "value", "lang", "kind", "origin"))
+
+
 def apply_hierarchy(df: DataFrame, edges: DataFrame, uri_col: str = "id") -> DataFrame:
     """The table with its ``broader`` value and the number of narrower concepts.
 

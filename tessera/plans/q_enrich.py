@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.terms import typed_term
 from tessera.operators import enrich as EN
 from tessera.operators import hierarchy as H
 from tessera.plans import testbed as T
 from tessera.plans.registry import query
+from tessera.plans.sqlfrag import esc
+from tessera.sources import ttl as TT
+from tessera.sources.files import scratch_path
 
 BASE = "http://ex.org/c/"
 V6 = ("v6l", "v6r")
@@ -86,6 +90,66 @@ def enrich_add_properties(spark, d):
     return EN.add_properties(v["literals"], rows, PROPS, lang="de")
 
 
+# Flow C: a vocabulary in TTL and a table of rows in, the enriched vocabulary out.
+FLOW_PROPS = {"label": "altLabel", "segment": "related", "spend": "notation"}
+_FLOW_SQL = f"""
+m AS (SELECT {_NORM} AS uri, pos, label, segment, CAST(spend AS VARCHAR) AS spend, uri AS raw,
+             {_NORM} IN (SELECT uri FROM v6l) AS known FROM v6r),
+u AS (SELECT * FROM m WHERE known OR pos IN (SELECT max(pos) FROM m WHERE NOT known GROUP BY uri)),
+l AS (SELECT uri, pos, known, 'altLabel' AS prop, label AS value FROM u
+      UNION ALL SELECT uri, pos, known, 'related', segment FROM u
+      UNION ALL SELECT uri, pos, known, 'notation', spend FROM u
+      UNION ALL SELECT uri, pos, known, 'uri', raw FROM u),
+f AS (SELECT * FROM l WHERE value IS NOT NULL AND trim(value) <> ''),
+e AS (SELECT uri, prop, value, CASE WHEN prop <> 'related' THEN lang END AS lang, 'literal' AS kind, 'kept' AS origin FROM v6l
+      UNION ALL
+      SELECT DISTINCT uri, prop, value, CASE WHEN prop = 'altLabel' THEN 'de' END,
+             CASE WHEN prop = 'altLabel' THEN 'literal' ELSE 'relation' END, CASE WHEN known THEN 'enriched' ELSE 'added' END
+      FROM f WHERE prop IN ('altLabel', 'related') AND (uri, prop, value) NOT IN (SELECT (uri, prop, value) FROM v6l)
+      UNION ALL
+      SELECT uri, prop, arg_max(value, pos), NULL, 'other', CASE WHEN bool_or(known) THEN 'enriched' ELSE 'added' END
+      FROM f WHERE prop IN ('uri', 'notation') GROUP BY uri, prop)"""
+
+
+def _written_customers(spark, d) -> str:
+    """The V6 concepts as TTL files in the shared folder."""
+    lit = T.v6(spark, d)["literals"].withColumn("term", typed_term("prop", "value", F.col("lang")))
+    path = scratch_path(spark, "flow-c")
+    TT.write_ttl(TT.concept_blocks(lit, "uri", "pos"), path, TT.header_text(BASE, "Customers", "V6", "en", "2024-01-01"))
+    return f"{path}/concepts"
+
+
+def _flow(spark, d):
+    blocks = TT.read_ttl(spark, _written_customers(spark, d)).withColumn("uri", F.regexp_replace("raw_uri", "^<|>$", ""))
+    lit = TT.parse_literals(blocks).select("uri", "prop", F.col("text").alias("value"), "lang", "pos", "vpos")
+    rows = T.v6(spark, d)["rows"].withColumn("spend", F.col("spend").cast("string"))
+    return EN.enrich_vocabulary(lit, rows, "uri", BASE, FLOW_PROPS)
+
+
+@query("enrich_vocabulary", f"WITH {_FLOW_SQL} SELECT uri, prop, value, lang, kind, origin FROM e", V6)
+def enrich_vocabulary(spark, d):
+    """Read TTL, match rows by URI, return every statement of the enriched vocabulary."""
+    return _flow(spark, d)
+
+
+@query("enrich_to_ttl", f"""
+WITH {_FLOW_SQL},
+t AS (SELECT uri, CASE prop WHEN 'prefLabel' THEN 0 WHEN 'altLabel' THEN 1 WHEN 'notation' THEN 2 ELSE 3 END AS r,
+             '    skos:' || prop || ' ' || CASE prop WHEN 'related' THEN '<' || value || '>'
+               WHEN 'notation' THEN '"' || {esc('value')} || '"^^xsd:string'
+               ELSE '"' || {esc('value')} || '"@' || coalesce(lang, 'de') END AS s
+      FROM e WHERE prop <> 'uri')
+SELECT uri, '<' || uri || '> a skos:Concept ;' || chr(10) || '    skos:inScheme <> ;' || chr(10)
+       || string_agg(s, ' ;' || chr(10) ORDER BY r, s) || ' .' AS block
+FROM t GROUP BY uri""", V6)
+def enrich_to_ttl(spark, d):
+    """The enriched vocabulary as one block per concept, new concepts included."""
+    e = _flow(spark, d).where("prop <> 'uri'")
+    terms = e.select("uri", "prop", F.lit(0).alias("vpos"),
+                     typed_term("prop", "value", F.coalesce(F.col("lang"), F.lit("de"))).alias("term"))
+    return TT.concept_blocks(terms, "uri").select("uri", "block")
+
+
 @query("apply_hierarchy", """
 WITH n AS (SELECT DISTINCT trim(id) AS id, CAST(level AS DOUBLE) AS level FROM v1),
 e AS (SELECT c.id AS child, arg_max(p.id, length(p.id)) AS parent
