@@ -126,47 +126,48 @@ def field_role_match(catalog: DataFrame, with_id_fallback: bool = True) -> DataF
 
 def doc_field_match(catalog: DataFrame) -> DataFrame:
     """K3: columns whose lower-case name contains a documentation pattern, with the first
-    language whose indicator occurs in the rest of the name (after the pattern)."""
+    language whose indicator is a word of the rest of the name (without the pattern)."""
     h = (catalog.select("dataset", "ordinal", "colname", F.lower("colname").alias("low"),
                         F.explode(_patterns(DOC_PATTERNS, "doc_type")).alias("p"))
                 .where(F.col("low").contains(F.col("p.kw"))))
     first = h.groupBy("dataset", "ordinal", "colname", "low", F.col("p.doc_type").alias("doc_type")).agg(
         F.min_by("p.kw", "p.rank").alias("pattern"), F.min("p.rank").alias("rank"))
-    rest = F.replace(F.col("low"), F.col("pattern"), F.lit(""))
-    langs = F.filter(F.array(*[F.when(F.locate(ind, rest) > 0, F.lit(lang)) for lang, ind, _ in
+    # indicators are matched as whole words of the rest of the name
+    words = F.split(F.replace(F.col("low"), F.col("pattern"), F.lit(" ")), r"[^\p{L}]+")
+    langs = F.filter(F.array(*[F.when(F.array_contains(words, ind), F.lit(lang)) for lang, ind, _ in
                                _flat(LANGUAGE_PATTERNS)]), lambda x: x.isNotNull())
     return first.select("dataset", "doc_type", "colname", "pattern", "rank",
                         F.coalesce(F.try_element_at(langs, F.lit(1)), F.lit("en")).alias("lang"))
 
 
-def dataset_overlap(catalog: DataFrame, max_datasets: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """K4: (pairs, summary): Jaccard of the colname sets of every two datasets sharing a
-    colname, and the mean over all dataset pairs (pairs sharing nothing count as 0) with
-    the scenario 'distributed' above 0.3 else 'complete'.
+def dataset_overlap(catalog: DataFrame, threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """K4: (pairs, summary): Jaccard of the column-name sets of every two datasets, and its mean
+    over all dataset pairs (pairs sharing nothing count as 0) with the scenario
+    'distributed' above 0.3 else 'complete'.
 
-    The pairwise self-join is on colname name; it is meant for the files of one
-    load, so the number of datasets is checked first.
+    Datasets with the same column names are one class, named by its smallest
+    dataset and weighted by their number, so a thousand exports of one table
+    cost as much as one.  ``pairs`` has the class pairs above ``threshold``; the
+    mean is exact over all datasets.
     """
     cols = catalog.select("dataset", F.lower("colname").alias("c")).distinct()
-    n_ds = cols.select("dataset").distinct().count()
-    if n_ds > max_datasets:
-        raise ValueError(f"{n_ds} datasets: pairwise overlap is meant for the files of one load")
-    sizes = cols.groupBy("dataset").agg(F.count("*").alias("n"))
-    a, b = cols.alias("a"), cols.alias("b")
-    inter = (a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.dataset") < F.col("b.dataset")))
-              .groupBy(F.col("a.dataset").alias("ds_a"), F.col("b.dataset").alias("ds_b"))
-              .agg(F.count("*").alias("overlap")))
-    sa, sb = sizes.alias("sa"), sizes.alias("sb")
-    pairs = (inter.join(sa, F.col("ds_a") == F.col("sa.dataset")).join(sb, F.col("ds_b") == F.col("sb.dataset"))
-                  .select("ds_a", "ds_b", "overlap",
-                          F.round(F.col("overlap") / (F.col("sa.n") + F.col("sb.n") - F.col("overlap")), 6)
-                           .alias("jaccard")))
-    n_pairs = n_ds * (n_ds - 1) // 2
-    summary = pairs.agg(F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("s")).select(
-        F.lit(n_ds).cast("long").alias("datasets"),
-        F.round(F.col("s") / F.lit(max(n_pairs, 1)), 6).alias("avg_overlap"),
-        F.when(F.col("s") / F.lit(max(n_pairs, 1)) > 0.3, "distributed").otherwise("complete").alias("scenario"))
-    return pairs, summary
+    sets = cols.groupBy("dataset").agg(F.sort_array(F.collect_set("c")).alias("cs"))  # bounded by one dataset's columns
+    classes = sets.groupBy("cs").agg(F.min("dataset").alias("ds"), F.count(F.lit(1)).alias("w")).select(
+        "ds", "w", F.size("cs").alias("n"), "cs")
+    member = classes.select("ds", "w", "n", F.explode("cs").alias("c"))
+    a, b = member.alias("a"), member.alias("b")
+    inter = (a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.ds") < F.col("b.ds")))
+              .groupBy(F.col("a.ds").alias("ds_a"), F.col("b.ds").alias("ds_b"), F.col("a.w").alias("n_a"), F.col("b.w").alias("n_b"),
+                       (F.col("a.n") + F.col("b.n")).alias("both")).agg(F.count(F.lit(1)).alias("overlap")))
+    pairs = inter.withColumn("j", F.col("overlap") / (F.col("both") - F.col("overlap")))
+    inside = classes.agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("s"), F.sum("w").alias("d"))
+    across = pairs.agg(F.sum(F.col("j") * F.col("n_a") * F.col("n_b")).alias("s")).select("s", F.lit(None).cast("long").alias("d"))
+    total = inside.unionByName(across).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.max("d"), F.lit(0)).alias("d"))
+    mean = F.col("s") / F.greatest(F.col("d") * (F.col("d") - 1) / 2, F.lit(1.0))
+    summary = total.select(F.col("d").alias("datasets"), F.round(mean, 6).alias("avg_overlap"),
+                           F.when(mean > 0.3, "distributed").otherwise("complete").alias("scenario"))
+    return (pairs.where(F.col("j") > threshold)
+            .select("ds_a", "ds_b", "n_a", "n_b", "overlap", F.round("j", 6).alias("jaccard")), summary)
 
 
 def assign_roles(catalog: DataFrame, scenario: str = "distributed") -> DataFrame:
@@ -207,45 +208,42 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def property_vectors(vectors: DataFrame, group_col: str, vec_col: str, max_props: int = 256) -> list:
-    """Per property group: the centroid and the mean of unit vectors (dimension-wise averages).
+#: Property vectors of one block, and up to how many the blocks are broadcast (else joined by a shuffle).
+PROPS_PER_BLOCK, BROADCAST_PROPS = 128, 4096
 
-    The property set is the bounded side (one row per group); its size is
-    checked before the few vectors are brought to the driver.
-    """
-    v = vectors.select(F.col(group_col).alias("g"), F.col(vec_col).cast("array<double>").alias("v"))
+
+def property_vectors(vectors: DataFrame, group_col: str, vec_col: str) -> DataFrame:
+    """(prop, c, m) per property group: the centroid and the mean of unit vectors (dimension-wise averages)."""
+    v = vectors.select(F.col(group_col).cast("string").alias("prop"), F.col(vec_col).cast("array<double>").alias("v"))
     v = v.withColumn("u", _unit(F.col("v")))
-    e = v.select("g", F.posexplode(F.arrays_zip("v", "u")).alias("i", "x"))
-    per = e.groupBy("g", "i").agg(F.avg("x.v").alias("c"), F.avg("x.u").alias("m"))
-    agg = per.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "c", "m"))).alias("xs"))
-    n = agg.count()
-    if n > max_props:
-        raise ValueError(f"{n} property vectors exceed the bound {max_props}")
-    rows = agg.select("g", F.transform("xs", lambda x: x["c"]).alias("c"),
-                      F.transform("xs", lambda x: x["m"]).alias("m")).collect()
-    return [(r["g"], list(r["c"]), list(r["m"])) for r in rows]
-
-
-def vector_field_match(props: list, fields: DataFrame, field_col: str, order_col: str, vec_col: str,
-                       threshold: float = 0.3) -> DataFrame:
-    """K6: per property the field with the highest cosine, kept above ``threshold``, under two
-    scorings: 'single' = cosine(centroid, field vector); 'mean' = mean cosine over all pairs
-    of property and field vectors, which equals dot(mean unit vector, unit field vector).
-    Ties go to the earlier field."""
+    e = v.select("prop", F.posexplode(F.arrays_zip("v", "u")).alias("i", "x"))
+    per = e.groupBy("prop", "i").agg(F.avg("x.v").alias("c"), F.avg("x.u").alias("m"))
+    agg = per.groupBy("prop").agg(F.array_sort(F.collect_list(F.struct("i", "c", "m"))).alias("xs"))
+    return agg.select("prop", F.transform("xs", lambda x: x["c"]).alias("c"), F.transform("xs", lambda x: x["m"]).alias("m"))
+
+
+def vector_field_match(props: DataFrame, fields: DataFrame, field_col: str, order_col: str, vec_col: str,
+                       scoring: str = "single", threshold: float = 0.3) -> DataFrame:
+    """K6: per property the field with the highest cosine, kept above ``threshold``.
+
+    ``scoring``: 'single' = cosine(centroid, field vector); 'mean' = mean cosine over all pairs
+    of property and field vectors, which equals dot(mean unit vector, unit field vector).  Ties
+    go to the earlier field.  Properties are packed into blocks of bounded size; every field
+    meets every block by its number, and the best field is a partial aggregate.
+    """
+    unit = F.col("c") if scoring == "single" else F.col("m")
+    p = props.select("prop", (_unit(unit) if scoring == "single" else unit).alias("v"))
+    n = p.count()
+    blocks = max(1, -(-n // PROPS_PER_BLOCK))
+    packed = p.groupBy(F.pmod(F.xxhash64("prop"), F.lit(blocks)).cast("int").alias("b")).agg(
+        F.collect_list(F.struct("prop", "v")).alias("ps"))
     f = fields.select(F.col(field_col).alias("field"), F.col(order_col).alias("o"),
-                      F.col(vec_col).cast("array<double>").alias("v"))
-    f = f.withColumn("u", _unit(F.col("v")))
-    scores = []
-    for g, c, m in props:
-        cl = F.array(*[F.lit(float(x)) for x in c])
-        ml = F.array(*[F.lit(float(x)) for x in m])
-        cn = sum(x * x for x in c) ** 0.5
-        scores.append(F.struct(F.lit(str(g)).alias("prop"), F.lit("single").alias("scoring"),
-                               (_dot(cl, F.col("u")) / F.lit(cn)).alias("score")))
-        scores.append(F.struct(F.lit(str(g)).alias("prop"), F.lit("mean").alias("scoring"),
-                               _dot(ml, F.col("u")).alias("score")))
-    s = f.select("field", "o", F.explode(F.array(*scores)).alias("s"))
-    best = s.groupBy(F.col("s.prop").alias("prop"), F.col("s.scoring").alias("scoring")).agg(
-        F.max_by("field", F.struct(F.col("s.score"), -F.col("o"))).alias("best_field"),
-        F.max("s.score").alias("score"))
-    return best.where(F.col("score") > threshold).withColumn("score", F.round("score", 6))
+                      _unit(F.col(vec_col).cast("array<double>")).alias("u"),
+                      F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    j = f.join(F.broadcast(packed) if n <= BROADCAST_PROPS else packed, "b")
+    s = j.select("field", "o", F.explode(F.transform("ps", lambda x: F.struct(
+        x["prop"].alias("prop"), _dot(x["v"], F.col("u")).alias("score")))).alias("s"))
+    best = s.groupBy(F.col("s.prop").alias("prop")).agg(
+        F.max_by("field", F.struct(F.col("s.score"), -F.col("o"))).alias("best_field"), F.max("s.score").alias("score"))
+    return best.where(F.col("score") > threshold).select("prop", F.lit(scoring).alias("scoring"), "best_field",
+                                                         F.round("score", 6).alias("score"))

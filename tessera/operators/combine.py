@@ -31,7 +31,7 @@ def join_pair(left: DataFrame, right: DataFrame, key: str, how: str = "outer", s
               null_keys: str = "keep") -> DataFrame:
     """Join on a same-name key; clashing right columns get ``suffix``; key coalesced.
 
-    null_keys: 'keep' (null never matches; rows stay, SQL semantics),
+    null_keys: 'keep' (null never matches; rows stay, SQL semantics, and are not shuffled),
     'drop' (null-key rows removed first), 'match' (null matches null, the
     pandas behaviour; the null group then joins all-pairs, so use it only
     where null keys are known to be few).
@@ -40,7 +40,12 @@ def join_pair(left: DataFrame, right: DataFrame, key: str, how: str = "outer", s
     if null_keys == "drop":
         left, right = left.where(F.col(key).isNotNull()), right.where(F.col(key).isNotNull())
     if null_keys != "match":
-        return left.join(right, on=key, how=how)
+        out = left.where(F.col(key).isNotNull()).join(right.where(F.col(key).isNotNull()), on=key, how=how)
+        if null_keys == "keep" and how in ("left", "outer", "full"):
+            out = out.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+        if null_keys == "keep" and how in ("right", "outer", "full"):
+            out = out.unionByName(right.where(F.col(key).isNull()), allowMissingColumns=True)
+        return out
     r = right.withColumnRenamed(key, "__rkey")
     j = left.join(r, left[key].eqNullSafe(r["__rkey"]), how)
     cols = [F.coalesce(left[key], r["__rkey"]).alias(key)] + \
@@ -64,25 +69,25 @@ def merge_with_join_keys(sources: list[tuple[str, DataFrame, str]]) -> tuple[Dat
 
     Returns (merged, counts); counts has one row per merged source:
     (source, matched, before) with matched = rows whose right key is present
-    after that merge and before = rows before it.
+    after that merge and before = rows before it.  The counts come from the
+    number of rows per key in every source, not from the joins themselves.
     """
     name0, merged, key0 = sources[0]
-    parts = []
-    for name, df, key in sources[1:]:
+    per_key = merged.groupBy(F.col(key0).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    rows, parts = F.col("_n"), []
+    for i, (name, df, key) in enumerate(sources[1:]):
         if key0 not in merged.columns or key not in df.columns:
             continue
-        suffix = f"_{name.split('(')[0].strip()}"
-        before = merged.agg(F.count("*").alias("n")).select(
-            F.lit(name).alias("source"), F.lit(0).cast("long").alias("matched"), F.col("n").alias("before"))
-        right = _suffix_clashes(merged, df, [], suffix)
-        rkey = key if key in right.columns else f"{key}{suffix}"
+        own = (df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_k{i}")).agg(F.count(F.lit(1)).alias(f"_n{i}")))
+        per_key = per_key.join(own, per_key["_k"] == own[f"_k{i}"], "left")
+        hit = F.coalesce(F.col(f"_n{i}"), F.lit(0))
+        parts.append(F.struct(F.lit(name).alias("source"), F.coalesce(F.sum(rows * hit), F.lit(0)).alias("matched"),
+                              F.coalesce(F.sum(rows), F.lit(0)).alias("before")))
+        rows = rows * F.greatest(hit, F.lit(1))
+        right = _suffix_clashes(merged, df, [], f"_{name.split('(')[0].strip()}")
+        rkey = key if key in right.columns else f"{key}_{name.split('(')[0].strip()}"
         merged = merged.join(right, merged[key0] == right[rkey], "left")
-        hit = merged.agg(F.count(F.col(rkey)).alias("n")).select(
-            F.lit(name).alias("source"), F.col("n").alias("matched"), F.lit(0).cast("long").alias("before"))
-        parts += [before, hit]
-    counts = reduce(DataFrame.unionByName, parts).groupBy("source").agg(
-        F.sum("matched").alias("matched"), F.sum("before").alias("before"))
-    return merged, counts
+    return merged, per_key.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 # ---------------------------------------------------------------- J3, J4

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import absolute_uri, mapping_type
@@ -44,49 +44,53 @@ def normalise_mappings(df: DataFrame, base: str = "", source_col: str = "source_
     return out.where(F.col(source_col).isNotNull() & F.col(target_col).isNotNull())
 
 
-def _pair_types(df: DataFrame) -> DataFrame:
-    return df.groupBy("source_uri", "target_uri").agg(F.collect_set("mapping_type").alias("types"))
+CONFLICTING = ("broadMatch", "narrowMatch", "relatedMatch")
+
+
+def _pair_flags(df: DataFrame) -> DataFrame:
+    """Per (source, target): rows and which of the four mapping types occur, as flags of fixed size."""
+    return df.groupBy("source_uri", "target_uri").agg(
+        F.count(F.lit(1)).alias("n"), *[F.bool_or(F.col("mapping_type").eqNullSafe(t)).alias(t) for t in ("exactMatch", *CONFLICTING)])
+
+
+def _exact_conflict() -> Column:
+    return F.expr("exactMatch and (broadMatch or narrowMatch or relatedMatch)")
+
+
+def _hier_assoc() -> Column:
+    return F.expr("(broadMatch or narrowMatch) and relatedMatch")
 
 
 def mapping_conflicts_exact(df: DataFrame) -> DataFrame:
     """M2: exactMatch together with broadMatch, narrowMatch or relatedMatch on one pair."""
-    g = _pair_types(df)
-    found = F.filter(F.array(*[F.when(F.array_contains("types", t), F.lit(t))
-                               for t in ("broadMatch", "narrowMatch", "relatedMatch")]),
-                     lambda x: x.isNotNull())
-    c = g.where(F.array_contains("types", "exactMatch")).withColumn("conflicting", found) \
-         .where(F.size("conflicting") > 0)
-    return c.select("source_uri", "target_uri", F.lit("exactMatch_conflict").alias("conflict_type"),
-                    F.array_join("conflicting", ", ").alias("conflicting_types"),
-                    F.concat(F.lit("exactMatch conflicts with "), F.array_join("conflicting", ", "))
-                     .alias("description"))
+    found = F.concat_ws(", ", *[F.when(F.col(t), F.lit(t)) for t in CONFLICTING])
+    return _pair_flags(df).where(_exact_conflict()).select(
+        "source_uri", "target_uri", F.lit("exactMatch_conflict").alias("conflict_type"), found.alias("conflicting_types"),
+        F.concat(F.lit("exactMatch conflicts with "), found).alias("description"))
 
 
 def mapping_conflicts_hier_assoc(df: DataFrame) -> DataFrame:
     """M3: a hierarchical (broad/narrowMatch) and an associative (relatedMatch) mapping on one pair."""
-    g = _pair_types(df)
-    hier = F.array_contains("types", "broadMatch") | F.array_contains("types", "narrowMatch")
-    return g.where(hier & F.array_contains("types", "relatedMatch")).select(
+    return _pair_flags(df).where(_hier_assoc()).select(
         "source_uri", "target_uri", F.lit("hierarchical_associative_conflict").alias("conflict_type"),
         F.lit("Hierarchical and associative mappings are disjoint").alias("description"))
 
 
 def mapping_validation(df: DataFrame) -> DataFrame:
-    """M4: one row of counts: total, missing ends, self-mappings, distinct ends, conflicts."""
-    base = df.agg(F.count("*").alias("total_mappings"),
-                  F.count_distinct("source_uri").alias("unique_source_concepts"),
-                  F.count_distinct("target_uri").alias("unique_target_concepts"),
-                  F.count_if(F.col("source_uri") == F.col("target_uri")).alias("self_mappings"),
-                  F.count_if(F.col("source_uri").isNull()).alias("missing_source_uris"),
-                  F.count_if(F.col("target_uri").isNull()).alias("missing_target_uris"))
-    conflicts = (mapping_conflicts_exact(df).select("source_uri")
-                 .unionByName(mapping_conflicts_hier_assoc(df).select("source_uri"))
-                 .agg(F.count("*").alias("conflicts")))
-    long = reduce(DataFrame.unionByName, [
-        p.select(F.explode(F.create_map(*[x for c in p.columns for x in (F.lit(c), F.col(c))])).alias("k", "v"))
-        for p in (base, conflicts)])
-    return (long.groupBy().pivot("k", sorted(base.columns + conflicts.columns)).agg(F.first("v"))
-                .withColumn("is_valid", F.col("conflicts") == 0))
+    """M4: one row of counts: total, missing ends, self-mappings, distinct ends, conflicts.
+
+    Everything comes from one aggregate over the pairs, so the mappings are read once.
+    """
+    def rows_where(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+
+    src, dst = F.col("source_uri"), F.col("target_uri")
+    return (_pair_flags(df).agg(
+        (F.count_if(_exact_conflict()) + F.count_if(_hier_assoc())).alias("conflicts"),
+        rows_where(src.isNull()).alias("missing_source_uris"), rows_where(dst.isNull()).alias("missing_target_uris"),
+        rows_where(src == dst).alias("self_mappings"), rows_where(F.lit(True)).alias("total_mappings"),
+        F.count_distinct(src).alias("unique_source_concepts"), F.count_distinct(dst).alias("unique_target_concepts"))
+        .withColumn("is_valid", F.col("conflicts") == 0))
 
 
 def mapping_type_distribution(df: DataFrame) -> DataFrame:
@@ -122,15 +126,16 @@ def mapping_inference(df: DataFrame, include_super_relations: bool = True) -> Da
         for t, rel in SUPER_RELATIONS:
             rules.setdefault(t, []).append(F.struct(F.lit(False).alias("rev"), F.lit(rel).alias("type")))
     m = F.create_map(*[x for t, lst in rules.items() for x in (F.lit(t), F.array(*lst))])
-    stated = df.select("source_uri", "target_uri", "mapping_type", F.lit(False).alias("inferred"))
-    implied = (df.select("source_uri", "target_uri",
-                         F.explode(F.coalesce(F.try_element_at(m, F.col("mapping_type")),
-                                              F.array().cast("array<struct<rev:boolean,type:string>>"))).alias("r"))
-                 .select(F.when(F.col("r.rev"), F.col("target_uri")).otherwise(F.col("source_uri")).alias("source_uri"),
-                         F.when(F.col("r.rev"), F.col("source_uri")).otherwise(F.col("target_uri")).alias("target_uri"),
-                         F.col("r.type").alias("mapping_type"), F.lit(True).alias("inferred")))
-    both = stated.unionByName(implied)
-    return both.groupBy("source_uri", "target_uri", "mapping_type").agg(F.min("inferred").alias("inferred"))
+    none = F.array().cast("array<struct<rev:boolean,type:string>>")
+    implied = F.transform(F.coalesce(F.try_element_at(m, F.col("mapping_type")), none), lambda r: F.struct(
+        r["rev"].alias("rev"), r["type"].alias("type"), F.lit(True).alias("inferred")))
+    # the stated row is one more element, so a mapping is read once and there is one shuffle
+    stated = F.array(F.struct(F.lit(False).alias("rev"), F.col("mapping_type").alias("type"), F.lit(False).alias("inferred")))
+    x = df.select("source_uri", "target_uri", F.explode(F.concat(stated, implied)).alias("r"))
+    both = x.select(F.when(F.col("r.rev"), F.col("target_uri")).otherwise(F.col("source_uri")).alias("source_uri"),
+                    F.when(F.col("r.rev"), F.col("source_uri")).otherwise(F.col("target_uri")).alias("target_uri"),
+                    F.col("r.type").alias("mapping_type"), F.col("r.inferred").alias("inferred"))
+    return both.groupBy("source_uri", "target_uri", "mapping_type").agg(F.bool_and("inferred").alias("inferred"))
 
 
 def exact_match_clusters(df: DataFrame) -> DataFrame:

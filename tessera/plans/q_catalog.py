@@ -135,14 +135,14 @@ def match_role(spark, d):
 
 
 def _doc_sql() -> str:
-    langs = " ".join(f"WHEN contains(rest, '{ind}') THEN '{lang}'" for lang, ind, _ in K._flat(K.LANGUAGE_PATTERNS))
+    langs = " ".join(f"WHEN list_contains(rest, '{ind}') THEN '{lang}'" for lang, ind, _ in K._flat(K.LANGUAGE_PATTERNS))
     return f"""
 WITH k AS (SELECT * FROM (VALUES {_flat_values(K.DOC_PATTERNS)}) t(doc_type, kw, i)),
 h AS (SELECT dataset, doc_type, colname, arg_min(kw, i) AS pattern, min(i) AS rank
       FROM v9, k WHERE contains(lower(colname), kw) GROUP BY ALL)
 SELECT dataset, doc_type, colname, pattern, rank,
        CASE {langs} ELSE 'en' END AS lang
-FROM (SELECT *, replace(lower(colname), pattern, '') AS rest FROM h)"""
+FROM (SELECT *, string_split_regex(replace(lower(colname), pattern, ' '), '[^\\p{{L}}]+') AS rest FROM h)"""
 
 
 @query("match_doc_field", _doc_sql(), V9)
@@ -152,25 +152,26 @@ def match_doc_field(spark, d):
 
 _PAIRS = """
 WITH c AS (SELECT DISTINCT dataset, lower(colname) AS c FROM v9),
-s AS (SELECT dataset, count(*) AS n FROM c GROUP BY dataset),
+s AS (SELECT dataset, count(*) AS n, string_agg(c, chr(1) ORDER BY c) AS sig FROM c GROUP BY dataset),
 i AS (SELECT a.dataset AS ds_a, b.dataset AS ds_b, count(*) AS overlap FROM c a JOIN c b
       ON a.c = b.c AND a.dataset < b.dataset GROUP BY ALL),
-p AS (SELECT ds_a, ds_b, overlap, round(overlap / (sa.n + sb.n - overlap), 6) AS jaccard
-      FROM i JOIN s sa ON ds_a = sa.dataset JOIN s sb ON ds_b = sb.dataset)"""
+p AS (SELECT ds_a, ds_b, overlap, overlap / (sa.n + sb.n - overlap) AS j, sa.sig AS sig_a, sb.sig AS sig_b
+      FROM i JOIN s sa ON ds_a = sa.dataset JOIN s sb ON ds_b = sb.dataset),
+k AS (SELECT sig, min(dataset) AS ds, count(*) AS w FROM s GROUP BY sig)"""
 
 
-@query("dataset_overlap", _PAIRS + " SELECT * FROM p", V9)
+@query("dataset_overlap", _PAIRS + """
+SELECT p.ds_a, p.ds_b, ka.w AS n_a, kb.w AS n_b, p.overlap, round(p.j, 6) AS jaccard
+FROM p JOIN k ka ON ka.ds = p.ds_a JOIN k kb ON kb.ds = p.ds_b WHERE ka.sig <> kb.sig AND p.j > 0""", V9)
 def dataset_overlap(spark, d):
-    return K.dataset_overlap(v9_catalog(spark, d))[0]
+    """Every pair of column sets that share a name."""
+    return K.dataset_overlap(v9_catalog(spark, d), threshold=0.0)[0]
 
 
 @query("dataset_scenario", _PAIRS + """
-, n AS (SELECT count(*) AS nd FROM s)
-SELECT (SELECT nd FROM n) AS datasets,
-       round(coalesce((SELECT sum(jaccard) FROM p), 0) / ((SELECT nd FROM n) * ((SELECT nd FROM n) - 1) // 2), 6)
-         AS avg_overlap,
-       CASE WHEN coalesce((SELECT sum(jaccard) FROM p), 0) / ((SELECT nd FROM n) * ((SELECT nd FROM n) - 1) // 2) > 0.3
-            THEN 'distributed' ELSE 'complete' END AS scenario""", V9)
+, n AS (SELECT count(*) AS nd FROM s), m AS (SELECT coalesce(sum(j), 0) / (nd * (nd - 1) / 2) AS mean, nd FROM n LEFT JOIN p ON true GROUP BY nd)
+SELECT nd AS datasets, round(mean, 6) AS avg_overlap,
+       CASE WHEN mean > 0.3 THEN 'distributed' ELSE 'complete' END AS scenario FROM m""", V9)
 def dataset_scenario(spark, d):
     return K.dataset_overlap(v9_catalog(spark, d))[1]
 
@@ -214,13 +215,13 @@ FROM s GROUP BY prop HAVING max(single) > 0.3""")
 def match_vector_best(spark, d):
     v = T.v8(spark, d)
     props = K.property_vectors(v["props"], "label", "embedding")
-    return K.vector_field_match(props, v["fields"], "field", "vec_id", "embedding").where("scoring = 'single'")
+    return K.vector_field_match(props, v["fields"], "field", "vec_id", "embedding")
 
 
 @query("match_vector_mean", _VEC + """
 SELECT prop, 'mean' AS scoring, arg_max(field, {'s': mean, 'o': -vec_id}) AS best_field, round(max(mean), 6) AS score
-FROM s GROUP BY prop HAVING max(mean) > 0.3""")
+FROM s GROUP BY prop HAVING max(mean) > 0.03""")
 def match_vector_mean(spark, d):
     v = T.v8(spark, d)
     props = K.property_vectors(v["props"], "label", "embedding")
-    return K.vector_field_match(props, v["fields"], "field", "vec_id", "embedding").where("scoring = 'mean'")
+    return K.vector_field_match(props, v["fields"], "field", "vec_id", "embedding", "mean", threshold=0.03)
