@@ -51,6 +51,15 @@ def edges_from_pairs(df: DataFrame, child_col: str = "child", parent_col: str =
 
 
 # ---------------------------------------------------------------- H2, H6
+#: Rows up to which a per-level table is broadcast: levels are few, so rows are not shuffled by them.
+BROADCAST_LEVELS = 10_000
+
+
+def _if_small(per_level: DataFrame) -> DataFrame:
+    """Broadcast hint for a table with a row per level, given only after counting it."""
+    return F.broadcast(per_level) if per_level.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS else per_level
+
+
 def edges_from_level(df: DataFrame, id_col: str = "id", level_col: str = "level") -> DataFrame:
     """H2: rows sorted by (level, id); each row hangs under the last row of level-1.
 
@@ -61,8 +70,7 @@ def edges_from_level(df: DataFrame, id_col: str = "id", level_col: str = "level"
         F.col("level").isNotNull())
     last = base.groupBy("level").agg(F.max("child").alias("parent"))
     return (base.where(F.col("level") > 1)
-                .join(last.withColumnRenamed("level", "plevel"),
-                      F.col("level") - 1 == F.col("plevel"))
+                .join(_if_small(last.withColumnRenamed("level", "plevel")), F.col("level") - 1 == F.col("plevel"))
                 .select("child", "parent"))
 
 
@@ -73,7 +81,7 @@ def edges_from_level_first(df: DataFrame, id_col: str = "id", level_col: str = "
     first = (base.where(F.col("level").isNotNull()).groupBy("level")
                  .agg(F.min_by("child", "pos").alias("parent")))
     return (base.where(F.col("level") - 1 > 0)
-                .join(first.withColumnRenamed("level", "plevel"), F.col("level") - 1 == F.col("plevel"))
+                .join(_if_small(first.withColumnRenamed("level", "plevel")), F.col("level") - 1 == F.col("plevel"))
                 .select("child", "parent"))
 
 
@@ -90,7 +98,7 @@ def edges_from_prefix(df: DataFrame, id_col: str = "id", level_col: str = "level
     parents = base.select(F.col("level").alias("plevel"), F.col("id").alias("parent")).distinct()
     lengths = parents.select("plevel", F.length("parent").alias("plen")).distinct()
     kids = base.where(F.col("level") > 1).select(F.col("id").alias("child"), "level").distinct()
-    cand = (kids.join(lengths, (F.col("level") - 1 == F.col("plevel"))
+    cand = (kids.join(_if_small(lengths), (F.col("level") - 1 == F.col("plevel"))
                       & (F.col("plen") <= F.length("child")))
                 .select("child", "plevel", "plen",
                         F.substring("child", 1, F.col("plen")).alias("prefix")))

@@ -21,19 +21,22 @@ ADAPTIVE_CONF = {
 }
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
-               broadcast_limit_bytes: int = 64 << 20) -> dict[str, str]:
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, broadcast_limit_bytes: int = 64 << 20,
+               shuffled_bytes: int | None = None) -> dict[str, str]:
     """Settings for a job reading about ``input_bytes`` (e.g. 100 TB on a large cluster).
 
     - input splits of ``target_partition_bytes`` (a task reads 256 MB, not a whole file);
-    - initial shuffle partitions so that a shuffle of the whole input lands near the
-      same size per partition; AQE then coalesces small ones and splits skewed ones
-      (a key holding a third of the rows is split into advisory-sized pieces);
+    - initial shuffle partitions from the bytes that are shuffled (a tenth of the input unless
+      given: most operators shuffle keys and hashes, not texts), at most 40,000, so that the
+      map-output bookkeeping (tasks x partitions) stays within the driver; AQE coalesces small
+      partitions and splits skewed ones;
     - broadcasts only under ``broadcast_limit_bytes`` as measured at runtime by AQE.
     """
-    parts = max(200, int(input_bytes // target_partition_bytes) + 1)
+    shuffled = input_bytes // 10 if shuffled_bytes is None else shuffled_bytes
+    parts = min(40_000, max(200, int(shuffled // target_partition_bytes) + 1))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(16 << 20),

@@ -144,7 +144,8 @@ def test_hot_parent_prefix_and_narrower(spark):
 def test_scale_conf_sizes_partitions_for_large_inputs():
     from tessera.session import scale_conf
     c = scale_conf(100 * 10 ** 12)
-    assert int(c["spark.sql.shuffle.partitions"]) > 300000
+    assert 30_000 < int(c["spark.sql.shuffle.partitions"]) <= 40_000
+    assert int(scale_conf(10 ** 13, shuffled_bytes=10 ** 12)["spark.sql.shuffle.partitions"]) == 10 ** 12 // (256 << 20) + 1
     assert int(c["spark.sql.files.maxPartitionBytes"]) == 256 << 20
     assert int(scale_conf(10 ** 6)["spark.sql.shuffle.partitions"]) == 200
 

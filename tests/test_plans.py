@@ -6,10 +6,12 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SMALL
 
+# training-data queries may use Python by their definition; their own tests check the native ones
+NAMES = sorted(n for n in E.queries() if n != "pipeline" and not (n.startswith("op") and n[2].isdigit()))
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_plan_has_no_cross_join_or_python_udf(spark, name):
     df = E.queries()[name](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
