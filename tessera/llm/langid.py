@@ -12,7 +12,7 @@ code for the whole text wins.
 Training takes at most about ``rows_per_lang`` labelled rows per language,
 chosen by a hash of the text (all rows where there are fewer).  The model's
 size is bounded by ``max_symbols`` and ``max_contexts``: rarer bytes share one
-class, rarer three-byte contexts fall back to two bytes (about 18 MB a language).
+class, rarer three-byte contexts fall back to two bytes (about 12 MB a language).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as
 is every text if nothing was learned; a text of any length is scored whole;
@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.common import raw, text_or_empty
 from tessera.llm.words import texts
@@ -99,9 +98,17 @@ def build_model(langs: np.ndarray, grams: np.ndarray, n: np.ndarray, max_symbols
     kinds, first = np.unique(ctx, return_inverse=True)
     weight = np.bincount(first, weights=n)
     kept = np.sort(kinds[np.argsort(-weight, kind="stable")[:max_contexts]])
-    node = len(kept) + np.arange(a ** 3, dtype=np.int32) % (a * a)
+    # rows: kept three-byte contexts, two-byte contexts that occur, and one for each last byte behind any other
+    seen2 = np.unique(ctx % (a * a))
+    other2 = np.setdiff1d(np.arange(a * a), seen2)
+    last, at = np.unique(other2 % a, return_index=True)
+    two = np.concatenate([seen2, other2[at]])
+    back = np.zeros(a * a, dtype=np.int32)
+    back[other2] = len(kept) + len(seen2) + np.searchsorted(last, other2 % a)
+    back[two] = len(kept) + np.arange(len(two))
+    node = np.tile(back, a)
     node[kept] = np.arange(len(kept), dtype=np.int32)
-    short = np.concatenate([kept % (a * a), np.arange(a * a)])  # the two-byte context of every row
+    short = np.concatenate([kept % (a * a), two])  # the two-byte context of every row
     bits = np.empty((len(short), a, len(names)), dtype=np.float32)
     for k, lang in enumerate(names):
         own = langs == lang
@@ -156,43 +163,38 @@ def code_lengths(model: Model, buf: np.ndarray, bounds: np.ndarray) -> np.ndarra
     return out
 
 
-def _score_task(shared):
-    def run(batches):
+def _scorer(shared):
+    @F.arrow_udf("struct<lang_pred: string, score: double, bits: double>")
+    def score(text: pa.Array, letter: pa.Array) -> pa.Array:
         model = shared.value
         names = np.array(model.langs, dtype=object)
-        for batch in batches:
-            keep = [c for c in batch.schema.names if c not in ("_t", "_letter")]
-            langs, scores, sizes = [], [], []
-            for a, b, buf, bounds in texts(batch, "_t", 1 << 19):
-                bits = code_lengths(model, buf, bounds)
-                best = bits.min(1, keepdims=True)
-                langs.append(names[bits.argmin(1)])
-                scores.append(1.0 / np.exp2(np.maximum(best - bits, -1000.0)).sum(1))
-                sizes.append(best[:, 0])
-            if not langs:
-                continue
-            known = batch.column("_letter").to_numpy(zero_copy_only=False)
-            lang = np.where(known, np.concatenate(langs), "und")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(lang, pa.string()),
-                                                   pa.array(np.where(known, np.concatenate(scores), 0.0)),
-                                                   pa.array(np.where(known, np.concatenate(sizes), 0.0))],
-                names=[*keep, "lang_pred", "score", "bits"])
-    return run
+        n = len(text)
+        langs, scores, sizes = np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n)
+        for a, b, buf, bounds in texts(pa.RecordBatch.from_arrays([text], names=["t"]), "t", 1 << 19):
+            bits = code_lengths(model, buf, bounds)
+            best = bits.min(1, keepdims=True)
+            langs[a:b] = names[bits.argmin(1)]
+            scores[a:b] = 1.0 / np.exp2(np.maximum(best - bits, -1000.0)).sum(1)
+            sizes[a:b] = best[:, 0]
+        known = letter.to_numpy(zero_copy_only=False)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.where(known, langs, "und"), pa.string()), pa.array(np.where(known, scores, 0.0)),
+             pa.array(np.where(known, sizes, 0.0))], names=["lang_pred", "score", "bits"])
+    return score
 
 
 def predict_language(docs: DataFrame, model: Model | None, keep: list, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` (names or Column objects of ``docs``), ``lang_pred``, ``score`` and ``bits`` (code length)."""
+    """The columns ``keep`` (names or Column objects of ``docs``), ``lang_pred``, ``score`` and ``bits`` (code length).
+
+    Only the text goes to Python; the other columns stay where they are.
+    """
     text = text_or_empty(text_col)
-    letter = text.rlike(r"\p{L}")
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
-    kept = docs.select(*keep)
-    base = docs.select(*keep, raw(F.concat(F.lit(PAD), text)).alias("_t"), letter.alias("_letter"))
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size bounded by max_symbols, max_contexts and languages
-    return base.mapInArrow(_score_task(shared), schema)
+    score = _scorer(docs.sparkSession.sparkContext.broadcast(model))  # bounded by max_symbols, max_contexts and languages
+    names = docs.select(*keep).columns
+    scored = docs.select(*keep, score(raw(F.concat(F.lit(PAD), text)), text.rlike(r"\p{L}")).alias("_scored"))
+    return scored.select(*[F.col(f"`{c}`") for c in names], F.col("_scored.lang_pred"), F.col("_scored.score"), F.col("_scored.bits"))
 
 
 def held_out(id_col: str = "doc_id"):
