@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_as_long, raw, text_or_empty
 from tessera.llm.words import U64, mix, texts, windows, words
+from tessera.session import checkpoint_dir
 
 WIDTH = 13
 DEPTH = 2
@@ -45,9 +46,11 @@ BLOCK_BITS = 20
 #: Most cells of a whole sketch; at one bit a cell this bounds the broadcast to 128 MB.
 MAX_CELLS = 1 << 30
 #: Windows a task gathers before it sends their cells on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Up to so many ids of whole copies, they are broadcast (8 bytes each); above, they are joined by a shuffle.
 BROADCAST_COPIES = 2_000_000
+#: Up to so many bytes of removals (and documents with one), they are broadcast; above, texts are joined by a shuffle.
+BROADCAST_GONE_BYTES, BROADCAST_GONE_ROWS = 16 << 20, 500_000
 #: In place of positions: every window of the document.
 EVERY = -1
 
@@ -101,7 +104,7 @@ def _sketch_task(bits: int, width: int):
         have: list[np.ndarray] = []
         n = 0
         for batch in batches:
-            for _, _, buf, bounds in texts(batch, "_t"):
+            for _, _, buf, bounds in texts(batch, "_t", 1 << 20):
                 _, _, counts, (w,) = words(buf, bounds)
                 _, h = windows(w, counts, width)
                 have.append(h)
@@ -157,7 +160,7 @@ def _hit_task(shared, bits: int, width: int):
         rows = _bitmap(shared.value, bits)  # per task: nothing stays in an idle worker
         for batch in batches:
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
-            for a, b, buf, bounds in texts(batch, "_t"):
+            for a, b, buf, bounds in texts(batch, "_t", 1 << 20):
                 _, _, counts, (w1, w2) = words(buf, bounds, 2)
                 at, h = windows(w1, counts, width)
                 keep = np.arange(len(h))
@@ -204,6 +207,17 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id",
     return base.mapInArrow(_hit_task(shared, bits, width), "_id long, _k int, _h1 long, _h2 int")
 
 
+def _runs_task(batches):
+    """Positions of a document's removed windows as runs (first, last)."""
+    for batch in batches:
+        out = []
+        for at in batch.column("_at"):
+            k = np.unique(at.values.to_numpy())
+            cut = np.flatnonzero(np.diff(k) != 1) + 1
+            out.append(np.stack([k[np.append(0, cut)], k[np.append(cut - 1, len(k) - 1)]], 1).astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.binary())], names=["_id", "_gone"])
+
+
 def _digest_task(width: int, with_text: bool):
     names = ["_id", "n_words", "n_removed", "kept_sha256"] + ["_kept"] * with_text
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
@@ -216,11 +230,11 @@ def _digest_task(width: int, with_text: bool):
                 n = len(w)
                 if gone.is_valid and n >= width:
                     covered = np.zeros(n + 1, dtype=np.int32)
-                    at = gone.values.to_numpy()
-                    if at[0] == EVERY:
-                        at = np.arange(n - width + 1)
-                    np.add.at(covered, at, 1)
-                    np.add.at(covered, np.minimum(at + width, n), -1)
+                    first, last = np.frombuffer(gone.as_py(), dtype="<i4").reshape(-1, 2).T
+                    if first[0] == EVERY:
+                        first, last = np.array([0]), np.array([n - width])
+                    np.add.at(covered, first, 1)
+                    np.add.at(covered, np.minimum(last + width, n), -1)
                     w = list(itertools.compress(w, (np.cumsum(covered[:n]) == 0).tolist()))
                 kept = b" ".join(w)
                 row = (ident.as_py(), n, n - len(w), hashlib.sha256(kept).hexdigest())
@@ -233,14 +247,19 @@ def _digest_task(width: int, with_text: bool):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                     max_cells: int = MAX_CELLS, with_text: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, text]): what stays of each document, one row per input row."""
-    copies = whole_copies(docs, id_col, text_col)
+    checkpoint_dir(docs.sparkSession)
+    copies = whole_copies(docs, id_col, text_col).checkpoint()
     few = copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
     found = repeated_windows(docs, F.broadcast(copies) if few else copies, id_col, text_col, width, max_cells)
     first = (found.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
              .where("_first < _last").drop("_last"))
     gone = (found.join(first, ["_h1", "_h2"]).where("_id > _first")
-            .groupBy("_id").agg(F.collect_list("_k").alias("_gone"))
-            .unionByName(copies.select("_id", F.array(F.lit(EVERY)).alias("_gone"))))
+            .groupBy("_id").agg(F.collect_list("_k").alias("_at"))
+            .unionByName(copies.select("_id", F.array(F.lit(EVERY)).alias("_at")))
+            .mapInArrow(_runs_task, "_id long, _gone binary").checkpoint())
+    n, size = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_gone")), F.lit(0))).first()
+    if n <= BROADCAST_GONE_ROWS and size <= BROADCAST_GONE_BYTES:
+        gone = F.broadcast(gone)
     base = docs.select(id_as_long(id_col).alias("_id"), raw(text_or_empty(text_col)).alias("_t")).join(gone, "_id", "left")
     schema = "_id long, n_words long, n_removed long, kept_sha256 string" + (", _kept string" if with_text else "")
     out = base.mapInArrow(_digest_task(width, with_text), schema).withColumnRenamed("_id", id_col)
