@@ -4,8 +4,8 @@ Each round every node first hands its larger neighbours to its smallest one
 (large star), then its smaller neighbours to the smallest of them (small star).
 Trees are hooked by their roots, so the number of rounds grows with the
 logarithm of the graph, whatever the order of its labels; the loop ends when a
-round changes nothing.  Minima are combined map-side, and the joins have one
-row per node on one side, so adaptive execution can split a hot node.
+round changes nothing.  Minima are combined map-side, and adaptive execution
+can split a hot node in the joins (``skew.join_reduced``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import join_reduced
 from tessera.session import checkpoint_dir
 
 
@@ -34,9 +35,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_reduced(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        hooked = join_reduced(large, low, ["u"]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         e = hooked.where("u != v").distinct().checkpoint()
         before, state = state, _state(e)
         if state == before:
