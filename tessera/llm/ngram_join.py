@@ -11,7 +11,7 @@ the same token meet in its bucket.  Buckets of up to ``SMALL`` sets are compared
 by brute force; larger ones are split again by tokens sampled at the longer
 path.  Two sets at the threshold share one chosen token per level on average, so
 one run finds their pair with the survival chance of that branching process;
-``runs_for`` repeats runs until the target recall (0.99 at three levels).
+``runs_for`` repeats runs until the target recall (15 runs for 0.999 at three levels).
 
 *Large buckets.*  Sets close to the first one of a bucket are linked to it and
 leave the bucket before it splits: Jaccard distance is a metric, so whatever
@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import id_as_long, raw, text_or_empty
 from tessera.llm.words import U64, mix, texts, windows, words
 from tessera.operators.components import connected_components
+from tessera.operators.skew import join_reduced
 from tessera.session import checkpoint_dir
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -364,7 +365,7 @@ def _verify_task(similarity: float):
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-               similarity: float = SIMILARITY, recall: float = 0.99) -> DataFrame:
+               similarity: float = SIMILARITY, recall: float = 0.999) -> DataFrame:
     """(id, class_id, rep_id, n_copies, n_links), one row per id.
 
     ``rep_id``: smallest id with the same set (``n_copies`` ids have it); ``n_links``: other
@@ -374,7 +375,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = text_sets(docs, id_col, text_col, width).checkpoint()
     members = sets.select("_id", "_key").distinct()
     classes = members.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"))
-    members = members.join(classes, "_key").select("_id", "_rep", "_copies").checkpoint()
+    members = join_reduced(members, classes, ["_key"]).select("_id", "_rep", "_copies").checkpoint()
     reps = sets.join(members.where("_id = _rep").select("_id"), "_id", "left_semi")
 
     groups = connected_components(candidate_links(reps, runs_for(recall)), "_a", "_b")
@@ -390,7 +391,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .mapInArrow(_verify_task(similarity), "_id long, _links long, _to long").checkpoint())
     linked = found.groupBy("_id").agg(F.sum("_links").alias("_links"))
     merged = connected_components(found.where("_id <> _to"), "_id", "_to").withColumnRenamed("node", "_rep")
-    out = (members.join(linked.withColumnRenamed("_id", "_rep"), "_rep", "left").join(merged, "_rep", "left")
+    per_rep = linked.withColumnRenamed("_id", "_rep").join(merged, "_rep", "left")
+    out = (join_reduced(members, per_rep, ["_rep"], "left")
            .select("_id", F.coalesce("component", "_rep").alias("class_id"), F.col("_rep").alias("rep_id"),
                    F.col("_copies").alias("n_copies"), F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links")))
     ids = docs.where(F.col(f"`{id_col}`").isNotNull()).select(id_as_long(id_col).alias("_id")).distinct()
@@ -401,7 +403,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                      similarity: float = SIMILARITY, recall: float = 0.99) -> DataFrame:
+                      similarity: float = SIMILARITY, recall: float = 0.999) -> DataFrame:
     """The rows, with all columns, whose id is the smallest of its class; rows without an id stay.
 
     An id that has several texts goes if one of them belongs to a smaller id's class.
