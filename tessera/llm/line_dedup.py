@@ -6,9 +6,8 @@ covered by any later occurrence go, the covered positions of overlapping
 windows being merged per document.  Windows are judged on the input.
 
 Only 128-bit hashes and positions are shuffled; window counts are combined in
-every task first, and the join with the repeated windows has one row per
-window on one side, so adaptive execution can split a window that a third of
-all documents share.
+every task first, and adaptive execution can split a window that a third of all
+documents share in the join with the repeated windows (``join_reduced``).
 
 Defined cases: a null or empty text has no lines and stays empty; lines
 without a word are no part of windows and always stay; texts under three such
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_as_long, text_or_empty
+from tessera.operators.skew import join_reduced
 
 WINDOW = 3
 
@@ -53,7 +53,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = (w.groupBy("_h1", "_h2")
              .agg(F.min(F.struct("_id", "_k")).alias("_first"), F.count(F.lit(1)).alias("_n"))
              .where("_n > 1").select("_h1", "_h2", "_first"))
-    later = w.join(first, ["_h1", "_h2"]).where(F.struct("_id", "_k") > F.col("_first"))
+    later = join_reduced(w, first, ["_h1", "_h2"]).where(F.struct("_id", "_k") > F.col("_first"))
     gone = later.select("_id", F.explode("_i").alias("_i")).groupBy("_id").agg(F.collect_set("_i").alias("_gone"))
     base = docs.select(id_as_long(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
     lines = F.split("_t", "\n", -1)
