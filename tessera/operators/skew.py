@@ -13,7 +13,11 @@ def join_reduced(rows: DataFrame, reduced: DataFrame, keys: list[str], how: str
     directly, its side needs no exchange, and a join with an exchange on one side
     only is never split: all rows of a hot key stay in one task.  A hash of the
     keys as one more join key makes both sides exchange; ``reduced`` has a row per
-    key, so that costs little.
+    key, so that costs little.  The hash is only computed, never shuffled.
     """
-    spread = F.xxhash64(*keys).alias("_spread")
-    return rows.select("*", spread).join(reduced.select("*", spread), ["_spread", *keys], how).drop("_spread")
+    right = reduced.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in reduced.columns])
+    own = [f"_r_{k}" for k in keys]
+    same = F.xxhash64(*keys) == F.xxhash64(*own)
+    for k, r in zip(keys, own):
+        same = same & (F.col(k) == F.col(r))
+    return rows.join(right, same, how).drop(*own)
