@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_as_long, raw, text_or_empty
 from tessera.llm.words import U64, mix, texts, windows, words
+from tessera.operators.skew import join_reduced
 from tessera.session import checkpoint_dir
 
 WIDTH = 13
@@ -187,7 +188,7 @@ def whole_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
         id_as_long(id_col).alias("_id"), F.unhex(F.sha2(raw(text_or_empty(text_col)), 256)).alias("_sha"))
     first = slim.groupBy("_sha").agg(F.min("_id").alias("_f"), F.max("_id").alias("_l")).where("_f < _l").drop("_l")
-    return slim.join(first, "_sha").where("_id > _f").select("_id").distinct()
+    return join_reduced(slim, first, ["_sha"]).where("_id > _f").select("_id").distinct()
 
 
 def repeated_windows(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -253,7 +254,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = repeated_windows(docs, F.broadcast(copies) if few else copies, id_col, text_col, width, max_cells)
     first = (found.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
              .where("_first < _last").drop("_last"))
-    gone = (found.join(first, ["_h1", "_h2"]).where("_id > _first")
+    gone = (join_reduced(found, first, ["_h1", "_h2"]).where("_id > _first")
             .groupBy("_id").agg(F.collect_list("_k").alias("_at"))
             .unionByName(copies.select("_id", F.array(F.lit(EVERY)).alias("_at")))
             .mapInArrow(_runs_task, "_id long, _gone binary").checkpoint())
