@@ -5,8 +5,11 @@
    with a capitalised word; everything that is not a letter or a digit becomes
    one blank.  Other line ends count as blanks, so wrapped licence texts keep
    their sentences.
-2. *Identifiers.*  Every sentence that equals a known licence sentence maps to
-   its identifier (a constant of fixed size; a hash set finds the candidates).
+2. *Identifiers.*  Known licence texts are cut like documents.  Each piece has
+   an identifier, and every run of neighbouring pieces, which is what a spelling
+   without some of the cuts leaves, is a known sentence that maps to the
+   identifiers of its pieces (a constant of fixed size; a hash set finds the
+   candidates).
 3. *Rules.*  A licence rule is an ordered list of identifiers.  It matches where
    its identifiers follow each other among the document's known sentences; a
    match inside a longer matching rule does not count.
@@ -31,10 +34,12 @@ from tessera.llm.common import id_as_long, text_or_empty
 LINE = r"\n[ \t]*(\p{Lu}\p{Ll})"
 END = r"[.!?;:]+([ \t\n\x0b\f\r]|\z)|\r?\n[ \t\r]*\n"
 OTHER = r"[^\p{L}\p{N}\x01]+"
+#: Where a known text may be cut.
+CUT = re.compile(r"[.!?;:]+\s+|\n\s*\n")
 
 # The names under which licences are cited, already normalised.
 NAMES: dict[str, list[str]] = {
-    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0"],
+    "Apache-2.0": ["apache license version 2 0", "apache license version 2 0 the license", "apache license 2 0", "apache 2 0 license", "apache 2 0"],
     "MIT": ["mit license", "mit licence", "mit"],
     "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license"],
     "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "new bsd license"],
@@ -56,6 +61,8 @@ NAMES: dict[str, list[str]] = {
 NOTICES = ["licensed under {}", "released under {}", "distributed under {}", "published under {}", "available under {}"]
 SUBJECTS = ["", "this work is ", "this software is ", "this project is ", "this file is "]
 
+ARTICLES = ["", "the ", "a "]
+
 # Sentences of licence texts, by identifier.
 SENTENCES: dict[str, str] = {
     "mit-1": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -67,7 +74,7 @@ SENTENCES: dict[str, str] = {
     "mit-3": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
              "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     "apache-1": "you may not use this file except in compliance with the License",
-    "apache-2": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-2": "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0",
     "apache-3": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
                 "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "bsd-0": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
@@ -79,9 +86,9 @@ SENTENCES: dict[str, str] = {
     "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
              "products derived from this software without specific prior written permission",
     "gpl-any-2": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
-                 "Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+                 "Free Software Foundation; either version 2 of the License, or (at your option) any later version",
     "gpl-any-3": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
-                 "Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+                 "Free Software Foundation; either version 3 of the License, or (at your option) any later version",
     "gpl-w1": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl-w2": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "mpl-1": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
@@ -101,14 +108,34 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 
 
+def _normal(text: str) -> str:
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def _pieces() -> dict[str, list[tuple[str, str]]]:
+    """Identifier of a text -> its (piece, identifier); texts share the identifiers of equal pieces."""
+    ids: dict[str, str] = {}
+    out = {}
+    for name, text in SENTENCES.items():
+        parts = [_normal(x) for x in CUT.split(text)]
+        for n, part in enumerate(parts):
+            ids.setdefault(part, name + (chr(ord("a") + n) if len(parts) > 1 else ""))
+        out[name] = [(part, ids[part]) for part in parts]
+    return out
+
+
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence -> identifier; the notices are built from names, verbs and subjects."""
-    out = {re.sub(r"[^a-z0-9]+", " ", s.lower()).strip(): k for k, s in SENTENCES.items()}
+    """Normalised sentence -> identifiers; the notices are built from names, verbs and subjects."""
+    out = {}
+    for parts in _pieces().values():
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                out[" ".join(p for p, _ in parts[a:b])] = "|".join(i for _, i in parts[a:b])
     for licence, names in NAMES.items():
         for name in names:
             for notice in NOTICES:
                 for subject in SUBJECTS:
-                    for article in ("", "the "):
+                    for article in ARTICLES:
                         out[subject + notice.format(article + name)] = f"notice-{licence}"
             out[f"spdx license identifier {licence.lower().replace('-', ' ').replace('.', ' ')}"] = f"notice-{licence}"
     return out
@@ -116,8 +143,10 @@ def known_sentences() -> dict[str, str]:
 
 def rules() -> list[tuple[str, str]]:
     """(licence, rule as ``|a|b|``)."""
+    pieces = _pieces()
     one = [(licence, [f"notice-{licence}"]) for licence in NAMES]
-    return [(licence, "|" + "|".join(ids) + "|") for licence, ids in RULES + one]
+    return [(licence, "|" + "|".join(i for name in names for i in ([i for _, i in pieces[name]] if name in pieces else [name])) + "|")
+            for licence, names in RULES + one]
 
 
 def sentences(text: Column) -> Column:

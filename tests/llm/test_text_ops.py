@@ -99,6 +99,32 @@ def test_licences_in_notices_and_wrapped_texts(spark):
     assert known_sentences()["released under the mit license"] == "notice-MIT"
 
 
+MPL = ("This Source Code Form is subject to the terms of the Mozilla Public{}License, v. 2.0. If a copy of the MPL was not distributed "
+       "with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.")
+GPL2 = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as "
+        "published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\n"
+        "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.")
+APACHE = ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the "
+          "License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by "
+          "applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\n"
+          "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.")
+
+
+def licences_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.licenses for r in scan_licenses(df).orderBy("doc_id").collect()]
+
+
+def test_unaltered_standard_notices(spark):
+    cc = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    gpl3 = GPL2.replace("software; you", "software: you").replace("Foundation; either version 2", "Foundation, either version 3")
+    texts = [MPL.format(" "), GPL2, gpl3, APACHE, APACHE.split("\n", 1)[1], "# " + APACHE.replace("\n", "\n# "), cc,
+             MPL.format(" ").replace("2.0. If", "1.1. If")]
+    assert licences_of(spark, texts) == ["MPL-2.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "Apache-2.0", "Apache-2.0", "Apache-2.0",
+                                         "CC-BY-4.0", ""]
+
+
 # ---------------------------------------------------------------- language
 
 def brute_bits(training, text, order=3):
