@@ -5,11 +5,13 @@
    with a capitalised word; everything that is not a letter or a digit becomes
    one blank.  Other line ends count as blanks, so wrapped licence texts keep
    their sentences.
-2. *Identifiers.*  Known licence texts are cut like documents.  Each piece has
-   an identifier, and every run of neighbouring pieces, which is what a spelling
+2. *Identifiers.*  Known licence texts are cut like documents, and before every
+   capitalised word, as a wrapped line may start with it.  Each piece has an
+   identifier, and every run of neighbouring pieces, which is what a spelling
    without some of the cuts leaves, is a known sentence that maps to the
    identifiers of its pieces (a constant of fixed size; a hash set finds the
-   candidates).
+   candidates).  A piece of one word tells nothing and has no identifier; in the
+   name of a notice it has one, but is not known alone.
 3. *Rules.*  A licence rule is an ordered list of identifiers.  It matches where
    its identifiers follow each other among the document's known sentences; a
    match inside a longer matching rule does not count.
@@ -24,6 +26,7 @@ table gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +37,11 @@ from tessera.llm.common import id_as_long, text_or_empty
 LINE = r"\n[ \t]*(\p{Lu}\p{Ll})"
 END = r"[.!?;:]+([ \t\n\x0b\f\r]|\z)|\r?\n[ \t\r]*\n"
 OTHER = r"[^\p{L}\p{N}\x01]+"
-#: Where a known text may be cut.
-CUT = re.compile(r"[.!?;:]+\s+|\n\s*\n")
+#: Where a known text may be cut: at sentence ends, and before capitalised words, as a line may start with one.
+CUT = re.compile(r"[.!?;:]+\s+|\n\s*\n|(?<=\s)(?=[A-Z][a-z])")
+#: Where a name may be cut: before the words that are written capitalised (not before acronyms).
+NAME_CUT = re.compile(r"(?:^|(?<= ))(?=(?:apache|license|licence|version|general|public|lesser|affero|mozilla|simplified|new|unlicense|"
+                      r"universal|creative|commons|attribution|sharealike|noncommercial|noderivatives|international)\b)")
 
 # The names under which licences are cited, already normalised.
 NAMES: dict[str, list[str]] = {
@@ -113,40 +119,62 @@ def _normal(text: str) -> str:
 
 
 def _pieces() -> dict[str, list[tuple[str, str]]]:
-    """Identifier of a text -> its (piece, identifier); texts share the identifiers of equal pieces."""
+    """Identifier of a text -> its (piece, identifier or nothing); texts share the identifiers of equal pieces."""
     ids: dict[str, str] = {}
     out = {}
     for name, text in SENTENCES.items():
         parts = [_normal(x) for x in CUT.split(text)]
-        for n, part in enumerate(parts):
-            ids.setdefault(part, name + (chr(ord("a") + n) if len(parts) > 1 else ""))
-        out[name] = [(part, ids[part]) for part in parts]
+        telling = [p for p in parts if " " in p]
+        for n, part in enumerate(telling):
+            ids.setdefault(part, name + (chr(ord("a") + n) if len(telling) > 1 else ""))
+        out[name] = [(part, ids.get(part, "")) for part in parts]
     return out
 
 
+def _name_ids(name: str) -> list[tuple[str, str]]:
+    """(piece, identifier) of a name that is cut before its words."""
+    return [(p.strip(), "name-" + p.strip().replace(" ", "-")) for p in NAME_CUT.split(name) if p]
+
+
+def _names() -> list[tuple[str, str]]:
+    """(licence, name), also without a last word "license", which may stand on the next line."""
+    return [(licence, n) for licence, names in NAMES.items()
+            for n in dict.fromkeys(x for name in names for x in (name, re.sub(" licen[sc]e$", "", name)))]
+
+
 def known_sentences() -> dict[str, str]:
     """Normalised sentence -> identifiers; the notices are built from names, verbs and subjects."""
     out = {}
     for parts in _pieces().values():
         for a in range(len(parts)):
             for b in range(a + 1, len(parts) + 1):
-                out[" ".join(p for p, _ in parts[a:b])] = "|".join(i for _, i in parts[a:b])
-    for licence, names in NAMES.items():
-        for name in names:
-            for notice in NOTICES:
-                for subject in SUBJECTS:
-                    for article in ARTICLES:
-                        out[subject + notice.format(article + name)] = f"notice-{licence}"
-            out[f"spdx license identifier {licence.lower().replace('-', ' ').replace('.', ' ')}"] = f"notice-{licence}"
-    return out
+                if any(i for _, i in parts[a:b]):
+                    out[" ".join(p for p, _ in parts[a:b])] = "|".join(i for _, i in parts[a:b] if i)
+    starts = [subject + notice.format(article).strip() for notice in NOTICES for subject in SUBJECTS for article in ARTICLES]
+    whole = {}
+    for licence, name in _names():
+        parts = _name_ids(name)
+        for a in range(0 if NAME_CUT.match(name) else 1, len(parts)):
+            head, ids = " ".join(p for p, _ in parts[:a]), "|".join(["cited", *(i for _, i in parts[:a])])
+            for start in starts:
+                out[f"{start} {head}".strip()] = ids
+            for b in range(a + 1, len(parts) + 1):
+                run = " ".join(p for p, _ in parts[a:b])
+                if " " in run:
+                    out.setdefault(run, "|".join(i for _, i in parts[a:b]))
+        whole |= {f"{start} {name}": f"notice-{licence}" for start in starts}
+        whole[f"spdx license identifier {licence.lower().replace('-', ' ').replace('.', ' ')}"] = f"notice-{licence}"
+    return out | whole
 
 
 def rules() -> list[tuple[str, str]]:
     """(licence, rule as ``|a|b|``)."""
     pieces = _pieces()
+    texts = [(licence, [i for name in names for i in ([i for _, i in pieces[name] if i] if name in pieces else [name])])
+             for licence, names in RULES]
     one = [(licence, [f"notice-{licence}"]) for licence in NAMES]
-    return [(licence, "|" + "|".join(i for name in names for i in ([i for _, i in pieces[name]] if name in pieces else [name])) + "|")
-            for licence, names in RULES + one]
+    cut = [(licence, ["cited", *(i for _, i in _name_ids(name))]) for licence, name in _names()]
+    return [(licence, "|" + "|".join(ids) + "|") for licence, ids in texts + one + cut]
 
 
 def sentences(text: Column) -> Column:
@@ -161,11 +189,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_sentences, n_known, sentence_ids, licenses), one row per input row."""
     known = known_sentences() if known is None else known
     ordered_rules = rules() if ordered_rules is None else ordered_rules
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+    lookup = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
+    quoted = ",".join("'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in sorted(known))
     rule = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in ordered_rules])
     d = docs.select(id_as_long(id_col).alias("_id"), sentences(text_or_empty(text_col)).alias("_s"))
     d = d.select("_id", F.size("_s").cast("bigint").alias("n_sentences"),
-                 F.filter(F.transform("_s", lambda s: F.trim(s)), lambda s: s.isin(sorted(known))).alias("_hit"))
+                 F.expr(f"filter(transform(_s, s -> trim(s)), s -> s IN ({quoted}))").alias("_hit"))
     ids = F.when(F.size("_hit") > 0, F.transform("_hit", lambda s: F.element_at(lookup, s)))
     d = d.select("_id", "n_sentences", F.size("_hit").cast("bigint").alias("n_known"),
                  F.coalesce(F.array_join(ids, "|"), F.lit("")).alias("sentence_ids"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import pii
 from tessera.llm.langid import PAD, build_model, code_lengths, held_out, keep_identified, predict_language, train
-from tessera.llm.licenses import known_sentences, scan_licenses
+from tessera.llm.licenses import SENTENCES, known_sentences, scan_licenses
 from tessera.llm.quality import judge
 from tests.conftest import SMALL
 from tests.llm.cases import prose, rows, table
@@ -125,6 +125,19 @@ def test_unaltered_standard_notices(spark):
                                          "CC-BY-4.0", ""]
 
 
+def test_licences_wrapped_before_capitalised_words(spark):
+    mit = SENTENCES["mit-1"] + ":\n\n" + SENTENCES["mit-2"] + "."
+    gpl = "This program is free software; " + SENTENCES["gpl-any-2"] + "."
+    apache = "Licensed under the Apache License, Version 2.0"
+    texts = [mit.replace(" Software ", "\nSoftware ").replace(" Software.", "\nSoftware."), MPL.format("\n"), MPL.format(" ").replace(" Form", "\nForm"),
+             *[gpl.replace(f" {w}", f"\n{w}") for w in ("General", "Public", "License", "Free", "Software", "Foundation")],
+             re.sub(" (?=[A-Z][a-z])", "\n", gpl), APACHE.replace(" License", "\n  License"),
+             apache.replace(" Apache", "\nApache"), apache.replace(" License", "\nLicense"), apache.replace(" Version", "\nVersion"),
+             "Released under the MIT\nLicense.", "Released under the ISC\nLicense.", "Released under the\nApache Foundation", "License\n\nSoftware"]
+    assert licences_of(spark, texts) == (["MIT", "MPL-2.0", "MPL-2.0"] + ["GPL-2.0-or-later"] * 7 + ["Apache-2.0"] * 4 + ["MIT", "ISC", "", ""])
+    assert {"software", "license", "public", "general"}.isdisjoint(known_sentences())
+
+
 # ---------------------------------------------------------------- language
 
 def brute_bits(training, text, order=3):
