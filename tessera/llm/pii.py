@@ -2,18 +2,21 @@
 
 ``base_spans`` finds e-mail addresses, IP addresses, payment cards and phone
 numbers by fixed patterns, in time linear in the text.  The semi-Markov model
-then reads the stretches of text around every digit run and at-sign.  A
+then reads the stretches of text around every at-sign, also a bracketed one,
+every three digits in a row, and every seven digits with at most two separators
+between them.  A
 candidate segment is scored as a whole (its shape, digit count, Luhn and octet
 tests, first and last characters, neighbours), and a dynamic program over
-entities of at most ``MAX_TOKENS`` tokens chooses boundaries and kinds
-together.  Entities that overlap no base span are added; base spans stay.
+entities of at most ``MAX_TOKENS`` tokens, bracketed "at" and "dot" parts not
+counted, and ``MAX_CHARS`` characters chooses boundaries and kinds together.  Entities that overlap no base span are added, and phone
+numbers that hold a whole base IP address; base spans stay.
 
 The model is trained here, by conditional likelihood with the semi-Markov
 forward-backward recursion, on at most ``sample`` stretches of the corpus (the
 bound of the training set, drawn by a hash).  Labels are the base spans.  From
 every labelled stretch more are derived: one in a spelling the patterns do not
-know (bracketed "at" and "dot", phone numbers without the plus sign, cards with
-dots), labelled as before; one that is broken (a wrong check digit, an octet
+know (bracketed "at" and "dot", phone numbers without the plus sign or in pairs of
+digits, cards with dots), labelled as before; one that is broken (a wrong check digit, an octet
 above 255, no domain), labelled as nothing; and one with a second entity right
 behind the first, both labelled.
 
@@ -46,13 +49,17 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Longest entity in tokens; characters of context on either side of an anchor.
-MAX_TOKENS, CONTEXT = 24, 48
+#: Longest entity in tokens; tokens that a bracketed "at" or "dot" adds to that; longest entity in characters (an address
+#: has at most 254); characters of context on either side of an anchor.
+MAX_TOKENS, PART_TOKENS, MAX_CHARS, CONTEXT = 24, 6, 512, 48
 #: Weight of a feature that training never met: it counts against an entity.
 UNSEEN = -1.0
-_ANCHOR = re.compile(r"[0-9]{3}|@|[(\[{]at[)\]}]", re.I)
+_ANCHOR = re.compile(r"[0-9]{3}|[0-9](?:[\x20().-]{0,2}[0-9]){6}|@|[(\[{](?:at|dot)[)\]}]", re.I)
 _AT = re.compile(r"@|\s?[(\[{]at[)\]}]\s?", re.I)
 _BRACKETED = re.compile(r"[(\[{]at[)\]}]", re.I)
+_PART = re.compile(r"[(\[{](?:at|dot)[)\]}]", re.I)
+_GOES_ON = re.compile(r"\s?[(\[{]dot[)\]}]", re.I)
+_MORE, _LESS = re.compile(r"[\x20.-]{1,2}[0-9]"), re.compile(r"[0-9][\x20.-]{1,2}\Z")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
 _EDGE = re.compile(r"[A-Za-z0-9+(]")
 
@@ -134,13 +141,17 @@ def features(text: str, a: int, b: int) -> list[str]:
         clean = re.sub(r"\s?[(\[{]dot[)\]}]\s?", ".", at[1], flags=re.I)
         local = at[0].replace(" ", "~")
         whole = bool(re.fullmatch(r"[A-Za-z0-9._%+-]+", local)) and bool(_DOMAIN.fullmatch(clean))
-        out += ["at=1", f"dots={min(dots, 3)}", f"address={whole}"]
+        out += ["at=1", f"dots={min(dots, 3)}", f"address={whole}", f"goes on={bool(_GOES_ON.match(text, b))}"]
     else:
         letters = any(c.isalpha() for c in s)
         out += [f"at={min(len(at) - 1, 2)}", f"letters={letters}", f"digits={min(n, 20)}"]
         if not letters:
             seps = "".join(sorted(set(re.sub(r"[0-9]", "", s))))
-            groups = "-".join(str(min(len(p), 9)) for p in parts if p)[:24]
+            sizes = [len(p) for p in parts if p]
+            groups = "-".join(str(min(k, 9)) for k in sizes)[:24]
+            if set(sizes) == {2}:  # rows of numbers look the same but for the leading zero and the numbers around
+                alone = not _MORE.match(text, b) and not _LESS.search(text[max(0, a - 3):a])
+                out.append(f"pairs={len(sizes) if digits[0] == '0' and alone else 0}")
             out += [f"luhn={16 <= n <= 19 and luhn(digits)}", f"octets={len(parts) == 4 and s.count('.') == 3 and _octets([p or '999' for p in parts])}",
                     f"seps={seps}", f"groups={groups}", f"plus={s[0] == '+'}", f"shape={_shape(s)[:16]}"]
     return out
@@ -157,11 +168,14 @@ def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, list[str]]]
         if not _EDGE.match(text, a):
             continue
         digits, at, letters = 0, False, 0
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+        end = i + MAX_TOKENS
+        for j in range(i, len(tokens)):
             x, y = tokens[j]
             c = text[x]
-            if c in "\n\r\t":
+            if j >= end or y - a > MAX_CHARS or c in "\n\r\t":
                 break
+            if _PART.match(text, x):
+                end += PART_TOKENS
             if c == "@" or text[max(0, x - 1):y + 1].lower() in ("(at)", "[at]", "{at}"):
                 at = True
             digits += (y - x) if c.isdigit() else 0
@@ -254,6 +268,10 @@ def _variants(text: str, gold: list, rng: random.Random, others: list) -> list[t
             if kind == "email":
                 o, c = rng.choice(["()", "[]", "{}"])
                 local, domain = s.split("@")
+                if good:
+                    labels = domain.split(".")
+                    spelt = f"{local} {o}at{c} " + f" {o}dot{c} ".join(labels[:-1] * rng.randint(2, 4) + labels[-1:])
+                    out.append((left + spelt + right, [(kind, len(left), len(left) + len(spelt))]))
                 new = f"{local} {o}at{c} {domain.replace('.', f' {o}dot{c} ')}" if good else f"{local}@{domain.split('.')[0]}"
             elif kind == "ip":
                 new = s if good else ".".join([str(rng.randint(256, 999)), *s.split(".")[1:]])
@@ -263,6 +281,11 @@ def _variants(text: str, gold: list, rng: random.Random, others: list) -> list[t
                 new = sep.join(x for k in range(0, len(d), 4) if (x := (d if good else broken)[k:k + 4]))
             else:
                 ten = d[-10:].rjust(10, "5")
+                pairs, sep = [ten[k:k + 2] for k in range(0, 10, 2)], rng.choice(" .-")
+                zero = "0" + ten[1]
+                spelt = sep.join([zero, *pairs[1:]]) if good else sep.join(
+                    rng.choice([[str(rng.randint(10, 99)), *pairs[1:]], [zero, *pairs[1:], *pairs[:2]]]))
+                out.append((left + spelt + right, [(kind, len(left), len(left) + len(spelt))] if good else []))
                 new = (rng.choice(["({}) {}-{}"] * 3 + ["{}-{}-{}", "({}) {} {}", "{}.{}.{}"]).format(ten[:3], ten[3:6], ten[6:]) if good
                        else rng.choice([ten, f"{ten[:4]}-{ten[4:6]}-{ten[6:8]}", f"{ten[:7]}", f"{ten[:8]}", f"{ten}{ten[:4]}",
                                         f"{ten[:4]}.{ten[4:]}", f"{ten[:2]} {ten[2:4]} {ten[4:]}"]))
@@ -325,7 +348,9 @@ def find_spans(text: str, weights: dict) -> tuple[list, list]:
         for a, b in stretches(text):
             for kind, x, y in decode(weights, text[a:b]):
                 x, y = x + a, y + a
-                if not any(p < y and x < q for _, p, q in base):
+                # four pairs with dots are an address to the fixed patterns, also inside a longer phone number
+                if not any(p < y and x < q and not (kind == "phone" and k == "ip" and x <= p and q <= y and q - p < y - x)
+                           for k, p, q in base):
                     added.append((kind, x, y))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

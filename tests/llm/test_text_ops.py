@@ -282,3 +282,23 @@ def test_model_adds_spans_and_leaves_clean_text_alone(spark):
     assert got[4].base_sha256 == hashlib.sha256(b"").hexdigest()
     base = pii.detect(table(spark, data), weights).select(F.sum(F.expr("n_email + n_ip + n_card + n_phone"))).first()[0]
     assert base >= 290
+
+
+def test_numbers_in_pairs_and_long_bracketed_addresses():
+    """Spellings without three digits in a row, and addresses of many tokens."""
+    rng = random.Random(16)
+    samples = []
+    for i in range(300):
+        d = "".join(rng.choice("0123456789") for _ in range(7))
+        items = [f"u{i}.x@mail{i % 9}.example.com", f"+1 ({rng.randint(200, 999)}) {d[:3]}-{d[3:]}", ".".join(str(rng.randint(0, 255)) for _ in range(4))]
+        samples.append(prose(rng, 6) + " " + items[i % 3] + " " + prose(rng, 6))
+    weights = pii.fit(samples)
+    long = "bob.x (at) mail (dot) north (dot) sales (dot) division (dot) example (dot) co (dot) uk"
+    texts = {"06 12 34 56 78": "phone", "06.12.34.56.78": "phone", "01-98-70-43-21": "phone", long: "email"}
+    for entity, kind in texts.items():
+        assert (kind, 9, 9 + len(entity)) in pii.find_spans(f"write to {entity} please", weights)[1], entity
+    for clean in ("rows 12 34 56 78 90 there", "rows 01 02 03 04 05 06 07 08 there", "we met 1 2 3 times"):
+        assert pii.find_spans(clean, weights)[1] == [], clean
+    for x in ("1 " * 150_000, "a (dot) " * 20_000, "1-" * 150_000):
+        pii.stretches(x)
+    assert len(pii.segments("a (at) " + "a (dot) " * 2_000)[1]) < 200 * 2_000
