@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import pii
 from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.fill_middle import fill_in_middle, restored
+from tessera.llm.filter_audit import audit_filters
 from tessera.llm.langid import held_out, predict_language, train
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
+from tessera.llm.pieces import encode_pieces, ids_digest
 from tessera.llm.quality import judge
-from tessera.llm.sql import EXACT_DEDUP_SQL, LICENSE_SQL, LINE_DEDUP_SQL, MIX_SQL, SUBSTRING_SQL
+from tessera.llm.sql import (AUDIT_SQL, EXACT_DEDUP_SQL, FILL_MIDDLE_SQL, LICENSE_SQL, LINE_DEDUP_SQL, MIX_SQL,
+                             SUBSTRING_SQL)
 from tessera.llm.substring_dedup import substring_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -95,3 +101,31 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, by thresholds learned per language and source."""
     return judge(documents(spark, sf_dir))
+
+
+def _sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+@_query("op11_piece_codec")
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's SentencePiece ids and of the text decoded from them."""
+    import public_tokenizers
+    out = encode_pieces(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_digest().alias("ids_sha256"),
+                      _sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
+@_query("op12_fill_in_middle", FILL_MIDDLE_SQL)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at lines into prefix, middle and suffix; digests of the output and of the text rebuilt from it."""
+    out = fill_in_middle(documents(spark, sf_dir))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"),
+                      _sha256(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@_query("op13_filter_audit", AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove in all 120 orders, per language."""
+    folder = sf_dir.rstrip("/")
+    return audit_filters(spark, f"{folder}/documents.parquet", spark.read.parquet(f"{folder}/labels.parquet"))

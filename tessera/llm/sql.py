@@ -112,3 +112,69 @@ SELECT d.doc_id, coalesce(q.n_sentences, 0) AS n_sentences, coalesce(q.n_known,
        coalesce(q.sentence_ids, '') AS sentence_ids, coalesce(n.licenses, '') AS licenses
 FROM documents d LEFT JOIN seqs q USING (doc_id) LEFT JOIN names n USING (doc_id)
 """.replace("{known}", _values(sorted(known_sentences().items()))).replace("{rules}", _values(rules()))
+
+FILL_MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), l AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1,
+         ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d
+), c AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM l
+), p AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS x, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+         coalesce(array_to_string(u[b + 1:n], ''), '') AS s
+  FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || x || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE x || m || s END) AS restored_sha256
+FROM p
+"""
+
+AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+), f AS (
+  SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS dd, coalesce(first_id < doc_id, false) AS e
+  FROM d
+), lab AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * dd::INT + 16 * e::INT AS mask, count(*) AS n,
+         count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f LEFT JOIN lab USING (doc_id) GROUP BY ALL
+), letter(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT x.l || y.l || z.l || u.l || v.l AS o, [x.bit, y.bit, z.bit, u.bit, v.bit] AS bits
+  FROM letter x, letter y, letter z, letter u, letter v
+  WHERE x.bit | y.bit | z.bit | u.bit | v.bit = 31 AND x.bit + y.bit + z.bit + u.bit + v.bit = 31
+), steps AS (
+  SELECT o, unnest(range(1, 6)) AS s, unnest(bits) AS bit, unnest(list_transform(range(1, 6), lambda k: list_sum(bits[1:k - 1]))) AS p
+  FROM orders
+), counted AS (
+  SELECT part, o, s, bit,
+         sum(CASE WHEN mask & (bit | coalesce(p, 0)::INT) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & bit > 0 AND mask & coalesce(p, 0)::INT = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & bit > 0 AND mask & coalesce(p, 0)::INT > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & bit > 0 AND mask & coalesce(p, 0)::INT = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & bit > 0 AND mask & coalesce(p, 0)::INT = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m, steps GROUP BY ALL
+)
+SELECT part, o AS filter_order, s::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""
