@@ -77,11 +77,13 @@ def marked(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, part_
 
 
 _REDUCED = pa.schema([("_key", pa.binary()), ("_id", pa.int64()), ("_part", pa.string()), ("_mask", pa.int32()), ("_flags", pa.int32()),
-                      ("_n", pa.int64()), ("_beaten", pa.bool_())])
+                      ("_n", pa.int64()), ("_kind", pa.int32())])
+#: Kinds of reduced rows: the batch's smallest id of its text, a larger id, and no id.
+_LEAST, _BEATEN, _NO_ID = range(3)
 
 
 def _reduce_task(batches):
-    """Rows of a text inside one Arrow batch, summed; ``_beaten`` rows share their text with a smaller id of the batch."""
+    """Rows of a text inside one Arrow batch, summed; only rows of the batch's smallest id keep an id."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -90,11 +92,10 @@ def _reduce_task(batches):
         ids = batch.column("_id").fill_null(0).to_numpy()
         least = np.full(code.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, code[known], ids[known])
-        beaten = known & (ids > least[code])
-        # a beaten row needs no id any more
-        t = pa.table({"_key": batch.column("_key"), "_id": pa.array(ids, mask=~known | beaten), "_part": batch.column("_part"),
-                      "_mask": batch.column("_mask"), "_flags": batch.column("_flags"), "_beaten": pa.array(beaten)})
-        t = t.group_by(["_key", "_id", "_part", "_mask", "_flags", "_beaten"]).aggregate([([], "count_all")])
+        kind = np.where(~known, _NO_ID, np.where(ids > least[code], _BEATEN, _LEAST)).astype(np.int32)
+        t = pa.table({"_key": batch.column("_key"), "_id": pa.array(np.where(kind == _LEAST, ids, 0)), "_part": batch.column("_part"),
+                      "_mask": batch.column("_mask"), "_flags": batch.column("_flags"), "_kind": pa.array(kind)})
+        t = t.group_by(["_key", "_id", "_part", "_mask", "_flags", "_kind"]).aggregate([([], "count_all")])
         yield from t.rename_columns([*t.column_names[:-1], "_n"]).select(_REDUCED.names).cast(_REDUCED).to_batches()
 
 
@@ -111,12 +112,10 @@ def _update(key, frames, state: GroupState):
     out: Counter = Counter()
     before = least
     for frame in frames:
-        for ident, part, mask, flag, n, beaten in zip(*(frame[c].tolist() for c in ("_id", "_part", "_mask", "_flags", "_n", "_beaten"))):
-            if beaten:
-                out[part, mask | COPY, flag] += n
-            elif ident is None or ident != ident:
+        for ident, part, mask, flag, n, kind in zip(*(frame[c].tolist() for c in ("_id", "_part", "_mask", "_flags", "_n", "_kind"))):
+            if kind == _NO_ID:
                 out[part, mask, flag] += n
-            elif least is not None and ident > least:
+            elif kind == _BEATEN or (least is not None and ident > least):
                 out[part, mask | COPY, flag] += n
             else:
                 if least is not None and ident < least:  # retract what the earlier smallest id counted for
@@ -148,7 +147,7 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, files_per_bat
     schema = spark.read.parquet(path).select(f"`{id_col}`", f"`{text_col}`", f"`{part_col}`").schema
     docs = stream_of(spark, path, schema, files_per_batch or spark.sparkContext.defaultParallelism)
     rows = marked(docs, labels, id_col, text_col, part_col)
-    reduced = rows.mapInArrow(_reduce_task, "_key binary, _id long, _part string, _mask int, _flags int, _n long, _beaten boolean")
+    reduced = rows.mapInArrow(_reduce_task, "_key binary, _id long, _part string, _mask int, _flags int, _n long, _kind int")
     deltas = reduced.groupBy("_key").applyInPandasWithState(_update, _DELTA, _STATE, "update", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -4,12 +4,14 @@ import pytest
 
 from tessera.llm import pii
 from tessera.llm.exact_dedup import drop_copies, exact_groups
+from tessera.llm.fill_middle import fill_in_middle
 from tessera.llm.langid import keep_identified, predict_language, train
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import ngram_join, one_of_each_class
 from tessera.llm.packing import pack
+from tessera.llm.pieces import encode_pieces
 from tessera.llm.quality import judge
 from tessera.llm.substring_dedup import substring_dedup
 from tests.llm.cases import table
@@ -24,6 +26,8 @@ def test_operators_take_awkward_tables(spark, tokenizer, kind):
     assert scan_licenses(df).count() == n
     assert judge(df, min_rows=2).count() == n
     assert substring_dedup(df, max_cells=1 << 14).count() == n
+    assert fill_in_middle(df).count() == n
+    assert encode_pieces(df, tokenizer.replace("byte_bpe_50k.json", "piece_bpe_32k.model")).count() == n
     model = train(df)
     assert (model is None) == (kind == "empty")
     assert predict_language(df, model, ["doc_id"]).count() == n
