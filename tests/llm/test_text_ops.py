@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import pii
 from tessera.llm.langid import PAD, build_model, code_lengths, held_out, keep_identified, predict_language, train
 from tessera.llm.licenses import SENTENCES, known_sentences, scan_licenses
-from tessera.llm.quality import judge
+from tessera.llm.quality import NOISE, OUTER, RATES, STRETCH, base_failed, document_counts, judge, thresholds
 from tests.conftest import SMALL
 from tests.llm.cases import prose, rows, table
 
@@ -68,6 +68,43 @@ def test_thresholds_adapt_to_language_and_source(spark):
         assert not any(got[s * 100 + k] for k in range(60, 66))
 
 
+def test_fences_and_verdicts_match_exact_quantiles(spark):
+    """Fences against quantiles of the sorted rates (sketches of these sizes are exact up to a rank or two); verdicts from them."""
+    docs = table(spark, quality_table() + [(900 + i, t, "de", "few", 0) for i, t in enumerate(["a b " * 60 + str(i) for i in range(5)])])
+    keep = [F.col("doc_id"), F.col("lang").alias("_lang"), F.col("source").alias("_source")]
+    counts = document_counts(docs, keep).withColumn("base", base_failed()).toPandas()
+    limits = thresholds(document_counts(docs, keep), ["_lang", "_source"], 20).toPandas()
+    kept = {r.doc_id: r.kept for r in judge(docs, min_rows=20).collect()}
+    assert len(limits) == 3 and limits.max_symbols_per_word.nunique() == 2 and limits.max_word_length.nunique() == 3
+    for _, lim in limits.iterrows():
+        mine = counts[(counts._lang == lim._lang) & (counts._source == lim._source)]
+        for rate, (x, n, lower) in RATES.items():
+            v = np.sort((mine[x] / mine[n].clip(lower=1))[~mine.base].to_numpy())
+            q = [v[max(0, math.ceil(p * len(v)) - 1 + d)] for p, d in ((1 - OUTER, -2), (1 - OUTER, 2), (0.5, -2), (0.5, 2), (OUTER, -2), (OUTER, 2))]
+            assert q[4] + STRETCH * (q[4] - q[3]) - 1e-9 <= lim[f"max_{rate}"] <= q[5] + STRETCH * (q[5] - q[2]) + 1e-9
+            if lower:
+                assert q[0] - STRETCH * (q[3] - q[0]) - 1e-9 <= lim[f"min_{rate}"] <= q[1] - STRETCH * (q[2] - q[1]) + 1e-9
+        for row in mine.to_dict("records"):
+            good = not row["base"]
+            for rate, (x, n, lower) in RATES.items():
+                have, size = row[x], max(1, row[n])
+                for side in ("max", "min") if lower else ("max",):
+                    mean = size * lim[f"{side}_{rate}"]
+                    noise = NOISE * math.sqrt(max(mean, 1.0))
+                    good &= have <= mean + noise if side == "max" else have >= mean - noise
+            assert kept[row["doc_id"]] == good
+    assert not any(kept[900 + i] for i in range(5))  # repeated windows fail the base rule, and such a group has no fence
+
+
+def test_glued_words_leave_the_fence_of_word_lengths(spark):
+    rng = random.Random(10)
+    data = [(k, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(100)), "en", "web", 0) for k in range(80)]
+    data += [(200 + k, " ".join("".join(f"w{rng.randrange(10 ** 6)}" for _ in range(6)) for _ in range(60)), "en", "web", 0) for k in range(3)]
+    data += [(300, " ".join("xyzvw"[rng.randrange(5)] + "abcdefgh"[rng.randrange(8)] for _ in range(100)), "en", "web", 0)]
+    got = {r.doc_id: r.kept for r in judge(table(spark, data), min_rows=20).collect()}
+    assert all(got[k] for k in range(80)) and not any(got[k] for k in (200, 201, 202, 300))
+
+
 def test_native_operators_plan_no_python(spark):
     df = table(spark)
     for out in (judge(df), scan_licenses(df)):
