@@ -6,8 +6,8 @@ from how many documents of a part fail exactly which filters (a mask of five
 bits), so the job keeps counters per (part, mask) and never a document per order.
 
 1. *Stream.*  The files of the table are processed as available-now
-   micro-batches of ``files_per_batch`` files, in whatever order they come.  Masks
-   of the four filters that look at one text, a SHA-256 of the text and the labels
+   micro-batches, in whatever order they come, about ``batches`` of them.  Masks
+   of the four filters that look at one text, a 128-bit hash of the text and the labels
    are worked out with built-in functions; texts are not shuffled.
 2. *Pre-aggregation.*  Inside a task, rows of one text are reduced to those with the
    task's smallest id and to counts of the others, which fail the copy filter for
@@ -15,13 +15,16 @@ bits), so the job keeps counters per (part, mask) and never a document per order
 3. *Keyed state.*  Per text the state holds the smallest id so far and the
    contribution of its rows.  When a smaller id arrives, the earlier mask is
    retracted from the counters (-n) and counted again with the copy filter failed.
+   Texts are dealt by their hash into shards of about ``TEXTS`` texts, and a state
+   value is the sorted table of a shard (38 bytes a text), so a micro-batch updates it
+   in a few array operations instead of a Python call per text.
 4. *Counters.*  Every micro-batch writes its sums per (part, mask, labels) to its
    own folder, named by the batch id, so a repeated batch overwrites itself; sums of
    all folders are the counters.
 
 State, offsets and sums lie in the shared checkpoint folder, so the stream goes
-on after a lost executor.  The state has a row of about 100 bytes per different
-text; it is kept by the state store that the session names.
+on after a lost executor.  Every micro-batch writes the shards anew, so the state
+costs ``batches`` / 2 times its size; it is kept by the state store that the session names.
 
 Defined cases: a null text is empty; a null part is the empty string; a row
 without an id never fails the copy filter and is no smaller id to others; equal
@@ -51,6 +54,8 @@ MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 100, 80, 10
 FILTERS = "ABCDE"
 COPY = 16  # the bit of filter E
 _GOOD, _TOXIC = 1, 2
+#: Micro-batches a table is read in, and texts (rows, at most) of one shard of the state.
+BATCHES, TEXTS = 8, 20_000
 
 
 def text_mask(text: Column) -> Column:
@@ -67,7 +72,7 @@ def marked(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, part_
     """(_key, _id, _part, _mask, _flags) of every document; ``labels``: (id, quality, toxic)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     slim = docs.select(id_as_long(id_col).alias("_id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("_part"),
-                       text.alias("_t")).select("_id", "_part", F.unhex(F.sha2(F.col("_t").cast("binary"), 256)).alias("_key"),
+                       text.alias("_t")).select("_id", "_part", F.unhex(F.md5(F.col("_t").cast("binary"))).alias("_key"),
                                                 text_mask(F.col("_t")).alias("_mask"))
     flags = (labels.groupBy(id_as_long(id_col).alias("_label_id"))
              .agg(F.max(F.when(F.col("quality") == 1, _GOOD).otherwise(0)).alias("_good"),
@@ -99,38 +104,69 @@ def _reduce_task(batches):
         yield from t.rename_columns([*t.column_names[:-1], "_n"]).select(_REDUCED.names).cast(_REDUCED).to_batches()
 
 
-_STATE = "least bigint, part array<string>, flags array<int>, n array<bigint>"
+_STATE = "texts binary, parts array<string>"
 _DELTA = "part string, mask int, flags int, n bigint"
+#: A row of the state: hash of the text, its smallest id, and what the rows of that id contribute.
+_HELD = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("n", "<i8"), ("part", "<i4"), ("mask", "i1"), ("flags", "i1")])
+
+
+def _rows_of(frame: pd.DataFrame, parts: dict[str, int]) -> np.ndarray:
+    out = np.zeros(len(frame), dtype=_HELD)
+    key = np.frombuffer(b"".join(frame["_key"]), dtype="<u8").reshape(-1, 2)
+    out["a"], out["b"] = key[:, 0], key[:, 1]
+    for name in ("id", "n", "mask", "flags"):
+        out[name] = frame[f"_{name}"]
+    out["part"] = [parts.setdefault(p, len(parts)) for p in frame["_part"]]
+    return out
+
+
+def merge_rows(held: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, int, bool]]]:
+    """The state after ``new`` rows, and the changes of the counters: (rows, sign, whether the copy filter fails)."""
+    rows = np.concatenate([held, new])
+    old = np.arange(len(rows)) < len(held)
+    order = np.lexsort((rows["id"], rows["b"], rows["a"]))
+    rows, old = rows[order], old[order]
+    first = np.ones(len(rows), dtype=bool)
+    first[1:] = (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])
+    least = rows["id"][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(rows) else rows["id"]
+    stays = rows["id"] == least
+    # an earlier smallest id that is beaten now: its mask is retracted and counted as a copy
+    changes = [(rows[old & ~stays], -1, False), (rows[old & ~stays], 1, True), (rows[~old & stays], 1, False), (rows[~old & ~stays], 1, True)]
+    kept = rows[stays]
+    kept = kept[np.lexsort((kept["flags"], kept["part"], kept["b"], kept["a"]))]
+    same = ["a", "b", "part", "flags"]
+    start = np.ones(len(kept), dtype=bool)
+    start[1:] = np.any([kept[c][1:] != kept[c][:-1] for c in same], axis=0)
+    state = kept[start]
+    if len(kept):
+        state["n"] = np.add.reduceat(kept["n"], np.flatnonzero(start))
+    return state, changes
 
 
 def _update(key, frames, state: GroupState):
-    """Changes of the counters by the new rows of one text; the state is its smallest id and that id's contribution."""
-    least, held = None, Counter()
+    """Changes of the counters by the new rows of one shard of texts."""
+    parts: dict[str, int] = {}
+    held = np.zeros(0, dtype=_HELD)
     if state.exists:
-        least, parts, flags, counts = state.get
-        held = Counter(dict(zip(zip(parts, flags), counts)))
+        data, names = state.get
+        held, parts = np.frombuffer(data, dtype=_HELD), {p: k for k, p in enumerate(names)}
+    frame = pd.concat(list(frames))
+    rows, kind = _rows_of(frame, parts), frame["_kind"].to_numpy()
+    held, changes = merge_rows(held, rows[kind == _LEAST])
+    changes += [(rows[kind == _BEATEN], 1, True), (rows[kind == _NO_ID], 1, False)]
+    names = list(parts)
+    state.update((held.tobytes(), names))
     out: Counter = Counter()
-    before = least
-    for frame in frames:
-        for ident, part, mask, flag, n, kind in zip(*(frame[c].tolist() for c in ("_id", "_part", "_mask", "_flags", "_n", "_kind"))):
-            if kind == _NO_ID:
-                out[part, mask, flag] += n
-            elif kind == _BEATEN or (least is not None and ident > least):
-                out[part, mask | COPY, flag] += n
-            else:
-                if least is not None and ident < least:  # retract what the earlier smallest id counted for
-                    for (p, f), k in held.items():
-                        out[p, mask, f] -= k
-                        out[p, mask | COPY, f] += k
-                    held.clear()
-                least = ident
-                held[part, flag] += n
-                out[part, mask, flag] += n
-    if least is not None and (before != least or held):
-        state.update((int(least), [p for p, _ in held], [int(f) for _, f in held], [int(k) for k in held.values()]))
-    rows = [(*k, v) for k, v in out.items() if v]
-    if rows:
-        yield pd.DataFrame(rows, columns=["part", "mask", "flags", "n"])
+    for part, sign, copy in changes:
+        mask = part["mask"] | (COPY if copy else 0)
+        for code in np.unique(part["part"]):
+            own = part["part"] == code
+            cell = mask[own].astype(np.int64) * 4 + part["flags"][own]
+            for c, n in enumerate(np.bincount(cell, weights=part["n"][own]).astype(np.int64).tolist()):
+                out[names[code], c // 4, c % 4] += sign * n
+    changed = [(*k, v) for k, v in out.items() if v]
+    if changed:
+        yield pd.DataFrame(changed, columns=["part", "mask", "flags", "n"])
 
 
 def stream_of(spark: SparkSession, path: str, schema, files_per_batch: int) -> DataFrame:
@@ -139,16 +175,19 @@ def stream_of(spark: SparkSession, path: str, schema, files_per_batch: int) -> D
             .parquet(f"{path[:-1]}[{path[-1]}]"))
 
 
-def mask_counts(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int | None = None, id_col: str = "doc_id",
-                text_col: str = "text", part_col: str = "lang") -> DataFrame:
+def mask_counts(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES, id_col: str = "doc_id",
+                text_col: str = "text", part_col: str = "lang", texts: int = TEXTS) -> DataFrame:
     """(part, mask, flags, n): documents by the filters they fail (bits) and their labels (bits: good, toxic)."""
     path = path.rstrip("/")
     folder = f"{checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).select(f"`{id_col}`", f"`{text_col}`", f"`{part_col}`").schema
-    docs = stream_of(spark, path, schema, files_per_batch or spark.sparkContext.defaultParallelism)
+    whole = spark.read.parquet(path)
+    shards = max(1, -(-whole.count() // texts))  # the count comes from the files' footers
+    docs = stream_of(spark, path, whole.select(f"`{id_col}`", f"`{text_col}`", f"`{part_col}`").schema,
+                     max(1, -(-len(whole.inputFiles()) // batches)))
     rows = marked(docs, labels, id_col, text_col, part_col)
     reduced = rows.mapInArrow(_reduce_task, "_key binary, _id long, _part string, _mask int, _flags int, _n long, _kind int")
-    deltas = reduced.groupBy("_key").applyInPandasWithState(_update, _DELTA, _STATE, "update", GroupStateTimeout.NoTimeout)
+    deltas = (reduced.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards))).groupBy("_shard")
+              .applyInPandasWithState(_update, _DELTA, _STATE, "update", GroupStateTimeout.NoTimeout))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         sums = batch.groupBy("part", "mask", "flags").agg(F.sum("n").alias("n"))
@@ -197,7 +236,7 @@ def audit(counts: DataFrame) -> DataFrame:
             .select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"))
 
 
-def audit_filters(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int | None = None, id_col: str = "doc_id",
+def audit_filters(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES, id_col: str = "doc_id",
                   text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """The audit of the Parquet table at ``path``."""
-    return audit(mask_counts(spark, path, labels, files_per_batch, id_col, text_col, part_col))
+    return audit(mask_counts(spark, path, labels, batches, id_col, text_col, part_col))

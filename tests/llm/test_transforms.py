@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.fill_middle import BITS, WaveletMatrix, cut_units, fill_in_middle, restored
-from tessera.llm.filter_audit import _update, audit_filters, mask_counts
+from tessera.llm.filter_audit import _HELD, _update, audit_filters, mask_counts, merge_rows
 from tessera.llm.pieces import Codec, encode_pieces, ids_digest
 from tests.conftest import SMALL
 from tests.llm.cases import prose, rows, table, unique_rows
@@ -193,7 +193,7 @@ def test_audit_equals_brute_force_in_any_batch_order(spark, tmp_path):
         for k, part in enumerate(np.array_split(np.arange(len(data)), 5)):
             chunk = sorted(data, key=order)
             table(spark, [chunk[i] for i in part], clash=True).coalesce(1).write.mode("append").parquet(path)
-        got = {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in audit_filters(spark, path, lab, files_per_batch=1).collect()}
+        got = {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in audit_filters(spark, path, lab, batches=5).collect()}
         assert got.keys() == want.keys()
         assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
 
@@ -215,14 +215,37 @@ def test_smaller_ids_retract_earlier_masks():
     columns = ["_id", "_part", "_mask", "_flags", "_n", "_kind"]
     seen = []
     for batch in ([(9, "en", 3, 1, 1, 0)], [(12, "fr", 3, 0, 1, 0)], [(4, "fr", 3, 2, 2, 0), (0, "fr", 3, 0, 5, 1)], [(9, "en", 3, 0, 1, 0)],
-                  [(0, "en", 3, 0, 1, 2)]):
-        frame = pd.DataFrame(batch, columns=columns)
+                  [(0, "en", 3, 0, 1, 2), (4, "fr", 3, 2, 1, 0), (4, "en", 3, 0, 1, 0)]):
+        frame = pd.DataFrame(batch, columns=columns).assign(_key=b"0123456789abcdef")
         for out in _update(None, iter([frame]), state):
             for part, mask, flags, n in out.itertuples(index=False):
                 total[part, mask, flags] += n
                 seen.append(n)
-    assert +total == Counter({("fr", 3, 2): 2, ("en", 19, 1): 1, ("fr", 19, 0): 6, ("en", 19, 0): 1, ("en", 3, 0): 1})
-    assert -1 in seen and state.value[0] == 4
+    assert +total == Counter({("fr", 3, 2): 3, ("en", 19, 1): 1, ("fr", 19, 0): 6, ("en", 19, 0): 1, ("en", 3, 0): 2})
+    held = np.frombuffer(state.value[0], dtype=_HELD)
+    assert -1 in seen and held["id"].tolist() == [4, 4] and sorted(held["n"].tolist()) == [1, 3]
+
+
+def test_state_of_a_shard_equals_a_dictionary():
+    rng = random.Random(17)
+    held, truth, total = np.zeros(0, dtype=_HELD), [], Counter()
+    for _ in range(12):
+        new = np.zeros(rng.randint(0, 40), dtype=_HELD)
+        for r in new:
+            r["a"], r["b"], r["id"], r["n"] = rng.randint(1, 4), rng.randint(1, 3), rng.randint(1, 60), rng.randint(1, 3)
+            r["part"], r["flags"], r["mask"] = rng.randint(0, 1), rng.randint(0, 3), r["a"]
+        truth += new.tolist()
+        held, changes = merge_rows(held, new)
+        for rows_, sign, copy in changes:
+            for r in rows_:
+                total[int(r["part"]), int(r["mask"]) | 16 * copy, int(r["flags"])] += sign * int(r["n"])
+        least = {}
+        for r in truth:
+            least[r[:2]] = min(r[2], least.get(r[:2], r[2]))
+        want = Counter()
+        for a, b, i, n, part, mask, flags in truth:
+            want[part, mask | 16 * (i > least[a, b]), flags] += n
+        assert +total == want and min(total.values(), default=0) >= 0
 
 
 def test_audit_of_an_empty_table(spark, tmp_path):
