@@ -19,15 +19,19 @@ is similar to them is near the first set too and is linked as well.  Buckets
 above ``LARGE`` sets are split the same way by Spark joins, level by level, so no
 task gathers one.
 
-*Exact check.*  Found links only group sets into candidate groups.  Inside a
-group all pairs of different sets are verified exactly on their shingles, in
-blocks of ``BLOCK`` sets a side, so links are complete there and a large group
-is spread over tasks.  Tasks return counts and a spanning forest, never pairs.
+*Exact check.*  Found links only group sets into candidate groups.  A group above
+one block is first refined: its sets stay together only where they share one of
+their rarest shingles (the prefix filter: two sets at the threshold share one of the
+first ``n - 0.8 n + 1`` shingles in any common order), so a family that only shares a
+template falls apart before any pair is formed.  Inside a refined group all
+pairs of different sets are verified exactly on their shingles, in blocks of
+``BLOCK`` sets a side, so links are complete there and a large group is spread over
+tasks.  Tasks return counts and a spanning forest, never pairs.
 
 Defined cases: a null text, or one without a word, has no set: its class is its
 own and it has no links; copies share class and links; rows that repeat an id
-with its text give one row, an id with different texts one for each; a row
-without an id is left out; very long texts
+with its text give one row, an id with different texts one for each (sets are told
+apart by their content, never by their id); a row without an id is left out; very long texts
 take part whole; ties are broken by the smallest id; an empty table gives an
 empty result; other columns are ignored, whatever their names.
 """
@@ -58,6 +62,8 @@ NEAR, REACH, LEAVE = 0.62, 0.5, 0.75
 #: Up to so many ids of sets to verify, they are broadcast; above, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 LEVELS = 10
+#: Depth that the runs of all sets allow for; sets met deeper take part in more runs.
+SHALLOW = 3
 _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 64, TOKENS, dtype=U64)
 _ODD = _rng.integers(0, 1 << 64, TOKENS, dtype=U64) | U64(1)
@@ -143,8 +149,8 @@ def _children(path: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndar
 _PATH = pa.schema([("_path", pa.int64()), ("_id", pa.int64()), ("_sketch", pa.binary())])
 
 
-def _root_task(runs: int):
-    roots = mix(np.arange(1, runs + 1, dtype=U64) * U64(0xD1B54A32D192ED03))
+def _root_task(first: int, last: int):
+    roots = mix(np.arange(first + 1, last + 1, dtype=U64) * U64(0xD1B54A32D192ED03))
 
     def run(batches):
         for batch in batches:
@@ -171,10 +177,12 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _bucket_links(path: int, ids: np.ndarray, sk: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links found in one bucket and the buckets it splits into: (id, linked id)."""
+def _bucket_links(path: int, ids: np.ndarray, sk: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Links found in one bucket and the buckets it splits into: (id, linked id, 0), and (id, id, level) of sets in deep ones."""
     if len(ids) < 2:
         return
+    if level > SHALLOW and (len(ids) <= SMALL or level >= LEVELS):
+        yield ids, ids, level
     if len(ids) <= SMALL or level >= LEVELS:
         label = np.arange(len(ids))
         step = max(1, (1 << 22) // (len(ids) * TOKENS))
@@ -184,13 +192,13 @@ def _bucket_links(path: int, ids: np.ndarray, sk: np.ndarray, level: int) -> Ite
             label = _forest(len(ids), np.concatenate([a + lo, own]), np.concatenate([b, label[own]]))
         own = np.flatnonzero(label != np.arange(len(ids)))
         if len(own):
-            yield ids[own], ids[label[own]]
+            yield ids[own], ids[label[own]], 0
         return
     close = (sk == sk[0]).sum(1) / TOKENS
     near = close >= REACH
     near[0] = False
     if near.any():
-        yield ids[near], np.repeat(ids[0], near.sum())
+        yield ids[near], np.repeat(ids[0], near.sum()), 0
     stay = close < LEAVE
     ids, sk = ids[stay], sk[stay]
     row, child = _children(np.full(len(ids), path, dtype=U64), sk)
@@ -202,36 +210,38 @@ def _bucket_links(path: int, ids: np.ndarray, sk: np.ndarray, level: int) -> Ite
             yield from _bucket_links(child[part[0]], ids[row[part]], sk[row[part]], level + 1)
 
 
-_LINK = pa.schema([("_a", pa.int64()), ("_b", pa.int64())])
+_LINK = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("_level", pa.int32())])
 
 
-def _bucket_task(batches):
-    """Buckets arrive sorted by path; each has at most ``LARGE`` sets."""
+def _bucket_task(level: int):
+    """Buckets arrive sorted by path; each has at most ``LARGE`` sets and lies ``level`` deep."""
     def solve(path, parts):
         ids = np.concatenate([p[0] for p in parts])
         if len(ids) > 1:
             sk = np.concatenate([p[1] for p in parts])
             order = np.argsort(ids, kind="stable")
-            for a, b in _bucket_links(np.int64(path).view(U64), ids[order], sk[order], 1):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_LINK)
+            for a, b, deep in _bucket_links(np.int64(path).view(U64), ids[order], sk[order], level):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), deep, dtype=np.int32))], schema=_LINK)
 
-    path, parts = None, []
-    for batch in batches:
-        paths = batch.column("_path").to_numpy()
-        ids, sk = batch.column("_id").to_numpy(), _sketches(batch.column("_sketch"))
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(paths)) + 1, [len(paths)]])
-        some = np.diff(cut) > 1  # a single set in the middle of a batch is alone in its bucket
-        some[[0, -1]] = True
-        for x, y in zip(cut[:-1][some], cut[1:][some]):
-            if x == y:
-                continue
-            if paths[x] != path:
-                if path is not None:
-                    yield from solve(path, parts)
-                path, parts = paths[x], []
-            parts.append((ids[x:y], sk[x:y]))
-    if path is not None:
-        yield from solve(path, parts)
+    def run(batches):
+        path, parts = None, []
+        for batch in batches:
+            paths = batch.column("_path").to_numpy()
+            ids, sk = batch.column("_id").to_numpy(), _sketches(batch.column("_sketch"))
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(paths)) + 1, [len(paths)]])
+            some = np.diff(cut) > 1  # a single set in the middle of a batch is alone in its bucket
+            some[[0, -1]] = True
+            for x, y in zip(cut[:-1][some], cut[1:][some]):
+                if x == y:
+                    continue
+                if paths[x] != path:
+                    if path is not None:
+                        yield from solve(path, parts)
+                    path, parts = paths[x], []
+                parts.append((ids[x:y], sk[x:y]))
+        if path is not None:
+            yield from solve(path, parts)
+    return run
 
 
 def _split_task(batches):
@@ -251,13 +261,15 @@ def _split_task(batches):
             names=["_path", "_id", "_sketch", "_b"])
 
 
-def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
-    """(_a, _b): links between sets that met in a bucket and look similar; at most one per set and bucket."""
-    rows = sets.select("_id", "_sketch").mapInArrow(_root_task(runs), "_path long, _id long, _sketch binary")
-    links = []
+def bucket_links(sets: DataFrame, first: int, last: int) -> DataFrame:
+    """(_a, _b, _level) of the runs ``first`` to ``last - 1``: links between sets that met in a bucket and look similar, at most
+    one per set and bucket, and for every set of a deep bucket (_a = _b) its level."""
+    rows = sets.select("_id", "_sketch").mapInArrow(_root_task(first, last), "_path long, _id long, _sketch binary")
+    links, level = [], 1
 
     def solved(part: DataFrame) -> DataFrame:
-        return (part.repartition("_path").sortWithinPartitions("_path").mapInArrow(_bucket_task, "_a long, _b long"))
+        return (part.repartition("_path").sortWithinPartitions("_path")
+                .mapInArrow(_bucket_task(level), "_a long, _b long, _level int"))
 
     while True:
         big = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")).where(F.col("_n") > LARGE)
@@ -270,39 +282,88 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
                  .dropDuplicates(["_path"]))
         split = (rows.join(heads, "_path").select("_path", "_id", "_sketch", "_first", "_first_sketch")
                  .mapInArrow(_split_task, "_path long, _id long, _sketch binary, _b long").checkpoint())
-        links.append(split.where("_b is not null").select(F.col("_id").alias("_a"), "_b"))
+        links.append(split.where("_b is not null").select(F.col("_id").alias("_a"), "_b", F.lit(0).alias("_level")))
         rows = split.where("_path is not null").select("_path", "_id", "_sketch")
+        level += 1
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
     return out
 
 
+def candidate_links(sets: DataFrame, recall: float) -> DataFrame:
+    """(_a, _b): links of as many runs as the target recall asks for at the depth where a set was met."""
+    found = bucket_links(sets, 0, runs_for(recall, SHALLOW)).distinct().checkpoint()
+    deep = found.where("_level > 0").groupBy(F.col("_a").alias("_id")).agg(F.max("_level").alias("_level")).checkpoint()
+    out, done = found.where("_a <> _b"), runs_for(recall, SHALLOW)
+    for level in sorted(r[0] for r in deep.select("_level").distinct().collect()):  # at most LEVELS of them
+        last = runs_for(recall, level)
+        again = sets.join(deep.where(F.col("_level") >= level).select("_id"), "_id", "left_semi")
+        out = out.unionByName(bucket_links(again, done, last).where("_a <> _b").distinct())
+        done = last
+    return out.select("_a", "_b")
+
+
 # ---------------------------------------------------------------- exact check
 
 _ROW = pa.schema([("_group", pa.int64()), ("_i", pa.int32()), ("_j", pa.int32()), ("_blocks", pa.int32()),
                   ("_id", pa.int64()), ("_set", pa.binary())])
 
 
+def _wanted_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, shingles) of the texts whose set is the one asked for; another text of the same id is passed over."""
+    keys = batch.column("_key").to_pylist()
+    for a, _, buf, bounds in texts(batch, "_t"):
+        doc, h = shingles(buf, bounds, width)
+        some, start = np.unique(doc, return_index=True)
+        for k, x, y in zip(some, start, np.append(start[1:], len(h))):
+            if hashlib.md5(h[x:y].tobytes()).digest() == keys[a + k]:
+                yield a + k, h[x:y]
+
+
+def _shingle_task(width: int):
+    """The shingles of a set, a row each."""
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("_group", "_id")]
+            for k, h in _wanted_sets(batch, width):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c[k])) for c in cols] + [pa.array(h.view(np.int64))],
+                                                 names=["_group", "_id", "_h"])
+    return run
+
+
+def refined(wanted: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(_id, _group): the sets of ``wanted`` (_group, _id, _key, _t), together only where they share one of their rarest shingles."""
+    rows = wanted.mapInArrow(_shingle_task(width), "_group long, _id long, _h long").distinct()
+    often = rows.groupBy("_group", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    ranked = join_reduced(rows, often, ["_group", "_h"], "left")
+    # a shingle that no other set of the group has leads nowhere, but takes a place of the prefix
+    sets = ranked.groupBy("_group", "_id").agg(
+        F.count(F.lit(1)).alias("_size"), F.count("_n").alias("_shared"),
+        F.sort_array(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct("_n", "_h")))).alias("_order"))
+    left = F.col("_size") - F.ceil(F.col("_size") * similarity - 1e-9) + 1 - (F.col("_size") - F.col("_shared"))
+    prefix = (sets.where(left > 0).select("_group", "_id", F.explode(F.slice("_order", F.lit(1), left.cast("int"))).alias("_x"))
+              .select("_group", "_id", F.col("_x._h").alias("_h")).checkpoint())
+    heads = prefix.groupBy("_group", "_h").agg(F.min("_id").alias("_head"))
+    stars = join_reduced(prefix, heads, ["_group", "_h"]).where("_id <> _head").select("_id", "_head").distinct()
+    return connected_components(stars, "_id", "_head").select(F.col("node").alias("_id"), F.col("component").alias("_group"))
+
+
 def _block_task(width: int):
     """A set goes to every pair of blocks that its block is in."""
     def run(batches):
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in ("_id", "_group", "_blocks")}
-            for a, _, buf, bounds in texts(batch, "_t"):
-                doc, h = shingles(buf, bounds, width)
-                some, start = np.unique(doc, return_index=True)
-                stop = np.append(start[1:], len(h))
-                for k, x, y in zip(some, start, stop):
-                    ident, group, blocks = (cols[c][a + k] for c in ("_id", "_group", "_blocks"))
-                    own = int(mix(np.array([ident], dtype=np.int64).view(U64))[0] % U64(blocks))
-                    pairs = [(min(own, o), max(own, o)) for o in range(blocks)]
-                    data = h[x:y].tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([group] * blocks, pa.int64()), pa.array([p[0] for p in pairs], pa.int32()),
-                         pa.array([p[1] for p in pairs], pa.int32()), pa.array([blocks] * blocks, pa.int32()),
-                         pa.array([ident] * blocks, pa.int64()),
-                         pa.array([data] * blocks, pa.binary())], schema=_ROW)
+            for k, h in _wanted_sets(batch, width):
+                ident, group, blocks = (cols[c][k] for c in ("_id", "_group", "_blocks"))
+                own = int(mix(np.array([ident], dtype=np.int64).view(U64))[0] % U64(blocks))
+                pairs = [(min(own, o), max(own, o)) for o in range(blocks)]
+                data = h.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group] * blocks, pa.int64()), pa.array([p[0] for p in pairs], pa.int32()),
+                     pa.array([p[1] for p in pairs], pa.int32()), pa.array([blocks] * blocks, pa.int32()),
+                     pa.array([ident] * blocks, pa.int64()),
+                     pa.array([data] * blocks, pa.binary())], schema=_ROW)
     return run
 
 
@@ -374,26 +435,39 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checkpoint_dir(docs.sparkSession)
     sets = text_sets(docs, id_col, text_col, width).checkpoint()
     members = sets.select("_id", "_key").distinct()
-    classes = members.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"))
-    members = join_reduced(members, classes, ["_key"]).select("_id", "_rep", "_copies").checkpoint()
-    reps = sets.join(members.where("_id = _rep").select("_id"), "_id", "left_semi")
-
-    groups = connected_components(candidate_links(reps, runs_for(recall)), "_a", "_b")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
-    todo = groups.join(sizes, "component").select(F.col("node").alias("_id"), F.col("component").alias("_group"), "_blocks")
-    todo = todo.checkpoint()
-    few = todo.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    base = docs.where(F.col(f"`{id_col}`").isNotNull()).select(id_as_long(id_col).alias("_id"), text_or_empty(text_col).alias("_s"))
-    blocks = (base.join(F.broadcast(todo) if few else todo, "_id")
-              .select("_id", "_group", "_blocks", raw(F.col("_s")).alias("_t"))
-              .mapInArrow(_block_task(width), "_group long, _i int, _j int, _blocks int, _id long, _set binary"))
+    # from here on a set has a number of its own; an id may have several sets
+    classes = (members.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"))
+               .withColumn("_node", F.monotonically_increasing_id()).checkpoint())
+    members = join_reduced(members, classes, ["_key"]).select("_id", "_rep", "_copies", "_node").checkpoint()
+    reps = (sets.select("_id", "_key", "_sketch").join(classes.select(F.col("_rep").alias("_id"), "_key", "_node"), ["_id", "_key"])
+            .select(F.col("_node").alias("_id"), "_sketch").dropDuplicates(["_id"]))
+
+    base = docs.where(F.col(f"`{id_col}`").isNotNull()).select(id_as_long(id_col).alias("_rep"), text_or_empty(text_col).alias("_s"))
+    named = classes.select(F.col("_node").alias("_id"), "_rep", "_key")
+
+    def with_texts(todo: DataFrame) -> DataFrame:
+        few = todo.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return base.join(F.broadcast(todo) if few else todo, "_rep").withColumn("_t", raw(F.col("_s"))).drop("_s", "_rep")
+
+    groups = connected_components(candidate_links(reps, recall), "_a", "_b").select(F.col("node").alias("_id"), F.col("component").alias("_group"))
+    size = groups.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    groups = groups.join(size, "_group").join(named, "_id").checkpoint()
+    large = groups.where(F.col("_n") > BLOCK).select("_group", "_id", "_key", "_rep").checkpoint()
+    todo = groups.where(F.col("_n") <= BLOCK).select("_group", "_id", "_key", "_rep")
+    if not large.isEmpty():
+        todo = todo.unionByName(refined(with_texts(large), similarity, width).join(large.select("_id", "_key", "_rep"), "_id"))
+    sizes = todo.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    todo = todo.join(sizes, "_group").checkpoint()
+    blocks = with_texts(todo).mapInArrow(_block_task(width), "_group long, _i int, _j int, _blocks int, _id long, _set binary")
     found = (blocks.repartition("_group", "_i", "_j").sortWithinPartitions("_group", "_i", "_j")
              .mapInArrow(_verify_task(similarity), "_id long, _links long, _to long").checkpoint())
     linked = found.groupBy("_id").agg(F.sum("_links").alias("_links"))
-    merged = connected_components(found.where("_id <> _to"), "_id", "_to").withColumnRenamed("node", "_rep")
-    per_rep = linked.withColumnRenamed("_id", "_rep").join(merged, "_rep", "left")
-    out = (join_reduced(members, per_rep, ["_rep"], "left")
-           .select("_id", F.coalesce("component", "_rep").alias("class_id"), F.col("_rep").alias("rep_id"),
+    merged = connected_components(found.where("_id <> _to"), "_id", "_to").join(named.select(F.col("_id").alias("node"), "_rep"), "node")
+    least = merged.groupBy("component").agg(F.min("_rep").alias("_class"))
+    per_set = (linked.join(merged.join(least, "component").select(F.col("node").alias("_id"), "_class"), "_id", "left")
+               .withColumnRenamed("_id", "_node"))
+    out = (join_reduced(members, per_set, ["_node"], "left")
+           .select("_id", F.coalesce("_class", "_rep").alias("class_id"), F.col("_rep").alias("rep_id"),
                    F.col("_copies").alias("n_copies"), F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links")))
     ids = docs.where(F.col(f"`{id_col}`").isNotNull()).select(id_as_long(id_col).alias("_id")).distinct()
     return (ids.join(out, "_id", "left")

@@ -96,12 +96,58 @@ def test_buckets_in_a_task_find_similar_sets():
         row, child = J._children(np.full(80, J.mix(np.array([run + 1], dtype=np.uint64))[0]), sk)
         for c in np.unique(child):
             part = np.sort(row[child == c])
-            for a, b in J._bucket_links(c, ids[part], sk[part], 1):
+            for a, b, _ in J._bucket_links(c, ids[part], sk[part], 1):
                 linked |= set(zip(a.tolist(), b.tolist()))
     assert sum((k + 40, k) in linked for k in range(40)) >= 39
     assert J.runs_for(0.99) == 10 and J.runs_for(0.999) > J.runs_for(0.9)
 
 
+def test_an_id_with_two_texts_keeps_all_links(spark):
+    rng = random.Random(13)
+    a, b = family(rng, 2, 150, 2), family(rng, 2, 150, 2)
+    data = [(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1]), (1, a[0])]
+    got = sorted(tuple(r) for r in J.ngram_join(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1, 1, 1), (1, 1, 1, 1, 1), (2, 1, 2, 1, 1), (3, 1, 3, 1, 1)]
+
+
+def test_a_template_family_falls_apart_before_pairs_are_formed(spark, monkeypatch):
+    """Sets that share half of their shingles: linked at the sketches, one group; refined groups hold only the planted pairs."""
+    rng = random.Random(14)
+    template = prose(rng, 110)
+    texts = [template + " " + " ".join(f"y{rng.randrange(10 ** 7)}" for _ in range(90)) for _ in range(400)]
+    pairs = [(k, 400 + k) for k in range(30)]
+    for k, _ in pairs:
+        w = texts[k].split()
+        w[rng.randrange(len(w))] = "z1"
+        texts.append(" ".join(w))
+    seen = {}
+    refine = J.refined
+    monkeypatch.setattr(J, "BLOCK", 64)
+    monkeypatch.setattr(J, "refined", lambda wanted, *a: seen.setdefault("out", refine(wanted.cache(), *a).cache()))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: ((i - 400, 1) if i >= 400 else (i, int(i < 30))) for i in range(430)}
+    if seen:
+        assert seen["out"].groupBy("_group").count().agg({"count": "max"}).first()[0] <= 4
+
+
+def test_recall_on_a_hot_group(spark, monkeypatch):
+    """Planted pairs at 0.8 and a little more inside a family of per-token agreement 0.4 whose buckets go deep."""
+    rng = np.random.default_rng(15)
+    n, planted = 4_000, 100
+    template = rng.integers(0, 1 << 16, J.TOKENS, dtype=np.uint16)
+    base = np.where(rng.random((n, J.TOKENS)) < 0.4, template, rng.integers(0, 1 << 16, (n, J.TOKENS), dtype=np.uint16)).astype("<u2")
+    twin = base[:planted].copy()
+    for k in range(planted):
+        twin[k, rng.choice(J.TOKENS, 13, replace=False)] = 1
+    rows = [(k, s.tobytes()) for k, s in enumerate(np.concatenate([base, twin]))]
+    monkeypatch.setattr(J, "SMALL", 16)
+    sets = spark.createDataFrame([(k, bytearray(s)) for k, s in rows], "_id long, _sketch binary").repartition(8).cache()
+    assert J.bucket_links(sets, 0, 15).agg({"_level": "max"}).first()[0] > J.SHALLOW
+    links = connected_components(J.candidate_links(sets, 0.999), "_a", "_b")
+    group = {r.node: r.component for r in links.collect()}
+    assert sum(group.get(k, -1) == group.get(n + k, -2) for k in range(planted)) >= 0.99 * planted
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(4)
     chain = [0, *range(200, 0, -1)]
