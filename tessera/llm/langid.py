@@ -4,15 +4,21 @@ Per language, byte contexts of up to three bytes and the bytes that follow
 them are counted over labelled training texts; the counts are then frozen.
 The code length of a byte is exact PPM with escapes (method C) and exclusions:
 the longest context that has seen the byte codes it, each shorter step pays
-the escape, and bytes never seen are coded evenly.  All code lengths are put
-in one table (context, byte, language), so scoring a text is one table look-up
-per byte, in numpy over whole Arrow batches.  The language with the shortest
+the escape, and bytes never seen are coded evenly.  The language with the shortest
 code for the whole text wins.
 
-Training takes at most about ``rows_per_lang`` labelled rows per language,
-chosen by a hash of the text (all rows where there are fewer).  The model's
-size is bounded by ``max_symbols`` and ``max_contexts``: rarer bytes share one
-class, rarer three-byte contexts fall back to two bytes (about 12 MB a language).
+Every language keeps all its contexts and bytes in sorted tables of its own, so
+another language adds its part and takes none away.  The bytes seen behind a
+context are among those seen behind its shorter one; so what an exclusion leaves
+of a shorter context is one number per context, and a code length is a handful of
+look-ups.  The code lengths of the ``cached`` most frequent grams are worked out
+beforehand for all languages; that bounds the speed table, not the result.
+Scoring runs in numpy over whole Arrow batches, in segments of bounded size.
+
+Training takes about ``rows_per_lang`` labelled rows per language,
+chosen by a hash of the text (all rows where there are fewer): the bound of the
+training sample.  More than ``max_langs`` different labels are refused, as the column
+does not hold languages then.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as
 is every text if nothing was learned; a text of any length is scored whole;
@@ -38,13 +44,27 @@ ORDER = 3
 PAD = "\n" * ORDER
 
 
+#: Bytes scored at a time, and grams whose code lengths are worked out beforehand.
+SEGMENT, CACHED = 1 << 17, 200_000
+
+
+@dataclass
+class Order:
+    """Contexts of one length: what follows them, and what an escape from them leaves of the shorter ones."""
+    grams: np.ndarray   # context and byte, sorted
+    code: np.ndarray    # log2 of the gram's count
+    contexts: np.ndarray  # sorted
+    own: np.ndarray     # (context, 2): log2(total + kinds), code length of the escape
+    below: np.ndarray   # (context, 2): the same for the shorter context without the bytes seen here
+
+
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray   # byte -> symbol; the last symbol is any byte not seen in training
-    node: np.ndarray     # three symbols -> row of ``bits``
-    bits: np.ndarray     # (row * symbols + symbol, language) -> code length
-    symbols: int
+    orders: list[list[Order]]  # per language, longest context first
+    unseen: list[float]        # per language: code length of a byte that was never seen, behind all escapes
+    grams: np.ndarray          # sorted four-byte grams with code lengths in ``bits``
+    bits: np.ndarray           # (gram, language)
 
 
 def _count_task(batches):
@@ -65,75 +85,80 @@ def _count_task(batches):
                                                      schema=schema)
 
 
-def _code_lengths(counts: list[np.ndarray], unseen: int) -> np.ndarray:
-    """PPM-C with exclusions.  ``counts``: per order, longest first, (row, symbol); the last symbol stands for ``unseen`` bytes."""
-    p = np.zeros(counts[0].shape)
-    rest = np.ones((len(p), 1))
-    out = np.zeros(p.shape, dtype=bool)
-    for c in counts:
-        c = np.where(out, 0, c)
-        total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        new = c > 0
-        p = np.where(new, rest * c / np.maximum(total + kinds, 1), p)
-        rest = np.where(total > 0, rest * kinds / np.maximum(total + kinds, 1), rest)
-        out |= new
-    left = (~out[:, :-1]).sum(1, keepdims=True) + unseen
-    return -np.log2(np.where(out, p, rest / np.maximum(left, 1)))
-
-
-def build_model(langs: np.ndarray, grams: np.ndarray, n: np.ndarray, max_symbols: int, max_contexts: int) -> Model | None:
-    """The frozen table from counted four-byte grams."""
+def _own_and_escape(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """log2(total + kinds) and the code length of an escape; nothing left costs nothing."""
+    some = total > 0
+    size = np.log2(np.where(some, total + kinds, 1))
+    return np.stack([size, np.where(some, size - np.log2(np.where(some, kinds, 1)), 0.0)], 1).astype(np.float32)
+
+
+def _orders(grams: np.ndarray, n: np.ndarray) -> tuple[list[Order], float]:
+    """The tables of one language from its four-byte grams (unique) and counts; code length of a byte never seen."""
+    out, above = [], None
+    tables = []
+    for k in range(ORDER, -1, -1):
+        u, at = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        c = np.bincount(at, weights=n)
+        ctx, row, kinds = np.unique(u >> 8, return_inverse=True, return_counts=True)
+        tables.append((u, c, ctx, row, np.bincount(row, weights=c), kinds))
+    for k, (u, c, ctx, row, total, kinds) in enumerate(tables):
+        below = np.zeros((len(ctx), 2), dtype=np.float32)
+        if k < ORDER:
+            u2, c2, ctx2, _, total2, kinds2 = tables[k + 1]
+            bits = 8 * (ORDER - k)
+            shorter = np.searchsorted(ctx2, ctx & ((1 << (bits - 8)) - 1))
+            taken = np.bincount(row, weights=c2[np.searchsorted(u2, u & ((1 << bits) - 1))])
+            below = _own_and_escape(np.round(total2[shorter] - taken), kinds2[shorter] - kinds)
+        out.append(Order(u.astype(np.uint32), np.log2(c).astype(np.float32), ctx.astype(np.uint32), _own_and_escape(total, kinds), below))
+    return out, float(np.log2(max(1, 256 - len(tables[-1][0]))))
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def gram_bits(orders: list[Order], unseen: float, grams: np.ndarray) -> np.ndarray:
+    """Exact PPM-C code length of the last byte of every four-byte gram, under one language."""
+    bits = np.zeros(len(grams), dtype=np.float32)
+    open_ = np.arange(len(grams))               # positions not coded yet
+    cost = np.zeros((len(grams), 2), dtype=np.float32)
+    above = np.zeros(len(grams), dtype=bool)     # the longer context was seen, ``cost`` holds what it leaves
+    for k, o in enumerate(orders):
+        key = grams[open_] & np.uint32((1 << 8 * (ORDER - k + 1)) - 1)
+        row, have = _find(o.contexts, key >> np.uint32(8))
+        now = np.where(above[:, None], cost, np.where(have[:, None], o.own[row], 0))
+        at, hit = _find(o.grams, key)
+        bits[open_] += np.where(hit, now[:, 0] - o.code[at], now[:, 1])
+        rest = ~hit
+        cost, above, open_ = o.below[row][rest], have[rest], open_[rest]
+        if not len(open_):
+            return bits
+    bits[open_] += unseen
+    return bits
+
+
+def build_model(langs: np.ndarray, grams: np.ndarray, n: np.ndarray, cached: int = CACHED) -> Model | None:
+    """The frozen tables from counted four-byte grams."""
     names = sorted(set(langs))
     if not names:
         return None
-    chars = np.stack([(grams >> s) & 255 for s in (24, 16, 8, 0)])
-    seen = np.bincount(chars[3], weights=n, minlength=256)
-    frequent = np.argsort(-seen, kind="stable")[:max_symbols - 2]
-    top = sorted({ord(PAD[0]), *frequent[seen[frequent] > 0].tolist()})  # the padding is a context even where no text has it
-    a = len(top) + 1
-    symbol = np.full(256, a - 1, dtype=np.int32)
-    symbol[top] = np.arange(a - 1)
-    s = symbol[chars].astype(np.int64)
-    ctx = (s[0] * a + s[1]) * a + s[2]
-    kinds, first = np.unique(ctx, return_inverse=True)
-    weight = np.bincount(first, weights=n)
-    kept = np.sort(kinds[np.argsort(-weight, kind="stable")[:max_contexts]])
-    # rows: kept three-byte contexts, two-byte contexts that occur, and one for each last byte behind any other
-    seen2 = np.unique(ctx % (a * a))
-    other2 = np.setdiff1d(np.arange(a * a), seen2)
-    last, at = np.unique(other2 % a, return_index=True)
-    two = np.concatenate([seen2, other2[at]])
-    back = np.zeros(a * a, dtype=np.int32)
-    back[other2] = len(kept) + len(seen2) + np.searchsorted(last, other2 % a)
-    back[two] = len(kept) + np.arange(len(two))
-    node = np.tile(back, a)
-    node[kept] = np.arange(len(kept), dtype=np.int32)
-    short = np.concatenate([kept % (a * a), two])  # the two-byte context of every row
-    bits = np.empty((len(short), a, len(names)), dtype=np.float32)
-    for k, lang in enumerate(names):
-        own = langs == lang
-        c3 = np.zeros((len(short), a))
-        row = node[ctx[own]]
-        np.add.at(c3, (row[row < len(kept)], s[3][own][row < len(kept)]), n[own][row < len(kept)])
-        c2 = np.zeros((a * a, a))
-        np.add.at(c2, (ctx[own] % (a * a), s[3][own]), n[own])
-        c1 = c2.reshape(a, a, a).sum(0)
-        c0 = c1.sum(0, keepdims=True)
-        for c in (c3, c2, c1, c0):
-            c[:, -1] = 0  # a byte outside the alphabet is coded evenly
-        for lo in range(0, len(short), 8192):
-            rows = short[lo:lo + 8192]
-            bits[lo:lo + 8192, :, k] = _code_lengths(
-                [c3[lo:lo + 8192], c2[rows], c1[rows % a], np.broadcast_to(c0, (len(rows), a))], 257 - a)
-    return Model(names, symbol, node, bits.reshape(-1, len(names)), a)
+    parts = [_orders(grams[langs == x], n[langs == x]) for x in names]
+    every, at = np.unique(grams, return_inverse=True)
+    weight = np.bincount(at, weights=n)
+    top = np.sort(every[np.argsort(-weight, kind="stable")[:cached]]).astype(np.uint32)
+    bits = np.stack([gram_bits(o, u, top) for o, u in parts], 1)
+    return Model(names, [o for o, _ in parts], [u for _, u in parts], top, bits)
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 3000,
-          max_symbols: int = 128, max_contexts: int = 20_000) -> Model | None:
+          max_langs: int = 1000, cached: int = CACHED) -> Model | None:
     """A model from the rows with a text and a language."""
     base = labelled.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("_s"))
-    per = {r[0]: r[1] for r in base.groupBy("lang").count().collect()}
+    per = {r[0]: r[1] for r in base.groupBy("lang").count().limit(max_langs + 1).collect()}
+    if len(per) > max_langs:
+        raise ValueError(f"more than {max_langs} different values in {lang_col}")
     if not per:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for k, v in per.items() for x in (k, min(1.0, rows_per_lang / v))]), F.col("lang"))
@@ -141,25 +166,31 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     grams = (base.where(drawn).select("lang", raw(F.concat(F.lit(PAD), F.col("_s"))).alias("_t"))
              .mapInArrow(_count_task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     t = grams.toArrow()  # bounded by the training rows
-    return build_model(np.array(t["lang"].to_pylist(), dtype=object), t["gram"].to_numpy(), t["n"].to_numpy().astype(float),
-                       max_symbols, max_contexts)
+    return build_model(np.array(t["lang"].to_pylist(), dtype=object), t["gram"].to_numpy(), t["n"].to_numpy().astype(float), cached)
 
 
 def code_lengths(model: Model, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Bits of every padded text under every language."""
-    a = model.symbols
-    s = model.symbol[buf]
-    ctx = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
-    bits = model.bits[model.node[ctx] * a + s[3:]]
-    lo, hi = bounds[:-1], bounds[1:] - ORDER
-    out = np.zeros((len(lo), len(model.langs)))
-    full = np.flatnonzero(hi > lo)
-    if len(full):
-        cuts = np.stack([lo[full], np.minimum(hi[full], len(bits) - 1)], 1).ravel()
-        sums = np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)[::2]
-        if hi[full[-1]] >= len(bits):
-            sums[-1] = bits[lo[full[-1]]:].sum(0, dtype=np.float64)
-        out[full] = sums
+    out = np.zeros((len(bounds) - 1, len(model.langs)))
+    last = len(buf) - ORDER
+    for lo in range(0, max(last, 0), SEGMENT):
+        hi = min(lo + SEGMENT, last)
+        w = buf[lo:hi + ORDER].astype(np.uint32)
+        gram = (w[:-3] << np.uint32(24)) | (w[1:-2] << np.uint32(16)) | (w[2:-1] << np.uint32(8)) | w[3:]
+        at, known = _find(model.grams, gram)
+        bits = model.bits[at]
+        rare = np.flatnonzero(~known)
+        if len(rare):
+            for k, (orders, unseen) in enumerate(zip(model.orders, model.unseen)):
+                bits[rare, k] = gram_bits(orders, unseen, gram[rare])
+        # grams that lie inside one text: those that start before its last ORDER bytes
+        a = np.clip(bounds[:-1] - lo, 0, hi - lo)
+        b = np.clip(bounds[1:] - ORDER - lo, 0, hi - lo)
+        some = np.flatnonzero(b > a)
+        if len(some):
+            cuts = np.stack([a[some], b[some]], 1).ravel()
+            total = np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), dtype=bits.dtype)]), cuts, axis=0, dtype=np.float64)
+            out[some] += total[::2]
     return out
 
 
@@ -191,7 +222,7 @@ def predict_language(docs: DataFrame, model: Model | None, keep: list, text_col:
     text = text_or_empty(text_col)
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
-    score = _scorer(docs.sparkSession.sparkContext.broadcast(model))  # bounded by max_symbols, max_contexts and languages
+    score = _scorer(docs.sparkSession.sparkContext.broadcast(model))  # bounded by the training rows, and the speed table by ``cached``
     names = docs.select(*keep).columns
     scored = docs.select(*keep, score(raw(F.concat(F.lit(PAD), text)), text.rlike(r"\p{L}")).alias("_scored"))
     return scored.select(*[F.col(f"`{c}`") for c in names], F.col("_scored.lang_pred"), F.col("_scored.score"), F.col("_scored.bits"))

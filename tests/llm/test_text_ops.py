@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
@@ -220,7 +221,11 @@ def test_code_lengths_are_exact_ppm():
             langs.append(lang)
             grams.append(g)
             n.append(k)
-    model = build_model(np.array(langs, dtype=object), np.array(grams), np.array(n, dtype=float), 128, 10_000)
+    for model in (build_model(np.array(langs, dtype=object), np.array(grams), np.array(n, dtype=float), cached) for cached in (10_000, 3)):
+        check_code_lengths(model, training)
+
+
+def check_code_lengths(model, training):
     for text in ["abra", "zyx", "q", "", "bac zabra abrac", "été"]:
         buf = np.frombuffer((PAD + text).encode(), dtype=np.uint8)
         got = code_lengths(model, buf, np.array([0, len(buf)]))[0]
@@ -232,6 +237,33 @@ def test_code_lengths_are_exact_ppm():
     assert abs(got[2, 1] - brute_bits(training["y"], "zyx")) < 1e-3
 
 
+def test_many_languages_and_a_rare_script_stay_exact(spark, monkeypatch):
+    """Ten languages and one of few rows in a script of its own: predictions are those of the plain model, whatever is cached."""
+    from tessera.llm import langid
+    monkeypatch.setattr(langid, "SEGMENT", 100)
+    rng = random.Random(19)
+    letters = ["abcdefgh", "ijklmnop", "qrstuvwx", "aeioubdg", "éèàùçabc", "ñáíóúdef", "äöüßghij", "бгдежзий", "αβγδεζηθ", "אבגדהוזח"]
+    rare = "กขคงจฉชซ"
+    made = [("x" + str(k), "".join(rng.choice(a + " ") for _ in range(300))) for k, a in enumerate(letters) for _ in range(12)]
+    made += [("rare", "".join(rng.choice(rare + " ") for _ in range(60))) for _ in range(2)]
+    train_df = spark.createDataFrame(made, "lang string, text string")
+    tests = ["".join(rng.choice(a + " ") for _ in range(rng.choice([3, 50, 400]))) for a in [*letters, rare] * 3] + ["漢字", "z", "é"]
+    by = {x: [t for la, t in made if la == x] for x in sorted({la for la, _ in made})}
+    want = []
+    for t in tests:
+        sizes = {x: brute_bits(ts, t) for x, ts in by.items()}
+        want.append((min(sizes, key=lambda x: (round(sizes[x], 3), x)), min(sizes.values())))
+    for cached in (200_000, 50):
+        model = train(train_df, cached=cached)
+        out = predict_language(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model, ["doc_id"]).collect()
+        got = {r.doc_id: r for r in out}
+        for k, (lang, size) in enumerate(want):
+            if re.search(r"[^\W\d_]", tests[k]):
+                assert got[k].lang_pred == lang and abs(got[k].bits - size) < 1e-3 * max(1, size), (k, tests[k][:20])
+    with pytest.raises(ValueError):
+        train(train_df, max_langs=5)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = predict_language(docs, train(docs.where(~held_out())), ["doc_id", "lang", held_out().alias("held_out")]).collect()
