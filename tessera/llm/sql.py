@@ -1,12 +1,12 @@
 """DuckDB statements for the results of the operators that SQL can express."""
 
-from tessera.llm.licenses import known_sentences, rules
+from tessera.llm.licenses import HOLE, HOLES, NOTICE, SPDX_JOIN, SPDX_MARK, known_sentences, rules
 
 
-def _values(pairs) -> str:
+def _values(rows) -> str:
     def quote(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"({quote(a)}, {quote(b)})" for a, b in pairs)
+    return ", ".join(f"({', '.join(map(quote, row))})" for row in rows)
 
 
 EXACT_DEDUP_SQL = r"""
@@ -89,19 +89,32 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), ''))
 """
 
 LICENSE_SQL = r"""
-WITH known(s, id) AS (VALUES {known}), rule(licence, p) AS (VALUES {rules}),
-cut AS (
+WITH known(s, id) AS (VALUES {known}), rule(licence, p) AS (VALUES {rules}), hole(id, a, b) AS (VALUES {holes}),
+parts AS (
+  SELECT doc_id, string_split(coalesce(text, ''), '{mark}') AS p FROM documents
+), lines AS (
+  SELECT doc_id, p, list_transform(p, lambda x: regexp_extract(x, '\A[^\r\n]*')) AS l FROM parts
+), spdx AS (
+  SELECT doc_id, p[1] || coalesce(array_to_string(list_transform(range(2, len(p) + 1), lambda i:
+           chr(1) || '{word} ' || regexp_replace(regexp_replace(l[i], '{join}', chr(1) || '{word} ', 'g'), '\+', '-or-later', 'g')
+           || chr(1) || substr(p[i], length(l[i]) + 1)), ''), '') AS t
+  FROM lines
+), cut AS (
   SELECT doc_id, string_split(regexp_replace(regexp_replace(
-           lower(regexp_replace(coalesce(text, ''), '\n[ \t]*(\p{Lu}\p{Ll})', chr(1) || '\1', 'g')),
+           lower(regexp_replace(t, '\n[ \t]*(\p{Lu}\p{Ll})', chr(1) || '\1', 'g')),
            '[.!?;:]+([ \t\n\x0b\f\r]|\z)|\r?\n[ \t\r]*\n', chr(1), 'g'), '[^\p{L}\p{N}\x01]+', ' ', 'g'), chr(1)) AS l
-  FROM documents
+  FROM spdx
 ), sent AS (
-  SELECT doc_id, unnest(list_transform(l, lambda x: trim(x))) AS s, unnest(range(len(l))) AS i FROM cut
+  SELECT doc_id, unnest(list_transform(l, lambda x: trim(regexp_replace(trim(x), '{notice}', 'cited ')))) AS s, unnest(range(len(l))) AS i FROM cut
 ), full_sent AS (SELECT * FROM sent WHERE s <> ''
+), named AS (
+  SELECT f.doc_id, f.i, coalesce(h.id, k.id) AS id
+  FROM full_sent f LEFT JOIN known k ON k.s = f.s
+  LEFT JOIN hole h ON starts_with(f.s, h.a || ' ') AND ends_with(f.s, ' ' || h.b) AND length(f.s) <= length(h.a) + length(h.b) + {hole_size}
 ), seqs AS (
-  SELECT f.doc_id, count(*) AS n_sentences, count(k.id) AS n_known,
-         coalesce(string_agg(k.id, '|' ORDER BY f.i) FILTER (k.id IS NOT NULL), '') AS sentence_ids
-  FROM full_sent f LEFT JOIN known k ON k.s = f.s GROUP BY f.doc_id
+  SELECT doc_id, count(*) AS n_sentences, count(id) AS n_known,
+         coalesce(string_agg(id, '|' ORDER BY i) FILTER (id IS NOT NULL), '') AS sentence_ids
+  FROM named GROUP BY doc_id
 ), found AS (
   SELECT q.doc_id, r.licence, r.p FROM seqs q JOIN rule r ON contains('|' || q.sentence_ids || '|', r.p)
 ), whole AS (
@@ -111,7 +124,10 @@ cut AS (
 SELECT d.doc_id, coalesce(q.n_sentences, 0) AS n_sentences, coalesce(q.n_known, 0) AS n_known,
        coalesce(q.sentence_ids, '') AS sentence_ids, coalesce(n.licenses, '') AS licenses
 FROM documents d LEFT JOIN seqs q USING (doc_id) LEFT JOIN names n USING (doc_id)
-""".replace("{known}", _values(sorted(known_sentences().items()))).replace("{rules}", _values(rules()))
+"""
+for _name, _value in (("known", _values(sorted(known_sentences().items()))), ("rules", _values(rules())), ("holes", _values(HOLES)),
+                      ("mark", SPDX_MARK), ("word", SPDX_MARK[:-1]), ("join", SPDX_JOIN), ("notice", NOTICE), ("hole_size", str(HOLE))):
+    LICENSE_SQL = LICENSE_SQL.replace("{" + _name + "}", _value)
 
 FILL_MIDDLE_SQL = r"""
 WITH d AS (

@@ -133,8 +133,8 @@ def test_licences_in_notices_and_wrapped_texts(spark):
     ]
     got = {r.doc_id: (r.licenses, r.n_known) for r in scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {1: ("Apache-2.0", 1), 2: ("GPL-3.0", 1), 3: ("CC-BY-NC-4.0,MIT", 2), 4: ("MIT", 2), 5: ("", 1), 6: ("", 0),
-                   7: ("", 0), 8: ("", 0), 9: ("MIT", 2), 10: ("Apache-2.0", 4)}
-    assert known_sentences()["released under the mit license"] == "notice-MIT"
+                   7: ("", 0), 8: ("", 0), 9: ("BSD-3-Clause,MIT", 3), 10: ("Apache-2.0", 4)}
+    assert known_sentences()["cited mit license"] == "notice-MIT"
 
 
 MPL = ("This Source Code Form is subject to the terms of the Mozilla Public{}License, v. 2.0. If a copy of the MPL was not distributed "
@@ -165,7 +165,7 @@ def test_unaltered_standard_notices(spark):
 
 def test_licences_wrapped_before_capitalised_words(spark):
     mit = SENTENCES["mit-1"] + ":\n\n" + SENTENCES["mit-2"] + "."
-    gpl = "This program is free software; " + SENTENCES["gpl-any-2"] + "."
+    gpl = "This program is free software; " + SENTENCES["gpl-2.0-or-later-0"] + "."
     apache = "Licensed under the Apache License, Version 2.0"
     texts = [mit.replace(" Software ", "\nSoftware ").replace(" Software.", "\nSoftware."), MPL.format("\n"), MPL.format(" ").replace(" Form", "\nForm"),
              *[gpl.replace(f" {w}", f"\n{w}") for w in ("General", "Public", "License", "Free", "Software", "Foundation")],
@@ -176,6 +176,70 @@ def test_licences_wrapped_before_capitalised_words(spark):
     assert {"software", "license", "public", "general"}.isdisjoint(known_sentences())
 
 
+def gnu(name, end, subject="program"):
+    return f"This {subject} is free software; you can redistribute it and/or\nmodify it under the terms of the {name}{end}."
+
+
+ANY = "\nas published by the Free Software Foundation; either version {}\nof the License, or (at your option) any later version"
+WARRANTY = ("\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty "
+            "of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.")
+BSD = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\n"
+       "are met:\n\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.\n"
+       "2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the\n"
+       "   documentation and/or other materials provided with the distribution.\n")
+NOR = ("3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software "
+       "without specific prior written permission.\n")
+AD = ("3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes "
+      "software developed by the University.\n")
+ASIS = "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"."
+LESSER, LIBRARY, AFFERO, GENERAL = ("GNU Lesser General Public License", "GNU Library General Public License", "GNU Affero General Public License",
+                                    "GNU General Public License")
+STANDARD = [  # notices as their licences print them, and the names expected for them
+    ("LGPL-2.1-or-later", gnu("GNU Lesser General Public\nLicense", ANY.format("2.1"), "library") + WARRANTY),
+    ("LGPL-3.0-or-later", gnu(LESSER, ANY.format("3").replace(";", ","), "library")), ("AGPL-3.0-or-later", gnu(AFFERO, ANY.format("3").replace(";", ",")) + WARRANTY),
+    ("LGPL-2.0-or-later", gnu(LIBRARY, ANY.format("2"), "library")), ("GPL-2.0-or-later", gnu(GENERAL, ANY.format("2")) + WARRANTY),
+    ("GPL-3.0-or-later", gnu(GENERAL, ANY.format("3"))), ("GPL-2.0-only", gnu(GENERAL, " version 2 as\npublished by the Free Software Foundation")),
+    ("GPL-2.0-only", gnu(GENERAL, "\nas published by the Free Software Foundation; version 2\nof the License")),
+    ("GPL-2.0-only", gnu(GENERAL, ", version 2, as published by the Free Software Foundation") + WARRANTY),
+    ("GPL-3.0-only", gnu(GENERAL, " as published by the Free Software Foundation, version 3")), ("LGPL-2.1-only", gnu(LESSER, " version 2.1 as\npublished by the Free Software Foundation")),
+    ("AGPL-3.0-only", gnu(AFFERO, "\nas published by the Free Software Foundation, version 3 of the License")),
+    ("BSD-2-Clause", BSD + ASIS), ("BSD-3-Clause", BSD + NOR.format("the copyright holder") + ASIS), ("BSD-3-Clause", BSD + NOR.format("the University") + ASIS),
+    ("BSD-3-Clause", BSD + NOR.format("Example Inc.").replace("Inc.", "Inc") + ASIS),
+    ("BSD-3-Clause", BSD + "3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission." + ASIS),
+    ("BSD-4-Clause", BSD + AD + NOR.format("the University").replace("3.", "4.") + ASIS),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, "
+             "subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.\n   (See accompanying file LICENSE_1_0.txt or copy at\n   https://www.boost.org/LICENSE_1_0.txt)"),
+    ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n\nx"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials\nare made available under the terms of the Eclipse Public License v1.0\nwhich accompanies this "
+                "distribution, and is available at\nhttp://www.eclipse.org/legal/epl-v10.html\n\nx"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version\n1.1 (the \"License\"); you may not use this file except in compliance with\nthe License."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\nTHE SOFTWARE"),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this "
+            "permission notice appear in all copies."),
+    ("MIT-0", SENTENCES["mit0-1"] + ".\n\n" + SENTENCES["mit-3"] + "."), ("MIT", SENTENCES["mit-1"] + ":\n\n" + SENTENCES["mit-2"] + ".\n\n" + SENTENCES["mit-3"] + "."),
+    ("CC0-1.0", "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy"),
+    ("CC-BY-SA-3.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License. To view a copy"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-3.0", "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2."), ("Artistic-2.0", "This is free software, licensed under:\n\n  The Artistic License 2.0 (GPL Compatible)"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."), ("MPL-2.0", MPL.format(" ")), ("Apache-2.0", APACHE),
+    ("Apache-2.0", APACHE.replace("http:", "https:")), ("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\nimport os"),
+    ("MIT", "// SPDX-License-Identifier: MIT\n#include <x>"), ("Apache-2.0,MIT", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */\nint x;"),
+    ("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0+\n"), ("BSD-3-Clause,GPL-2.0-only", "<!-- SPDX-License-Identifier: GPL-2.0-only AND BSD-3-Clause -->"),
+    ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0"), ("MPL-2.0", "a b c\n;; SPDX-License-Identifier: MPL-2.0\n\n(defun x)"),
+    ("", "SPDX-License-Identifier: Unknown-1.0"), ("", "Neither the name nor the place may be used to endorse it."), ("", "You can redistribute it. General Public License. Lesser."),
+]
+
+
+def test_standard_notices_are_found_and_not_confused(spark):
+    got = licences_of(spark, [t for _, t in STANDARD])
+    assert {k: (g, STANDARD[k]) for k, g in enumerate(got) if g != STANDARD[k][0]} == {}
+    assert len(STANDARD) >= 45
+
+
 # ---------------------------------------------------------------- language
 
 def brute_bits(training, text, order=3):
