@@ -13,7 +13,8 @@ numbers that hold a whole base IP address; base spans stay.
 
 The model is trained here, by conditional likelihood with the semi-Markov
 forward-backward recursion, on at most ``sample`` stretches of the corpus (the
-bound of the training set, drawn by a hash).  Labels are the base spans.  From
+bound of the training set, drawn by a hash; long stretches such as tables of
+numbers are cut into windows for that).  Labels are the base spans.  From
 every labelled stretch more are derived: one in a spelling the patterns do not
 know (bracketed "at" and "dot", phone numbers without the plus sign or in pairs of
 digits, cards with dots), labelled as before; one that is broken (a wrong check digit, an octet
@@ -21,7 +22,7 @@ above 255, no domain), labelled as nothing; and one with a second entity right
 behind the first, both labelled.
 
 Defined cases: a null text is empty and has no spans; whole texts of any length
-are read; overlapping kinds are each reported; with no training stretch only
+are read, a stretch of any length (a table of numbers) in memory that grows with its tokens alone; overlapping kinds are each reported; with no training stretch only
 base spans are found; repeated rows are each reported; an empty table gives an
 empty result; other columns are ignored, whatever their names.
 """
@@ -32,7 +33,9 @@ import hashlib
 import math
 import random
 import re
+from array import array
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,6 +64,9 @@ _PART = re.compile(r"[(\[{](?:at|dot)[)\]}]", re.I)
 _GOES_ON = re.compile(r"\s?[(\[{]dot[)\]}]", re.I)
 _MORE, _LESS = re.compile(r"[\x20.-]{1,2}[0-9]"), re.compile(r"[0-9][\x20.-]{1,2}\Z")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
+_BLANK = re.compile(r"\s+")
+#: Longest stretch that is trained on as one piece.
+WINDOW = 4 * CONTEXT
 _EDGE = re.compile(r"[A-Za-z0-9+(]")
 
 
@@ -157,37 +163,46 @@ def features(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, list[str]]]]:
-    """Tokens of a stretch and its candidate segments: (first token, end token, start, end, features).
+def token_starts(text: str) -> array:
+    """Where the tokens of a stretch start, and its end."""
+    return array("l", (*(m.start() for m in _TOKEN.finditer(text)), len(text)))
+
+
+def candidates_from(text: str, starts: array, i: int) -> Iterator[tuple[int, int, int]]:
+    """The candidate segments that start at token ``i``: (end token, start, end).
 
     A candidate has an at-sign or seven digits, and starts and ends like an entity does.
     """
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    out = []
-    for i, (a, _) in enumerate(tokens):
-        if not _EDGE.match(text, a):
-            continue
-        digits, at, letters = 0, False, 0
-        end = i + MAX_TOKENS
-        for j in range(i, len(tokens)):
-            x, y = tokens[j]
-            c = text[x]
-            if j >= end or y - a > MAX_CHARS or c in "\n\r\t":
-                break
-            if _PART.match(text, x):
-                end += PART_TOKENS
-            if c == "@" or text[max(0, x - 1):y + 1].lower() in ("(at)", "[at]", "{at}"):
-                at = True
-            digits += (y - x) if c.isdigit() else 0
-            if c.isalpha():
-                letters += 1
-                if not c.isascii():
-                    break
-            if letters and not at and c == " " and not _BRACKETED.match(text, y):
+    a = starts[i]
+    if not _EDGE.match(text, a):
+        return
+    digits, at, letters = 0, False, 0
+    end = i + MAX_TOKENS
+    for j in range(i, len(starts) - 1):
+        x, y = starts[j], starts[j + 1]
+        c = text[x]
+        if j >= end or y - a > MAX_CHARS or c in "\n\r\t":
+            break
+        if _PART.match(text, x):
+            end += PART_TOKENS
+        if c == "@" or text[max(0, x - 1):y + 1].lower() in ("(at)", "[at]", "{at}"):
+            at = True
+        digits += (y - x) if c.isdigit() else 0
+        if c.isalpha():
+            letters += 1
+            if not c.isascii():
                 break
-            if (at or digits >= 7) and (text[y - 1].isalnum()) and not (letters and not at):
-                out.append((i, j + 1, a, y, features(text, a, y)))
-    return len(tokens), out
+        if letters and not at and c == " " and not _BRACKETED.match(text, y):
+            break
+        if (at or digits >= 7) and (text[y - 1].isalnum()) and not (letters and not at):
+            yield j + 1, a, y
+
+
+def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, list[str]]]]:
+    """Tokens of a training stretch and its candidate segments: (first token, end token, start, end, features)."""
+    starts = token_starts(text)
+    n = len(starts) - 1
+    return n, [(i, j, a, b, features(text, a, b)) for i in range(n) for j, a, b in candidates_from(text, starts, i)]
 
 
 # ---------------------------------------------------------------- the model
@@ -197,24 +212,31 @@ def _score(weights: dict, kind: str, feats: list[str], unseen: float = 0.0) -> f
 
 
 def decode(weights: dict, text: str) -> list[tuple[str, int, int]]:
-    """Best segmentation: single tokens outside entities score 0, entities their weights."""
-    n, cand = segments(text)
-    by_end = defaultdict(list)
-    for i, j, a, b, f in cand:
-        s, kind = max((_score(weights, k, f, UNSEEN), k) for k in KINDS)
-        if s > 0:
-            by_end[j].append((i, s, kind, a, b))
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, s, kind, a, b in by_end[j]:
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (i, kind, a, b)
+    """Best segmentation: single tokens outside entities score 0, entities their weights.
+
+    One pass over the tokens: candidates are scored where they start and only kept as the best one
+    known for the token where they end, so a long stretch costs a few numbers a token.
+    """
+    starts = token_starts(text)
+    n = len(starts) - 1
+    best = array("d", bytes(8 * (n + 1)))
+    back: dict[int, tuple[int, str]] = {}  # end token -> (first token, kind) of the entity that ends there
+    for i in range(n):
+        if i and best[i - 1] >= best[i]:
+            best[i] = best[i - 1]
+            back.pop(i, None)
+        for j, a, b in candidates_from(text, starts, i):
+            feats = features(text, a, b)
+            s, kind = max((_score(weights, k, feats, UNSEEN), k) for k in KINDS)
+            if s > 0 and best[i] + s > best[j]:
+                best[j], back[j] = best[i] + s, (i, kind)
+    if n and best[n - 1] >= best[n]:
+        back.pop(n, None)
     out, j = [], n
     while j > 0:
-        if back[j]:
-            i, kind, a, b = back[j]
-            out.append((kind, a, b))
+        if j in back:
+            i, kind = back[j]
+            out.append((kind, starts[i], starts[j]))
             j = i
         else:
             j -= 1
@@ -324,11 +346,35 @@ def fit(samples: list[str], epochs: int = 12, rate: float = 0.3, decay: float =
 
 # ---------------------------------------------------------------- Spark
 
+def training_windows(text: str) -> Iterator[str]:
+    """The stretches of a text for training; one above ``WINDOW`` characters is cut at white space outside its base spans,
+    behind the last such place in a window, or the next one where a window has none."""
+    for a, b in stretches(text):
+        if b - a <= WINDOW:
+            yield text[a:b]
+            continue
+        part = text[a:b]
+        spans = sorted((x, y) for _, x, y in base_spans(part))
+        lo, last, k = 0, 0, 0
+        for m in _BLANK.finditer(part):
+            at = m.end()
+            while k < len(spans) and spans[k][1] <= m.start():
+                k += 1
+            if k < len(spans) and spans[k][0] < at:
+                continue
+            if at - lo > WINDOW:
+                cut = last if last > lo else at
+                yield part[lo:cut]
+                lo = cut
+            last = at
+        yield part[lo:]
+
+
 def _stretch_task(batches):
     for batch in batches:
         out = []
         for text in batch.column("_t").to_pylist():
-            out += [text[a:b] for a, b in stretches(text) if b - a <= 4 * CONTEXT]
+            out += training_windows(text)
         if out:
             yield pa.RecordBatch.from_pydict({"s": out}, schema=pa.schema([("s", pa.string())]))
 
