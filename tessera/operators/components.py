@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.skew import join_reduced
-from tessera.session import checkpoint_dir
+from tessera.session import settled
 
 
 def _state(e: DataFrame) -> tuple:
@@ -26,19 +26,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Loops and edges with a null end are left out (a null is no node); edges may repeat.
     """
-    checkpoint_dir(edges.sparkSession)
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     nodes = ends.select(F.col(a).alias("node")).where(F.col(a) == F.col(b)).distinct()
-    e = (ends.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-         .distinct().checkpoint())
+    e = settled(ends.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = _state(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_reduced(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_reduced(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = join_reduced(large, low, ["u"]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        e = hooked.where("u != v").distinct().checkpoint()
+        e = settled(hooked.where("u != v").distinct())
         before, state = state, _state(e)
         if state == before:
             break

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import closure_by_doubling
 from tessera.session import checkpoint_dir
 
 
@@ -295,33 +296,9 @@ def circular_references(df: DataFrame, id_col: str = "id", parent_col: str = "pa
 
 
 # ---------------------------------------------------------------- H14
-def transitive_closure(edges: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """All (child, ancestor) pairs, semi-naive: only new pairs are extended.
-
-    Terminates on cycles because a round adds only pairs not yet present.
-    Each round's delta is checkpointed once; the closure is the union of those
-    deltas and is never rewritten.
-    """
-    spark = spark or edges.sparkSession
-    checkpoint_dir(spark)
-    base = edges.select("child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()) \
-                .distinct().checkpoint()
-    e = base.select(F.col("child").alias("e_child"), F.col("parent").alias("e_parent"))
-    closure = base
-    delta = base
-    while True:
-        step = (delta.join(e, delta.parent == e.e_child)
-                     .select(delta.child.alias("n_child"), e.e_parent.alias("n_parent"))
-                     .distinct())
-        seen = closure.select(F.col("child").alias("s_child"), F.col("parent").alias("s_parent"))
-        new = (step.join(seen, (step.n_child == seen.s_child) & (step.n_parent == seen.s_parent), "left_anti")
-                   .select(F.col("n_child").alias("child"), F.col("n_parent").alias("parent"))
-                   .checkpoint())
-        if new.isEmpty():
-            break
-        closure = closure.unionByName(new)
-        delta = new
-    return closure
+def transitive_closure(edges: DataFrame) -> DataFrame:
+    """All (child, ancestor) pairs by path doubling (``operators.graph``); terminates on cycles."""
+    return closure_by_doubling(edges)
 
 
 # ---------------------------------------------------------------- H2b

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ADAPTIVE_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -97,3 +98,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir() or path
     raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder for iterative jobs")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: no lineage, and its true size for the planner.
+
+    For rounds of joins.  ``checkpoint()`` keeps the estimated size, which a join squares; after a dozen rounds
+    the estimate has millions of digits and planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
