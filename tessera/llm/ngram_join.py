@@ -150,15 +150,17 @@ _PATH = pa.schema([("_path", pa.int64()), ("_id", pa.int64()), ("_sketch", pa.bi
 
 
 def _root_task(first: int, last: int):
+    """A set takes part in the runs ``first`` to its own ``_last`` - 1."""
     roots = mix(np.arange(first + 1, last + 1, dtype=U64) * U64(0xD1B54A32D192ED03))
 
     def run(batches):
         for batch in batches:
-            sk = _sketches(batch.column("_sketch"))
-            for root in roots:
-                row, path = _children(np.full(len(sk), root, dtype=U64), sk)
+            sk, until = _sketches(batch.column("_sketch")), batch.column("_last").to_numpy()
+            for k, root in enumerate(roots, first):
+                own = np.flatnonzero(until > k)
+                row, path = _children(np.full(len(own), root, dtype=U64), sk[own])
                 if len(row):
-                    take = pa.array(row)
+                    take = pa.array(own[row])
                     yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("_id").take(take),
                                                       batch.column("_sketch").take(take)], schema=_PATH)
     return run
@@ -264,7 +266,7 @@ def _split_task(batches):
 def bucket_links(sets: DataFrame, first: int, last: int) -> DataFrame:
     """(_a, _b, _level) of the runs ``first`` to ``last - 1``: links between sets that met in a bucket and look similar, at most
     one per set and bucket, and for every set of a deep bucket (_a = _b) its level."""
-    rows = sets.select("_id", "_sketch").mapInArrow(_root_task(first, last), "_path long, _id long, _sketch binary")
+    rows = sets.select("_id", "_sketch", "_last").mapInArrow(_root_task(first, last), "_path long, _id long, _sketch binary")
     links, level = [], 1
 
     def solved(part: DataFrame) -> DataFrame:
@@ -293,15 +295,16 @@ def bucket_links(sets: DataFrame, first: int, last: int) -> DataFrame:
 
 def candidate_links(sets: DataFrame, recall: float) -> DataFrame:
     """(_a, _b): links of as many runs as the target recall asks for at the depth where a set was met."""
-    found = bucket_links(sets, 0, runs_for(recall, SHALLOW)).distinct().checkpoint()
-    deep = found.where("_level > 0").groupBy(F.col("_a").alias("_id")).agg(F.max("_level").alias("_level")).checkpoint()
-    out, done = found.where("_a <> _b"), runs_for(recall, SHALLOW)
-    for level in sorted(r[0] for r in deep.select("_level").distinct().collect()):  # at most LEVELS of them
-        last = runs_for(recall, level)
-        again = sets.join(deep.where(F.col("_level") >= level).select("_id"), "_id", "left_semi")
-        out = out.unionByName(bucket_links(again, done, last).where("_a <> _b").distinct())
-        done = last
-    return out.select("_a", "_b")
+    first = runs_for(recall, SHALLOW)
+    found = bucket_links(sets.withColumn("_last", F.lit(first)), 0, first).distinct().checkpoint()
+    out = found.where("_a <> _b").select("_a", "_b")
+    levels = sorted(r[0] for r in found.where("_level > 0").select("_level").distinct().collect())  # at most LEVELS of them
+    if levels:
+        until = F.element_at(F.create_map(*[F.lit(x) for k in levels for x in (k, runs_for(recall, k))]), F.col("_level"))
+        deep = found.where("_level > 0").groupBy(F.col("_a").alias("_id")).agg(F.max("_level").alias("_level")).select("_id", until.alias("_last"))
+        again = bucket_links(sets.join(deep, "_id"), first, runs_for(recall, levels[-1]))
+        out = out.unionByName(again.where("_a <> _b").select("_a", "_b"))
+    return out
 
 
 # ---------------------------------------------------------------- exact check

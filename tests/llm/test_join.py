@@ -142,7 +142,7 @@ def test_recall_on_a_hot_group(spark, monkeypatch):
     rows = [(k, s.tobytes()) for k, s in enumerate(np.concatenate([base, twin]))]
     monkeypatch.setattr(J, "SMALL", 16)
     sets = spark.createDataFrame([(k, bytearray(s)) for k, s in rows], "_id long, _sketch binary").repartition(8).cache()
-    assert J.bucket_links(sets, 0, 15).agg({"_level": "max"}).first()[0] > J.SHALLOW
+    assert J.bucket_links(sets.selectExpr("*", "15 as _last"), 0, 15).agg({"_level": "max"}).first()[0] > J.SHALLOW
     links = connected_components(J.candidate_links(sets, 0.999), "_a", "_b")
     group = {r.node: r.component for r in links.collect()}
     assert sum(group.get(k, -1) == group.get(n + k, -2) for k in range(planted)) >= 0.99 * planted
