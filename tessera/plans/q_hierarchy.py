@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import graph as G
 from tessera.operators import hierarchy as H
 from tessera.plans import testbed as T
 from tessera.plans.registry import query
@@ -166,6 +167,47 @@ def hier_closure(spark, d):
     return H.transitive_closure(H.edges_from_parent(T.v1x(spark, d)))
 
 
+GRAPH_CLOSURE = """
+WITH RECURSIVE g AS (SELECT DISTINCT child, parent FROM v1g),
+c(child, parent) AS (SELECT child, parent FROM g
+  UNION SELECT c.child, g.parent FROM c JOIN g ON c.parent = g.child)"""
+#: Mutual reachability on the chains of orders alone: no other part of V1g reaches an order.
+GRAPH_MEMBERS = """,
+m AS (SELECT a.child AS member, min(a.parent) AS component FROM c a JOIN c b ON b.child = a.parent AND b.parent = a.child GROUP BY 1)"""
+
+
+@query("hier_components", GRAPH_CLOSURE + GRAPH_MEMBERS + """,
+f AS (SELECT x.component, min({'a': g.child, 'b': g.parent}) AS e FROM g JOIN m x ON x.member = g.child JOIN m y ON y.member = g.parent
+      WHERE x.component = y.component GROUP BY 1)
+SELECT m.component, m.member, count(*) OVER (PARTITION BY m.component) AS n_members, f.e.a AS cycle_child, f.e.b AS cycle_parent
+FROM m JOIN f ON f.component = m.component""", ("v1g",))
+def hier_components(spark, d):
+    """H12 over concepts with several parents: cycles as strongly connected components."""
+    return G.strong_components(T.v1g(spark, d))
+
+
+@query("hier_cycle_edges", GRAPH_CLOSURE + GRAPH_MEMBERS + """
+SELECT x.component, g.child, g.parent FROM g JOIN m x ON x.member = g.child JOIN m y ON y.member = g.parent
+WHERE x.component = y.component""", ("v1g",))
+def hier_cycle_edges(spark, d):
+    return G.cycle_edges(T.v1g(spark, d))
+
+
+@query("hier_closure_graph", GRAPH_CLOSURE + """
+SELECT child, parent FROM c""", ("v1g",))
+def hier_closure_graph(spark, d):
+    """H14 over concepts with several parents, chains and cycles."""
+    return G.closure_by_doubling(T.v1g(spark, d))
+
+
+@query("hier_reachable", GRAPH_CLOSURE + """
+SELECT p.child, p.ancestor, c.child IS NOT NULL AS reachable FROM v1p p
+LEFT JOIN c ON c.child = p.child AND c.parent = p.ancestor""", ("v1g", "v1p"))
+def hier_reachable(spark, d):
+    """H14 without a closure: pairs of concepts asked for."""
+    return G.AncestorIndex(T.v1g(spark, d)).reachable(T.v1p(spark, d))
+
+
 @query("hier_top_concepts", f"SELECT id AS concept FROM v1x WHERE {BLANK}", ("v1x",))
 def hier_top_concepts(spark, d):
     return H.top_concepts(T.v1x(spark, d))
