@@ -54,10 +54,41 @@ def read_csv_uneven(spark, d):
     line = (F.when(F.col("o_orderkey") % 3 == 1, F.concat_ws(";", key, cust))
              .when(F.col("o_orderkey") % 3 == 2, F.concat_ws(";", key, cust, status, F.lit("over")))
              .otherwise(F.concat_ws(";", key, cust, status)))
-    head = spark.range(1).select(F.lit(0).alias("o"), F.lit("key;customer;status").alias("value"))
-    (head.unionByName(o.select(F.lit(1).alias("o"), line.alias("value"))).coalesce(1).sortWithinPartitions("o")
-         .select("value").write.text(path))
-    return S.read_csv(spark, path, sep=";", multi_line=False)
+    # part files written in parallel, each with its own header line in front of its rows
+    parts = spark.sparkContext.defaultParallelism
+    rows = o.select(F.pmod(F.xxhash64("o_orderkey"), F.lit(parts)).cast("int").alias("p"), F.lit(1).alias("o"), line.alias("value"))
+    head = spark.range(parts).select(F.col("id").cast("int").alias("p"), F.lit(0).alias("o"), F.lit("key;customer;status").alias("value"))
+    rows.unionByName(head).repartition("p").sortWithinPartitions("p", "o").write.partitionBy("p").option("maxRecordsPerFile", 0).text(path + "/t")
+    return S.read_csv(spark, path + "/t/p=*", sep=";", multi_line=False)
+
+
+@query("read_csv_quoted", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') || '"; "' || chr(10) || ';' || source || '\\' AS text, source FROM documents""")
+def read_csv_quoted(spark, d):
+    """Texts that hold separators, quotes, line ends and backslashes in every mixture, written as CSV and read back."""
+    path = S.scratch_path(spark, "csv")
+    doc = table(spark, d, "documents")
+    text = F.concat(F.nullif(F.col("text"), F.lit("")), F.lit('"; "\n;'), F.col("source"), F.lit("\\"))
+    quoted = [F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""')), F.lit('"'))
+              for c in (F.col("doc_id").cast("string"), text, F.col("source"))]
+    parts = spark.sparkContext.defaultParallelism
+    rows = doc.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("p"), F.lit(1).alias("o"), F.concat_ws(";", *quoted).alias("value"))
+    head = spark.range(parts).select(F.col("id").cast("int").alias("p"), F.lit(0).alias("o"), F.lit("doc_id;text;source").alias("value"))
+    rows.unionByName(head).repartition("p").sortWithinPartitions("p", "o").write.partitionBy("p").text(path + "/t")
+    return S.read_csv(spark, path + "/t/p=*", sep=";")
+
+
+@query("json_list_inferred", """
+SELECT event_id, event_type, value AS "metrics.value", user_id AS "metrics.user.id", event_type || '}"' || chr(92) || '[{' AS "metrics.user.tag" FROM events""")
+def json_list_inferred(spark, d):
+    """Lists of nested objects whose strings hold braces, brackets, quotes and backslashes; the types come from the records."""
+    path = S.scratch_path(spark, "json")
+    ev = table(spark, d, "events").select("event_id", "event_type", F.struct("value", F.struct(
+        F.col("user_id").alias("id"), F.concat("event_type", F.lit('}"\\[{')).alias("tag")).alias("user")).alias("metrics"))
+    rows = ev.select(F.floor(F.col("event_id") / 500).alias("g"), F.to_json(F.struct(*ev.columns)).alias("j"))
+    lists = rows.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return S.read_json_flat(spark, path, multi_line=True)
 
 
 # ---------------------------------------------------------------- S2 on V9 text lines

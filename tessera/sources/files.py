@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.session import checkpoint_dir
+from tessera.sources.splits import csv_records, json_records, parse_csv_records
 
 # Separators tried for a CSV file, in order.
 CSV_SEPARATORS = [";", ",", "\t", "|"]
@@ -27,14 +29,19 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
 
     Rows with fewer fields than the header are padded with nulls, rows with more
     are skipped (an empty field behind a last separator is not one more).  Fields may be quoted, hold doubled or backslash-escaped quotes
-    and, with ``multi_line`` (the default), line ends; such files are read one
-    task per file.  ``multi_line=False`` splits large files that have no line
-    ends inside quotes.
+    and, with ``multi_line`` (the default), line ends; a large file of those is read by many tasks
+    (``sources.splits``), which shuffles its records once.  ``multi_line=False`` saves that shuffle for files that
+    have no line ends inside quotes.
     """
-    r = (spark.read.option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", "\\")
+    windows = codecs.lookup(encoding).name == "cp1252"  # Spark's own reader does not know it; Latin-1 keeps its bytes apart
+    r = (spark.read.option("sep", sep).option("encoding", "ISO-8859-1" if windows else encoding).option("quote", '"').option("escape", "\\")
               .option("charToEscapeQuoteEscaping", "\\").option("multiLine", multi_line).option("inferSchema", False)
               .option("unescapedQuoteHandling", "STOP_AT_CLOSING_QUOTE"))
-    names = r.option("header", True).csv(path).columns
+    names = [n.lstrip("\ufeff") for n in r.option("header", True).csv(path).columns]
+    if windows:
+        names = [n.encode("latin-1").decode("cp1252") for n in names]
+    if multi_line or windows:
+        return parse_csv_records(csv_records(spark, path, sep, encoding), names, sep)
     # one field more than the header tells an over-long row
     spare = "_over"
     while spare in names:
@@ -133,10 +140,14 @@ def read_json_flat(spark: SparkSession, path: str, multi_line: bool = False,
                    schema: T.StructType | str | None = None) -> DataFrame:
     """S3: JSON records with nested objects flattened.
 
-    JSON Lines (the default) split across tasks; ``multi_line`` reads a list of
-    objects or one object per file (one task per file).
+    JSON Lines (the default) split across tasks; ``multi_line`` reads lists of objects or one object per file,
+    a large list by many tasks (``sources.splits``): its objects are written to the shared folder as JSON
+    Lines first.  Without ``schema`` the types are those of all records (Spark merges the types of every
+    record in a tree), so such records are read twice.
     """
-    r = spark.read.option("multiLine", multi_line)
-    if schema is not None:
-        r = r.schema(schema)
+    if multi_line:
+        lines = scratch_path(spark, "json-lines")
+        json_records(spark, path).select("record").write.text(lines)
+        path = lines
+    r = spark.read if schema is None else spark.read.schema(schema)
     return flatten(r.json(path))
