@@ -58,7 +58,7 @@ def read_csv_uneven(spark, d):
     parts = spark.sparkContext.defaultParallelism
     rows = o.select(F.pmod(F.xxhash64("o_orderkey"), F.lit(parts)).cast("int").alias("p"), F.lit(1).alias("o"), line.alias("value"))
     head = spark.range(parts).select(F.col("id").cast("int").alias("p"), F.lit(0).alias("o"), F.lit("key;customer;status").alias("value"))
-    rows.unionByName(head).repartition("p").sortWithinPartitions("p", "o").write.partitionBy("p").option("maxRecordsPerFile", 0).text(path + "/t")
+    rows.unionByName(head).repartition("p").sortWithinPartitions("p", "o").select("p", "value").write.partitionBy("p").text(path + "/t")
     return S.read_csv(spark, path + "/t/p=*", sep=";", multi_line=False)
 
 
@@ -74,7 +74,7 @@ def read_csv_quoted(spark, d):
     parts = spark.sparkContext.defaultParallelism
     rows = doc.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("p"), F.lit(1).alias("o"), F.concat_ws(";", *quoted).alias("value"))
     head = spark.range(parts).select(F.col("id").cast("int").alias("p"), F.lit(0).alias("o"), F.lit("doc_id;text;source").alias("value"))
-    rows.unionByName(head).repartition("p").sortWithinPartitions("p", "o").write.partitionBy("p").text(path + "/t")
+    rows.unionByName(head).repartition("p").sortWithinPartitions("p", "o").select("p", "value").write.partitionBy("p").text(path + "/t")
     return S.read_csv(spark, path + "/t/p=*", sep=";")
 
 
