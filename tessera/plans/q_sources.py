@@ -155,6 +155,43 @@ def csv_dialect_scores_q(spark, d):
     return S.csv_dialect_scores(v9_lines(spark, d))
 
 
+@query("csv_quote_scores", """
+WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN chr(34) WHEN 1 THEN chr(39) ELSE '' END AS q FROM documents),
+n AS (SELECT 'f' || CAST(doc_id % 3 AS VARCHAR) AS file, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT * FROM (VALUES (0, ';'), (1, ','), (2, chr(9)), (3, '|')) s(i, sep), (VALUES (0, chr(34)), (1, chr(39)), (2, NULL)) u(j, quote)),
+-- a data line is q || id || ',' || ',x' || q || ';' || source: 2 fields by ';', 3 by ',' unless the quotes hide the commas
+v AS (SELECT n.file, c.sep, c.quote, c.i * 3 + c.j AS k, CASE c.sep WHEN ';' THEN 2 ELSE 1 END AS columns,
+        CASE WHEN c.sep = ',' AND NOT ((n.file = 'f0' AND c.j = 0) OR (n.file = 'f1' AND c.j = 1)) THEN 0 ELSE n.n END AS rows
+      FROM n, c WHERE n.n > 0)
+SELECT file, sep, quote, columns, rows, CAST(columns * rows AS BIGINT) AS score, k = 0 AS chosen FROM v""")
+def csv_quote_scores(spark, d):
+    """Files whose fields are quoted by double quotes, single quotes or not at all, scored for every separator and quote character."""
+    q = F.element_at(F.array(F.lit('"'), F.lit("'"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
+    doc = table(spark, d, "documents").where("doc_id is not null").select(
+        F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string")).alias("file"), (F.col("doc_id") + 1).alias("line_no"),
+        F.concat(q, F.col("doc_id").cast("string"), F.lit(",,x"), q, F.lit(";"), F.coalesce("source", F.lit(""))).alias("line"))
+    head = doc.select("file").distinct().select("file", F.lit(0).cast("long").alias("line_no"), F.lit("id;source").alias("line"))
+    return S.csv_dialect_scores(head.unionByName(doc), quotes=S.CSV_QUOTES)
+
+
+@query("csv_encoding", """
+SELECT CAST(doc_id % 32 AS INTEGER) AS part,
+       CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'cp1252' ELSE 'latin1' END AS encoding
+FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL""")
+def csv_encoding(spark, d):
+    """Texts written as bytes of four encodings; the last with a byte that cp1252 does not know."""
+    path = S.scratch_path(spark, "csv")
+    kind = F.col("doc_id") % 4
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7f\xa0-\xff]", "?")
+    latin = F.encode(F.concat(text, F.when(kind == 3, F.lit("é\x81")).otherwise(F.lit("é"))), "ISO-8859-1").cast("string")
+    doc = table(spark, d, "documents").where("doc_id is not null").select(
+        F.pmod("doc_id", F.lit(32)).cast("int").alias("p"), F.col("doc_id").alias("o"), F.when(kind < 2, F.col("text")).otherwise(latin).alias("value"))
+    mark = doc.where(F.col("p") % 4 == 1).select("p", F.lit(-1).cast("long").alias("o"), F.lit("\ufeffid").alias("value")).distinct()
+    doc.unionByName(mark).repartition("p").sortWithinPartitions("p", "o").select("p", "value").write.partitionBy("p").text(path + "/t")
+    found = S.choose_encoding(spark, path + "/t/p=*")
+    return found.select(F.regexp_extract("file", "/p=([0-9]+)/", 1).cast("int").alias("part"), "encoding")
+
+
 # ---------------------------------------------------------------- S3
 @query("json_flatten", """
 SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k",

@@ -19,6 +19,13 @@ CSV_SEPARATORS = [";", ",", "\t", "|"]
 CSV_ENCODINGS = ["utf-8", "utf-8-sig", "cp1252", "latin1", "iso-8859-1"]
 
 
+# Bytes for which cp1252 has no character.
+CP1252_UNDEFINED = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+
+# Quote characters tried for a CSV file, in order; None: no quotes.
+CSV_QUOTES = ['"', "'", None]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never machine-local on a cluster)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -59,7 +66,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
                          F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")))
 
 
-def csv_dialect_scores(lines: DataFrame, separators: list[str] | None = None) -> DataFrame:
+def csv_dialect_scores(lines: DataFrame, separators: list[str] | None = None, quotes: list[str | None] | None = None) -> DataFrame:
     """Score each candidate separator of each file; pick one per file.
 
     ``lines`` is (file, line_no, line).  For a separator: columns = fields of
@@ -69,27 +76,31 @@ def csv_dialect_scores(lines: DataFrame, separators: list[str] | None = None) ->
     columns.  Candidates are taken in separator order: a candidate with more than
     one column is accepted when its score beats every earlier accepted one; the
     first accepted one with at least five columns wins at once, else the last
-    accepted one.
+    accepted one.  With ``quotes`` (such as ``CSV_QUOTES``) the candidates are the pairs of a separator and a quote
+    character, quotes inside separators, and the result has a column ``quote``.
 
     Lines are reduced to counts per (file, separator, number of fields) in every
     task before anything is joined, so a file with most of the lines is no hot key.
     """
     seps = separators or CSV_SEPARATORS
-    # what is left of a line without its quoted parts (a doubled quote inside one is part of it)
-    plain = F.regexp_replace("line", r'"(?:[^"]++|"")*+"', "")
-    fields = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(s).alias("sep"),
-                                (F.length("plain") - F.length(F.replace(F.col("plain"), F.lit(s), F.lit(""))) + 1).alias("nf"))
-                       for i, s in enumerate(seps)])
-    x = lines.select("file", "line_no", (F.trim("line") == "").alias("blank"), plain.alias("plain"))
+    chars = quotes or ['"']
+
+    def plain(q: str | None):
+        # what is left of a line without its quoted parts (a doubled quote inside one is part of it)
+        return F.col("line") if q is None else F.regexp_replace("line", f"{q}(?:[^{q}]++|{q}{q})*+{q}", "")
+    fields = F.array(*[F.struct(F.lit(i * len(chars) + j).alias("k"), F.lit(s).alias("sep"), F.lit(q).cast("string").alias("quote"),
+                                (F.length(f"plain{j}") - F.length(F.replace(F.col(f"plain{j}"), F.lit(s), F.lit(""))) + 1).alias("nf"))
+                       for i, s in enumerate(seps) for j, q in enumerate(chars)])
+    x = lines.select("file", "line_no", (F.trim("line") == "").alias("blank"), *[plain(q).alias(f"plain{j}") for j, q in enumerate(chars)])
     x = x.select("file", "line_no", "blank", F.explode(fields).alias("c"))
-    per = x.groupBy("file", F.col("c.k").alias("k"), F.col("c.sep").alias("sep"), F.col("c.nf").alias("nf")).agg(
+    per = x.groupBy("file", F.col("c.k").alias("k"), F.col("c.sep").alias("sep"), F.col("c.quote").alias("quote"), F.col("c.nf").alias("nf")).agg(
         F.min("line_no").alias("first_no"), F.count_if(~F.col("blank")).alias("n"),
         F.min(F.when(~F.col("blank"), F.col("line_no"))).alias("first_full"))
     # bounded windows: one row per number of fields of a (file, separator)
     w_sep = Window.partitionBy("file", "k")
     per = per.withColumn("head_no", F.min("first_no").over(w_sep))
     per = per.withColumn("columns", F.max(F.when(F.col("first_no") == F.col("head_no"), F.col("nf"))).over(w_sep))
-    counted = per.groupBy("file", "k", "sep", "columns").agg(
+    counted = per.groupBy("file", "k", "sep", "quote", "columns").agg(
         F.sum(F.when(F.col("nf") <= F.col("columns"), F.col("n")
                      - F.when(F.col("first_full").eqNullSafe(F.col("head_no")), 1).otherwise(0)).otherwise(0)).alias("rows"))
     score = F.col("columns") * F.col("rows") * F.when(F.col("columns") > 2, 2).otherwise(1)
@@ -103,21 +114,32 @@ def csv_dialect_scores(lines: DataFrame, separators: list[str] | None = None) ->
     early = F.min(F.when(F.col("accepted") & (F.col("columns") >= 5), F.col("k"))).over(wf)
     last = F.max(F.when(F.col("accepted"), F.col("k"))).over(wf)
     s = s.withColumn("chosen", F.col("k") == F.coalesce(early, last))
-    return s.select("file", "sep", "columns", "rows", "score", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    return s.select("file", "sep", *(["quote"] if quotes else []), "columns", "rows", "score", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
 def choose_encoding(spark: SparkSession, path: str, encodings: list[str] | None = None) -> DataFrame:
-    """(file, encoding): the first candidate under which a file decodes.
+    """(file, encoding): the first candidate under which a file decodes, else null.
 
-    Bytes that are no valid UTF-8 fall through to the single-byte encodings, the first of which
-    accepts everything; a byte order mark names UTF-8 with signature.  One task reads one file.
+    Files are read line by line in parallel: a line feed is no part of a longer UTF-8 sequence, so a file is valid
+    where all its lines are.  UTF-8 with a byte order mark is ``utf-8-sig``; cp1252 has no character for five
+    bytes, Latin-1 has one for every byte.
     """
     names = encodings or CSV_ENCODINGS
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    bom = F.substring("content", 1, 3) == F.lit(b"\xef\xbb\xbf")
-    single = next((n for n in names if n not in ("utf-8", "utf-8-sig")), names[-1])
-    return files.select("file", F.when(F.is_valid_utf8(F.col("content").cast("string")),
-                                       F.when(bom, "utf-8-sig").otherwise("utf-8")).otherwise(single).alias("encoding"))
+    raw = F.col("value").cast("binary")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("bytes"),
+        F.is_valid_utf8("value").alias("utf8"),
+        F.decode(raw, "ISO-8859-1").rlike(f"[{''.join(f'\\x{b:02x}' for b in CP1252_UNDEFINED)}]").alias("undefined"))
+    # the reader takes a byte order mark away: its three bytes are missing in the sum of the lines (the last line feed may be, too)
+    per = lines.groupBy("file").agg(F.bool_and("utf8").alias("utf8"), F.bool_or("undefined").alias("undefined"),
+                                    (F.max("size") - F.sum(F.col("bytes") + 1) >= 2).alias("mark"))
+    signed = F.col("mark") if any(codecs.lookup(n).name == "utf-8-sig" for n in names) else F.lit(False)
+    accepts = {"utf-8": F.col("utf8") & ~signed, "utf-8-sig": F.col("utf8") & F.col("mark"), "cp1252": ~F.col("undefined"),
+               "iso8859-1": F.lit(True), "ascii": F.lit(False)}
+    choice = F.lit(None).cast("string")
+    for name in reversed(names):
+        choice = F.when(accepts[codecs.lookup(name).name], F.lit(name)).otherwise(choice)
+    return per.select("file", choice.alias("encoding"))
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:

@@ -83,3 +83,15 @@ def test_types_come_from_all_records(spark, tmp_path):
     df = S.read_json_flat(spark, str(tmp_path), multi_line=True)
     assert dict(df.dtypes) == {"id": "double", "properties.a": "bigint", "properties.late.x": "string"}
     assert df.where("id = 2.5").select("`properties.late.x`").first()[0] == "y" and df.count() == 51
+
+
+def test_encodings_of_files(spark, tmp_path, small_splits):
+    long = "é" * 2_000  # characters across the edges of splits
+    made = {"a": (f"x;{long}\n" * 3).encode(), "b": b"\xef\xbb\xbfx;y\n", "c": f"x;{long}\n".encode("cp1252"), "d": b"x;\x81\n" + b"y\n" * 900,
+            "e": b"y\n" * 900 + b"\xe2\x82", "f": b"", "g": "€;“\n".encode("cp1252")}
+    for name, data in made.items():
+        (tmp_path / f"{name}.csv").write_bytes(data)
+    got = {r.file.rsplit("/", 1)[1][0]: r.encoding for r in S.choose_encoding(spark, str(tmp_path)).collect()}
+    assert got == {"a": "utf-8", "b": "utf-8-sig", "c": "cp1252", "d": "latin1", "e": "cp1252", "g": "cp1252"}
+    only = {r.file.rsplit("/", 1)[1][0]: r.encoding for r in S.choose_encoding(spark, str(tmp_path), ["utf-8", "cp1252"]).collect()}
+    assert only["d"] is None and only["b"] == "utf-8"
