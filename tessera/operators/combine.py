@@ -27,25 +27,70 @@ def _suffix_clashes(left: DataFrame, right: DataFrame, keys: list[str], suffix:
     return right
 
 
+#: Keys looked at per source, values the sketch tracks, and the least share of a source's rows that makes a key hot.
+HOT_KEYS, HOT_TRACKED, HOT_SHARE = 200, 20_000, 0.001
+#: Most copies that a hot key's rows on the other side are given; groups over which rows with a null key are spread.
+MOST_SALTS, NULL_GROUPS = 1024, 4096
+
+
+def hot_keys(sources: list[DataFrame], key: str) -> list[dict[str, int]]:
+    """Per source: key (as text) -> how many partitions' worth of rows it has, for keys above four.
+
+    One job over the key columns; a frequent-items sketch per source, merged from all tasks.
+    """
+    spark = sources[0].sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = reduce(DataFrame.union, [df.select(F.lit(i).alias("i"), F.col(key).cast("string").alias("k")) for i, df in enumerate(sources)])
+    top = keys.where("k is not null").groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {HOT_KEYS}, {HOT_TRACKED})").alias("top"))
+    out: list[dict[str, int]] = [{} for _ in sources]
+    for i, n, items in top.collect():  # at most HOT_KEYS values a source
+        out[i] = {x["item"]: min(MOST_SALTS, -(-x["count"] * partitions // n)) for x in items if x["count"] > max(4 / partitions, HOT_SHARE) * n}
+    return out
+
+
+def _salted(df: DataFrame, key: str, side: int, hot: DataFrame | None) -> DataFrame:
+    """Add ``_salt``: rows of a key that is hot on this side and rows without a key are spread by their content, rows of a key
+    that is hot on the other side are repeated for every salt of it."""
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    nulls = F.when(F.col(f"`{key}`").isNull(), F.pmod(spread, F.lit(NULL_GROUPS))).otherwise(0).cast("int")
+    if hot is None:
+        return df.withColumn("_salt", nulls)
+    out = df.join(F.broadcast(hot), F.col(f"`{key}`").cast("string") == F.col("_hot"), "left")
+    salts = (F.when(F.col("_side") == side, F.array(F.pmod(spread, F.col("_salts")).cast("int")))
+             .when(F.col("_side").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(nulls)))
+    return out.withColumn("_salt", F.explode(salts)).withColumn(f"_in{side}", F.lit(True)).drop("_hot", "_salts", "_side")
+
+
 def join_pair(left: DataFrame, right: DataFrame, key: str, how: str = "outer", suffix: str = "_right",
-              null_keys: str = "keep") -> DataFrame:
+              null_keys: str = "keep", hot: list[dict[str, int]] | None = None) -> DataFrame:
     """Join on a same-name key; clashing right columns get ``suffix``; key coalesced.
 
-    null_keys: 'keep' (null never matches; rows stay, SQL semantics, and are not shuffled),
+    null_keys: 'keep' (null never matches; rows stay, SQL semantics, and are spread over the partitions),
     'drop' (null-key rows removed first), 'match' (null matches null, the
     pandas behaviour; the null group then joins all-pairs, so use it only
     where null keys are known to be few).
+
+    Adaptive execution cannot split a full outer join.  There, rows of a hot key are spread over salts and the other side's
+    rows of that key are repeated for every salt; a repeated row that meets nothing in its salt is no outer row,
+    as its key is known to be on the hot side.  ``hot``: the keys of both sides from ``hot_keys``, if known.
     """
     right = _suffix_clashes(left, right, [key], suffix)
     if null_keys == "drop":
         left, right = left.where(F.col(key).isNotNull()), right.where(F.col(key).isNotNull())
     if null_keys != "match":
-        out = left.where(F.col(key).isNotNull()).join(right.where(F.col(key).isNotNull()), on=key, how=how)
-        if null_keys == "keep" and how in ("left", "outer", "full"):
-            out = out.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
-        if null_keys == "keep" and how in ("right", "outer", "full"):
-            out = out.unionByName(right.where(F.col(key).isNull()), allowMissingColumns=True)
-        return out
+        if how not in ("outer", "full", "full_outer"):
+            return _salted(left, key, 0, None).join(_salted(right, key, 1, None), on=[key, "_salt"], how=how).drop("_salt")
+        hot = hot_keys([left, right], key) if hot is None else hot
+        sides = {k: (0 if hot[0].get(k, 0) >= hot[1].get(k, 0) else 1, max(h.get(k, 0) for h in hot)) for h in hot for k in h}
+        if not sides:
+            return _salted(left, key, 0, None).join(_salted(right, key, 1, None), on=[key, "_salt"], how=how).drop("_salt")
+        table = left.sparkSession.createDataFrame([(k, s, n) for k, (s, n) in sides.items()], "_hot string, _side int, _salts int")
+        a, b = _salted(left, key, 0, table), _salted(right, key, 1, table)
+        out = a.join(b, on=[key, "_salt"], how=how).drop("_salt")
+        out = out.join(F.broadcast(table), F.col(f"`{key}`").cast("string") == F.col("_hot"), "left")
+        # the hot side has the key: a row of the other side without a partner is a copy whose salt happens to be empty
+        lost = ((F.col("_side") == 0) & F.col("_in0").isNull()) | ((F.col("_side") == 1) & F.col("_in1").isNull())
+        return out.where(~F.coalesce(lost, F.lit(False))).drop("_hot", "_side", "_salts", "_in0", "_in1")
     r = right.withColumnRenamed(key, "__rkey")
     j = left.join(r, left[key].eqNullSafe(r["__rkey"]), how)
     cols = [F.coalesce(left[key], r["__rkey"]).alias(key)] + \
@@ -55,11 +100,20 @@ def join_pair(left: DataFrame, right: DataFrame, key: str, how: str = "outer", s
 
 def distributed_join(sources: list[tuple[str, DataFrame]], key: str, how: str = "outer",
                      null_keys: str = "keep") -> DataFrame:
-    """Fold of key joins over (name, frame) pairs; suffix = '_' + file stem."""
+    """Fold of key joins over (name, frame) pairs; suffix = '_' + file stem.
+
+    Hot keys are looked up once, in all sources: an outer join keeps every key, so those of the earlier sources are
+    keys of the left side of each step.
+    """
     name0, result = sources[0]
-    for name, df in sources[1:]:
-        if key in result.columns and key in df.columns:
-            result = join_pair(result, df, key, how, f"_{name.split('.')[0]}", null_keys)
+    joined = [x for x in sources[1:] if key in result.columns and key in x[1].columns]
+    full = how in ("outer", "full", "full_outer") and null_keys != "match" and bool(joined)
+    hot = hot_keys([result, *[df for _, df in joined]], key) if full else None
+    left = dict(hot[0]) if full else {}
+    for i, (name, df) in enumerate(joined, 1):
+        result = join_pair(result, df, key, how, f"_{name.split('.')[0]}", null_keys, [left, hot[i]] if full else None)
+        if full:
+            left = {k: max(left.get(k, 0), hot[i].get(k, 0)) for k in {*left, *hot[i]}}
     return result
 
 

@@ -207,3 +207,40 @@ def test_counters_follow_the_written_concepts(spark):
         ("prefLabel", "One, two"), ("altLabel", "One, two"), ("altLabel", "ok"), ("definition", "A. B & c"), ("note", "fine")}
     assert [r.detail for r in out["issues"].collect()] == [
         'S13 Violation: <http://e/a> has 1 overlapping prefLabel/altLabel, first "One,two"@en']
+
+
+def _outer(a, b):
+    """Full outer join of (key, value) lists: null keys meet nothing."""
+    out = [(k, x, y) for k, x in a for j, y in b if k is not None and k == j]
+    out += [(k, x, None) for k, x in a if k is None or k not in {j for j, _ in b}]
+    return out + [(k, None, y) for k, y in b if k is None or k not in {j for j, _ in a}]
+
+
+def test_full_outer_join_splits_hot_keys(spark):
+    from collections import Counter
+    from pyspark.sql import functions as F
+    from tessera.operators.combine import distributed_join, hot_keys, join_pair
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        a = [("hot", i) for i in range(600)] + [(f"k{i}", i) for i in range(600)] + [(None, i) for i in range(300)] + [("alone", i) for i in range(300)]
+        b = [("hot", -1), ("hot", -2), ("warm", -3)] + [("warm2", i) for i in range(500)] + [(f"k{i}", i) for i in range(300, 900)] + [(None, 5), (None, 6)]
+        c = [("warm2", 1), ("hot", 2), ("k1", 3)]
+        df = {n: spark.createDataFrame(r, f"id string, {n} int").repartition(4) for n, r in (("a", a), ("b", b), ("c", c))}
+        hot = hot_keys([df["a"], df["b"], df["c"]], "id")
+        assert set(hot[0]) == {"hot", "alone"} and set(hot[1]) == {"warm2"}
+        got = Counter(map(tuple, join_pair(df["a"], df["b"], "id").collect()))
+        assert got == Counter(_outer(a, b))
+        three = Counter((r.id, r.a, r.b, r.c) for r in distributed_join([("a", df["a"]), ("b", df["b"]), ("c", df["c"])], "id").collect())
+        ab = _outer(a, b)
+        want = _outer([(k, (x, y)) for k, x, y in ab], c)
+        assert three == Counter((k, *(xy or (None, None)), z) for k, xy, z in want)
+        # rows per task of the joined stage: salted, no task has more than a few times the median
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sizes = sorted(r[1] for r in join_pair(df["a"], df["b"], "id").groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) == 48 and sizes[-1] <= 5 * sizes[24]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
