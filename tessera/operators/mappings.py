@@ -27,6 +27,7 @@ INFERENCE_RULES = [
     ("narrowMatch", True, "broadMatch"),
 ]
 # The semantic relation each mapping property specialises.
+MAPPING_TYPES = ("exactMatch", "closeMatch", "broadMatch", "narrowMatch", "relatedMatch")
 SUPER_RELATIONS = [("broadMatch", "broader"), ("narrowMatch", "narrower"), ("relatedMatch", "related")]
 
 
@@ -113,11 +114,11 @@ def mapping_coverage(df: DataFrame) -> DataFrame:
                   F.count_distinct("target_uri").alias("target_concepts_mapped"))
 
 
-def mapping_inference(df: DataFrame, include_super_relations: bool = True) -> DataFrame:
+def mapping_inference(df: DataFrame, include_super_relations: bool = True, mapping_relation: bool = False) -> DataFrame:
     """M8: the stated mappings plus every statement the fixed rule table implies, distinct.
 
-    Each mapping row looks its type up in a literal map and explodes the
-    implied statements; no join with a rule table is needed.
+    Each different mapping looks its type up in a literal map and explodes the
+    implied statements; no join with a rule table is needed.  ``mapping_relation`` adds the super-property of all mapping types.
     """
     rules: dict[str, list] = {}
     for t, rev, new in INFERENCE_RULES:
@@ -125,11 +126,16 @@ def mapping_inference(df: DataFrame, include_super_relations: bool = True) -> Da
     if include_super_relations:
         for t, rel in SUPER_RELATIONS:
             rules.setdefault(t, []).append(F.struct(F.lit(False).alias("rev"), F.lit(rel).alias("type")))
+    if mapping_relation:
+        for t in MAPPING_TYPES:
+            rules.setdefault(t, []).append(F.struct(F.lit(False).alias("rev"), F.lit("mappingRelation").alias("type")))
+            rules[t].append(F.struct(F.lit(True).alias("rev"), F.lit("mappingRelation").alias("type")))  # each type implies a reverse statement
     m = F.create_map(*[x for t, lst in rules.items() for x in (F.lit(t), F.array(*lst))])
     none = F.array().cast("array<struct<rev:boolean,type:string>>")
     implied = F.transform(F.coalesce(F.try_element_at(m, F.col("mapping_type")), none), lambda r: F.struct(
         r["rev"].alias("rev"), r["type"].alias("type"), F.lit(True).alias("inferred")))
-    # the stated row is one more element, so a mapping is read once and there is one shuffle
+    # repeated mappings are reduced in every task before they are exploded; the stated row is one more element
+    df = df.select("source_uri", "target_uri", "mapping_type").distinct()
     stated = F.array(F.struct(F.lit(False).alias("rev"), F.col("mapping_type").alias("type"), F.lit(False).alias("inferred")))
     x = df.select("source_uri", "target_uri", F.explode(F.concat(stated, implied)).alias("r"))
     both = x.select(F.when(F.col("r.rev"), F.col("target_uri")).otherwise(F.col("source_uri")).alias("source_uri"),
@@ -138,6 +144,22 @@ def mapping_inference(df: DataFrame, include_super_relations: bool = True) -> Da
     return both.groupBy("source_uri", "target_uri", "mapping_type").agg(F.bool_and("inferred").alias("inferred"))
 
 
+def mapping_inference_closed(df: DataFrame) -> DataFrame:
+    """M8 with transitivity: ``mapping_inference`` over the stated mappings and the closure of exactMatch as a star per cluster.
+
+    Of a cluster of n concepts only the 2 (n - 1) statements with its representative are written, not its n (n - 1) pairs;
+    two concepts match exactly where ``exact_match_clusters`` gives them the same cluster.
+    """
+    stated = df.select("source_uri", "target_uri", "mapping_type")
+    members = exact_match_clusters(stated).where("uri <> cluster")
+    ends = F.array(F.struct(F.col("uri").alias("a"), F.col("cluster").alias("b")), F.struct(F.col("cluster").alias("a"), F.col("uri").alias("b")))
+    star = members.select(F.explode(ends).alias("x")).select(F.col("x.a").alias("source_uri"), F.col("x.b").alias("target_uri"),
+                                                            F.lit("exactMatch").alias("mapping_type"))
+    implied = mapping_inference(star, mapping_relation=True).withColumn("inferred", F.lit(True))
+    both = mapping_inference(stated, mapping_relation=True).unionByName(implied)
+    return both.groupBy("source_uri", "target_uri", "mapping_type").agg(F.bool_and("inferred").alias("inferred"))
+
+
 def exact_match_clusters(df: DataFrame) -> DataFrame:
     """M9: connected components of exactMatch (symmetric and transitive): (uri, cluster).
 

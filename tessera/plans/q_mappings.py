@@ -160,6 +160,37 @@ def map_clusters(spark, d):
     return M.exact_match_clusters(stated.unionByName(_chains(spark, d)))
 
 
+MAPPING_CLUSTERS = """
+WITH RECURSIVE stated AS (SELECT source_uri, target_uri, mapping_type FROM v3n UNION ALL FROM v3chain),
+p AS (SELECT source_uri AS a, target_uri AS b FROM stated WHERE mapping_type = 'exactMatch' AND source_uri IS NOT NULL AND target_uri IS NOT NULL),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+lab(uri, cluster) USING KEY (uri) AS (
+  SELECT a, a FROM (SELECT DISTINCT a FROM e)
+  UNION
+  SELECT e.b, min(l.cluster) FROM lab l JOIN e ON e.a = l.uri JOIN recurring.lab r ON r.uri = e.b
+  WHERE l.cluster < r.cluster GROUP BY e.b)"""
+
+
+@query("map_inference_closed", MAPPING_CLUSTERS + """,
+every AS (SELECT source_uri AS s, target_uri AS t, mapping_type AS m, false AS star FROM stated
+  UNION ALL SELECT uri, cluster, 'exactMatch', true FROM lab WHERE uri <> cluster
+  UNION ALL SELECT cluster, uri, 'exactMatch', true FROM lab WHERE uri <> cluster),
+rules(m, rev, new) AS (VALUES ('exactMatch', true, 'exactMatch'), ('exactMatch', false, 'closeMatch'), ('closeMatch', true, 'closeMatch'),
+  ('relatedMatch', true, 'relatedMatch'), ('broadMatch', true, 'narrowMatch'), ('narrowMatch', true, 'broadMatch'),
+  ('broadMatch', false, 'broader'), ('narrowMatch', false, 'narrower'), ('relatedMatch', false, 'related'),
+  ('exactMatch', false, 'mappingRelation'), ('closeMatch', false, 'mappingRelation'), ('broadMatch', false, 'mappingRelation'),
+  ('narrowMatch', false, 'mappingRelation'), ('relatedMatch', false, 'mappingRelation'),
+  ('exactMatch', true, 'mappingRelation'), ('closeMatch', true, 'mappingRelation'), ('broadMatch', true, 'mappingRelation'),
+  ('narrowMatch', true, 'mappingRelation'), ('relatedMatch', true, 'mappingRelation')),
+x AS (SELECT s, t, m, star AS inferred FROM every
+  UNION ALL SELECT CASE WHEN rev THEN t ELSE s END, CASE WHEN rev THEN s ELSE t END, new, true FROM every JOIN rules USING (m))
+SELECT s AS source_uri, t AS target_uri, m AS mapping_type, bool_and(inferred) AS inferred FROM x GROUP BY ALL""", ("v3n", "v3chain"))
+def map_inference_closed(spark, d):
+    """Inference with the transitivity of exactMatch, written as a star per cluster."""
+    stated = _v3n(spark, d).select("source_uri", "target_uri", "mapping_type")
+    return M.mapping_inference_closed(stated.unionByName(_chains(spark, d)))
+
+
 @query("map_triples", """
 SELECT DISTINCT source_uri, 0 AS k, '<' || source_uri || '> rdf:type skos:Concept .' AS triple FROM v3n
 UNION ALL SELECT DISTINCT source_uri, 1, '<' || source_uri || '> skos:inScheme <http://ex.org/scheme> .' FROM v3n
