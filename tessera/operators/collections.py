@@ -112,8 +112,18 @@ def collection_top(colls: DataFrame, k: int = 5) -> DataFrame:
 def suggest_groupings(df: DataFrame, uri_col: str, k: int = 5, max_groups: int = 50) -> DataFrame:
     """String columns whose distinct count lies in [2, min(max_groups, rows // 2)], scored
     avg / (1 + var / avg) with avg = rows / distinct and var the sample variance of group sizes;
-    the best k."""
+    the best k.
+
+    One pass of distinct-count sketches (mergeable, a fixed size per column) finds the columns that can lie in the
+    bounds, half above them for the sketch's error; only the values of those are grouped, so texts and names are
+    never shuffled.
+    """
     str_cols = [f.name for f in df.schema.fields if f.name != uri_col and f.dataType.simpleString() == "string"]
+    if str_cols:
+        about = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.02).alias(str(i)) for i, c in enumerate(str_cols)]).first()
+        str_cols = [c for i, c in enumerate(str_cols) if about[i] <= 1.5 * max_groups]
+    if not str_cols:
+        return df.sparkSession.createDataFrame([], "field string, unique_groups bigint, average_group_size double, size_variance double, quality_score double")
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").alias("value"))
                                          for c in str_cols])).alias("x")).select("x.field", "x.value")
     # one partial aggregate per (field, value); the null group carries the rows without a value

@@ -303,6 +303,19 @@ def ttl_relations(spark, d):
     return TT.parse_relations(_read_back(spark, d)).select("uri", "prop", "target")
 
 
+@query("ttl_lines", """
+SELECT uri, prop, value, CASE WHEN prop <> 'broader' THEN lang END AS lang FROM doc_terms""", ("doc_terms",))
+def ttl_lines(spark, d):
+    """The vocabulary written and read statement by statement, no concept gathered in between."""
+    path = S.scratch_path(spark, "ttl")
+    terms = doc_terms(spark, d).select("uri", "pos", "prop", "vpos", typed_term("prop", "value", F.col("lang")).alias("term"))
+    TT.write_ttl_lines(terms, path, TT.header_text(BASE, "Documents", "by statement", "en", "2024-01-01"), row_col="pos")
+    b = TT.read_statements(spark, f"{path}/concepts").withColumn("uri", F.regexp_replace("raw_uri", r"^<|>$", ""))
+    literals = TT.parse_literals(b).select("uri", "prop", F.col("text").alias("value"), "lang")
+    relations = TT.parse_relations(b).where("prop <> 'inScheme'").select("uri", "prop", F.col("target").alias("value"), F.lit(None).cast("string").alias("lang"))
+    return literals.unionByName(relations)
+
+
 @query("ttl_concept_table", """
 SELECT uri,
        max(CASE WHEN prop = 'prefLabel' THEN value END) AS prefLabel,

@@ -20,6 +20,7 @@ from tessera.functions.terms import statement
 from tessera.functions.text import strip_ws as strip
 from tessera.model import LITERAL_PROPERTIES, PREFIXES, RELATION_PROPERTIES
 from tessera.operators.fields import property_rank
+from tessera.operators.skew import join_reduced
 from tessera.session import checkpoint_dir
 
 # A concept block starts at "<uri> a skos:Concept" or "prefix:id a skos:Concept"
@@ -173,8 +174,9 @@ def read_header(spark: SparkSession, path) -> DataFrame:
     decl = lines.where(F.col("line").rlike(r"^@(base|prefix)\s")).select(
         "file", F.regexp_extract("line", r"^@(\w+)", 1).alias("kind"), F.col("line").alias("text"))
     is_scheme = F.contains("line", F.lit("a skos:ConceptScheme"))
-    groups = _gathered(number_groups(lines, is_scheme | F.col("line").rlike(CONCEPT_START)))
-    scheme = groups.where(F.contains(F.col("lines")[0], F.lit("a skos:ConceptScheme"))).select(
+    numbered = number_groups(lines, is_scheme | F.col("line").rlike(CONCEPT_START))
+    schemes = numbered.where(is_scheme).select("file", "k").distinct()  # only their lines are gathered, no concept's
+    scheme = _gathered(numbered.join(schemes, ["file", "k"], "left_semi")).select(
         "file", F.lit("scheme").alias("kind"),
         F.array_join(_first_lines(F.col("lines"), lambda x: F.endswith(x, F.lit(" ."))), "\n    ").alias("text"))
     return decl.unionByName(scheme)
@@ -196,6 +198,43 @@ def concept_blocks(terms: DataFrame, uri_col: str = "uri", row_col: str | None =
                                      body, F.lit(" .")).alias("block"))
 
 
+def statement_lines(terms: DataFrame, uri_col: str = "uri", row_col: str | None = None) -> DataFrame:
+    """(value) lines of a Turtle file, a statement a line, concept after concept in every partition.
+
+    A secondary sort brings the statements of a concept together without gathering them, so a concept may have any
+    number of them; its last line is a dot alone.
+    """
+    keys = [F.col(uri_col), F.col(row_col) if row_col else F.lit(0)]
+    rows = terms.select(keys[0].alias("_u"), keys[1].alias("_w"), property_rank("prop").alias("_r"), F.col("vpos").alias("_v"),
+                        F.concat(statement("prop", "term"), F.lit(" ;")).alias("value"))
+    ends = terms.select(keys[0].alias("_u"), keys[1].alias("_w")).distinct()
+    frame = F.array(F.struct(F.lit(-1).alias("r"), F.concat(F.lit("<"), F.col("_u"), F.lit("> a skos:Concept ;")).alias("s")),
+                    F.struct(F.lit(0).alias("r"), F.lit("    skos:inScheme <> ;").alias("s")),
+                    F.struct(F.lit(2**31 - 1).alias("r"), F.lit(".\n").alias("s")))
+    framed = ends.select("_u", "_w", F.explode(frame).alias("x")).select(
+        "_u", "_w", F.col("x.r").alias("_r"), F.lit(-1).alias("_v"), F.col("x.s").alias("value"))
+    every = rows.select("_u", "_w", F.col("_r").cast("int"), F.col("_v").cast("int"), "value").unionByName(
+        framed.select("_u", "_w", F.col("_r").cast("int"), F.col("_v").cast("int"), "value"))
+    return every.repartition("_u", "_w").sortWithinPartitions("_u", "_w", "_r", "_v", "value").select("value")
+
+
+def write_ttl_lines(terms: DataFrame, path: str, header: str, mode: str = "overwrite", uri_col: str = "uri", row_col: str | None = None) -> None:
+    """S9 sink: as ``write_ttl``, statement by statement (``statement_lines``)."""
+    terms.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/header")
+    statement_lines(terms, uri_col, row_col).write.mode(mode).text(f"{path}/concepts")
+
+
+def read_statements(spark: SparkSession, path) -> DataFrame:
+    """S4 for files with a statement a line: (file, k, raw_uri, pos, block), one row per line, ``block`` the line.
+
+    The parsers of blocks take the lines as they are; no concept is gathered, so one may have any number of statements.
+    """
+    numbered = number_groups(read_lines(spark, path), F.col("line").rlike(CONCEPT_START)).where("k > 0")
+    names = numbered.where(F.col("line").rlike(CONCEPT_START)).select("file", "k", F.regexp_extract("line", CONCEPT_START[1:], 1).alias("raw_uri"))
+    return (join_reduced(numbered, names, ["file", "k"]).where(F.col("line") != ".")
+            .select("file", "k", "raw_uri", F.struct("file", "k").alias("pos"), F.col("line").alias("block")))
+
+
 def header_text(base: str, title: str, description: str, lang: str = "en", created: str = "") -> str:
     """TTL header: @base, the standard prefixes and the ConceptScheme."""
     def esc(s):

@@ -129,3 +129,22 @@ def test_stream_keeps_the_first_block_over_batches(spark):
     clean_stream(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt").awaitTermination()
     got = sorted((r.uri, r.text) for r in spark.read.parquet(f"{root}/out/labels").collect())
     assert got == [("http://ex.org/0", "first 0"), ("http://ex.org/1", "first 1"), ("http://ex.org/2", "third 2")]
+
+
+def test_a_concept_of_many_statements_is_not_gathered(spark, tmp_path):
+    """Written and read line by line: no list of a concept's statements anywhere in the plans."""
+    from pyspark.sql import functions as F
+    from tessera.sources import ttl as TT
+    terms = spark.range(20_000).select(F.lit("http://ex.org/big").alias("uri"), F.lit("altLabel").alias("prop"), F.col("id").cast("int").alias("vpos"),
+                                       F.concat(F.lit('"label '), F.col("id").cast("string"), F.lit('"@en')).alias("term"))
+    terms = terms.unionByName(terms.where("vpos < 3").withColumn("uri", F.lit("http://ex.org/small")))
+    assert "collect_list" not in TT.statement_lines(terms)._jdf.queryExecution().toString()
+    path = str(tmp_path / "ttl")
+    TT.write_ttl_lines(terms, path, "@base <http://ex.org/> .")
+    back = TT.read_statements(spark, f"{path}/concepts")
+    assert "collect_list" not in back._jdf.queryExecution().toString()
+    lit = TT.parse_literals(back.withColumn("uri", F.regexp_replace("raw_uri", "^<|>$", "")))
+    got = {r.uri: r.n for r in lit.groupBy("uri").agg(F.count_distinct("text").alias("n")).collect()}
+    assert got == {"http://ex.org/big": 20_000, "http://ex.org/small": 3}
+    whole = TT.read_ttl(spark, f"{path}/concepts").where("raw_uri = '<http://ex.org/small>'").first().block
+    assert whole.split("\n") == ["<http://ex.org/small> a skos:Concept ;", "skos:inScheme <> ;", *[f'skos:altLabel "label {k}"@en ;' for k in range(3)], "."]
