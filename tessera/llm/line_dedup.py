@@ -9,7 +9,9 @@ Only 128-bit hashes and positions are shuffled; window counts are combined in
 every task first, and adaptive execution can split a window that a third of all
 documents share in the join with the repeated windows (``join_reduced``).
 
-Defined cases: a null or empty text has no lines and stays empty; lines
+Defined cases: a null text counts as empty; an empty text is one line without a
+word and stays empty; an id that stands on rows with different texts is one
+document, too, and the positions found in any of them are taken from all; lines
 without a word are no part of windows and always stay; texts under three such
 lines stay whole; a row without an id stays whole and does not count; rows
 that repeat an id with its text are one document, seen as one; an empty table

@@ -10,8 +10,8 @@ global random order by sorting on a hash of (seed, id, copy).
 Defined cases: a null source is a source of its own; a null or empty text has
 no characters, and a source without characters keeps rate 1; a null id draws
 as the empty id; rows that repeat an id draw the same count; ties of the sort
-key only occur between rows that repeat an id; an empty table gives an empty
-result; other columns pass through whatever their names, except that the two
+key only occur between rows that repeat an id; very long texts move whole; an empty table gives an empty
+result; the distribution of a source is an array of about its rate plus twelve of its roots; other columns pass through whatever their names, except that the two
 added columns take the place of input columns of the same name.
 """
 

@@ -18,7 +18,9 @@ Windows are judged on the input, never on what is left.
 Defined cases: a null or empty text has no words; texts under ``width`` words
 stay whole; a row without an id stays whole and does not count for others;
 rows that repeat an id with its text are one document, whose windows do not
-remove each other; a window that repeats only inside one document stays; an empty table
+remove each other; an id that stands on rows with different texts is one document,
+too, and the positions found in any of them are taken from all; very long texts
+take part whole; a window that repeats only inside one document stays; an empty table
 gives an empty result; other columns are ignored, whatever their names.
 """
 

@@ -154,3 +154,20 @@ def test_stages_return_the_columns_of_documents(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, "").columns == df.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_join", "mix_sources", "best_fit_packing"]
+
+
+@pytest.mark.parametrize("kind", ["clash", "empty"])
+def test_pipeline_takes_awkward_tables(spark, tmp_path, kind):
+    """Nulls, repeated ids, long texts and columns named like the stages' own; an empty table."""
+    df = table(spark, [] if kind == "empty" else None, clash=kind == "clash")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    left = [r.doc_id for r in docs.collect()]
+    assert {r.doc_id for r in rows} == set(left) and (kind == "empty") == (not rows)
+    assert not {5, 6, 7, 13} & set(left)  # no language
