@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and works on everything its predecessor
 kept; stages are written as Parquet and read again between one another, so a
 lost executor costs at most the running stage.  All stages but the last return
 the columns of ``documents``.
+
+Defined cases, for every stage: a null or empty text is in no language and goes in the
+first; null languages and sources are values of their own; very long texts are read
+whole; rows without an id stay where only ids are compared (the n-gram join) and draw
+as the empty id; rows that repeat an id with its text leave one row (exact dedup); an
+id with several texts goes with the text that another class keeps; ties go to
+the smallest id; an empty table gives an empty result of the same columns; other columns
+pass through to the mixture, whatever their names, and the last stage returns its own.
 """
 
 from __future__ import annotations
