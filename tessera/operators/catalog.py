@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import settled
+
 # Keyword patterns of the field-mapping fallback, per SKOS property, in order.
 KEYWORD_PATTERNS = [
     ("uri", ["id", "uri", "identifier", "uuid", "key", "schlüssel", "code", "nummer", "kennung", "node-uuid",
@@ -232,7 +234,7 @@ def vector_field_match(props: DataFrame, fields: DataFrame, field_col: str, orde
     meets every block by its number, and the best field is a partial aggregate.
     """
     unit = F.col("c") if scoring == "single" else F.col("m")
-    p = props.select("prop", (_unit(unit) if scoring == "single" else unit).alias("v"))
+    p = settled(props.select("prop", (_unit(unit) if scoring == "single" else unit).alias("v")))  # counted and joined
     n = p.count()
     blocks = max(1, -(-n // PROPS_PER_BLOCK))
     packed = p.groupBy(F.pmod(F.xxhash64("prop"), F.lit(blocks)).cast("int").alias("b")).agg(

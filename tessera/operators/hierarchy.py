@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import closure_by_doubling
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, settled
 
 
 def _s(c: str | Column) -> Column:
@@ -57,7 +57,8 @@ BROADCAST_LEVELS = 10_000
 
 
 def _if_small(per_level: DataFrame) -> DataFrame:
-    """Broadcast hint for a table with a row per level, given only after counting it."""
+    """Broadcast hint for a table with a row per level, given only after counting it; worked out once."""
+    per_level = settled(per_level)
     return F.broadcast(per_level) if per_level.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS else per_level
 
 

@@ -244,3 +244,18 @@ def test_full_outer_join_splits_hot_keys(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    import xxhash
+    from tessera.operators.fields import sample_check
+    rows = [(k * 7919 % 100_003, f"r{k}") for k in range(3_000)]
+    got = [r.key for r in sample_check(spark.createDataFrame(rows, "key long, name string"), 100, ["key"]).collect()]
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def digest(key):
+        first = xxhash.xxh64((42).to_bytes(4, "little"), seed=42).intdigest()
+        return signed(xxhash.xxh64(key.to_bytes(8, "little"), seed=first).intdigest())
+    assert got == sorted((k for k, _ in rows), key=lambda k: (digest(k), k))[:100]
