@@ -40,7 +40,6 @@ import uuid
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +109,7 @@ _DELTA = "part string, mask int, flags int, n bigint"
 _HELD = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("n", "<i8"), ("part", "<i4"), ("mask", "i1"), ("flags", "i1")])
 
 
-def _rows_of(frame: pd.DataFrame, parts: dict[str, int]) -> np.ndarray:
+def _rows_of(frame, parts: dict[str, int]) -> np.ndarray:
     out = np.zeros(len(frame), dtype=_HELD)
     key = np.frombuffer(b"".join(frame["_key"]), dtype="<u8").reshape(-1, 2)
     out["a"], out["b"] = key[:, 0], key[:, 1]
@@ -145,6 +144,7 @@ def merge_rows(held: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, list[tupl
 
 def _update(key, frames, state: GroupState):
     """Changes of the counters by the new rows of one shard of texts."""
+    import pandas as pd  # only where the state is updated: the workers that reduce rows do without its memory
     parts: dict[str, int] = {}
     held = np.zeros(0, dtype=_HELD)
     if state.exists:
