@@ -92,18 +92,20 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     whole = plain_edges(edges)
     e, found, removed, turn = whole, [], [], 0
-    while not e.isEmpty():
+    n = e.count()
+    while n:
         turn += 1
-        before = e.count()
         e = _trimmed(e)
         gone = settled(_bypassed(e, turn))
         removed.append(gone)
         names = gone.select(F.col("node").alias("_g"))
         kept = e.join(names, e.child == names["_g"], "left_anti").join(names, F.col("parent") == names["_g"], "left_anti")
         e = settled(kept.union(gone.select("below", "above")).distinct())
-        if e.count() == before:
-            part, e = _colour_components(settled(e))
+        before, n = n, e.count()
+        if n == before:
+            part, e = _colour_components(e)
             found.append(part)
+            n = e.count()
     spark = edges.sparkSession
     empty = spark.createDataFrame([], f"node {whole.schema['child'].dataType.simpleString()}, c {whole.schema['child'].dataType.simpleString()}")
     member = settled(reduce(DataFrame.unionByName, found, empty))

@@ -28,10 +28,10 @@ def graphs():
     rng = random.Random(5)
     n = lambda k: f"n{k:04d}"
     mixed = [(n(rng.randrange(60)), n(rng.randrange(60))) for _ in range(70)]
-    tree = [(n(k), n(rng.randrange(k))) for k in range(1, 120)]
-    dag = tree + [(n(k), n(rng.randrange(k))) for k in range(1, 120) if rng.random() < 0.3]
-    ring = [(n(k), n((k + 1) % 40)) for k in range(40)] + [(n(50), n(3)), (n(7), n(51)), (n(60), n(60)), (n(61), n(60))]
-    chords = ring + [(n(5), n(2)), (n(20), n(30)), (n(70), n(71)), (n(71), n(70)), (n(70), n(10)), (None, "x"), ("x", None)]
+    tree = [(n(k), n(rng.randrange(k))) for k in range(1, 70)]
+    dag = tree + [(n(k), n(rng.randrange(k))) for k in range(1, 70) if rng.random() < 0.3]
+    ring = [(n(k), n((k + 1) % 24)) for k in range(24)] + [(n(50), n(3)), (n(7), n(51)), (n(60), n(60)), (n(61), n(60))]
+    chords = ring + [(n(5), n(2)), (n(12), n(18)), (n(70), n(71)), (n(71), n(70)), (n(70), n(10)), (None, "x"), ("x", None)]
     return {"mixed": mixed, "dag": dag, "chords": chords, "none": []}
 
 
