@@ -165,7 +165,8 @@ class AncestorIndex:
     Cycles are contracted.  One parent per concept makes a forest, whose ancestors at distance 1, 2, 4, ... are tables
     (a logarithmic number, each with a row per concept); an ancestor in the forest is found by jumping the
     difference of the depths.  Where a concept on the way has further parents, the search goes on from those:
-    ``portal`` is the nearest concept upwards (or the concept itself) that has any.
+    ``portal`` is the nearest concept upwards (or the concept itself) that has any.  Search rounds are as many as portals
+    lie behind each other on a way, so for long chains that branch at every concept ``closure_by_doubling`` is the better job.
     """
 
     def __init__(self, edges: DataFrame):

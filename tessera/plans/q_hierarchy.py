@@ -200,12 +200,12 @@ def hier_closure_graph(spark, d):
     return G.closure_by_doubling(T.v1g(spark, d))
 
 
-@query("hier_reachable", GRAPH_CLOSURE + """
+@query("hier_reachable", GRAPH_CLOSURE.replace("v1g", "v1s") + """
 SELECT p.child, p.ancestor, c.child IS NOT NULL AS reachable FROM v1p p
-LEFT JOIN c ON c.child = p.child AND c.parent = p.ancestor""", ("v1g", "v1p"))
+LEFT JOIN c ON c.child = p.child AND c.parent = p.ancestor""", ("v1s", "v1p"))
 def hier_reachable(spark, d):
     """H14 without a closure: pairs of concepts asked for."""
-    return G.AncestorIndex(T.v1g(spark, d)).reachable(T.v1p(spark, d))
+    return G.AncestorIndex(T.v1s(spark, d)).reachable(T.v1p(spark, d))
 
 
 @query("hier_top_concepts", f"SELECT id AS concept FROM v1x WHERE {BLANK}", ("v1x",))

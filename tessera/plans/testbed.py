@@ -66,32 +66,37 @@ def v1x(spark: SparkSession, d: str) -> DataFrame:
     return v1(spark, d).unionByName(faults)
 
 
-def v1g(spark: SparkSession, d: str) -> DataFrame:
-    """V1g: (child, parent) with several parents: V1x, market segments, chains of orders, some closed to cycles."""
-    v = v1x(spark, d)
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    seg = F.concat(F.lit("seg/"), F.col("c_mktsegment"))
-
-    def order(key):
-        return F.concat(F.lit("ord/"), key.cast("string"))
-    key = F.col("o_orderkey")
+def _customers_of(v: DataFrame, c: DataFrame) -> DataFrame:
     ids = v.where("level = 3").select("id", F.col("label").alias("c_name"))
-    cust = c.select("c_custkey", "c_name", "c_mktsegment").join(ids, "c_name")
-    parts = [
-        v.where("parent_id is not null and trim(parent_id) <> ''").select("id", "parent_id"),
-        cust.select("id", seg), c.select(seg, F.lit("00")),
-        o.join(cust, F.col("o_custkey") == F.col("c_custkey")).select(order(key), "id"),
-        o.where(key % 50 != 0).select(order(key), order(key - 1)),
-        o.where(key % 200 == 10).select(order(key - 9), order(key))]
+    return c.select("c_custkey", "c_name", "c_mktsegment").join(ids, "c_name")
+
+
+def v1s(spark: SparkSession, d: str) -> DataFrame:
+    """V1s: (child, parent): V1x with market segments as second parents of customers."""
+    v, c = v1x(spark, d), table(spark, d, "customer")
+    seg = F.concat(F.lit("seg/"), F.col("c_mktsegment"))
+    parts = [v.where("parent_id is not null and trim(parent_id) <> ''").select("id", "parent_id"),
+             _customers_of(v, c).select("id", seg), c.select(seg, F.lit("00"))]
     return reduce(DataFrame.union, [p.toDF("child", "parent") for p in parts])
 
 
-def v1p(spark: SparkSession, d: str) -> DataFrame:
-    """V1p: different pairs (child, ancestor) to ask V1g for."""
+def v1g(spark: SparkSession, d: str) -> DataFrame:
+    """V1g: V1s and orders below their customer and the order before, in chains of which some are closed to cycles."""
     o, key = table(spark, d, "orders"), F.col("o_orderkey")
-    me = F.concat(F.lit("ord/"), key.cast("string"))
-    parts = [o.select(me, F.concat(F.lit("ord/"), (key - key % 13).cast("string"))), o.select(me, F.lit("seg/BUILDING")),
-             o.select(me, F.concat(F.lit("0"), (key % 5).cast("string"))), v1x(spark, d).select("id", F.lit("zz02"))]
+
+    def order(k):
+        return F.concat(F.lit("ord/"), k.cast("string"))
+    cust = _customers_of(v1x(spark, d), table(spark, d, "customer"))
+    parts = [o.join(cust, F.col("o_custkey") == F.col("c_custkey")).select(order(key), "id"),
+             o.where(key % 50 != 0).select(order(key), order(key - 1)), o.where(key % 200 == 10).select(order(key - 9), order(key))]
+    return reduce(DataFrame.union, [v1s(spark, d), *[p.toDF("child", "parent") for p in parts]])
+
+
+def v1p(spark: SparkSession, d: str) -> DataFrame:
+    """V1p: different pairs (child, ancestor) to ask V1s for."""
+    v = v1x(spark, d)
+    parts = [v.select("id", F.lit("seg/BUILDING")), v.select("id", F.concat(F.lit("0"), (F.col("pos") % 5).cast("string"))),
+             v.select("id", F.substring("id", 1, 4)), v.select("id", F.lit("zz02"))]
     return reduce(DataFrame.union, [p.toDF("child", "ancestor") for p in parts]).distinct()
 
 

@@ -80,18 +80,21 @@ SELECT * FROM (VALUES
 
 # V1g: a broader graph with several parents: V1x, segments as second parents of customers, and orders below their customer and
 # the order before (chains of up to 50); every fourth chain is closed to a cycle
-_v("v1g", """
+_v("v1s", """
 SELECT id AS child, parent_id AS parent FROM v1x WHERE parent_id IS NOT NULL AND trim(parent_id) <> ''
 UNION ALL SELECT id, 'seg/' || c_mktsegment FROM v1x JOIN customer ON level = 3 AND label = c_name
-UNION ALL SELECT 'seg/' || c_mktsegment, '00' FROM customer
+UNION ALL SELECT 'seg/' || c_mktsegment, '00' FROM customer""", ("v1x",))
+_v("v1g", """
+SELECT child, parent FROM v1s
 UNION ALL SELECT 'ord/' || CAST(o_orderkey AS VARCHAR), id FROM orders JOIN customer ON o_custkey = c_custkey JOIN v1x ON level = 3 AND label = c_name
 UNION ALL SELECT 'ord/' || CAST(o_orderkey AS VARCHAR), 'ord/' || CAST(o_orderkey - 1 AS VARCHAR) FROM orders WHERE o_orderkey % 50 <> 0
 UNION ALL SELECT 'ord/' || CAST(o_orderkey - 9 AS VARCHAR), 'ord/' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 200 = 10
-""", ("v1x",))
+""", ("v1s",))
+# V1p: pairs to ask V1s for
 _v("v1p", """
-SELECT 'ord/' || CAST(o_orderkey AS VARCHAR) AS child, 'ord/' || CAST(o_orderkey - o_orderkey % 13 AS VARCHAR) AS ancestor FROM orders
-UNION SELECT 'ord/' || CAST(o_orderkey AS VARCHAR), 'seg/BUILDING' FROM orders
-UNION SELECT 'ord/' || CAST(o_orderkey AS VARCHAR), '0' || CAST(o_orderkey % 5 AS VARCHAR) FROM orders
+SELECT id AS child, 'seg/BUILDING' AS ancestor FROM v1x
+UNION SELECT id, '0' || CAST(pos % 5 AS VARCHAR) FROM v1x
+UNION SELECT id, substring(id, 1, 4) FROM v1x
 UNION SELECT id, 'zz02' FROM v1x""", ("v1x",))
 
 # V7: overlapping sources with null keys and repeated ids
