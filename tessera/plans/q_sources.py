@@ -16,6 +16,7 @@ from tessera.functions.terms import typed_term
 from tessera.plans.registry import query
 from tessera.plans.sqlfrag import NL, esc
 from tessera.plans.views_sql import _v
+from tessera.session import tidy_shuffles
 from tessera.sources import files as S
 from tessera.sources import ttl as TT
 from tessera.sources.tables import table
@@ -357,9 +358,11 @@ def stream_clean(spark, d):
     keeps the first block of a URI and writes cleaned labels; the result is the prefLabels read back."""
     from tessera.streaming.cleaner_stream import clean_stream
     src = S.scratch_path(spark, "stream-src")
-    blocks = doc_blocks(spark, d).select(F.concat("block", F.lit("\n")).alias("value"))
-    blocks.write.text(f"{src}/copy1")
-    blocks.select(F.regexp_replace("value", 'skos:prefLabel "', 'skos:prefLabel "Later ').alias("value")).write.text(f"{src}/copy2")
+    value = F.concat("block", F.lit("\n"))
+    copies = F.array(F.struct(F.lit("1").alias("copy"), value.alias("value")),
+                     F.struct(F.lit("2").alias("copy"), F.regexp_replace(value, 'skos:prefLabel "', 'skos:prefLabel "Later ').alias("value")))
+    with tidy_shuffles(spark):  # the blocks are built once
+        doc_blocks(spark, d).select(F.inline(copies)).write.partitionBy("copy").text(src, compression="gzip")
     sink = S.scratch_path(spark, "stream-sink")
     q = clean_stream(spark, f"{src}/*", sink, S.scratch_path(spark, "stream-ckpt"))
     q.awaitTermination()

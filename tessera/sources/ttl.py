@@ -33,13 +33,14 @@ _TERM = r'(?:<[^>]*>|[A-Za-z][A-Za-z0-9_.-]*:[A-Za-z0-9_./#-]*[A-Za-z0-9_/#-])'
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """(file, split, mid, line): trimmed lines without blank and comment lines, in file order of (split, mid)."""
-    return _content(spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("mid"), strip("value").alias("line")))
+    return content_lines(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value"))
 
 
-def _content(lines: DataFrame) -> DataFrame:
-    return lines.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
+def content_lines(lines: DataFrame) -> DataFrame:
+    """The columns of ``read_lines`` from lines (file, split, value) that stand in file order within their partition."""
+    numbered = lines.select("file", "split", F.monotonically_increasing_id().alias("mid"), strip("value").alias("line"))
+    return numbered.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
 
 
 def number_groups(lines: DataFrame, is_start: Column) -> DataFrame:
@@ -67,9 +68,9 @@ def _block(lines: Column) -> Column:
     return F.array_join(_first_lines(lines, lambda x: x == "."), "\n")
 
 
-def _gathered(numbered: DataFrame) -> DataFrame:
+def _gathered(numbered: DataFrame, keys: list[str]) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("split", "mid", "line")))
-    return numbered.where("k > 0").groupBy("file", "k").agg(F.transform(rows, lambda x: x["line"]).alias("lines"))
+    return numbered.where("k > 0").groupBy(*keys).agg(F.transform(rows, lambda x: x["line"]).alias("lines"))
 
 
 def _with_uri(blocks: DataFrame) -> DataFrame:
@@ -84,12 +85,28 @@ def read_ttl(spark: SparkSession, path) -> DataFrame:
     A block runs from its start line to the next start line or to a line that
     is exactly '.', whichever comes first.
     """
-    numbered = number_groups(read_lines(spark, path), F.col("line").rlike(CONCEPT_START))
-    return _with_uri(_gathered(numbered).select("file", "k", _block(F.col("lines")).alias("block")))
+    return _with_uri(blocks_from_lines(read_lines(spark, path)))
+
+
+def concept_heads(lines: DataFrame) -> DataFrame:
+    """(file, k, raw_uri, pos) of the concept blocks, from their start lines alone."""
+    heads = number_groups(lines.where(F.col("line").rlike(CONCEPT_START)), F.lit(True))
+    return _with_uri(heads.select("file", "k", F.col("line").alias("block"))).drop("block")
+
+
+def blocks_from_lines(lines: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """S4 on lines (file, split, mid, line), as ``read_lines`` and a stream deliver them: (file, k, block).
+
+    With ``of`` (file, k, ...) only those blocks, with its columns; lines of others are dropped before they are gathered.
+    """
+    numbered, keys = number_groups(lines, F.col("line").rlike(CONCEPT_START)), ["file", "k"]
+    if of is not None:
+        numbered, keys = numbered.join(of, ["file", "k"]), [*keys, *[c for c in of.columns if c not in keys]]
+    return _gathered(numbered, keys).select(*keys, _block(F.col("lines")).alias("block"))
 
 
 def blocks_from_files(files: DataFrame) -> DataFrame:
-    """S4 on whole small files (file, content), as a stream delivers them: the columns of ``read_ttl``."""
+    """S4 on whole small files (file, content): the columns of ``read_ttl``."""
     lines = F.filter(F.transform(F.split("content", "\r\n|\n|\r"), strip), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
     f = files.select("file", lines.alias("lines"))
     starts = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(CONCEPT_START), i + 1)), lambda i: i.isNotNull())
@@ -176,7 +193,7 @@ def read_header(spark: SparkSession, path) -> DataFrame:
     is_scheme = F.contains("line", F.lit("a skos:ConceptScheme"))
     numbered = number_groups(lines, is_scheme | F.col("line").rlike(CONCEPT_START))
     schemes = numbered.where(is_scheme).select("file", "k").distinct()  # only their lines are gathered, no concept's
-    scheme = _gathered(numbered.join(schemes, ["file", "k"], "left_semi")).select(
+    scheme = _gathered(numbered.join(schemes, ["file", "k"], "left_semi"), ["file", "k"]).select(
         "file", F.lit("scheme").alias("kind"),
         F.array_join(_first_lines(F.col("lines"), lambda x: F.endswith(x, F.lit(" ."))), "\n    ").alias("text"))
     return decl.unionByName(scheme)

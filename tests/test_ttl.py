@@ -131,6 +131,27 @@ def test_stream_keeps_the_first_block_over_batches(spark):
     assert got == [("http://ex.org/0", "first 0"), ("http://ex.org/1", "first 1"), ("http://ex.org/2", "third 2")]
 
 
+def test_stream_reads_a_large_file_line_by_line(spark, tmp_path):
+    """No record of the stream holds a whole file, and a file of many splits gives the blocks of ``read_ttl``."""
+    from tessera.streaming.cleaner_stream import clean_stream
+    n = 3000
+    (tmp_path / "in").mkdir()
+    text = "".join(f'<http://ex.org/{i % 2000}> a skos:Concept ;\r\n\r\n# note\r\n  skos:prefLabel "label {i}"@en .\r\n' for i in range(n))
+    (tmp_path / "in/one.ttl").write_text(text, newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        q = clean_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ckpt")
+        q.awaitTermination()
+        assert sum(p["numInputRows"] for p in q.recentProgress) >= 4 * n
+        got = {r.uri: (r.text, r.lang) for r in spark.read.parquet(f"{tmp_path}/out/labels").collect()}
+        blocks = {(r.uri, r.block) for r in spark.read.parquet(f"{tmp_path}/out/concepts").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {f"http://ex.org/{i}": (f"label {i}", "en") for i in range(2000)}
+    assert blocks == {(f"http://ex.org/{i}", f'<http://ex.org/{i}> a skos:Concept ;\nskos:prefLabel "label {i}"@en .') for i in range(2000)}
+
+
 def test_a_concept_of_many_statements_is_not_gathered(spark, tmp_path):
     """Written and read line by line: no list of a concept's statements anywhere in the plans."""
     from pyspark.sql import functions as F
