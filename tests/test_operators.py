@@ -86,6 +86,22 @@ def test_exact_match_clusters_union_find(spark):
     assert got == expect
 
 
+def test_mapping_inference_shuffles_pairs_once(spark):
+    """The statements of a pair are reduced in one shuffle; self pairs, missing ends and unknown types included."""
+    rows = [("a", "b", "exactMatch"), ("a", "b", "exactMatch"), ("b", "a", "closeMatch"), ("c", "c", "broadMatch"), ("d", None, "narrowMatch"),
+            (None, "d", "broadMatch"), ("b", "a", "odd"), ("b", "a", None), ("a", "b", "broader"), ("a", "b", "broadMatch"), ("a", "b", "")]
+    df = spark.createDataFrame(rows, "source_uri string, target_uri string, mapping_type string")
+    want = {(s, t, m): False for s, t, m in rows}
+    rules = M.INFERENCE_RULES + [(t, False, r) for t, r in M.SUPER_RELATIONS]
+    for s, t, m in rows:
+        for _, rev, new in (r for r in rules if r[0] == m):
+            want.setdefault((t, s, new) if rev else (s, t, new), True)
+    got = M.mapping_inference(df)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((*k, v) for k, v in want.items()), key=str)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 2
+
+
 def test_mapping_inference_and_conflicts(spark):
     rows = [("a", "b", "exactMatch"), ("a", "b", "broadMatch"), ("c", "d", "narrowMatch"), ("c", "d", "relatedMatch")]
     df = spark.createDataFrame(rows, "source_uri string, target_uri string, mapping_type string")
