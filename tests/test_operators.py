@@ -2,6 +2,7 @@
 
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import combine as C
@@ -102,6 +103,27 @@ def test_mapping_inference_shuffles_pairs_once(spark):
     assert plan.count("HashAggregate") == 2
 
 
+@pytest.mark.parametrize("poor_hash", [False, True])
+def test_components_shrink_from_round_to_round(spark, monkeypatch, poor_hash):
+    """All rounds together write few more edges than the graph has; names whose hashes collide are kept as they are."""
+    from tessera.operators import components as C
+    n, written, keep, xx = 600, [], C.settled, F.xxhash64
+
+    def counted(df):
+        out = keep(df)
+        if out.columns == ["u", "v"]:
+            written.append(out.count())
+        return out
+    monkeypatch.setattr(C, "settled", counted)
+    if poor_hash:
+        monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(xx(*c), F.lit(50)))
+    chain = [0, *range(n, 0, -1)]
+    df = spark.createDataFrame([(f"c{a:04d}", f"c{b:04d}") for a, b in zip(chain, chain[1:])] + [("x", "x"), ("y", None)], "a string, b string")
+    got = {r.node: r.component for r in C.connected_components(df, "a", "b").collect()}
+    assert got == {f"c{k:04d}": "c0000" for k in range(n + 1)} | {"x": "x"}
+    assert sum(written) <= (6 if poor_hash else 3) * n
+
+
 def test_mapping_inference_and_conflicts(spark):
     rows = [("a", "b", "exactMatch"), ("a", "b", "broadMatch"), ("c", "d", "narrowMatch"), ("c", "d", "relatedMatch")]
     df = spark.createDataFrame(rows, "source_uri string, target_uri string, mapping_type string")
