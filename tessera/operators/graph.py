@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.components import coded
 from tessera.operators.skew import join_reduced
-from tessera.session import settled
+from tessera.session import dropped, settled
 
 
 def plain_edges(edges: DataFrame) -> DataFrame:
@@ -23,25 +24,23 @@ def plain_edges(edges: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- H12: cycles as strongly connected components
-def _trimmed(e: DataFrame) -> DataFrame:
-    """Edges whose child has a child itself and whose parent has a parent: the only ones a cycle can use."""
-    tops = e.select(F.col("child").alias("_k")).distinct()
-    bottoms = e.select(F.col("parent").alias("_k")).distinct()
-    return (e.join(tops, e.parent == tops["_k"], "left_semi").join(bottoms, e.child == bottoms["_k"], "left_semi"))
+def _degrees(e: DataFrame) -> DataFrame:
+    """(node, up, down, above, below): edges up and down of every concept, and the first concept of either kind."""
+    one, none = F.lit(1), F.lit(0)
+    ends = F.array(F.struct(F.col("child").alias("node"), one.alias("up"), none.alias("down"), F.col("parent").alias("above"), F.when(F.lit(False), F.col("child")).alias("below")),
+                   F.struct(F.col("parent").alias("node"), none.alias("up"), one.alias("down"), F.when(F.lit(False), F.col("parent")).alias("above"), F.col("child").alias("below")))
+    return (e.select(F.inline(ends)).groupBy("node")
+            .agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.min("above").alias("above"), F.min("below").alias("below")))
 
 
-def _bypassed(e: DataFrame, turn: int) -> DataFrame:
+def _bypassed(degrees: DataFrame, turn: int) -> DataFrame:
     """(node, below, above): concepts with one child and one parent, no two of them neighbours.
 
-    A coin per concept and round decides: one is taken if it shows heads and its child tails.
+    A number drawn per concept and round decides: one is taken if it draws more than its two neighbours.
     """
-    ups = e.groupBy("child").agg(F.count(F.lit(1)).alias("_up"), F.min("parent").alias("above")).where("_up = 1")
-    downs = e.groupBy("parent").agg(F.count(F.lit(1)).alias("_down"), F.min("child").alias("below")).where("_down = 1")
-    links = ups.join(downs, ups.child == downs.parent).select(F.col("child").alias("node"), "below", "above")
-
-    def heads(c: str):
-        return F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 1
-    return links.where((F.col("below") != F.col("node")) & heads("node") & ~heads("below"))
+    def drawn(c: str):
+        return F.struct(F.xxhash64(c, F.lit(turn)), F.col(c))
+    return degrees.where("up = 1 and down = 1").where((drawn("node") > drawn("below")) & (drawn("node") > drawn("above"))).select("node", "below", "above")
 
 
 def _spread(value: DataFrame, e: DataFrame, src: str, dst: str, keep) -> DataFrame:
@@ -82,32 +81,33 @@ def _colour_components(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, left
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(component, member, n_members, cycle_child, cycle_parent), a row per concept that lies on a cycle.
+def _members(whole: DataFrame) -> DataFrame:
+    """(node, c): every concept of a cycle, with the one its component goes by; ``whole`` are different edges.
 
-    ``component`` is the smallest member, ``cycle_child`` -> ``cycle_parent`` the smallest edge inside it.  Each round
-    drops the edges no cycle can use and bypasses concepts with one child and one parent (they belong to
-    the component of both neighbours or to none), so trees and chains of any depth vanish in a logarithmic
-    number of rounds; what is left is coloured forward and backward.
+    Each round drops the edges no cycle can use (their child has no child or their parent no parent) and bypasses concepts
+    with one child and one parent (they belong to the component of both neighbours or to none), so trees and chains of
+    any depth vanish in a logarithmic number of rounds; what is left is coloured forward and backward.
     """
-    whole = plain_edges(edges)
     e, found, removed, turn = whole, [], [], 0
     n = e.count()
     while n:
         turn += 1
-        e = _trimmed(e)
-        gone = settled(_bypassed(e, turn))
+        degrees = settled(_degrees(e))
+        gone = settled(_bypassed(degrees, turn))
         removed.append(gone)
-        names = gone.select(F.col("node").alias("_g"))
-        kept = e.join(names, e.child == names["_g"], "left_anti").join(names, F.col("parent") == names["_g"], "left_anti")
-        e = settled(kept.union(gone.select("below", "above")).distinct())
+        names = gone.select("node")
+        low = degrees.where("down = 0").select("node").union(names).withColumnRenamed("node", "child")
+        high = degrees.where("up = 0").select("node").union(names).withColumnRenamed("node", "parent")
+        kept = e.join(low, "child", "left_anti").join(high, "parent", "left_anti").select("child", "parent")
+        last, e = e, settled(kept.union(gone.select("below", "above")).distinct())
+        dropped(degrees, *([last] if last is not whole else []))
         before, n = n, e.count()
         if n == before:
             part, e = _colour_components(e)
             found.append(part)
             n = e.count()
-    spark = edges.sparkSession
-    empty = spark.createDataFrame([], f"node {whole.schema['child'].dataType.simpleString()}, c {whole.schema['child'].dataType.simpleString()}")
+    kind = whole.schema["child"].dataType.simpleString()
+    empty = whole.sparkSession.createDataFrame([], f"node {kind}, c {kind}")
     member = settled(reduce(DataFrame.unionByName, found, empty))
     for gone in reversed(removed):
         if gone.isEmpty():
@@ -115,24 +115,48 @@ def strong_components(edges: DataFrame) -> DataFrame:
         a = member.select(F.col("node").alias("below"), F.col("c").alias("_ca"))
         b = member.select(F.col("node").alias("above"), F.col("c").alias("_cb"))
         back = gone.join(a, "below").join(b, "above").where("_ca = _cb").select("node", F.col("_ca").alias("c"))
-        member = settled(member.unionByName(back))
-    inside = (whole.join(member.select(F.col("node").alias("child"), F.col("c").alias("_x")), "child")
-              .join(member.select(F.col("node").alias("parent"), F.col("c").alias("_y")), "parent").where("_x = _y"))
-    first = inside.groupBy(F.col("_x").alias("c")).agg(F.min(F.struct("child", "parent")).alias("_e"))
-    size = member.groupBy("c").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n_members"))
+        last, member = member, settled(member.unionByName(back))
+        dropped(last, gone)
+    return member
+
+
+def _cycle_parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(c, member) and (c, child, parent) by name: the concepts on cycles and the edges between those of one component.
+
+    The rounds work on numbers; only concepts on cycles get their names back.
+    """
+    whole, names = coded(edges, "child", "parent")
+    member = _members(whole)
+    named = settled(names.join(member.withColumnRenamed("node", "id"), "id").select("id", "c", F.col("name").alias("member")))
+    a = named.select(F.col("id").alias("child"), F.col("c"), F.col("member").alias("_child"))
+    b = named.select(F.col("id").alias("parent"), F.col("c").alias("_other"), F.col("member").alias("_parent"))
+    inside = settled(whole.join(a, "child").join(b, "parent").where("c = _other").select("c", F.col("_child").alias("child"), F.col("_parent").alias("parent")))
     # a component without an edge inside is a single concept that no cycle uses
+    return named.join(inside.select("c").distinct(), "c", "left_semi").select("c", "member"), inside
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(component, member, n_members, cycle_child, cycle_parent), a row per concept that lies on a cycle.
+
+    ``component`` is the smallest member, ``cycle_child`` -> ``cycle_parent`` the smallest edge inside it.
+    """
+    member, inside = _cycle_parts(edges)
+    first = inside.groupBy("c").agg(F.min(F.struct("child", "parent")).alias("_e"))
+    size = member.groupBy("c").agg(F.min("member").alias("component"), F.count(F.lit(1)).alias("n_members"))
     return (join_reduced(member, size.join(first, "c"), ["c"])
-            .select("component", F.col("node").alias("member"), "n_members", F.col("_e.child").alias("cycle_child"),
-                    F.col("_e.parent").alias("cycle_parent")))
+            .select("component", "member", "n_members", F.col("_e.child").alias("cycle_child"), F.col("_e.parent").alias("cycle_parent")))
 
 
 def cycle_edges(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """(component, child, parent): every edge that lies on a cycle."""
-    whole = plain_edges(edges)
-    c = (strong_components(whole) if components is None else components).select("component", "member")
+    if components is None:
+        member, inside = _cycle_parts(edges)
+        first = member.groupBy("c").agg(F.min("member").alias("component"))
+        return join_reduced(inside, first, ["c"]).select("component", "child", "parent")
+    c = components.select("component", "member")
     a = c.select(F.col("member").alias("child"), F.col("component"))
     b = c.select(F.col("member").alias("parent"), F.col("component").alias("_other"))
-    return whole.join(a, "child").join(b, "parent").where("component = _other").select("component", "child", "parent")
+    return plain_edges(edges).join(a, "child").join(b, "parent").where("component = _other").select("component", "child", "parent")
 
 
 # ---------------------------------------------------------------- H14: closure by path doubling
