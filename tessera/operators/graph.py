@@ -163,22 +163,25 @@ def cycle_edges(edges: DataFrame, components: DataFrame | None = None) -> DataFr
 def closure_by_doubling(edges: DataFrame) -> DataFrame:
     """All (child, ancestor) pairs, cycles included.
 
-    ``far`` holds the pairs at distance exactly 2^k, ``near`` those below; a round joins them once, so there are as
-    many rounds as the depth has binary digits.  Pairs already near are no longer carried on.
+    ``far`` holds the pairs at distance exactly 2^k, ``near`` those below; a round joins ``far`` with both, so there are as
+    many rounds as the depth has binary digits.  One grouping then compares all pairs of the round with those near,
+    which are not carried on.  Pairs are written once, and what a round made on the way leaves the disk.
     """
+    def marked(df: DataFrame, mark: int) -> DataFrame:
+        return df.select("child", "parent", F.lit(mark).alias("_mark"))
     far = plain_edges(edges)
     parts: list[DataFrame] = []
+    last = far
     while not far.isEmpty():
         step = far.select("child", F.col("parent").alias("_mid"))
-        reached = [far]
-        for p in parts:
-            reached.append(step.join(p.select(F.col("child").alias("_mid"), "parent"), "_mid").select("child", "parent"))
-        new = reduce(DataFrame.unionByName, reached).distinct()
-        if parts:
-            new = new.join(reduce(DataFrame.unionByName, parts), ["child", "parent"], "left_anti")
-        parts.append(settled(new))
-        twice = step.join(far.select(F.col("child").alias("_mid"), "parent"), "_mid").select("child", "parent").distinct()
-        far = settled(twice.join(reduce(DataFrame.unionByName, parts), ["child", "parent"], "left_anti"))
+        # 1: at twice the distance, 2: between, 4: near already
+        ahead = reduce(DataFrame.unionByName, [marked(p, 2) for p in parts], marked(far, 1))
+        made = settled(step.join(ahead.withColumnRenamed("child", "_mid"), "_mid").select("child", "parent", "_mark"))
+        every = reduce(DataFrame.unionByName, [marked(p, 4) for p in parts], made.unionByName(marked(far, 2)))
+        found = settled(every.groupBy("child", "parent").agg(F.bit_or("_mark").alias("_mark")).where("_mark < 4"))
+        dropped(made, *([last] if not parts else []))
+        parts.append(found.where("_mark >= 2").select("child", "parent"))
+        far, last = found.where("_mark = 1").select("child", "parent"), found
     return reduce(DataFrame.unionByName, parts) if parts else far
 
 

@@ -68,3 +68,34 @@ def test_a_chain_of_500_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: made.append(1) or keep(self, *a, **k))
     assert H.transitive_closure(df).count() == 500 * 501 // 2
     assert len(made) <= 2 + 2 * 10
+
+
+def test_rounds_of_components_work_on_numbers_and_shrink(spark, monkeypatch):
+    """Trees and chains beside the cycles vanish: all rounds together write few more edges than the graph has, none by name."""
+    written, keep, n = [], G.settled, 400
+
+    def counted(df):
+        out = keep(df)
+        if out.columns == ["child", "parent"]:
+            written.append((out.count(), out.schema["child"].dataType.simpleString()))
+        return out
+    monkeypatch.setattr(G, "settled", counted)
+    edges = [(f"n{k:04d}", f"n{k + 1:04d}") for k in range(n)] + [("n0010", "n0005")]
+    df = spark.createDataFrame(edges, "child string, parent string")
+    got = {(r.component, r.member, r.n_members, r.cycle_child, r.cycle_parent) for r in G.strong_components(df).collect()}
+    assert got == {("n0005", f"n{k:04d}", 6, "n0005", "n0006") for k in range(5, 11)}
+    assert {kind for _, kind in written} == {"bigint"} and sum(c for c, _ in written) <= 3 * n
+
+
+def test_closure_leaves_no_shuffle_files_and_no_dead_rounds(spark):
+    """What the rounds wrote and the result does not read is deleted; near pairs are shuffled once a round to compare them."""
+    from tessera.session import checkpoint_dir
+    import glob
+    folder = checkpoint_dir(spark).removeprefix("file:").rstrip("/")
+    before = set(glob.glob(f"{folder}/settled-*"))
+    df = spark.createDataFrame([(f"k{k:04d}", f"k{k + 1:04d}") for k in range(40)], "child string, parent string")
+    out = G.closure_by_doubling(df)
+    read = {f.removeprefix("file:").replace("///", "/").rsplit("/", 1)[0] for f in out.inputFiles()}
+    left = set(glob.glob(f"{folder}/settled-*")) - before
+    assert out.count() == 40 * 41 // 2
+    assert left == read
