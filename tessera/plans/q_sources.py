@@ -79,6 +79,9 @@ def read_csv_quoted(spark, d):
     return S.read_csv(spark, path + "/t/p=*", sep=";")
 
 
+LIST_OF = 10_000  # events in one JSON list: files of a megabyte or two, so their number stays small
+
+
 @query("json_list_inferred", """
 SELECT event_id, event_type, value AS "metrics.value", user_id AS "metrics.user.id", event_type || '}"' || chr(92) || '[{' AS "metrics.user.tag" FROM events""")
 def json_list_inferred(spark, d):
@@ -86,7 +89,7 @@ def json_list_inferred(spark, d):
     path = S.scratch_path(spark, "json")
     ev = table(spark, d, "events").select("event_id", "event_type", F.struct("value", F.struct(
         F.col("user_id").alias("id"), F.concat("event_type", F.lit('}"\\[{')).alias("tag")).alias("user")).alias("metrics"))
-    rows = ev.select(F.floor(F.col("event_id") / 500).alias("g"), F.to_json(F.struct(*ev.columns)).alias("j"))
+    rows = ev.select(F.floor(F.col("event_id") / LIST_OF).alias("g"), F.to_json(F.struct(*ev.columns)).alias("j"))
     lists = rows.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value"))
     lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return S.read_json_flat(spark, path, multi_line=True)
@@ -214,8 +217,8 @@ def json_list(spark, d):
     path = S.scratch_path(spark, "json")
     ev = table(spark, d, "events").select("event_id", "event_type", F.struct(
         F.col("value"), F.struct(F.col("user_id").alias("id")).alias("user")).alias("metrics"))
-    # a list per 500 consecutive events, one to a line of its own file part
-    rows = ev.select(F.floor(F.col("event_id") / 500).alias("g"), F.to_json(F.struct(*ev.columns)).alias("j"))
+    # a list of consecutive events, one to a line of its own file part
+    rows = ev.select(F.floor(F.col("event_id") / LIST_OF).alias("g"), F.to_json(F.struct(*ev.columns)).alias("j"))
     lists = rows.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value"))
     lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     schema = "event_id long, event_type string, metrics struct<value: double, user: struct<id: long>>"

@@ -16,6 +16,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import settled
+
 
 def decoded(value: Column, encoding: str) -> Column:
     """Text from the bytes of a line; in the single-byte encodings a line feed and the separators are the bytes they are in ASCII."""
@@ -140,26 +142,37 @@ def json_records(spark: SparkSession, path) -> DataFrame:
 
     Files are cut at every ``}``, wherever it stands.  Unescaped quotes tell which cuts lie inside a string, the
     brackets outside strings how deep a cut lies; a record ends where the depth is back to that of the list.
+    Every cut is examined once, for a split that begins outside a string and for one that begins inside, and written to the
+    shared folder; which of the two holds, and how deep a split begins, follows from the few rows of the splits.
     """
     cut = pieces(spark, path, "}")
     quotes = F.char_length(F.regexp_replace(F.regexp_replace("line", r"(?s)\\.", ""), '[^"]++', ""))
-    swap = quotes % 2 == 1
-    cut = with_state(cut, swap, ~swap)
-    plain = F.regexp_replace(F.when(F.col("inside"), F.regexp_replace("line", _REST, "")).otherwise(F.col("line")), _STRING, "")
-    cut = cut.withColumn("_plain", plain).withColumn("_after", F.col("inside") != swap)
-
-    def count(chars: str) -> Column:
-        return F.char_length(F.regexp_replace("_plain", f"[^{chars}]++", ""))
-    # the brace at the cut closes an object unless it stands in a string
-    change = count(r"\[{") - count(r"\]}") - F.when(F.col("_after"), 0).otherwise(1)
-    cut = running(cut.withColumn("_change", change), F.col("_change"), "_depth")
-    first = cut.groupBy("file").agg(F.min_by(F.ltrim(F.regexp_replace("line", "^﻿", "")), F.struct("split", "mid")).alias("_head"))
+    own = Window.partitionBy("file", "split").orderBy("mid")
+    cut = cut.withColumn("_odd", F.sum((quotes % 2).cast("long")).over(own) % 2 == 1).withColumn("_swap", quotes % 2 == 1)
+
+    def change(inside: Column, after: Column) -> Column:
+        plain = F.regexp_replace(F.when(inside, F.regexp_replace("line", _REST, "")).otherwise(F.col("line")), _STRING, "")
+        opened, closed = (F.char_length(F.regexp_replace(plain, f"[^{c}]++", "")) for c in (r"\[{", r"\]}"))
+        # the brace at the cut closes an object unless it stands in a string
+        return (opened - closed - F.when(after, 0).otherwise(1)).cast("long")
+    after = F.col("_odd")
+    begins = after != F.col("_swap")
+    cut = cut.withColumn("_out", change(begins, after)).withColumn("_in", change(~begins, ~after))
+    cut = settled(cut.select("file", "split", "mid", "line", "_odd", F.sum("_out").over(own).alias("_out"), F.sum("_in").over(own).alias("_in")))
+
+    head = F.ltrim(F.regexp_replace(F.regexp_replace("line", "^\ufeff", ""), r"\A\s++", ""))
+    per = cut.groupBy("file", "split").agg(F.max_by(F.struct("_odd", "_out", "_in"), "mid").alias("_l"), F.min_by(head.startswith("["), "mid").alias("_list"))
+    files = Window.partitionBy("file").orderBy("split")
+    earlier = files.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_inside", F.coalesce(F.sum(F.col("_l._odd").cast("long")).over(earlier), F.lit(0)) % 2 == 1)
+    per = per.withColumn("_deep", F.coalesce(F.sum(F.when(F.col("_inside"), F.col("_l._in")).otherwise(F.col("_l._out"))).over(earlier), F.lit(0)))
     # a file that begins with a bracket is a list: its objects end at depth 1
-    cut = cut.join(first.select("file", F.ltrim(F.regexp_replace("_head", r"\A\s++", "")).startswith("[").cast("int").alias("_base")), "file")
-    ends = ~F.col("_after") & (F.col("_depth") + F.col("_change") == F.col("_base"))
-    numbered = running(cut, ends, "k").select("file", "split", "mid", "k", "line")
+    per = per.select("file", "split", "_inside", "_deep", F.first("_list").over(files).cast("long").alias("_base"))
+    cut = cut.join(per, ["file", "split"])
+    ends = ((F.col("_odd") == F.col("_inside"))
+            & (F.col("_deep") + F.when(F.col("_inside"), F.col("_in")).otherwise(F.col("_out")) == F.col("_base")))
+    numbered = running(cut.select("file", "split", "mid", "line", ends.alias("_ends")), F.col("_ends"), "k").select("file", "split", "mid", "k", "line")
     records = _joined(numbered, ["file", "k"], "}", "line")
     # what stands in front of an object: the opening bracket, commas, white space, items that are no objects
     return (records.select("file", "k", F.concat(F.regexp_replace(F.regexp_extract("record", r"(?s)\A[^{]*+(\{.*)\z", 1), r"[\r\n]++", " "),
                                                  F.lit("}")).alias("record")).where("record <> '}'"))
-

@@ -95,3 +95,18 @@ def test_encodings_of_files(spark, tmp_path, small_splits):
     assert got == {"a": "utf-8", "b": "utf-8-sig", "c": "cp1252", "d": "latin1", "e": "cp1252", "g": "cp1252"}
     only = {r.file.rsplit("/", 1)[1][0]: r.encoding for r in S.choose_encoding(spark, str(tmp_path), ["utf-8", "cp1252"]).collect()}
     assert only["d"] is None and only["b"] == "utf-8"
+
+
+def test_json_cuts_are_examined_once(spark, tmp_path, small_splits):
+    """The files are read by one job, not once for every step; lists with strings full of brackets over many splits."""
+    import json
+    from tessera.sources import splits
+    rows = [{"a": i, "b": {"c": '}"[{\\' * (i % 4), "d": [i, {"e": "]"}]}} for i in range(300)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/list.json").write_text("\n " + json.dumps(rows))
+    (tmp_path / "in/rows.json").write_text("\n".join(json.dumps(r) for r in rows[:7]))
+    out = splits.json_records(spark, str(tmp_path / "in"))
+    assert str(tmp_path) not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f.startswith(f"file:{tmp_path}") or str(tmp_path) in f for f in out.inputFiles())
+    got = sorted(json.dumps(json.loads(r.record)) for r in out.collect())
+    assert got == sorted(json.dumps(r) for r in rows + rows[:7])
