@@ -51,7 +51,7 @@ def _write_batch(sink_dir: str, base: str | None):
         def written(name: str, df: DataFrame) -> DataFrame:
             path = f"{sink_dir}/{name}/batch={batch_id}"
             with tidy_shuffles(spark):
-                df.write.mode("overwrite").parquet(path)
+                df.write.mode("overwrite").parquet(path, compression="zstd")
             return spark.read.schema(df.schema).parquet(path)
 
         b = written("concepts", first_blocks(content_lines(batch), earlier, base).select("uri", "raw_uri", "file", "k", "block"))
