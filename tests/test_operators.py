@@ -124,6 +124,50 @@ def test_components_shrink_from_round_to_round(spark, monkeypatch, poor_hash):
     assert sum(written) <= (6 if poor_hash else 3) * n
 
 
+def test_rounds_of_components_need_no_sort_for_minima(spark, monkeypatch):
+    """Names and neighbours are reduced by hash; edges repeated in both directions are no trouble; long chains end in few rounds."""
+    from tessera.operators import components as C
+    n, plans, keep = 2000, [], C.settled
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().sparkPlan().toString()))
+        return keep(df)
+    monkeypatch.setattr(C, "settled", seen)
+    ends = [(f"c{a:04d}", f"c{a + 1:04d}") for a in range(n)] + [(f"h{k % 40:03d}", f"p{k:04d}") for k in range(1000)]
+    df = spark.createDataFrame(ends + [(b, a) for a, b in ends] + ends[:5] + [("x", "x"), (None, "y")], "a string, b string")
+    got = {r.node: r.component for r in C.connected_components(df, "a", "b").collect()}
+    hubs = {f"p{k:04d}": f"h{k % 40:03d}" for k in range(1000)} | {f"h{k:03d}": f"h{k:03d}" for k in range(40)}
+    assert got == {f"c{k:04d}": "c0000" for k in range(n + 1)} | hubs | {"x": "x"}
+    assert not [c for c, plan in plans if "SortAggregate" in plan]
+    assert len([c for c, _ in plans if c == ["u", "v"]]) <= 18
+
+
+def test_orders_of_numbers_lead_back_to_the_numbers(spark):
+    from tessera.operators.components import drawn
+    ids = [0, 1, -1, 2**63 - 1, -2**63, 123456789, -987654321]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    for turn in (1, 2, 6, 29, 64):
+        order, node = drawn(turn, True)
+        rows = df.select("id", order("id").alias("r"), node(order("id")).alias("back")).collect()
+        assert all(r.id == r.back for r in rows) and len({r.r for r in rows}) == len(ids)
+
+
+def test_inference_is_compiled_and_a_missing_type_stays_apart(spark):
+    """No lambda (run row by row) and no work on URIs in a filter; rows without a type share a pair with others."""
+    rows = [("a", "b", None), ("a", "b", "exactMatch"), ("b", "a", None), ("a", "b", "odd"), (None, "b", "closeMatch"), ("a", "a", "broadMatch")]
+    df = spark.createDataFrame(rows, "source_uri string, target_uri string, mapping_type string")
+    got = M.mapping_inference(df)
+    want = {(*r, False) for r in rows} | {("b", "a", "exactMatch", True), ("a", "b", "closeMatch", True), ("b", None, "closeMatch", True),
+                                          ("a", "a", "narrowMatch", True), ("a", "a", "broader", True)}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    raw = spark.createDataFrame([(" x", "urn:y", "exact"), (None, "z", "exact"), ("z", None, "exact")], df.schema)
+    out = M.normalise_mappings(raw, "http://e/")
+    assert [tuple(r)[:3] for r in out.collect()] == [("http://e/x", "urn:y", "exactMatch")]
+    filters = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not [x for x in filters if "trim" in x.lower()]
+
+
 def test_mapping_inference_and_conflicts(spark):
     rows = [("a", "b", "exactMatch"), ("a", "b", "broadMatch"), ("c", "d", "narrowMatch"), ("c", "d", "relatedMatch")]
     df = spark.createDataFrame(rows, "source_uri string, target_uri string, mapping_type string")
