@@ -160,29 +160,88 @@ def cycle_edges(edges: DataFrame, components: DataFrame | None = None) -> DataFr
 
 
 # ---------------------------------------------------------------- H14: closure by path doubling
+#: Steps along a path are doubled this often, so a piece has at most 2^DOUBLINGS concepts and so has the list of its names.
+DOUBLINGS = 6
+
+
+def _picked(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, to): every concept with one of its parents or none, no parent twice.
+
+    A parent offers itself to one child, and a child takes the offer of the parent with the fewest children.
+    """
+    offers = e.where("child <> parent").groupBy("parent").agg(F.min("child").alias("node"), F.count(F.lit(1)).alias("n")).select("node", F.col("parent").alias("to"), "n")
+    none = nodes.select("node", F.when(F.lit(False), F.col("node")).alias("to"), F.when(F.lit(False), F.lit(0).cast("long")).alias("n"))
+    return offers.unionByName(none).groupBy("node").agg(F.min_by("to", "n").alias("to"))
+
+
+def _pieces(picked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, piece, at): the paths of ``picked`` cut to pieces, named by their top, which is at 1; and the tables to drop afterwards.
+
+    Every concept finds the top by doubling its steps.  Those further below, or on a ring, are cut where a concept draws the least number of
+    as many concepts as were passed (on every ring one does), and below concepts that are done; then they start anew.
+    """
+    done, tables, live = [], [], picked
+    while True:
+        own = F.xxhash64("node")
+        walk = settled(live.select("node", "to", F.coalesce("to", "node").alias("top"), F.col("to").isNotNull().cast("int").alias("steps"), own.alias("least")))
+        tables.append(walk)
+        ended: list[DataFrame] = []
+        for k in range(DOUBLINGS + 1):
+            # after k doublings those on the way have made 2^k steps, the others fewer
+            ended.append(walk.where(F.col("steps") < 1 << k))
+            live = walk.where(F.col("steps") == 1 << k)
+            left = not live.isEmpty()
+            if k == DOUBLINGS or not left:
+                break
+            ahead = reduce(DataFrame.unionByName, ended, live).select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("least").alias("_least"))
+            walk = settled(live.join(ahead, "top").select("node", "to", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"),
+                                                          F.least("least", "_least").alias("least")))
+            tables.append(walk)
+        done += [x.select("node", F.col("top").alias("piece"), (F.col("steps") + 1).alias("at")) for x in ended]
+        if not left:
+            return reduce(DataFrame.unionByName, done), tables
+        going = live.select(F.col("node").alias("to"), F.lit(True).alias("_going"))
+        live = live.join(going, "to", "left").select("node", F.when(F.col("_going") & (F.col("least") != own), F.col("to")).alias("to"))
+
+
+def _reached(links: DataFrame) -> DataFrame:
+    """(piece, above, at, low, far): the closure of such rows over pieces, ``low`` the first concept of ``piece`` that reaches the one at ``at`` of ``above``.
+
+    ``far`` marks those that take 2^k links and not fewer; a round joins them with all, so there are as many rounds as the longest way has binary digits.
+    """
+    best = settled(links.withColumn("far", F.lit(True)))
+    while not best.where("far").isEmpty():
+        # of the concepts of a piece reached from one concept, the lowest reaches the others; upwards in its own piece nothing is new
+        step = best.where("far and (piece <> above or at > low)").groupBy("piece", "above", "low").agg(F.max("at").alias("reach"))
+        ahead = best.select(F.col("piece").alias("_piece"), F.col("above").alias("_above"), F.col("at").alias("_at"), F.col("low").alias("_low"), "far")
+        made = (step.join(ahead, (step["above"] == ahead["_piece"]) & (F.col("_low") <= F.col("reach")))
+                .select("piece", F.col("_above").alias("above"), F.col("_at").alias("at"), "low", "far"))
+        every = made.unionByName(best.withColumn("far", F.lit(False)))
+        low = every.groupBy("piece", "above", "at").agg(F.min(F.when(F.col("far"), F.col("low"))).alias("_far"), F.min(F.when(~F.col("far"), F.col("low"))).alias("_near"))
+        last, best = best, settled(low.select("piece", "above", "at", F.least("_far", "_near").alias("low"),
+                                              F.coalesce(F.col("_far") < F.col("_near"), F.col("_near").isNull()).alias("far")))
+        dropped(last)
+    return best
+
+
 def closure_by_doubling(edges: DataFrame) -> DataFrame:
     """All (child, ancestor) pairs, cycles included.
 
-    ``far`` holds the pairs at distance exactly 2^k, ``near`` those below; a round joins ``far`` with both, so there are as
-    many rounds as the depth has binary digits.  One grouping then compares all pairs of the round with those near,
-    which are not carried on.  Pairs are written once, and what a round made on the way leaves the disk.
+    The graph is covered by paths, cut to pieces of bounded length.  What a concept reaches, all below it in its piece reach too, so of
+    each piece and ancestor only the first concept that reaches it is kept, and the rounds work on these rows and on numbers.  Pairs
+    are listed when the result is read, a row with the names below in its piece; what the rounds made on the way leaves the disk.
     """
-    def marked(df: DataFrame, mark: int) -> DataFrame:
-        return df.select("child", "parent", F.lit(mark).alias("_mark"))
-    far = plain_edges(edges)
-    parts: list[DataFrame] = []
-    last = far
-    while not far.isEmpty():
-        step = far.select("child", F.col("parent").alias("_mid"))
-        # 1: at twice the distance, 2: between, 4: near already
-        ahead = reduce(DataFrame.unionByName, [marked(p, 2) for p in parts], marked(far, 1))
-        made = settled(step.join(ahead.withColumnRenamed("child", "_mid"), "_mid").select("child", "parent", "_mark"))
-        every = reduce(DataFrame.unionByName, [marked(p, 4) for p in parts], made.unionByName(marked(far, 2)))
-        found = settled(every.groupBy("child", "parent").agg(F.bit_or("_mark").alias("_mark")).where("_mark < 4"))
-        dropped(made, *([last] if not parts else []))
-        parts.append(found.where("_mark >= 2").select("child", "parent"))
-        far, last = found.where("_mark = 1").select("child", "parent"), found
-    return reduce(DataFrame.unionByName, parts) if parts else far
+    e, names = coded(edges, "child", "parent")
+    place, walks = _pieces(_picked(e, names.select(F.col("id").alias("node"))))
+    listed = names.join(place, names["id"] == place["node"]).groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("_m"))
+    piece = settled(listed.select("piece", F.col("_m")["name"].alias("names")))
+    low = place.select(F.col("node").alias("child"), "piece", F.col("at").alias("low"))
+    up = place.select(F.col("node").alias("parent"), F.col("piece").alias("above"), "at")
+    best = _reached(e.join(low, "child").join(up, "parent").groupBy("piece", "above", "at").agg(F.min("low").alias("low")))
+    dropped(e, names, *walks)
+    above = piece.select(F.col("piece").alias("above"), F.col("names").alias("_above"))
+    named = best.join(above, "above").select("piece", "low", F.col("_above")[F.col("at") - 1].alias("parent"))
+    return named.join(piece, "piece").select(F.explode(F.slice("names", F.col("low"), F.lit(1 << DOUBLINGS))).alias("child"), "parent")
 
 
 # ---------------------------------------------------------------- H14: reachability without a closure

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.operators import hierarchy as H
@@ -99,3 +100,41 @@ def test_closure_leaves_no_shuffle_files_and_no_dead_rounds(spark):
     left = set(glob.glob(f"{folder}/settled-*")) - before
     assert out.count() == 40 * 41 // 2
     assert left == read
+
+
+def test_closure_rounds_write_few_rows_where_concepts_lie_on_paths(spark, monkeypatch):
+    """Below one another, concepts reach nearly the same: the rounds keep a row per piece of a path and ancestor, not one per pair."""
+    written, keep, n = [], G.settled, 300
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(G, "settled", counted)
+    edges = [(f"n{k:04d}", f"n{k + 1:04d}") for k in range(n)] + [(f"n{k:04d}", f"top{k % 7}") for k in range(n)]
+    got = G.closure_by_doubling(spark.createDataFrame(edges, "child string, parent string"))
+    pairs = closure(edges)
+    assert {tuple(r) for r in got.collect()} == pairs and got.count() == len(pairs)
+    assert sum(written) < len(pairs) / 2
+
+
+@pytest.mark.parametrize("numbers", [True, False])
+def test_closure_over_pieces_cut_from_rings_and_long_paths(spark, monkeypatch, numbers):
+    """Rings shorter and longer than a piece, paths of many pieces into and out of them, and names that stay names."""
+    def named(edges, a, b):
+        ends = G.plain_edges(edges)
+        names = G.settled(ends.select(F.explode(F.array(a, b)).alias("id")).distinct().select("id", F.col("id").alias("name")))
+        return ends, names
+    monkeypatch.setattr(G, "DOUBLINGS", 2)
+    if not numbers:
+        monkeypatch.setattr(G, "coded", named)
+
+    def ring(name, n):
+        return [(f"{name}{k:02d}", f"{name}{(k + 1) % n:02d}") for k in range(n)]
+    rng = random.Random(11)
+    edges = [e for name, n in [("a", 23), ("b", 3), ("c", 2), ("d", 1), ("e", 9)] for e in ring(name, n)]
+    edges += [(f"p{k:02d}", f"p{k + 1:02d}") for k in range(30)] + [("p30", "a05"), ("a11", "q00"), ("p12", "b01"), ("p17", "p09"), ("c00", "p20")]
+    edges += [(f"q{k:02d}", f"q{k + 1:02d}") for k in range(12)] + [("q07", "e03"), ("q07", "d00"), ("q03", "q09")]
+    edges += [(f"r{rng.randrange(30):02d}", f"r{rng.randrange(30):02d}") for _ in range(36)] + [("r03", "p05"), (None, "p01"), ("p01", None)]
+    got = [tuple(r) for r in G.closure_by_doubling(spark.createDataFrame(edges, "child string, parent string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == closure({e for e in edges if None not in e})
