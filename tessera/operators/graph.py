@@ -179,43 +179,47 @@ def _pieces(picked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     Every concept finds the top by doubling its steps.  Those further below, or on a ring, are cut where a concept draws the least number of
     as many concepts as were passed (on every ring one does), and below concepts that are done; then they start anew.
+    Doubling ends early where only rings are left and more steps would cut no less.
     """
-    done, tables, live = [], [], picked
+    own, done, tables, live = F.xxhash64("node"), [], [], picked
     while True:
-        own = F.xxhash64("node")
-        walk = settled(live.select("node", "to", F.coalesce("to", "node").alias("top"), F.col("to").isNotNull().cast("int").alias("steps"), own.alias("least")))
+        start = walk = settled(live.select("node", F.coalesce("to", "node").alias("top"), F.col("to").isNotNull().cast("int").alias("steps"), own.alias("least")))
         tables.append(walk)
         ended: list[DataFrame] = []
+        cuts = None
         for k in range(DOUBLINGS + 1):
             # after k doublings those on the way have made 2^k steps, the others fewer
-            ended.append(walk.where(F.col("steps") < 1 << k))
-            live = walk.where(F.col("steps") == 1 << k)
-            left = not live.isEmpty()
-            if k == DOUBLINGS or not left:
+            on = F.col("steps") == 1 << k
+            ended.append(walk.where(~on))
+            live = walk.where(on)
+            n, left, least = walk.agg(F.count(F.lit(1)), F.count_if(on), F.count_if(on & (F.col("least") == own))).first()
+            if k == DOUBLINGS or not left or (left, least) == (n, cuts):
                 break
+            cuts = least
             ahead = reduce(DataFrame.unionByName, ended, live).select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("least").alias("_least"))
-            walk = settled(live.join(ahead, "top").select("node", "to", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"),
-                                                          F.least("least", "_least").alias("least")))
+            walk = settled(live.join(ahead, "top").select("node", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("least", "_least").alias("least")))
             tables.append(walk)
         done += [x.select("node", F.col("top").alias("piece"), (F.col("steps") + 1).alias("at")) for x in ended]
         if not left:
             return reduce(DataFrame.unionByName, done), tables
+        kept = live.select("node", (F.col("least") != own).alias("_kept")).join(start.select("node", F.col("top").alias("to")), "node")
         going = live.select(F.col("node").alias("to"), F.lit(True).alias("_going"))
-        live = live.join(going, "to", "left").select("node", F.when(F.col("_going") & (F.col("least") != own), F.col("to")).alias("to"))
+        live = kept.join(going, "to", "left").select("node", F.when(F.col("_going") & F.col("_kept"), F.col("to")).alias("to"))
 
 
 def _reached(links: DataFrame) -> DataFrame:
     """(piece, above, at, low, far): the closure of such rows over pieces, ``low`` the first concept of ``piece`` that reaches the one at ``at`` of ``above``.
 
     ``far`` marks those that take 2^k links and not fewer; a round joins them with all, so there are as many rounds as the longest way has binary digits.
+    A row stands for all concepts below ``low`` too; ways down to up inside a piece have no rows.
     """
     best = settled(links.withColumn("far", F.lit(True)))
     while not best.where("far").isEmpty():
-        # of the concepts of a piece reached from one concept, the lowest reaches the others; upwards in its own piece nothing is new
+        # of the concepts of a piece reached from one concept, the lowest reaches the others; a loop leads nowhere new
         step = best.where("far and (piece <> above or at > low)").groupBy("piece", "above", "low").agg(F.max("at").alias("reach"))
         ahead = best.select(F.col("piece").alias("_piece"), F.col("above").alias("_above"), F.col("at").alias("_at"), F.col("low").alias("_low"), "far")
         made = (step.join(ahead, (step["above"] == ahead["_piece"]) & (F.col("_low") <= F.col("reach")))
-                .select("piece", F.col("_above").alias("above"), F.col("_at").alias("at"), "low", "far"))
+                .select("piece", F.col("_above").alias("above"), F.col("_at").alias("at"), "low", "far").where("piece <> above or low <= at"))
         every = made.unionByName(best.withColumn("far", F.lit(False)))
         low = every.groupBy("piece", "above", "at").agg(F.min(F.when(F.col("far"), F.col("low"))).alias("_far"), F.min(F.when(~F.col("far"), F.col("low"))).alias("_near"))
         last, best = best, settled(low.select("piece", "above", "at", F.least("_far", "_near").alias("low"),
@@ -228,8 +232,9 @@ def closure_by_doubling(edges: DataFrame) -> DataFrame:
     """All (child, ancestor) pairs, cycles included.
 
     The graph is covered by paths, cut to pieces of bounded length.  What a concept reaches, all below it in its piece reach too, so of
-    each piece and ancestor only the first concept that reaches it is kept, and the rounds work on these rows and on numbers.  Pairs
-    are listed when the result is read, a row with the names below in its piece; what the rounds made on the way leaves the disk.
+    each piece and ancestor in another piece (or on a cycle) only the first concept that reaches it is kept, and the rounds work on these
+    rows and on numbers.  Pairs are listed when the result is read, a row with the names below in its piece; what the rounds made on the
+    way leaves the disk.
     """
     e, names = coded(edges, "child", "parent")
     place, walks = _pieces(_picked(e, names.select(F.col("id").alias("node"))))
@@ -237,11 +242,19 @@ def closure_by_doubling(edges: DataFrame) -> DataFrame:
     piece = settled(listed.select("piece", F.col("_m")["name"].alias("names")))
     low = place.select(F.col("node").alias("child"), "piece", F.col("at").alias("low"))
     up = place.select(F.col("node").alias("parent"), F.col("piece").alias("above"), "at")
-    best = _reached(e.join(low, "child").join(up, "parent").groupBy("piece", "above", "at").agg(F.min("low").alias("low")))
+    links = e.join(low, "child").join(up, "parent").where("piece <> above or low <= at")
+    # a concept reached reaches those above it in its piece
+    first = F.when(F.col("piece") == F.col("above"), F.col("low")).otherwise(1)
+    best = _reached(links.select("piece", "above", "low", F.explode(F.sequence(first, "at")).alias("at")).groupBy("piece", "above", "at").agg(F.min("low").alias("low")))
     dropped(e, names, *walks)
+    whole = F.lit(1 << DOUBLINGS)
     above = piece.select(F.col("piece").alias("above"), F.col("names").alias("_above"))
-    named = best.join(above, "above").select("piece", "low", F.col("_above")[F.col("at") - 1].alias("parent"))
-    return named.join(piece, "piece").select(F.explode(F.slice("names", F.col("low"), F.lit(1 << DOUBLINGS))).alias("child"), "parent")
+    # from the concept reached in the same piece down, it is above anyway
+    n = F.when(F.col("piece") == F.col("above"), F.col("at") - F.col("low") + 1).otherwise(whole)
+    named = best.join(above, "above").select("piece", "low", n.alias("n"), F.col("_above")[F.col("at") - 1].alias("parent"))
+    across = named.join(piece, "piece").select(F.explode(F.slice("names", F.col("low"), F.col("n"))).alias("child"), "parent")
+    inside = piece.select("names", F.posexplode("names").alias("_above", "parent")).select(F.explode(F.slice("names", F.col("_above") + 2, whole)).alias("child"), "parent")
+    return across.unionByName(inside)
 
 
 # ---------------------------------------------------------------- H14: reachability without a closure
